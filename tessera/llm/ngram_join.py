@@ -26,6 +26,7 @@ id and set; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -265,7 +266,7 @@ def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield c.record_batch(schema, ids.slice(i, j - i), [len(h) for h in sets], [h.tobytes() for h in sets])
 
     thin = c.semi_filtered(docs.select("doc_id", "text"), "doc_id", wanted.withColumnRenamed("id", "doc_id"))
-    return thin.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "id long, n long, hashes binary").dropDuplicates(["id"])
+    return thin.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "id long, n long, hashes binary")
 
 
 def verify(pairs: DataFrame, arrays: DataFrame, num: int, parts: int) -> DataFrame:
@@ -296,51 +297,77 @@ def verify(pairs: DataFrame, arrays: DataFrame, num: int, parts: int) -> DataFra
     return rows.repartition(parts, "hub", "share").sortWithinPartitions("hub", "share", "role", "id").mapInArrow(run, "a long, b long")
 
 
-def _crossing(members: DataFrame, comp: DataFrame, arrays: DataFrame, num: int, parts: int) -> DataFrame:
-    """Pairs (a, b), a < b, of members of one tile and different components whose bitmaps allow a link."""
-    placed = members.join(comp, "id").select("tile", "id", "component")
-    mixed = placed.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
-    blocks = placed.join(mixed.select("tile", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "tile")
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(arrays, "id")
-    schema = pa.schema([("tile", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("data", pa.binary())])
+def _maps(arrays: DataFrame) -> DataFrame:
+    """(id, n, m1, m2): the bitmaps of each set's own width and of twice that."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("m1", pa.binary()), ("m2", pa.binary())])
 
-    def pack(key, group):
-        import pickle
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(h, c.U) for h in c.column(b, "hashes").to_pylist()]
+            wide = [_width(len(h)) for h in sets]
+            yield c.record_batch(schema, c.column(b, "id"), c.column(b, "n"), *([bitmap(h, k * w).tobytes() for h, w in zip(sets, wide, strict=True)] for k in (1, 2)))
+
+    return arrays.mapInArrow(run, "id long, n long, m1 binary, m2 binary")
+
+
+def _stack(rows: list[tuple]) -> dict[int, tuple[np.ndarray, ...]]:
+    """Rows (id, component, n, m1, m2) by bitmap width: ids, components, sizes and bitmaps."""
+    by: dict[int, list] = {}
+    for r in rows:
+        for m in r[3:]:
+            by.setdefault(len(m), []).append((r, m))
+    return {w: (*(np.array([r[k] for r, _ in v]) for k in range(3)), np.stack([np.frombuffer(m, c.U) for _, m in v])) for w, v in by.items()}
+
+
+def _allowed(rows: list[tuple], stacked: dict[int, tuple[np.ndarray, ...]], num: int) -> set[tuple[int, int]]:
+    """Pairs of different components whose sizes and bitmaps allow a link."""
+    found: set[tuple[int, int]] = set()
+    for i, g, s, *maps in rows:
+        for m in maps:
+            if len(m) not in stacked:
+                continue
+            ids, comps, sizes, bits = stacked[len(m)]
+            go = np.flatnonzero((comps != g) & (100 * np.minimum(s, sizes) >= num * np.maximum(s, sizes)))
+            if len(go):
+                differ = np.bitwise_count(bits[go] ^ np.frombuffer(m, c.U)).sum(1).astype(np.int64)
+                total = s + sizes[go]
+                go = go[differ <= total - 2 * (-(-num * total // (100 + num)))]
+                found.update((min(i, j), max(i, j)) for j in ids[go].tolist())
+    return found
 
-        got = [(i, g, np.frombuffer(h, c.U)) for i, g, h in zip(*(group.column(x).to_pylist() for x in ("id", "component", "hashes")), strict=True)]
-        data = pickle.dumps([(i, g, len(h), bitmap(h, _width(len(h))), bitmap(h, 2 * _width(len(h)))) for i, g, h in sorted(got, key=lambda x: x[0])])
-        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip((key[0].as_py(), key[1].as_py(), group.column("blocks")[0].as_py(), data), schema, strict=True)], schema=schema)
 
-    packed = c.checkpoint(blocks.select("tile", "block", "blocks", "id", "component", "hashes").groupBy("tile", "block").applyInArrow(pack, "tile long, block int, blocks int, data binary"))
+def _crossing(members: DataFrame, comp: DataFrame, arrays: DataFrame, num: int, parts: int) -> DataFrame:
+    """Pairs (a, b), a < b, of members of one tile and different components whose bitmaps allow a link."""
+    maps = c.checkpoint(comp.join(_maps(arrays), "id"))
+    placed = members.join(maps.select("id", "component"), "id")
+    mixed = placed.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
+    blocks = members.join(mixed.select("tile", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "tile")
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(maps, "id")
+    names = ["id", "component", "n", "m1", "m2"]
+
+    def own(key, group):
+        found = _allowed(rows := list(zip(*(group.column(x).to_pylist() for x in names), strict=True)), _stack(rows), num)
+        out = [(a, b, None, None, None) for a, b in found]
+        if group.column("blocks")[0].as_py() > 1:
+            out.append((None, None, key[0].as_py(), key[1].as_py(), pickle.dumps(rows)))
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_OWN)], schema=_OWN)
+
+    first = c.checkpoint(blocks.select("tile", "block", "blocks", *names).groupBy("tile", "block").applyInArrow(own, "a long, b long, tile long, block int, data binary"))
+    packed = first.where("tile IS NOT NULL")
     x, y = packed.select("tile", "block", "data"), packed.select("tile", F.col("block").alias("block2"), F.col("data").alias("data2"))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
         for batch in batches:
             for p, q in zip(c.column(batch, "data").to_pylist(), c.column(batch, "data2").to_pylist(), strict=True):
-                found = set()
-                left, right = pickle.loads(p), pickle.loads(q)
-                by: dict[int, list] = {}
-                for r in right:
-                    for w in (3, 4):
-                        by.setdefault(len(r[w]), []).append((r, r[w]))
-                stacked = {w: (np.array([r[0] for r, _ in v]), np.array([r[1] for r, _ in v]), np.array([r[2] for r, _ in v]), np.stack([m for _, m in v])) for w, v in by.items()}
-                for i, g, s, *maps in left:
-                    for m in maps:
-                        if len(m) not in stacked:
-                            continue
-                        ids, comps, sizes, bits = stacked[len(m)]
-                        go = np.flatnonzero((comps != g) & (100 * np.minimum(s, sizes) >= num * np.maximum(s, sizes)))
-                        if len(go):
-                            differ = np.bitwise_count(bits[go] ^ m).sum(1).astype(np.int64)
-                            total = s + sizes[go]
-                            go = go[differ <= total - 2 * (-(-num * total // (100 + num)))]
-                            found.update((min(i, j), max(i, j)) for j in ids[go].tolist())
+                found = _allowed(pickle.loads(p), _stack(pickle.loads(q)), num)
                 yield c.record_batch(out, [f[0] for f in found], [f[1] for f in found])
 
-    return x.join(y, "tile").where("block <= block2").select("data", "data2").repartition(parts).mapInArrow(compare, "a long, b long").distinct()
+    across = x.join(y, "tile").where("block < block2").select("data", "data2").repartition(parts).mapInArrow(compare, "a long, b long")
+    return first.where("tile IS NULL").select("a", "b").unionByName(across).distinct()
+
+
+_OWN = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tile", pa.int64()), ("block", pa.int32()), ("data", pa.binary())])
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:

@@ -18,6 +18,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.run_index import remove_repeats
+
+    return remove_repeats(c.table(spark, sf_dir, "documents"), length=400, keep_bytes=False).drop("kept")
+
+
 @query
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.ngram_join import jaccard_components
