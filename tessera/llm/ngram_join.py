@@ -11,9 +11,9 @@ join is exact for every pair:
   spread over many parts and mixed with each text's own n-grams. Empty parts make no tile; sets with
   more than SPARE of them also enter the tiles of each combination of SPARE + 1 empty parts. Sets so
   small that only one element can differ use the sums of the set less one element instead.
-* Within a tile the smallest member is paired with each other one first. What links joins components.
-  Only where a tile still holds several components are its members compared with one another, in
-  blocks, by bitmaps: the bits that differ bound the overlap from above. Survivors go on.
+* Each document is first compared with the smallest one that it met as a tile's first member. What
+  links joins components. Only where a tile still holds several components are its members compared
+  with one another, in blocks, by bitmaps: the bits that differ bound the overlap from above.
 * Exact intersection of the sorted hash arrays decides every link.
 
 Texts of equal sets enter tiles once. Nothing is capped or sampled. 64-bit hashes stand for n-grams.
@@ -336,9 +336,27 @@ def _allowed(rows: list[tuple], stacked: dict[int, tuple[np.ndarray, ...]], num:
     return found
 
 
-def _crossing(members: DataFrame, comp: DataFrame, arrays: DataFrame, num: int, parts: int) -> DataFrame:
+def _apart(pairs: DataFrame, maps: DataFrame, num: int) -> DataFrame:
+    """Those of the pairs (a, b) that lie in different components and whose bitmaps allow a link."""
+    comp = maps.select("id", "component")
+    far = pairs.join(comp.select(F.col("id").alias("a"), F.col("component").alias("p")), "a").join(comp.select(F.col("id").alias("b"), F.col("component").alias("q")), "b").where("p <> q").select("a", "b")
+    for side in ("a", "b"):
+        far = far.join(maps.select(F.col("id").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in ("component", "n", "m1", "m2"))), side)
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            left, right = (zip(*(c.column(batch, x).to_pylist() for x in (k, f"component_{k}", f"n_{k}", f"m1_{k}", f"m2_{k}")), strict=True) for k in "ab")
+            for x, y in zip(left, right, strict=True):
+                found |= _allowed([x], _stack([y]), num)
+            yield c.record_batch(out, [f[0] for f in found], [f[1] for f in found])
+
+    return far.mapInArrow(run, "a long, b long")
+
+
+def _crossing(members: DataFrame, maps: DataFrame, num: int, parts: int) -> DataFrame:
     """Pairs (a, b), a < b, of members of one tile and different components whose bitmaps allow a link."""
-    maps = c.checkpoint(comp.join(_maps(arrays), "id"))
     placed = members.join(maps.select("id", "component"), "id")
     mixed = placed.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
     blocks = members.join(mixed.select("tile", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "tile")
@@ -385,15 +403,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     met = c.checkpoint(_meet(_tiled(docs, n, num), parts))
     reps = classes.select(F.col("h1").alias("key"), "id")
     keys_a, keys_b = reps.select(F.col("key").alias("a"), F.col("id").alias("x")), reps.select(F.col("key").alias("b"), F.col("id").alias("y"))
-    first = met.where("kind = 0").select("a", "b").distinct().join(keys_a, "a").join(keys_b, "b")
-    pairs = c.checkpoint(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
+    stars = met.where("kind = 0").select("a", "b").distinct().join(keys_a, "a").join(keys_b, "b")
+    pairs = c.checkpoint(stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     arrays = c.checkpoint(_arrays(docs, wanted, n))
-    linked = c.checkpoint(verify(pairs, arrays, num, parts))
-    nodes = arrays.select("id")
-    comp = c.checkpoint(c.components(nodes, linked))
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    linked = c.checkpoint(verify(first, arrays, num, parts))
+    nodes = arrays.select("id").distinct()
+    maps = c.checkpoint(c.components(nodes, linked).join(_maps(arrays), "id"))
+    comp = maps.select("id", "component")
     members = met.where("kind = 1").select(F.col("a").alias("tile"), F.col("b").alias("key")).distinct().join(reps, "key").select("tile", "id")
-    more = c.checkpoint(_crossing(members, comp, arrays, num, parts).join(pairs, ["a", "b"], "left_anti"))
+    more = c.checkpoint(_crossing(members, maps, num, parts).unionByName(_apart(pairs, maps, num)).distinct())
     late = c.checkpoint(verify(more, arrays, num, parts))
     if late.limit(1).count():
         comp = c.components(nodes, linked.unionByName(late))

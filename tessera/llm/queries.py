@@ -18,6 +18,22 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op3_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import entropy_mix
+
+    return entropy_mix(c.table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op4_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.packing import pack_documents
+
+    return pack_documents(c.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 @query
 def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.run_index import remove_repeats
