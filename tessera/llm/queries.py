@@ -18,6 +18,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op2_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.matroska import media_features
+
+    return media_features(c.table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import entropy_mix
