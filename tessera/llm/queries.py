@@ -18,6 +18,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.adaptive_scan import nearest
+
+    return nearest(c.table(spark, sf_dir, "embeddings"), query_rule="vec_id % 100 = 0", k=10)
+
+
 @query
 def op2_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.matroska import media_features
