@@ -55,6 +55,14 @@ def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(c.table(spark, sf_dir, "documents"), length=400, keep_bytes=False).drop("kept")
 
 
+@query
+def op7_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import fit, toxicity
+
+    docs = c.table(spark, sf_dir, "documents")
+    return toxicity(docs, fit(docs, c.table(spark, sf_dir, "labels"), train_rows=6000))
+
+
 @query
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.ngram_join import jaccard_components
