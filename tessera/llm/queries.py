@@ -55,6 +55,19 @@ def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(c.table(spark, sf_dir, "documents"), length=400, keep_bytes=False).drop("kept")
 
 
+@query
+def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of the pages' WARC files in which a known rule has damaged, lost and added records."""
+    from tessera.llm.merkle import audit, warc_records
+
+    records = warc_records(c.table(spark, sf_dir, "pages"))
+    mark = F.pmod(F.col("record"), F.lit(37))
+    damaged = F.when(mark == 0, F.concat(F.substring("content", 1, 40), F.lit(b"~"), F.expr("substring(content, 42)"))).otherwise(F.col("content"))
+    replica = records.where(mark != 1).withColumn("content", damaged)
+    extra = records.where(mark == 2).withColumn("record", -1 - F.col("record"))
+    return audit(records, replica.unionByName(extra))
+
+
 @query
 def op7_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.toxicity import fit, toxicity
@@ -70,6 +83,30 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(c.table(spark, sf_dir, "documents"), n=4, num=85).select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op10_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_alignment import line_report
+
+    return line_report(c.table(spark, sf_dir, "documents"))
+
+
+_RECORDS = r"""
+WITH r AS (
+  SELECT page_id AS record, page_id // 256 AS file,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+    || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS content
+  FROM pages
+), o AS (
+  SELECT record, file, content, octet_length(encode(content)) AS n, sum(octet_length(encode(content))) OVER (PARTITION BY file ORDER BY record) AS stop
+  FROM r
+), x AS (SELECT record, file, CAST(stop - n AS BIGINT) AS "start", CAST(stop AS BIGINT) AS "stop", content FROM o)
+"""
+ORACLE["op5_merkle_fixity"] = _RECORDS + """
+SELECT record, file, "start", "stop", sha256(content) AS digest_a, sha256(content[:40] || '~' || content[42:]) AS digest_b FROM x WHERE record % 37 = 0
+UNION ALL SELECT record, file, "start", "stop", sha256(content), NULL FROM x WHERE record % 37 = 1
+UNION ALL SELECT -1 - record, file, "start", "stop", NULL, sha256(content) FROM x WHERE record % 37 = 2
+"""
 ORACLE["op8_ngram_jaccard_join"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
