@@ -18,6 +18,7 @@ than a sequence.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,16 @@ from tessera.llm import common as c
 
 SHARD = 1 << 16
 #: Distinct words whose ids a task keeps; it then starts anew.
-CACHE = 600_000
+CACHE = 1_600_000
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("salt", pa.int32())])
 
 
 class WordIds(dict):
-    """Little-endian ids of each word between ASCII white space, by the tokenizer; its pre-tokens never span white space."""
+    """Little-endian ids of each word between ASCII white space, by the tokenizer; its pre-tokens never span white space.
+
+    An ASCII word of letters and then closing marks is two pre-tokens or more, and letter case doesn't
+    count in it, so its parts are looked up instead. A worker's tasks share what they have learned.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -42,22 +47,44 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
 
+        self.older: dict[bytes, bytes] = {}
+
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        if len(self) >= CACHE:
+        out = self.older.get(word)
+        if out is None:
+            stem = word.rstrip(b".,;:!?")
+            if word.isascii() and stem.isalpha() and not (stem.islower() and len(stem) == len(word)):
+                known, tail = stem.lower(), word[len(stem) :]
+                again = known in self or known in self.older
+                out = self[known] + (self[tail] if tail else b"")
+                if not again:
+                    return out  # most such words come once
+            else:
+                out = array("I", self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
+        if len(self) >= CACHE // 2:  # what is still in use moves over from the older half
+            self.older = dict(self)
             self.clear()
-        self[word] = out = np.array(ids, "<u4").tobytes()
+        self[word] = out
         return out
 
     def of(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
 
 
+_learned: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _learned:
+        _learned[path] = WordIds(path)
+    return _learned[path]
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, salt) of each piece of each document's ids, the end token included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(tokenizer), np.array([end_id], "<u4").tobytes()
+        words, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
             for k, (doc, t) in enumerate(zip(c.column(b, "doc_id").to_pylist(), c.as_bytes(c.column(b, "text")), strict=True)):
