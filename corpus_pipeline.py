@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common as c
 
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 5000
 #: The last stages: copies of up to MOST, targets of SHARE of all words, sequences of CAPACITY tokens.
 WEIGHTS, SHARE, MOST, CAPACITY = (5, 2, 1), 1.5, 2.0, 4096
 TOKENIZER = "word_bpe_49k.json"

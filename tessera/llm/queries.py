@@ -73,7 +73,7 @@ def op7_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.toxicity import fit, toxicity
 
     docs = c.table(spark, sf_dir, "documents")
-    return toxicity(docs, fit(docs, c.table(spark, sf_dir, "labels"), train_rows=6000))
+    return toxicity(docs, fit(docs, c.table(spark, sf_dir, "labels"), train_rows=5000))
 
 
 @query

@@ -50,7 +50,7 @@ class Words:
             s2, e2 = np.minimum(ahead[s], e), np.maximum(behind[e - 1] + 1, s)
             s, e = np.where(s2 < e2, s2, s), np.where(s2 < e2, e2, e)
         h = block.hashes(s, e)
-        distinct, at, self.word = np.unique(h, return_index=True, return_inverse=True)
+        self.distinct, at, self.word = distinct, at, _ = np.unique(h, return_index=True, return_inverse=True)
         s, e = s[at], e[at]
         self.ids = (distinct % c.U(WORDS)).astype(np.int64)
         owner, gram = [], []
@@ -68,13 +68,39 @@ class Words:
         self.owner, self.grams = self.owner[order], (gram_hash[order] % c.U(GRAMS)).astype(np.int64)
         self.n_grams = np.maximum(np.bincount(self.owner, minlength=len(distinct)), 1)
 
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Words:
+        """Like Words(texts), block by block: what it holds grows with distinct words, not with bytes."""
+        parts = [cls(texts[i:j]) for i, j in c.blocks(texts)]
+        hashes, at, back = np.unique(np.concatenate([x.distinct for x in parts]), return_index=True, return_inverse=True)
+        base = np.cumsum([0] + [len(x.distinct) for x in parts])
+        out = cls.__new__(cls)
+        out.distinct, out.ids = hashes, np.concatenate([x.ids for x in parts])[at]
+        out.word = np.concatenate([back[base[k] + x.word].astype(np.int32) for k, x in enumerate(parts)])
+        words = np.cumsum([0] + [len(x.word) for x in parts])
+        out.first = np.concatenate([x.first[:-1] + words[k] for k, x in enumerate(parts)] + [words[-1:]])
+        owner, grams = [], []
+        for k, x in enumerate(parts):
+            mine = np.zeros(len(x.distinct), bool)
+            own = at[(at >= base[k]) & (at < base[k + 1])] - base[k]
+            mine[own] = True
+            keep = mine[x.owner]
+            owner.append(back[base[k] + x.owner[keep]].astype(np.int32))
+            grams.append(x.grams[keep].astype(np.int32))
+        owner, grams = np.concatenate(owner), np.concatenate(grams)
+        order = np.argsort(owner, kind="stable")
+        out.owner, out.grams = owner[order], grams[order]
+        out.n_grams = np.maximum(np.bincount(out.owner, minlength=len(hashes)), 1)
+        return out
+
     def inputs(self, p: dict) -> np.ndarray:
         """A row for each distinct word, then one of zeros that fills windows up."""
         out = np.zeros((len(self.ids) + 1, DIMS), _T)
         out[:-1] = p["word"][self.ids]
-        if len(self.owner):
-            first = np.flatnonzero(np.concatenate(([True], np.diff(self.owner) != 0)))
-            out[self.owner[first]] += np.add.reduceat(p["gram"][self.grams], first) / np.sqrt(self.n_grams[self.owner[first]])[:, None].astype(_T)
+        for i in range(0, len(self.owner), 1 << 19):
+            owner, grams = self.owner[i : i + (1 << 19)], self.grams[i : i + (1 << 19)]
+            first = np.flatnonzero(np.concatenate(([True], np.diff(owner) != 0)))
+            out[owner[first]] += np.add.reduceat(p["gram"][grams], first) / np.sqrt(self.n_grams[owner[first]])[:, None].astype(_T)
         return out
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +111,8 @@ class Words:
         k = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)
         at = (self.first[:-1][text] + k * STRIDE)[:, None] + np.arange(WINDOW)
         beyond = at >= self.first[1:][text][:, None]
-        word = np.append(self.word, len(self.ids))
-        return text, np.where(beyond, len(self.ids), word[np.minimum(at, len(word) - 1)])
+        word = np.append(self.word, len(self.ids)).astype(np.int32)
+        return text, np.where(beyond, np.int32(len(self.ids)), word[np.minimum(at, len(word) - 1)])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -214,7 +240,7 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 4, rate: float =
     y = np.asarray(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return {"constant": np.array([float(y.mean()) if len(y) else 0.0])}
-    p, words = start_parameters(), Words(texts)
+    p, words = start_parameters(), Words.of(texts)
     text, places = words.windows()
     of_doc = [words.word[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
     starts = np.searchsorted(words.owner, np.arange(len(words.ids) + 1))
@@ -232,8 +258,11 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 4, rate: float =
     share = y.mean()
 
     def all_logits() -> np.ndarray:
-        x = words.inputs(p)
-        return np.concatenate([forward(p, x, places[i : i + 4096])[0] for i in range(0, len(places), 4096)])
+        x, out = words.inputs(p), []
+        for i in range(0, len(places), 4096):
+            used, local = np.unique(np.append(places[i : i + 4096], np.int32(len(x) - 1)), return_inverse=True)
+            out.append(forward(p, x[used], local[:-1].reshape(-1, WINDOW))[0])
+        return np.concatenate(out)
 
     # the first round's guess: what the log-odds of a window's words say
     guess = words.inputs(p)[:, :2]
@@ -296,7 +325,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, train_bytes: int = 1 << 16) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 5000, train_bytes: int = 1 << 13) -> dict:
     """Trains on at most train_rows labelled documents that aren't held out, of at most train_bytes each."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)  # a bounded number of (id, label) rows
