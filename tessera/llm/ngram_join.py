@@ -11,8 +11,8 @@ join is exact for every pair:
   spread over many parts and mixed with each text's own n-grams. Empty parts make no tile; sets with
   more than SPARE of them also enter the tiles of each combination of SPARE + 1 empty parts. Sets so
   small that only one element can differ use the sums of the set less one element instead.
-* Each document is first compared with the smallest one that it met as a tile's first member. What
-  links joins components. Only where a tile still holds several components are its members compared
+* Each document is first compared with the first member of tiles that it met most often. What links
+  joins components. Only where a tile still holds several components are its members compared
   with one another, in blocks, by bitmaps: the bits that differ bound the overlap from above.
 * Exact intersection of the sorted hash arrays decides every link.
 
@@ -159,7 +159,7 @@ def links(a: np.ndarray, b: np.ndarray, num: int) -> bool:
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 _TILED = pa.schema([("tile", pa.int64()), ("key", pa.int64())])
-_MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+_MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32())])
 
 
 def _keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -206,7 +206,7 @@ def _tiled(docs: DataFrame, n: int, num: int) -> DataFrame:
 
 
 def _meet(tiled: DataFrame, parts: int) -> DataFrame:
-    """What meets in tiles: kind 0: (a, b), the first member with another; kind 1: (a: a hash of the tile's members, b: a member), for tiles of more than two.
+    """What meets in tiles: kind 0: (a, b, shared): in so many tiles of the partition b is with the first member a; kind 1: (a: a hash of a tile's members, b: a member), once for tiles of equal members.
 
     A task holds the distinct (tile, key) of its partition: about the rows of all tiles over parts.
     """
@@ -240,18 +240,23 @@ def _meet(tiled: DataFrame, parts: int) -> DataFrame:
             return
         first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         count = np.diff(np.concatenate((first, [len(t)])))
-        head, many = np.repeat(k[first], count), np.repeat(count > 2, count)
         rest = np.ones(len(t), bool)
         rest[first] = False
-        pairs = np.unique(np.stack((head[rest], k[rest]), 1), axis=0)
-        yield c.record_batch(_MET, np.zeros(len(pairs), np.int32), pairs[:, 0].copy(), pairs[:, 1].copy())
-        group = np.add.reduceat(c.mix(k.view(c.U)), first) + count.astype(c.U) * _MUL[3]
-        members = np.unique(np.stack((np.repeat(c.signed(group), count)[many], k[many]), 1), axis=0)
-        for i in range(0, len(members), 100_000):
-            m = members[i : i + 100_000]
-            yield c.record_batch(_MET, np.ones(len(m), np.int32), m[:, 0].copy(), m[:, 1].copy())
-
-    return tiled.repartition(parts, "tile").mapInArrow(run, "kind int, a long, b long")
+        head, other = np.repeat(k[first], count)[rest], k[rest]
+        order = np.lexsort((head, other))
+        head, other = head[order], other[order]
+        new = np.flatnonzero(np.concatenate(([True], (other[1:] != other[:-1]) | (head[1:] != head[:-1]))))
+        shared = np.diff(np.concatenate((new, [len(head)]))).astype(np.int32)
+        yield c.record_batch(_MET, np.zeros(len(new), np.int32), head[new], other[new], shared)
+        group = c.signed(np.add.reduceat(c.mix(k.view(c.U)), first) + count.astype(c.U) * _MUL[3])
+        _, once = np.unique(group, return_index=True)
+        for i in range(0, len(once), 20_000):
+            o = once[i : i + 20_000]
+            n = count[o]
+            at = np.repeat(first[o] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield c.record_batch(_MET, np.ones(len(at), np.int32), np.repeat(group[o], n), k[at], np.zeros(len(at), np.int32))
+
+    return tiled.repartition(parts, "tile").mapInArrow(run, "kind int, a long, b long, shared int")
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -275,6 +280,8 @@ def verify(pairs: DataFrame, arrays: DataFrame, num: int, parts: int) -> DataFra
     Each first member is sent to as many shares as its partners need, SHARE to each, so a member of
     thousands of pairs is dealt out; a task holds one set of a first member and one of a partner.
     """
+    pairs = c.checkpoint(pairs)
+    arrays = c.semi_filtered(arrays.select("id", "hashes"), "id", pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
     n_share = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     left = n_share.select(F.col("a").alias("id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"))
     right = pairs.join(n_share, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("role"))
@@ -336,50 +343,76 @@ def _allowed(rows: list[tuple], stacked: dict[int, tuple[np.ndarray, ...]], num:
     return found
 
 
-def _apart(pairs: DataFrame, maps: DataFrame, num: int) -> DataFrame:
-    """Those of the pairs (a, b) that lie in different components and whose bitmaps allow a link."""
-    comp = maps.select("id", "component")
-    far = pairs.join(comp.select(F.col("id").alias("a"), F.col("component").alias("p")), "a").join(comp.select(F.col("id").alias("b"), F.col("component").alias("q")), "b").where("p <> q").select("a", "b")
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _possible(pairs: DataFrame, maps: DataFrame, num: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sizes and bitmaps allow a link."""
     for side in ("a", "b"):
-        far = far.join(maps.select(F.col("id").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in ("component", "n", "m1", "m2"))), side)
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        pairs = pairs.join(maps.select(F.col("id").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in ("n", "m1", "m2"))), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            left, right = (zip(*(c.column(batch, x).to_pylist() for x in (k, f"component_{k}", f"n_{k}", f"m1_{k}", f"m2_{k}")), strict=True) for k in "ab")
+            left, right = (zip(c.column(batch, k).to_pylist(), range(batch.num_rows), *(c.column(batch, f"{x}_{k}").to_pylist() for x in ("n", "m1", "m2")), strict=True) for k in "ab")
             for x, y in zip(left, right, strict=True):
-                found |= _allowed([x], _stack([y]), num)
-            yield c.record_batch(out, [f[0] for f in found], [f[1] for f in found])
+                found |= _allowed([x], _stack([(y[0], -1, *y[2:])]), num)
+            yield c.record_batch(_PAIR, [f[0] for f in found], [f[1] for f in found])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+#: Found pairs that a task remembers, so as not to tell them again.
+_TOLD = 500_000
 
-    return far.mapInArrow(run, "a long, b long")
 
+def _crossing(members: DataFrame, comp: DataFrame, maps: DataFrame, num: int, parts: int) -> DataFrame:
+    """Pairs (a, b), a < b, of members of one tile and different components whose bitmaps allow a link.
 
-def _crossing(members: DataFrame, maps: DataFrame, num: int, parts: int) -> DataFrame:
-    """Pairs (a, b), a < b, of members of one tile and different components whose bitmaps allow a link."""
-    placed = members.join(maps.select("id", "component"), "id")
+    A tile of more than TILE members is cut into blocks; a task holds two blocks at a time.
+    """
+    placed = members.join(comp, "id")
     mixed = placed.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
-    blocks = members.join(mixed.select("tile", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "tile")
+    blocks = placed.join(mixed.select("tile", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "tile")
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(maps, "id")
     names = ["id", "component", "n", "m1", "m2"]
-
-    def own(key, group):
-        found = _allowed(rows := list(zip(*(group.column(x).to_pylist() for x in names), strict=True)), _stack(rows), num)
-        out = [(a, b, None, None, None) for a, b in found]
-        if group.column("blocks")[0].as_py() > 1:
-            out.append((None, None, key[0].as_py(), key[1].as_py(), pickle.dumps(rows)))
-        return pa.Table.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_OWN)], schema=_OWN)
-
-    first = c.checkpoint(blocks.select("tile", "block", "blocks", *names).groupBy("tile", "block").applyInArrow(own, "a long, b long, tile long, block int, data binary"))
+    rows_of = lambda b: zip(*(c.column(b, x).to_pylist() for x in ("tile", "block", "blocks", *names)), strict=True)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
+
+        def close(at: tuple, rows: list[tuple]) -> pa.RecordBatch:
+            nonlocal told
+            if len(told) > _TOLD:
+                told = set()
+            found = _allowed(rows, _stack(rows), num) - told
+            told |= found
+            out = [(a, b, None, None, None) for a, b in found]
+            if at[2] > 1:
+                out.append((None, None, at[0], at[1], pickle.dumps(rows)))
+            return c.record_batch(_OWN, *(zip(*out, strict=True) if out else [[]] * 5))
+
+        at, rows = None, []
+        for batch in batches:
+            for tile, block, n, *r in rows_of(batch):
+                if at and at[:2] != (tile, block):
+                    yield close(at, rows)
+                    rows = []
+                at = (tile, block, n)
+                rows.append(tuple(r))
+        if at:
+            yield close(at, rows)
+
+    dealt = blocks.select("tile", "block", "blocks", *names).repartition(parts, "tile", "block").sortWithinPartitions("tile", "block")
+    first = c.checkpoint(dealt.mapInArrow(own, "a long, b long, tile long, block int, data binary"))
     packed = first.where("tile IS NOT NULL")
     x, y = packed.select("tile", "block", "data"), packed.select("tile", F.col("block").alias("block2"), F.col("data").alias("data2"))
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, q in zip(c.column(batch, "data").to_pylist(), c.column(batch, "data2").to_pylist(), strict=True):
                 found = _allowed(pickle.loads(p), _stack(pickle.loads(q)), num)
-                yield c.record_batch(out, [f[0] for f in found], [f[1] for f in found])
+                yield c.record_batch(_PAIR, [f[0] for f in found], [f[1] for f in found])
 
     across = x.join(y, "tile").where("block < block2").select("data", "data2").repartition(parts).mapInArrow(compare, "a long, b long")
     return first.where("tile IS NULL").select("a", "b").unionByName(across).distinct()
@@ -388,6 +421,12 @@ def _crossing(members: DataFrame, maps: DataFrame, num: int, parts: int) -> Data
 _OWN = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tile", pa.int64()), ("block", pa.int32()), ("data", pa.binary())])
 
 
+def _still(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Those of the pairs that lie in different components."""
+    p, q = comp.select(F.col("id").alias("a"), F.col("component").alias("p")), comp.select(F.col("id").alias("b"), F.col("component").alias("q"))
+    return pairs.join(p, "a").join(q, "b").where("p <> q").select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id): component_id is the smallest doc_id reachable by links, class_id the smallest of an equal set.
 
@@ -402,21 +441,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     classes = c.checkpoint(some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("id")))
     met = c.checkpoint(_meet(_tiled(docs, n, num), parts))
     reps = classes.select(F.col("h1").alias("key"), "id")
-    keys_a, keys_b = reps.select(F.col("key").alias("a"), F.col("id").alias("x")), reps.select(F.col("key").alias("b"), F.col("id").alias("y"))
-    stars = met.where("kind = 0").select("a", "b").distinct().join(keys_a, "a").join(keys_b, "b")
-    pairs = c.checkpoint(stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    near = met.where("kind = 0").groupBy("b", "a").agg(F.sum("shared").alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+    first = near.join(reps.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(reps.select(F.col("key").alias("b"), F.col("id").alias("y")), "b")
+    pairs = c.checkpoint(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
+    members = c.checkpoint(met.where("kind = 1").select(F.col("a").alias("tile"), F.col("b").alias("key")).distinct().join(reps, "key").select("tile", "id"))
+    wanted = members.select("id").distinct()
     arrays = c.checkpoint(_arrays(docs, wanted, n))
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    linked = c.checkpoint(verify(first, arrays, num, parts))
+    maps = c.checkpoint(_maps(arrays))
     nodes = arrays.select("id").distinct()
-    maps = c.checkpoint(c.components(nodes, linked).join(_maps(arrays), "id"))
-    comp = maps.select("id", "component")
-    members = met.where("kind = 1").select(F.col("a").alias("tile"), F.col("b").alias("key")).distinct().join(reps, "key").select("tile", "id")
-    more = c.checkpoint(_crossing(members, maps, num, parts).unionByName(_apart(pairs, maps, num)).distinct())
-    late = c.checkpoint(verify(more, arrays, num, parts))
-    if late.limit(1).count():
-        comp = c.components(nodes, linked.unionByName(late))
+    linked = c.checkpoint(verify(_possible(pairs, maps, num), arrays, num, parts))
+    comp = c.checkpoint(c.components(nodes, linked))
+    more = c.checkpoint(_crossing(members, comp, maps, num, parts))
+    for last in (False, True):  # first one pair of each document, then all that still lie apart
+        now = more if last else more.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        late = c.checkpoint(verify(now, arrays, num, parts))
+        linked = c.checkpoint(linked.unionByName(late))
+        comp = c.checkpoint(c.components(nodes, linked))
+        more = c.checkpoint(_still(more.join(now, ["a", "b"], "left_anti"), comp))
     of_class = classes.join(comp, "id", "left").select("n_shingles", "h1", "h2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
     linked_docs = some.join(of_class, ["n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", "component_id", "class_id")
     return linked_docs.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id")))
