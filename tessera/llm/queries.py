@@ -68,6 +68,18 @@ def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(records, replica.unionByName(extra))
 
 
+#: Keys the surrogates; production gives its own.
+SURROGATE_KEY = b"tessera-surrogates"
+
+
+@query
+def op6_surrogate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.surrogates import replaced
+
+    docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replaced(docs, SURROGATE_KEY).select("doc_id", "n_entities", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
+
+
 @query
 def op7_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.toxicity import fit, toxicity
