@@ -11,9 +11,10 @@ join is exact for every pair:
   spread over many parts and mixed with each text's own n-grams. Empty parts make no tile; sets with
   more than SPARE of them also enter the tiles of each combination of SPARE + 1 empty parts. Sets so
   small that only one element can differ use the sums of the set less one element instead.
-* Each document is first compared with the first member of tiles that it met most often. What links
-  joins components. Only where a tile still holds several components are its members compared
-  with one another, in blocks, by bitmaps: the bits that differ bound the overlap from above.
+* A tile's hub is its member of most tiles; all tiles of a hub make a family. Each document is first
+  compared with the hubs that it meets most often, and links join components. Only where a family still
+  holds several components are its members compared with one another, in blocks, by bitmaps: the bits
+  that differ bound the overlap from above.
 * Exact intersection of the sorted hash arrays decides every link.
 
 Texts of equal sets enter tiles once. Nothing is capped or sampled. 64-bit hashes stand for n-grams.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common as c
@@ -39,7 +40,7 @@ from tessera.llm import common as c
 SPARE = 2
 BAND_RATIO = 1.5
 #: Members of one comparison block, and rows of a hub's share in exact checks.
-TILE = 256
+BLOCK = 256
 SHARE = 256
 _MUL = [c.U(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25)]
 
@@ -134,7 +135,7 @@ def tiles(h: np.ndarray, bands: Bands) -> np.ndarray:
 
 def _width(size: int) -> int:
     """Bits of the bitmap of sets about this size; alike for sets that can link, but for one step."""
-    return max(256, 1 << (2 * max(size, 1) - 1).bit_length())
+    return max(256, 1 << (4 * max(size, 1) - 1).bit_length())
 
 
 def bitmap(h: np.ndarray, width: int) -> np.ndarray:
@@ -159,7 +160,7 @@ def links(a: np.ndarray, b: np.ndarray, num: int) -> bool:
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 _TILED = pa.schema([("tile", pa.int64()), ("key", pa.int64())])
-_MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32())])
+_MET = pa.schema([("tile", pa.int64()), ("key", pa.int64()), ("shared", pa.int32())])
 
 
 def _keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -206,7 +207,7 @@ def _tiled(docs: DataFrame, n: int, num: int) -> DataFrame:
 
 
 def _meet(tiled: DataFrame, parts: int) -> DataFrame:
-    """What meets in tiles: kind 0: (a, b, shared): in so many tiles of the partition b is with the first member a; kind 1: (a: a hash of a tile's members, b: a member), once for tiles of equal members.
+    """(tile, key, shared): the members of each tile that has several; tiles of equal members are one, and shared counts them.
 
     A task holds the distinct (tile, key) of its partition: about the rows of all tiles over parts.
     """
@@ -240,23 +241,15 @@ def _meet(tiled: DataFrame, parts: int) -> DataFrame:
             return
         first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         count = np.diff(np.concatenate((first, [len(t)])))
-        rest = np.ones(len(t), bool)
-        rest[first] = False
-        head, other = np.repeat(k[first], count)[rest], k[rest]
-        order = np.lexsort((head, other))
-        head, other = head[order], other[order]
-        new = np.flatnonzero(np.concatenate(([True], (other[1:] != other[:-1]) | (head[1:] != head[:-1]))))
-        shared = np.diff(np.concatenate((new, [len(head)]))).astype(np.int32)
-        yield c.record_batch(_MET, np.zeros(len(new), np.int32), head[new], other[new], shared)
         group = c.signed(np.add.reduceat(c.mix(k.view(c.U)), first) + count.astype(c.U) * _MUL[3])
-        _, once = np.unique(group, return_index=True)
+        _, once, alike = np.unique(group, return_index=True, return_counts=True)
         for i in range(0, len(once), 20_000):
-            o = once[i : i + 20_000]
+            o, times = once[i : i + 20_000], alike[i : i + 20_000].astype(np.int32)
             n = count[o]
             at = np.repeat(first[o] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            yield c.record_batch(_MET, np.ones(len(at), np.int32), np.repeat(group[o], n), k[at], np.zeros(len(at), np.int32))
+            yield c.record_batch(_MET, np.repeat(group[o], n), k[at], np.repeat(times, n))
 
-    return tiled.repartition(parts, "tile").mapInArrow(run, "kind int, a long, b long, shared int")
+    return tiled.repartition(parts, "tile").mapInArrow(run, "tile long, key long, shared int")
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -321,7 +314,7 @@ def _stack(rows: list[tuple]) -> dict[int, tuple[np.ndarray, ...]]:
     """Rows (id, component, n, m1, m2) by bitmap width: ids, components, sizes and bitmaps."""
     by: dict[int, list] = {}
     for r in rows:
-        for m in r[3:]:
+        for m in r[3:5]:
             by.setdefault(len(m), []).append((r, m))
     return {w: (*(np.array([r[k] for r, _ in v]) for k in range(3)), np.stack([np.frombuffer(m, c.U) for _, m in v])) for w, v in by.items()}
 
@@ -329,8 +322,8 @@ def _stack(rows: list[tuple]) -> dict[int, tuple[np.ndarray, ...]]:
 def _allowed(rows: list[tuple], stacked: dict[int, tuple[np.ndarray, ...]], num: int) -> set[tuple[int, int]]:
     """Pairs of different components whose sizes and bitmaps allow a link."""
     found: set[tuple[int, int]] = set()
-    for i, g, s, *maps in rows:
-        for m in maps:
+    for i, g, s, *more in rows:
+        for m in more[:2]:
             if len(m) not in stacked:
                 continue
             ids, comps, sizes, bits = stacked[len(m)]
@@ -362,63 +355,51 @@ def _possible(pairs: DataFrame, maps: DataFrame, num: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-#: Found pairs that a task remembers, so as not to tell them again.
-_TOLD = 500_000
+def _crossing(families: DataFrame, comp: DataFrame, maps: DataFrame, num: int, parts: int) -> DataFrame:
+    """Pairs (a, b), a < b, of one family and different components whose bitmaps allow a link.
 
-
-def _crossing(members: DataFrame, comp: DataFrame, maps: DataFrame, num: int, parts: int) -> DataFrame:
-    """Pairs (a, b), a < b, of members of one tile and different components whose bitmaps allow a link.
-
-    A tile of more than TILE members is cut into blocks; a task holds two blocks at a time.
+    A family of more than BLOCK members is cut into blocks; a task holds two blocks at a time.
     """
-    placed = members.join(comp, "id")
-    mixed = placed.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
-    blocks = placed.join(mixed.select("tile", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "tile")
+    placed = families.select("hub", "id").join(comp, "id")
+    mixed = placed.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
+    blocks = placed.join(mixed.select("hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "hub")
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(maps, "id")
     names = ["id", "component", "n", "m1", "m2"]
-    rows_of = lambda b: zip(*(c.column(b, x).to_pylist() for x in ("tile", "block", "blocks", *names)), strict=True)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[tuple[int, int]] = set()
-
         def close(at: tuple, rows: list[tuple]) -> pa.RecordBatch:
-            nonlocal told
-            if len(told) > _TOLD:
-                told = set()
-            found = _allowed(rows, _stack(rows), num) - told
-            told |= found
-            out = [(a, b, None, None, None) for a, b in found]
+            out = [(a, b, None, None, None) for a, b in _allowed(rows, _stack(rows), num)]
             if at[2] > 1:
                 out.append((None, None, at[0], at[1], pickle.dumps(rows)))
             return c.record_batch(_OWN, *(zip(*out, strict=True) if out else [[]] * 5))
 
         at, rows = None, []
         for batch in batches:
-            for tile, block, n, *r in rows_of(batch):
-                if at and at[:2] != (tile, block):
+            for hub, block, n, *r in zip(*(c.column(batch, x).to_pylist() for x in ("hub", "block", "blocks", *names)), strict=True):
+                if at and at[:2] != (hub, block):
                     yield close(at, rows)
                     rows = []
-                at = (tile, block, n)
+                at = (hub, block, n)
                 rows.append(tuple(r))
         if at:
             yield close(at, rows)
 
-    dealt = blocks.select("tile", "block", "blocks", *names).repartition(parts, "tile", "block").sortWithinPartitions("tile", "block")
-    first = c.checkpoint(dealt.mapInArrow(own, "a long, b long, tile long, block int, data binary"))
-    packed = first.where("tile IS NOT NULL")
-    x, y = packed.select("tile", "block", "data"), packed.select("tile", F.col("block").alias("block2"), F.col("data").alias("data2"))
+    dealt = blocks.select("hub", "block", "blocks", *names).repartition(parts, "hub", "block").sortWithinPartitions("hub", "block")
+    first = c.checkpoint(dealt.mapInArrow(own, "a long, b long, hub long, block int, data binary"))
+    packed = first.where("hub IS NOT NULL")
+    x, y = packed.select("hub", "block", "data"), packed.select("hub", F.col("block").alias("block2"), F.col("data").alias("data2"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, q in zip(c.column(batch, "data").to_pylist(), c.column(batch, "data2").to_pylist(), strict=True):
+            for p, q in zip(*(c.column(batch, k).to_pylist() for k in ("data", "data2")), strict=True):
                 found = _allowed(pickle.loads(p), _stack(pickle.loads(q)), num)
                 yield c.record_batch(_PAIR, [f[0] for f in found], [f[1] for f in found])
 
-    across = x.join(y, "tile").where("block < block2").select("data", "data2").repartition(parts).mapInArrow(compare, "a long, b long")
-    return first.where("tile IS NULL").select("a", "b").unionByName(across).distinct()
+    across = x.join(y, "hub").where("block < block2").select("data", "data2").repartition(parts).mapInArrow(compare, "a long, b long")
+    return first.where("hub IS NULL").select("a", "b").unionByName(across).distinct()
 
 
-_OWN = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tile", pa.int64()), ("block", pa.int32()), ("data", pa.binary())])
+_OWN = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hub", pa.int64()), ("block", pa.int32()), ("data", pa.binary())])
 
 
 def _still(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -427,6 +408,29 @@ def _still(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.join(p, "a").join(q, "b").where("p <> q").select("a", "b")
 
 
+#: First partners of a document.
+FIRST = 2
+
+
+def _families(members: DataFrame) -> DataFrame:
+    """(hub, id, n, weight): each document with the hubs of its tiles, itself among them where it is one, and the number of tiles.
+
+    A tile's hub is its member that is in most tiles: the text that others are edited from keeps all
+    its parts, while each edited one has parts of its own. All tiles of a hub make a family, so two
+    that meet in a tile are in a family together; a family's rows are documents, not tiles.
+    """
+    weight = members.groupBy("id").agg(F.sum("shared").alias("weight"))
+    hub = members.join(weight, "id").groupBy("tile").agg(F.max(F.struct("weight", -F.col("id"))).alias("h")).select("tile", (-F.col("h.col2")).alias("hub"), F.col("h.weight").alias("weight"))
+    return members.join(hub, "tile").groupBy("hub", "id").agg(F.sum("shared").alias("n"), F.max("weight").alias("weight"))
+
+
+def _first_pairs(families: DataFrame) -> DataFrame:
+    """(a, b): each document with the FIRST hubs that it shares most tiles with."""
+    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), F.desc("weight"), "hub"))
+    few = families.where("id <> hub").withColumn("place", best).where(F.col("place") <= FIRST)
+    return few.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id): component_id is the smallest doc_id reachable by links, class_id the smallest of an equal set.
 
@@ -441,17 +445,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     classes = c.checkpoint(some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("id")))
     met = c.checkpoint(_meet(_tiled(docs, n, num), parts))
     reps = classes.select(F.col("h1").alias("key"), "id")
-    near = met.where("kind = 0").groupBy("b", "a").agg(F.sum("shared").alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-    first = near.join(reps.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(reps.select(F.col("key").alias("b"), F.col("id").alias("y")), "b")
-    pairs = c.checkpoint(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
-    members = c.checkpoint(met.where("kind = 1").select(F.col("a").alias("tile"), F.col("b").alias("key")).distinct().join(reps, "key").select("tile", "id"))
+    members = c.checkpoint(met.groupBy("tile", "key").agg(F.sum("shared").alias("shared")).join(reps, "key").select("tile", "id", "shared"))
+    families = c.checkpoint(_families(members))
+    pairs = c.checkpoint(_first_pairs(families))
     wanted = members.select("id").distinct()
     arrays = c.checkpoint(_arrays(docs, wanted, n))
     maps = c.checkpoint(_maps(arrays))
     nodes = arrays.select("id").distinct()
     linked = c.checkpoint(verify(_possible(pairs, maps, num), arrays, num, parts))
     comp = c.checkpoint(c.components(nodes, linked))
-    more = c.checkpoint(_crossing(members, comp, maps, num, parts))
+    more = c.checkpoint(_crossing(families, comp, maps, num, parts))
     for last in (False, True):  # first one pair of each document, then all that still lie apart
         now = more if last else more.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         late = c.checkpoint(verify(now, arrays, num, parts))
