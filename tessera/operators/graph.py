@@ -91,20 +91,30 @@ def touched_communities(start: DataFrame, found: DataFrame, entities: DataFrame,
 
 
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, community): weighted label propagation, ties to the smaller label.
+    """(id, community): local moves that raise modularity, from one community per entity.
 
-    Nodes update in two alternating halves, by hash, so that labels don't swap for ever. Communities
-    are numbered from 0 in the order of their least member; every entity of an edge is in one.
+    In each round half of the entities, by hash, may join the neighbouring community of most gain (its
+    links there, less those that chance would give), ties to the smaller label; so no two swap for
+    ever. Communities are numbered from 0 in the order of their least member; every entity of an edge
+    is in one.
     """
     w = pair_weights(edges)
-    both = w.select(F.col("a").alias("id"), F.col("b").alias("near"), "weight").unionByName(w.select(F.col("b").alias("id"), F.col("a").alias("near"), "weight")).persist()
-    label = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct().select("id", F.col("id").alias("label"))
+    both = cut(w.select(F.col("a").alias("id"), F.col("b").alias("near"), "weight").unionByName(w.select(F.col("b").alias("id"), F.col("a").alias("near"), "weight")))
+    ends = both.groupBy("id").agg(F.sum("weight").alias("d"))
+    every = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    label = cut(every.join(ends, "id", "left").select("id", F.col("id").alias("label"), F.coalesce("d", F.lit(0)).alias("d")))
+    twice = ends.agg(F.sum("d").alias("twice"))
     for r in range(rounds):
-        votes = both.join(label.select(F.col("id").alias("near"), "label"), "near").groupBy("id", "label").agg(F.sum("weight").alias("votes"))
-        best = votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("votes"), F.col("label"))).alias("best"))
+        links = both.join(label.select(F.col("id").alias("near"), "label"), "near").groupBy("id", "label").agg(F.sum("weight").alias("links"))
+        options = links.unionByName(label.select("id", "label", F.lit(0).cast("long").alias("links"))).groupBy("id", "label").agg(F.sum("links").alias("links"))
+        total = label.groupBy("label").agg(F.sum("d").alias("total"))
+        own = label.select("id", F.col("label").alias("own"), "d")
+        others = F.col("total") - F.when(F.col("own") == F.col("label"), F.col("d")).otherwise(0)
+        gain = F.round(F.col("links") - F.col("d") * others / F.col("twice"), 9)
+        rated = options.join(total, "label").join(own, "id").crossJoin(F.broadcast(twice)).withColumn("gain", gain)  # one row
+        best = rated.groupBy("id").agg(F.min_by("label", F.struct(-F.col("gain"), F.col("label"))).alias("best"))
         turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        label = cut(label.join(best, "id", "left").select("id", F.when(turn, F.coalesce("best", "label")).otherwise(F.col("label")).alias("label")))
-    both.unpersist()
+        label = cut(label.join(best, "id").select("id", F.when(turn, F.col("best")).otherwise(F.col("label")).alias("label"), "d"))
     number = label.groupBy("label").agg(F.min("id").alias("least")).select("label", (F.row_number().over(Window.orderBy("least")) - 1).alias("community"))
     return label.join(number, "label").select("id", "community")
 
