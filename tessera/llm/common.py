@@ -31,12 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage reliably: into the folder of spark.checkpoint.dir, or where it is unset a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint(eager=True)
+def checkpoint(df: DataFrame, rows_per_batch: int | None = None) -> DataFrame:
+    """Cut lineage reliably: into the folder of spark.checkpoint.dir, or where it is unset a temporary one.
+
+    rows_per_batch: rows that go to a Python worker at once, where rows are wide.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    if rows_per_batch is None:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows_per_batch))
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

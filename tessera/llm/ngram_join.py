@@ -4,12 +4,12 @@ Two texts link when the Jaccard similarity of their sets of word n-grams is at l
 join is exact for every pair:
 
 * Tiles. If t <= s are the sizes of a linked pair, their sets differ in at most d(t) elements. Within
-  a band of sizes, every set is cut by hash range into m = max d + 1 + SPARE parts, so a linked pair
-  has more than SPARE parts in common. A tile is (band, m, part, the part's content); a document
+  a band of sizes, every set is cut by hash range into m = max d + 1 + spare parts, so a linked pair
+  has more than spare parts in common. A tile is (band, m, part, the part's content); a document
   enters the tiles of its own band and, where a smaller partner can be in the band below, of that too.
   A tile is thus far more selective than a shared n-gram: a passage that thousands of texts share is
-  spread over many parts and mixed with each text's own n-grams. Empty parts make no tile; sets with
-  more than SPARE of them also enter the tiles of each combination of SPARE + 1 empty parts. Sets so
+  spread over many parts and mixed with each text's own n-grams. Empty parts make no tile; the few sets
+  with more than spare of them also enter the tiles of each combination of spare + 1 empty parts. Sets so
   small that only one element can differ use the sums of the set less one element instead.
 * A tile's hub is its member of most tiles; all tiles of a hub make a family. Each document is first
   compared with the hubs that it meets most often, and links join components. Only where a family still
@@ -27,6 +27,7 @@ id and set; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -37,10 +38,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common as c
 
+#: Least number of spare parts.
 SPARE = 2
 BAND_RATIO = 1.5
 #: Members of one comparison block, and rows of a hub's share in exact checks.
 BLOCK = 256
+#: Rows with texts, sets or bitmaps that go to a Python worker at once.
+WIDE = 256
 SHARE = 256
 _MUL = [c.U(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25)]
 
@@ -74,8 +78,10 @@ class Bands:
     """The bands of set sizes for a similarity of num/100, with their number of parts."""
 
     def __init__(self, num: int):
+        if not 80 <= num <= 100:
+            raise ValueError(f"a similarity of {num}/100 is outside 80 to 100")
         self.num = num
-        self.small = next(t for t in itertools.count(1) if self.differ(t) > 1)  # below: at most one element differs
+        self.small = 1 << 62 if num == 100 else next(t for t in itertools.count(1) if self.differ(t) > 1)  # below: at most one element differs
         self._low, self._parts = [self.small], []
 
     def need(self, s: int, t: int) -> int:
@@ -93,15 +99,25 @@ class Bands:
             self._low.append(high)
             # s + t - 2 * need(s, t) grows with s and t but for rounding, which is at most two
             near = {t for t in range(max(low, high - 8), high)}
-            self._parts.append(max(map(self.differ, near)) + 1 + SPARE)
-
-    def of(self, size: int) -> list[tuple[int, int]]:
-        """(band, parts) of each band whose tiles a set of this size enters."""
+            least = max(map(self.differ, near)) + 1
+            self._parts.append((least + (spare := self._spare(least, low)), spare))
+
+    @staticmethod
+    def _spare(least: int, low: int) -> int:
+        """Parts that may match emptily: few in small bands, else about the most empty parts that a set of size low has."""
+        spare = SPARE
+        for _ in range(6 if least > 12 else 0):
+            empty = (least + spare) * math.exp(-low / (least + spare))
+            spare = max(SPARE, math.ceil(empty + 3 * math.sqrt(empty) + 1))
+        return spare
+
+    def of(self, size: int) -> list[tuple[int, int, int]]:
+        """(band, parts, spare) of each band whose tiles a set of this size enters."""
         self._upto(size)
         b = int(np.searchsorted(self._low, size, "right")) - 1
-        found = [(b, self._parts[b])] if b >= 0 else []
+        found = [(b, *self._parts[b])] if b >= 0 else []
         if b > 0 and 100 * (self._low[b] - 1) >= self.num * size:
-            found.append((b - 1, self._parts[b - 1]))
+            found.append((b - 1, *self._parts[b - 1]))
         return found
 
 
@@ -117,18 +133,18 @@ def tiles(h: np.ndarray, bands: Bands) -> np.ndarray:
         out += [c.mix(np.concatenate(([total], total - m1)) ^ _MUL[3])]
     if size >= bands.small:
         top = h >> c.U(32)
-        for band, m in bands.of(size):
+        for band, m, spare in bands.of(size):
             cut = np.searchsorted(top, (np.arange(m + 1, dtype=c.U) << c.U(32)) // c.U(m), "left")
             full = np.flatnonzero(cut[1:] > cut[:-1])
             sums = np.add.reduceat(m1, cut[full])
             key = np.array([band], c.U) * _MUL[4] + c.U(m)
             out.append(c.mix(sums + c.mix(full.astype(c.U) * _MUL[5] + key)))
-            if m - len(full) > SPARE:
+            if m - len(full) > spare:
                 empty = np.setdiff1d(np.arange(m), full)
-                combos = np.array(list(itertools.combinations(empty.tolist(), SPARE + 1)), np.uint64)
+                combos = np.array(list(itertools.combinations(empty.tolist(), spare + 1)), np.uint64)
                 k = key + _MUL[6]
-                for i in range(SPARE + 1):
-                    k = c.mix(k + combos[:, i] * _MUL[i])
+                for i in range(spare + 1):
+                    k = c.mix(k + combos[:, i] * _MUL[i % 8] + c.U(i))
                 out.append(k)
     return np.concatenate(out)
 
@@ -273,7 +289,7 @@ def verify(pairs: DataFrame, arrays: DataFrame, num: int, parts: int) -> DataFra
     Each first member is sent to as many shares as its partners need, SHARE to each, so a member of
     thousands of pairs is dealt out; a task holds one set of a first member and one of a partner.
     """
-    pairs = c.checkpoint(pairs)
+    pairs = c.checkpoint(pairs, WIDE)
     arrays = c.semi_filtered(arrays.select("id", "hashes"), "id", pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
     n_share = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     left = n_share.select(F.col("a").alias("id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"))
@@ -340,19 +356,26 @@ _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _possible(pairs: DataFrame, maps: DataFrame, num: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sizes and bitmaps allow a link."""
+    """Those of the pairs (a, b) whose sizes and bitmaps allow a link. Only the two bitmaps of one width go on."""
     for side in ("a", "b"):
         pairs = pairs.join(maps.select(F.col("id").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in ("n", "m1", "m2"))), side)
+    pairs = pairs.where(100 * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+    narrow = F.octet_length("m1_a") - F.octet_length("m1_b")
+    pick = pairs.select("a", "b", "n_a", "n_b", F.when(narrow < 0, F.col("m2_a")).otherwise(F.col("m1_a")).alias("m_a"), F.when(narrow > 0, F.col("m2_b")).otherwise(F.col("m1_b")).alias("m_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[int, int]] = set()
-            left, right = (zip(c.column(batch, k).to_pylist(), range(batch.num_rows), *(c.column(batch, f"{x}_{k}").to_pylist() for x in ("n", "m1", "m2")), strict=True) for k in "ab")
-            for x, y in zip(left, right, strict=True):
-                found |= _allowed([x], _stack([(y[0], -1, *y[2:])]), num)
-            yield c.record_batch(_PAIR, [f[0] for f in found], [f[1] for f in found])
+            a, b, n, m, x, y = (c.column(batch, k).to_pylist() for k in ("a", "b", "n_a", "n_b", "m_a", "m_b"))
+            keep = []
+            for i in range(len(a)):
+                total = n[i] + m[i]
+                wide = len(x[i]) != len(y[i])  # further apart than one step, so no bitmap is shared: left to the exact check
+                differ = 0 if wide else int(np.bitwise_count(np.frombuffer(x[i], c.U) ^ np.frombuffer(y[i], c.U)).sum())
+                if differ <= total - 2 * (-(-num * total // (100 + num))):
+                    keep.append(i)
+            yield c.record_batch(_PAIR, [a[i] for i in keep], [b[i] for i in keep])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pick.mapInArrow(run, "a long, b long")
 
 
 def _crossing(families: DataFrame, comp: DataFrame, maps: DataFrame, num: int, parts: int) -> DataFrame:
@@ -385,7 +408,7 @@ def _crossing(families: DataFrame, comp: DataFrame, maps: DataFrame, num: int, p
             yield close(at, rows)
 
     dealt = blocks.select("hub", "block", "blocks", *names).repartition(parts, "hub", "block").sortWithinPartitions("hub", "block")
-    first = c.checkpoint(dealt.mapInArrow(own, "a long, b long, hub long, block int, data binary"))
+    first = c.checkpoint(dealt.mapInArrow(own, "a long, b long, hub long, block int, data binary"), WIDE)
     packed = first.where("hub IS NOT NULL")
     x, y = packed.select("hub", "block", "data"), packed.select("hub", F.col("block").alias("block2"), F.col("data").alias("data2"))
 
@@ -435,7 +458,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id): component_id is the smallest doc_id reachable by links, class_id the smallest of an equal set.
 
     docs(doc_id long, text string). A link: 100 * intersection >= num * union of the sets of n-word
-    shingles. num from 50 to 100.
+    shingles. num from 80 to 100.
     """
     spark = docs.sparkSession
     parts = c.shuffle_partitions(spark)
@@ -449,15 +472,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     families = c.checkpoint(_families(members))
     pairs = c.checkpoint(_first_pairs(families))
     wanted = members.select("id").distinct()
-    arrays = c.checkpoint(_arrays(docs, wanted, n))
-    maps = c.checkpoint(_maps(arrays))
+    arrays = c.checkpoint(_arrays(docs, wanted, n), WIDE)
+    maps = c.checkpoint(_maps(arrays), WIDE)
     nodes = arrays.select("id").distinct()
-    linked = c.checkpoint(verify(_possible(pairs, maps, num), arrays, num, parts))
+    linked = c.checkpoint(verify(_possible(pairs, maps, num), arrays, num, parts), WIDE)
     comp = c.checkpoint(c.components(nodes, linked))
-    more = c.checkpoint(_crossing(families, comp, maps, num, parts))
+    more = c.checkpoint(_crossing(families, comp, maps, num, parts), 4)  # rows of two blocks
     for last in (False, True):  # first one pair of each document, then all that still lie apart
         now = more if last else more.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        late = c.checkpoint(verify(now, arrays, num, parts))
+        late = c.checkpoint(verify(now, arrays, num, parts), WIDE)
         linked = c.checkpoint(linked.unionByName(late))
         comp = c.checkpoint(c.components(nodes, linked))
         more = c.checkpoint(_still(more.join(now, ["a", "b"], "left_anti"), comp))

@@ -69,50 +69,78 @@ def contexts(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ..
     return text, lo - block.start[text], hi - lo, rel, anchor, whole
 
 
-_ANCHOR = pa.schema([("anchor", pa.int64()), ("whole", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("windows", pa.int32()), ("rel", pa.int32())])
+_ANCHOR = pa.schema([("anchor", pa.int64()), ("whole", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("windows", pa.int32()), ("rel", pa.int32()), ("state", pa.int32())])
 _MET = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("windows", pa.int32()), ("rel", pa.int32()), ("anchor", pa.int64()), ("lone", pa.bool_())])
 
 
+#: States of a context: it stands for itself; for itself and equal ones of its batch; or another does for it.
+_LONE, _MANY, _DONE = 0, 1, 2
+
+
+def _combined(anchor: np.ndarray, whole: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, state) of a batch's contexts: the first of several equal ones goes to its anchor for all; the others' keys are their salt, so a text that comes again and again makes no hot key."""
+    order = np.lexsort((np.arange(len(anchor)), whole, anchor))
+    a, w = anchor[order], whole[order]
+    same = np.concatenate(([False], (a[1:] == a[:-1]) & (w[1:] == w[:-1]))) if len(a) else np.zeros(0, bool)
+    state = np.zeros(len(anchor), np.int32)
+    state[order[same]] = _DONE
+    state[order[np.flatnonzero(same[1:] & ~same[:-1])]] = _MANY
+    return np.where(state == _DONE, salt, anchor), state
+
+
 def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = c.column(b, "doc_id").to_pylist(), c.as_bytes(c.column(b, "text"))
             pieces = [(i, s, t[s : s + _PIECE + length - 1]) for i, t in zip(ids, texts, strict=True) for s in range(0, len(t), _PIECE) if len(t) - s >= length]
+            found = []
             for i, j in c.blocks([p[2] for p in pieces]):
                 text, lo, windows, rel, anchor, whole = contexts([p[2] for p in pieces[i:j]], length, gram)
                 doc, start = np.array([p[0] for p in pieces[i:j]]), np.array([p[1] for p in pieces[i:j]])
-                yield c.record_batch(_ANCHOR, c.signed(anchor), c.signed(whole), doc[text], lo + start[text], windows.astype(np.int32), rel.astype(np.int32))
+                found.append((anchor, whole, doc[text], lo + start[text], windows.astype(np.int32), rel.astype(np.int32)))
+            if found:
+                anchor, whole, doc, lo, windows, rel = (np.concatenate(x) for x in zip(*found, strict=True))
+                key, state = _combined(anchor, whole, c.mix(doc.astype(c.U) * _SALT[0] + lo.astype(c.U)))
+                for i in range(0, len(key), 50_000):
+                    p = slice(i, i + 50_000)
+                    yield c.record_batch(_ANCHOR, c.signed(key[p]), c.signed(whole[p]), doc[p], lo[p], windows[p], rel[p], state[p])
 
-    return docs.mapInArrow(run, "anchor long, whole long, doc_id long, lo long, windows int, rel int")
+    return docs.mapInArrow(run, "anchor long, whole long, doc_id long, lo long, windows int, rel int, state int")
 
 
 def _meet(anchors: DataFrame, parts: int) -> DataFrame:
     """kind 0: a context that repeats as a whole. kind 1: one context of each kind of an anchor that has several kinds.
 
-    A task holds its partition of fixed-width rows; a text that repeats often has its many anchors in many partitions.
+    A task holds its partition of fixed-width rows; equal contexts of a batch come as one row under their anchor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, whole, doc, lo, windows, rel = c.spans(batches, _ANCHOR.names)
+        anchor, whole, doc, lo, windows, rel, state = c.spans(batches, _ANCHOR.names)
+        done = np.flatnonzero(state == _DONE)
+        for i in range(0, len(done), 50_000):
+            p = done[i : i + 50_000]
+            yield c.record_batch(_MET, np.zeros(len(p), np.int32), doc[p], lo[p], windows[p], rel[p], anchor[p], np.zeros(len(p), bool))
+        live = np.flatnonzero(state != _DONE)
+        anchor, whole, doc, lo, windows, rel, many = (x[live] for x in (anchor, whole, doc, lo, windows, rel, state == _MANY))
         order = np.argsort(anchor)
         same = anchor[order][1:] == anchor[order][:-1]
         twin = np.zeros(len(order), bool)
         if len(order):
             twin[1:] |= same
             twin[:-1] |= same
-        keep = order[twin]
+        keep = order[twin | many[order]]
         if not len(keep):
             return
-        anchor, whole, doc, lo, windows, rel = (x[keep] for x in (anchor, whole, doc, lo, windows, rel))
+        anchor, whole, doc, lo, windows, rel, many = (x[keep] for x in (anchor, whole, doc, lo, windows, rel, many))
         order = np.lexsort((lo, doc, whole, anchor))
-        anchor, whole, doc, lo, windows, rel = (x[order] for x in (anchor, whole, doc, lo, windows, rel))
+        anchor, whole, doc, lo, windows, rel, many = (x[order] for x in (anchor, whole, doc, lo, windows, rel, many))
         new_group = np.concatenate(([True], anchor[1:] != anchor[:-1]))
         new_class = new_group | np.concatenate(([True], whole[1:] != whole[:-1]))
         head = np.flatnonzero(new_class)
         copies = np.diff(np.concatenate((head, [len(anchor)])))
         kinds = np.add.reduceat(new_class.astype(np.int64), np.flatnonzero(new_group))
         kinds = kinds[np.cumsum(new_group) - 1]
-        repeated = np.repeat(copies > 1, copies)
+        repeated = np.repeat((copies > 1) | np.logical_or.reduceat(many, head), copies)
         for kind, pick in ((0, np.flatnonzero(repeated)), (1, head[kinds[head] > 1])):
             for i in range(0, len(pick), 50_000):
                 p = pick[i : i + 50_000]
@@ -130,7 +158,7 @@ def suffix_array(text: np.ndarray, end: np.ndarray) -> np.ndarray:
         q = np.minimum(at + j, n - 1)
         key = (key << c.U(8)) | np.where(at + j < end, text[q], 0).astype(c.U)
     short = at + 8 > end
-    sa = np.lexsort((at * short, ~short, key))
+    sa = np.lexsort((at, np.where(short, end - at, 0), ~short, key))
     k, s = key[sa], short[sa]
     new = np.concatenate(([True], (k[1:] != k[:-1]) | s[1:] | s[:-1]))
     first = np.flatnonzero(new)
