@@ -501,9 +501,9 @@ def u5_missing_and_stale(spark, sf_dir):
     return ranking.missing_and_stale(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
-@query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr') UNION ALL SELECT doc_id, CAST(7 AS INTEGER), CAST(NULL AS INTEGER) FROM documents WHERE lang = 'fr'")
+@query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr') UNION ALL SELECT doc_id, CAST(7 AS INTEGER), CAST(-1 AS INTEGER) FROM documents WHERE lang = 'fr'")
 def j14_upsert(spark, sf_dir):
-    new = table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id", F.lit(7).alias("quality"), F.lit(None).cast("int").alias("toxic"))
+    new = table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id", F.lit(7).alias("quality"), F.lit(-1).alias("toxic"))
     return ranking.upsert(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), new, ["doc_id"])
 
 
@@ -512,10 +512,10 @@ def u7_same_rows(spark, sf_dir):
     return ranking.same_rows(table(spark, sf_dir, "nation").select("n_nationkey"), table(spark, sf_dir, "customer").select("c_nationkey"))
 
 
-@query("SELECT d.doc_id, l.quality, CAST(row_number() OVER (PARTITION BY d.source ORDER BY l.quality DESC NULLS LAST, d.doc_id) AS INTEGER) AS place FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, CAST(row_number() OVER (PARTITION BY d.source ORDER BY l.quality DESC NULLS LAST, d.doc_id) AS INTEGER) AS place FROM documents d LEFT JOIN labels l USING (doc_id)")
 def l8_nulls_last(spark, sf_dir):
     j = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return ranking.ranked(j, ["source"], ranking.nulls_last("quality", False), F.col("doc_id"), name="place").select("doc_id", "quality", "place")
+    return ranking.ranked(j, ["source"], ranking.nulls_last("quality", False), F.col("doc_id"), name="place").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), "place")
 
 
 @query("SELECT p_type AS name, CAST(count(*) AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, p_type) AS INTEGER) AS place FROM part GROUP BY p_type")
@@ -618,12 +618,12 @@ def m1_rank_metrics(spark, sf_dir):
     return _rounded(rows.select("conv_id", evaluation.recall_at(r, g).alias("recall_at_5"), evaluation.recall_full(r, g).alias("recall_full"), evaluation.mrr_at(r, g).alias("mrr_at_10"), evaluation.ndcg_at(r, g).alias("ndcg_at_10")))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN round(len(list_filter([true, n_chars % 2 = 0, NULL, n_chars % 3 = 0][:greatest(doc_id % 5, 1)], lambda x: coalesce(x, false))) / (doc_id % 5), 6) END AS faithfulness, CASE WHEN doc_id % 4 = 3 THEN n_chars % 2 = 0 END AS refusal FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN round(len(list_filter([true, n_chars % 2 = 0, NULL, n_chars % 3 = 0][:greatest(doc_id % 5, 1)], lambda x: coalesce(x, false))) / (doc_id % 5), 6) END AS faithfulness, CASE WHEN doc_id % 4 = 3 THEN CAST(n_chars % 2 = 0 AS VARCHAR) END AS refusal FROM documents")
 def m5_judged(spark, sf_dir):
     c, n = F.col("n_chars"), (F.col("doc_id") % 5).cast("int")
     kind = F.when(F.col("doc_id") % 4 == 3, "unanswerable").otherwise("factual")
     f = evaluation.faithfulness(F.array(F.lit(True), c % 2 == 0, F.lit(None).cast("boolean"), c % 3 == 0), n)
-    return _rounded(table(spark, sf_dir, "documents").select("doc_id", f.alias("faithfulness"), evaluation.refusal(kind, c % 2 == 0).alias("refusal")))
+    return _rounded(table(spark, sf_dir, "documents").select("doc_id", f.alias("faithfulness"), evaluation.refusal(kind, c % 2 == 0).cast("string").alias("refusal")))
 
 
 @query("""
@@ -639,9 +639,10 @@ def j9_consistency(spark, sf_dir):
     return evaluation.consistency(rows, traces, table(spark, sf_dir, "documents").select(a, i))
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type AS architecture, count(*) AS runs, round(avg(value), 6) AS mean_ms, round(max(value), 6) AS max_ms FROM events GROUP BY 1, 2")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type AS architecture, count(*) AS runs, round(avg(value), 6) AS mean_ms, round(max(value), 6) AS max_ms FROM events GROUP BY 1, 2")
 def stream_latency_windows(spark, sf_dir):
-    return _rounded(ingest.latency_windows(table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("architecture"), F.col("value").alias("latency_ms"))))
+    runs = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("architecture"), F.col("value").alias("latency_ms"))
+    return _rounded(ingest.latency_windows(runs).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm")))
 
 
 # --- pipelines --------------------------------------------------------------------------------------
