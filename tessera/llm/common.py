@@ -205,4 +205,6 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         label = new.select("id", "component")
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return nodes.join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -21,20 +21,29 @@ FAN_BITS = 4
 _PARTS = 4
 
 
-def warc_records(pages: DataFrame, per_file: int = 256) -> DataFrame:
-    """(record, file, start, stop, content): each page as a WARC/1.1 response record, per_file numbers to a file, with its range of bytes in the file."""
+def page_records(pages: DataFrame, per_file: int = 256) -> DataFrame:
+    """(record, file, content): each page as a WARC/1.1 response record, per_file numbers to a file."""
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">\r\nContent-Type: text/html\r\nContent-Length: "))
     body = F.coalesce("html", F.lit(""))
     content = F.concat(head, F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
-    rows = pages.where("page_id IS NOT NULL").select(F.col("page_id").alias("record"), F.floor(F.col("page_id") / per_file).alias("file"), content.alias("content"))
-    order = Window.partitionBy("file").orderBy("record", "content").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stop = F.sum(F.octet_length("content")).over(order)
-    return rows.withColumn("stop", stop).select("record", "file", (F.col("stop") - F.octet_length("content")).alias("start"), "stop", F.col("content").cast("binary").alias("content"))
+    return pages.where("page_id IS NOT NULL").select(F.col("page_id").alias("record"), F.floor(F.col("page_id") / per_file).alias("file"), content.cast("binary").alias("content"))
+
+
+def placed(records: DataFrame) -> DataFrame:
+    """records(record, file, size, digest, ...) with (start, stop): the range of bytes of each in its file, in order of record. Give it digests, not contents, so that only these are shuffled."""
+    order = Window.partitionBy("file").orderBy("record", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return records.withColumn("stop", F.sum("size").over(order)).withColumn("start", F.col("stop") - F.col("size"))
+
+
+def warc_records(pages: DataFrame, per_file: int = 256) -> DataFrame:
+    """(record, file, start, stop, content): pages as records, with their contents and places."""
+    rows = page_records(pages, per_file)
+    return placed(rows.withColumn("size", F.octet_length("content")).withColumn("digest", F.sha2("content", 256))).select("record", "file", "start", "stop", "content")
 
 
 def leaves(records: DataFrame) -> DataFrame:
     """(node, digest, file, start, stop): one leaf for each record number. Sums of parts of the hashes make repeated numbers one digest, without collecting them."""
-    digest = F.sha2(F.coalesce("content", F.lit(b"")), 256)
+    digest = F.col("digest") if "digest" in records.columns else F.sha2(F.coalesce("content", F.lit(b"")), 256)
     part = lambda i: F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
     rows = records.where("record IS NOT NULL").select(F.col("record").cast("long").alias("node"), digest.alias("h"), "file", "start", "stop")
     got = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("h").alias("h"), *(part(i).alias(f"p{i}") for i in range(_PARTS)), F.min("file").alias("file"), F.min("start").alias("start"), F.max("stop").alias("stop"))
@@ -70,7 +79,7 @@ def _height(a: DataFrame, b: DataFrame) -> int:
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     """(record, file, start, stop, digest_a, digest_b): each damaged, missing or extra record, and where it lies.
 
-    a, b: replicas, as warc_records gives them.
+    a, b: replicas, as warc_records gives them, or with ``digest`` (SHA-256 in hexadecimal) in place of ``content``.
     """
     leaf_a, leaf_b = c.checkpoint(leaves(a)), c.checkpoint(leaves(b))
     height = _height(leaf_a, leaf_b)

@@ -30,7 +30,7 @@ from tessera.llm import common as c
 
 SHARD = 1 << 16
 #: Distinct words whose ids a task keeps; it then starts anew.
-CACHE = 1_600_000
+CACHE = 800_000
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("salt", pa.int32())])
 
 

@@ -58,20 +58,17 @@ def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits a replica of the pages' WARC files in which a known rule has damaged, lost and added records."""
-    from tessera.llm.merkle import audit, warc_records
+    from tessera.llm.merkle import audit, page_records, placed
 
-    records = warc_records(c.table(spark, sf_dir, "pages"))
+    rotten = F.concat(F.substring("content", 1, 40), F.lit(b"~"), F.expr("substring(content, 42)"))
+    rows = page_records(c.table(spark, sf_dir, "pages")).select("record", "file", F.octet_length("content").alias("size"), F.sha2("content", 256).alias("digest"), F.sha2(rotten, 256).alias("rotten"))
+    records = placed(rows)
     mark = F.pmod(F.col("record"), F.lit(37))
-    damaged = F.when(mark == 0, F.concat(F.substring("content", 1, 40), F.lit(b"~"), F.expr("substring(content, 42)"))).otherwise(F.col("content"))
-    replica = records.where(mark != 1).withColumn("content", damaged)
+    replica = records.where(mark != 1).withColumn("digest", F.when(mark == 0, F.col("rotten")).otherwise(F.col("digest")))
     extra = records.where(mark == 2).withColumn("record", -1 - F.col("record"))
     return audit(records, replica.unionByName(extra))
 
 
-#: Keys the surrogates; production gives its own.
-SURROGATE_KEY = b"tessera-surrogates"
-
-
 @query
 def op6_surrogate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.surrogates import replaced
