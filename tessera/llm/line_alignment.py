@@ -1,10 +1,13 @@
-"""Line dedup by pairwise alignment: shared rare lines find pairs, a patience diff aligns them.
+"""Line dedup by pairwise alignment: shared passages and rare lines find pairs, a patience diff aligns them.
 
-A line is rare if 2 to ``rare`` different texts hold it. Each text that holds a rare line is aligned
-with the first text (smallest doc_id) that holds it, so a line makes as many pairs as it has later
-holders. Common blocks of an alignment, of at least ``block_bytes`` bytes or ``block_lines`` lines, are
-deleted from the later document; a line's first holder always keeps it. Equal texts count once, and
-the later of them lose every line. Alignments move hashes of lines, not texts.
+A passage is the least run of lines from a line on that a block may consist of: ``block_bytes`` bytes
+(blank lines count none) or ``block_lines`` lines. Passages that 2 texts or more hold are keys, however
+many hold them; so are lines that 2 to ``rare`` texts hold, whatever their length. Each text that holds
+a key is aligned with the first text (smallest doc_id) that holds it, so a key makes as many pairs as it
+has later holders; the first text of many pairs goes to several tasks. Common blocks of an alignment, of
+at least ``block_bytes`` bytes or ``block_lines`` lines, are deleted from the later document; a line's
+first holder always keeps it. Equal texts count once, and the later of them lose every line. Alignments
+move hashes of lines, not texts.
 
 Defined results: null and empty texts have no lines and lose none; blank lines are no keys, but go with
 their block; rows that repeat a doc_id must repeat its text and are one document, none of which is the
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from tessera.llm import common as c
 
 RARE, BLOCK_LINES, BLOCK_BYTES = 50, 3, 64
+#: Pairs of one first text that go to a task.
+PAIR_SHARE = 4096
 
 
 def line_hashes(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, int]]:
@@ -107,6 +112,32 @@ def _increasing(common: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def block_keys(h: np.ndarray, sizes: np.ndarray, counts: np.ndarray, block_lines: int, block_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, passage) of texts with so many lines each: their lines' hashes and, marked, their passages', once a text."""
+    text = np.repeat(np.arange(len(counts)), counts)
+    left = np.repeat(np.cumsum(counts), counts) - np.arange(len(h))
+    total = np.concatenate(([0], np.cumsum(np.where(h == 0, 0, sizes), dtype=np.int64)))
+    filled = np.concatenate(([0], np.cumsum(h != 0)))
+    lines, at = np.flatnonzero(h), np.arange(len(h))
+    texts, keys, marks = [text[lines]], [h[lines]], [np.zeros(len(lines), bool)]
+    key = c.U(0)
+    for w in range(1, block_lines + 1):
+        at = at[left[at] >= w]
+        key = h[at].view(c.U) if w == 1 else c.mix(key[left[prior] >= w] + c.U(w)) + h[at + w - 1].view(c.U)
+        whole = (total[at + w] - total[at] >= block_bytes) | (w == block_lines)
+        held = whole & (filled[at + w] > filled[at])
+        texts.append(text[at[held]])
+        keys.append(c.signed(key[held]))
+        marks.append(np.ones(int(held.sum()), bool))
+        at, key = at[~whole], key[~whole]
+        prior = at
+    text, key, mark = np.concatenate(texts), np.concatenate(keys), np.concatenate(marks)
+    order = np.lexsort((~mark, key, text))
+    text, key, mark = text[order], key[order], mark[order]
+    once = np.concatenate(([True], (np.diff(text) != 0) | (key[1:] != key[:-1])))[: len(text)]
+    return text[once], key[once], mark[once]
+
+
 def _documents(docs: DataFrame) -> DataFrame:
     """(doc_id, whole, lines, hashes, sizes) of each document."""
     schema = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("lines", pa.int32()), ("hashes", pa.binary()), ("sizes", pa.binary())])
@@ -126,19 +157,23 @@ def removed_lines(docs: DataFrame, rare: int = RARE, block_lines: int = BLOCK_LI
     first = every.groupBy("whole", "lines").agg(F.min("doc_id").alias("first"))
     marked = c.checkpoint(every.join(first, ["whole", "lines"]))
     own = marked.where("doc_id = first").dropDuplicates(["doc_id"])
-    keys = pa.schema([("line", pa.int64()), ("doc_id", pa.int64())])
+    keys = pa.schema([("line", pa.int64()), ("passage", pa.bool_()), ("doc_id", pa.int64())])
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, each = c.column(b, "doc_id").to_numpy(), [np.unique(np.frombuffer(h, np.int64)) for h in c.column(b, "hashes").to_pylist()]
-            each = [h[h != 0] for h in each]
-            yield c.record_batch(keys, np.concatenate(each) if each else [], np.repeat(ids, [len(h) for h in each]))
-
-    held = own.select("doc_id", "hashes").mapInArrow(lines, "line long, doc_id long")
-    rare_lines = held.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("a")).where(F.col("n").between(2, rare)).select("line", "a")
-    pairs = held.join(rare_lines, "line").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+            ids, counts = (c.column(b, x).to_numpy() for x in ("doc_id", "lines"))
+            h, sizes = (np.frombuffer(b"".join(c.column(b, x).to_pylist()), t) for x, t in (("hashes", np.int64), ("sizes", np.int32)))
+            text, key, passage = block_keys(h, sizes, counts, block_lines, block_bytes)
+            yield c.record_batch(keys, key, passage, ids[text])
+
+    held = own.select("doc_id", "lines", "hashes", "sizes").mapInArrow(lines, "line long, passage boolean, doc_id long")
+    shared = held.groupBy("line").agg(F.count("*").alias("n"), F.max("passage").alias("passage"), F.min("doc_id").alias("a")).where((F.col("n") >= 2) & (F.col("passage") | (F.col("n") <= rare))).select("line", "a")
+    pairs = c.checkpoint(held.select("line", "doc_id").join(shared, "line").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
     body = own.select("doc_id", "hashes", "sizes")
-    joined = pairs.join(body.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a").join(body.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"), "sizes"), "b").select("b", "ha", "hb", "sizes")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIR_SHARE).cast("int").alias("parts"))
+    firsts = body.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")).join(parts, "a").select("a", "ha", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    joined = dealt.join(firsts, ["a", "part"]).join(body.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"), "sizes"), "b").select("b", "ha", "hb", "sizes")
     spans = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32())])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

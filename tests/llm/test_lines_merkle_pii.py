@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import line_alignment as la
@@ -36,6 +37,22 @@ def test_line_dedup(spark):
     assert [r.n_removed for r in la.line_report(twice).collect()] == [0, 0]
 
 
+def test_line_dedup_of_passages_that_hundreds_hold(spark):
+    long, short, lone = "one long line that several hundred different texts hold, word for word", "if x:\n\n  go()\nelse:", "}"
+    rows = [(i, f"own {i}\n{lone}\nand {i}\n" + (long, short)[i % 2] + f"\nend {i}") for i in range(600)]
+    got = {r.doc_id: r for r in la.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in (0, 1)] == [0, 0] and {got[i].n_removed for i in range(2, 600, 2)} == {1} and {got[i].n_removed for i in range(3, 600, 2)} == {4}
+    assert got[599].kept_sha256 == hashlib.sha256(b"own 599\n}\nand 599\nend 599").hexdigest()
+
+
+def test_keys_are_lines_and_least_passages():
+    h, sizes = np.array([1, 2, 0, 3, 4, 1, 2, 0, 0], np.int64), np.array([70, 40, 90, 5, 5, 70, 40, 9, 9], np.int32)
+    text, key, passage = la.block_keys(h, sizes, np.array([5, 0, 4]), 3, 64)
+    assert key[(text == 0) & ~passage].tolist() == [2, 3, 4] and key[(text == 2) & ~passage].tolist() == [2]
+    assert (key[passage] == 1).sum() == 2 and [int((passage & (text == i)).sum()) for i in range(3)] == [3, 0, 2]
+    assert len(la.block_keys(h[:0], sizes[:0], np.array([0]), 3, 64)[0]) == 0
+
+
 def test_merkle_audit(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", None if i == 4 else "x" * (i % 7)) for i in range(-3, 600)], "page_id long, url string, html string")
     a = merkle.warc_records(pages)
