@@ -57,7 +57,7 @@ def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica of the pages' WARC files in which a known rule has damaged, lost and added records."""
+    """Audits a replica of the pages' WARC files in which a known rule has damaged, lost and added records, each at the original's offsets."""
     from tessera.llm.merkle import audit, page_records, placed
 
     rotten = F.concat(F.substring("content", 1, 40), F.lit(b"~"), F.expr("substring(content, 42)"))
@@ -66,7 +66,7 @@ def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.pmod(F.col("record"), F.lit(37))
     replica = records.where(mark != 1).withColumn("digest", F.when(mark == 0, F.col("rotten")).otherwise(F.col("digest")))
     extra = records.where(mark == 2).withColumn("record", -1 - F.col("record"))
-    return audit(records, replica.unionByName(extra))
+    return audit(records, replica.unionByName(extra)).drop("file_b", "start_b", "stop_b")
 
 
 @query

@@ -71,6 +71,23 @@ def test_merkle_audit(spark):
     assert [r.record for r in merkle.audit(a, double).collect()] == [7] and merkle.audit(double, double.repartition(3)).count() == 0
 
 
+def test_merkle_audit_finds_moved_records(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * (i % 7)) for i in range(600)], "page_id long, url string, html string")
+    a = merkle.warc_records(pages).localCheckpoint()
+    at = {r.record: (r.file, r.start, r.stop) for r in a.collect()}
+    one = F.col("record") == 300
+    shifted, elsewhere = a.withColumns({n: F.when(one, F.col(n) + 10).otherwise(F.col(n)) for n in ("start", "stop")}), a.withColumn("file", F.when(one, F.col("file") + 1).otherwise(F.col("file")))
+    for b, to in ((shifted, (1, at[300][1] + 10, at[300][2] + 10)), (elsewhere, (2, *at[300][1:]))):
+        r, = merkle.audit(a, b).collect()
+        assert (r.record, (r.file, r.start, r.stop), (r.file_b, r.start_b, r.stop_b)) == (300, at[300], to) and r.digest_a == r.digest_b
+    swapped = a.withColumn("record", F.when(one, 301).when(F.col("record") == 301, 300).otherwise(F.col("record")))
+    assert {r.record for r in merkle.audit(a, swapped).collect()} == {300, 301}
+    lost = {r.record: r for r in merkle.audit(a, merkle.warc_records(pages.where("page_id <> 10"))).collect()}
+    assert set(lost) == set(range(10, 256)) and lost[10].digest_b is None and all(lost[i].digest_a == lost[i].digest_b and lost[i].start_b < lost[i].start for i in range(11, 256))
+    double = a.unionByName(a.where("record = 7"))
+    assert [r.record for r in merkle.audit(double, a.unionByName(a.where("record = 7").withColumn("file", F.lit(2).cast("long")))).collect()] == [7]
+
+
 TEXT = 'Dr. Ada Byron (ada.b@mail.example.org, +1 (212) 555-0199, 4111 1111 1111 1111) at 10.1.2.3; token = "0123456789abcdef0123". Ada Byron again; Frau Eva Kant, г-н Иван Петров.'
 
 
