@@ -7,10 +7,11 @@ k-th distance is rejected: scaled partial distance > k-th distance * (1 + epsilo
 What survives is measured exactly, in double precision, on the original vectors.
 
 The lists' centres are fitted on at most SAMPLE vectors, the ones of least hash; every vector is
-indexed. A query starts with the k-th distance among the sampled vectors of its probed lists, and these
-are results of their own, so no query finds fewer than k where there are k. Each (list, share of the
-list, share of its queries) is one unit of work of bounded rows: a list that holds a third of all
-vectors is many units.
+indexed. The k-th distance among the sampled vectors of a query's probed lists is the bound that it
+starts with; results come from the scan alone. Queries for which it finds fewer than k are asked again,
+in all lists and without abandoning, so that none finds fewer than k where there are k. Each (list,
+share of the list, share of its queries) is one unit of work of bounded rows: a list that holds a third
+of all vectors is many units.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part; equal distances go by smaller vec_id; a repeated vec_id is one candidate for
@@ -63,16 +64,18 @@ def scan(queries: np.ndarray, kth: np.ndarray, columns: np.ndarray, epsilon: flo
     """(query, candidate) indices that no test rejects. queries and columns: rotated; kth: squared distances."""
     dims = queries.shape[1]
     step = min(COLUMNS, dims)
+    single = 1e-5 * (np.einsum("ij,ij->i", queries, queries) + kth)  # what sums in single precision may be off
+    bound = lambda d: kth * (1 + epsilon / np.sqrt(d)) ** 2 + single if np.isfinite(epsilon) else np.full(len(kth), np.inf)
     b, q = columns[:, :step], queries[:, :step]
     partial = np.maximum((q * q).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * q @ b.T, 0)
-    i, j = np.nonzero(partial * (dims / step) <= (kth * (1 + epsilon / np.sqrt(step)) ** 2)[:, None])
+    i, j = np.nonzero(partial * (dims / step) <= bound(step)[:, None])
     partial = partial[i, j]
     for s in range(step, dims, COLUMNS):
         e = min(s + COLUMNS, dims)
         d = columns[j, s:e] - queries[i, s:e]
         partial = partial + np.einsum("ij,ij->i", d, d)
-        slack = (1 + epsilon / np.sqrt(e)) ** 2 if e < dims else 1 + 1e-3  # the last sum is whole but for single precision
-        keep = partial * (dims / e) <= kth[i] * slack
+        most = bound(e) if e < dims else kth * (1 + 1e-3) + single  # the last sum is whole
+        keep = partial * (dims / e) <= most[i]
         i, j, partial = i[keep], j[keep], partial[keep]
     return i, j
 
@@ -92,10 +95,11 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 _UNIT = "list int, share int, qshare int, role int, vec_id long, kth double, raw binary, columns binary"
 
 
-def nearest(vectors: DataFrame, query_rule: str = "vec_id % 100 = 0", k: int = 10, lists: int = 128, probe: float = 0.65, epsilon: float = 2.1) -> DataFrame:
+def nearest(vectors: DataFrame, query_rule: str = "vec_id % 100 = 0", k: int = 10, lists: int = 128, probe: float = 0.65, epsilon: float = 2.1, again: bool = True) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector that query_rule selects its k nearest others found, by Euclidean distance.
 
     vectors(vec_id, embedding). probe: the share of the lists that a query looks into.
+    again: ask those that find fewer than k again; False leaves what the scan found.
     """
     spark = vectors.sparkSession
     sc, parts = spark.sparkContext, c.shuffle_partitions(spark)
@@ -127,32 +131,39 @@ def nearest(vectors: DataFrame, query_rule: str = "vec_id % 100 = 0", k: int = 1
     count = np.array([sizes.get(i, 0) for i in range(lists)])
     probes = max(1, round(probe * lists))
 
-    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, _, sample_ids, sample = model.value
-        member = np.argmin((centres**2).sum(1) - 2 * sample @ centres.T, 1)
-        for b in batches:
-            rows = []
-            for i, raw, columns in zip(*(c.column(b, x).to_pylist() for x in ("vec_id", "raw", "columns")), strict=True):
-                v = np.frombuffer(raw)
-                order = np.argsort(((centres - v) ** 2).sum(1), kind="stable")
-                n = max(probes, int(np.searchsorted(np.cumsum(count[order]), k + 1)) + 1)  # at least k candidates but for the query's own
-                to = order[:n]
-                near = np.flatnonzero(np.isin(member, to) & (sample_ids != i))
-                d = ((sample[near] - v) ** 2).sum(1)
-                kth = np.partition(d, k - 1)[k - 1] if len(d) >= k else np.inf
-                rows += [(int(t), i, float(kth), raw, columns) for t in to if count[t]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["list", "vec_id", "kth", "raw", "columns"])
-
-    asked = c.checkpoint(indexed.where(query_rule).mapInArrow(probing, "list int, vec_id long, kth double, raw binary, columns binary"))
-    asked_n = dict(asked.groupBy("list").count().collect())  # one row per list
-    shares = F.create_map(*(F.lit(x) for i in range(lists) for x in (i, max(1, -(-int(count[i]) // LIST_SHARE)))))
-    qshares = F.create_map(*(F.lit(x) for i in range(lists) for x in (i, max(1, -(-asked_n.get(i, 0) // QUERY_SHARE)))))
+    def asking(queries: DataFrame, probes: int) -> DataFrame:
+        def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres, _, sample_ids, sample = model.value
+            member = np.argmin((centres**2).sum(1) - 2 * sample @ centres.T, 1)
+            for b in batches:
+                rows = []
+                for i, raw, columns in zip(*(c.column(b, x).to_pylist() for x in ("vec_id", "raw", "columns")), strict=True):
+                    v = np.frombuffer(raw)
+                    order = np.argsort(((centres - v) ** 2).sum(1), kind="stable")
+                    n = max(probes, int(np.searchsorted(np.cumsum(count[order]), k + 1)) + 1)  # at least k candidates but for the query's own
+                    to = order[:n]
+                    near = np.flatnonzero(np.isin(member, to) & (sample_ids != i))
+                    d = ((sample[near] - v) ** 2).sum(1)
+                    d = d[np.unique(sample_ids[near], return_index=True)[1]] if len(near) else d
+                    kth = np.partition(d, k - 1)[k - 1] if len(d) >= k else np.inf
+                    rows += [(int(t), i, float(kth), raw, columns) for t in to if count[t]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["list", "vec_id", "kth", "raw", "columns"])
+
+        return c.checkpoint(queries.mapInArrow(probing, "list int, vec_id long, kth double, raw binary, columns binary"))
+
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     part = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    candidates = indexed.where(F.col("list").isin([int(x) for x in asked_n])).select("list", part(shares[F.col("list")]).alias("share"), upto(qshares[F.col("list")]).alias("qshare"), F.lit(1).alias("role"), "vec_id", F.lit(None).cast("double").alias("kth"), "raw", "columns")
-    queries = asked.select("list", upto(shares[F.col("list")]).alias("share"), part(qshares[F.col("list")]).alias("qshare"), F.lit(0).alias("role"), "vec_id", "kth", "raw", "columns")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scanned(asked: DataFrame, epsilon: float) -> DataFrame:
+        asked_n = dict(asked.groupBy("list").count().collect())  # one row per list
+        shares = F.create_map(*(F.lit(x) for i in range(lists) for x in (i, max(1, -(-int(count[i]) // LIST_SHARE)))))
+        qshares = F.create_map(*(F.lit(x) for i in range(lists) for x in (i, max(1, -(-asked_n.get(i, 0) // QUERY_SHARE)))))
+        candidates = indexed.where(F.col("list").isin([int(x) for x in asked_n])).select("list", part(shares[F.col("list")]).alias("share"), upto(qshares[F.col("list")]).alias("qshare"), F.lit(1).alias("role"), "vec_id", F.lit(None).cast("double").alias("kth"), "raw", "columns")
+        queries = asked.select("list", upto(shares[F.col("list")]).alias("share"), part(qshares[F.col("list")]).alias("qshare"), F.lit(0).alias("role"), "vec_id", "kth", "raw", "columns")
+        units = candidates.unionByName(queries).repartition(parts, "list", "share", "qshare").sortWithinPartitions("list", "share", "qshare", "role")
+        return units.mapInArrow(lambda batches: work(batches, epsilon), "query_id long, vec_id long, score double")
+
+    def work(batches: Iterator[pa.RecordBatch], epsilon: float) -> Iterator[pa.RecordBatch]:
         unit, waiting = None, []
         held: list[np.ndarray] = []
         for b in batches:
@@ -190,30 +201,15 @@ def nearest(vectors: DataFrame, query_rule: str = "vec_id % 100 = 0", k: int = 1
         if held:
             yield c.record_batch(_FOUND, *held)
 
-    units = candidates.unionByName(queries).repartition(parts, "list", "share", "qshare").sortWithinPartitions("list", "share", "qshare", "role")
-    found = units.mapInArrow(work, "query_id long, vec_id long, score double")
-    seeds = _seeds(indexed.where(query_rule), model, k, probes, count)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    once = found.unionByName(seeds).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _seeds(queries: DataFrame, model, k: int, probes: int, count: np.ndarray) -> DataFrame:
-    """The k nearest sampled vectors in each query's probed lists, with exact distances."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, _, sample_ids, sample = model.value
-        member = np.argmin((centres**2).sum(1) - 2 * sample @ centres.T, 1)
-        for b in batches:
-            out = []
-            for i, raw in zip(c.column(b, "vec_id").to_pylist(), c.column(b, "raw").to_pylist(), strict=True):
-                v = np.frombuffer(raw)
-                order = np.argsort(((centres - v) ** 2).sum(1), kind="stable")
-                n = max(probes, int(np.searchsorted(np.cumsum(count[order]), k + 1)) + 1)
-                near = np.flatnonzero(np.isin(member, order[:n]) & (sample_ids != i))
-                d = ((sample[near] - v) ** 2).sum(1)
-                for p in np.lexsort((sample_ids[near], d))[:k]:
-                    out.append((i, int(sample_ids[near[p]]), float(np.sqrt(d[p]))))
-            yield c.record_batch(_FOUND, *(zip(*out, strict=True) if out else [[]] * 3))
-
-    return queries.select("vec_id", "raw").mapInArrow(run, "query_id long, vec_id long, score double")
+    ranked = lambda found: found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    queries = indexed.where(query_rule)
+    first = c.checkpoint(ranked(scanned(asking(queries, probes), epsilon)))
+    if not again:
+        return first
+    whole = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = c.checkpoint(queries.join(whole, "vec_id", "left_anti").select(*queries.columns))
+    if not short.limit(1).count():
+        return first
+    second = ranked(scanned(asking(short, lists), float("inf")))
+    return first.join(whole.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(second)

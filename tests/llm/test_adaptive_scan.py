@@ -26,6 +26,39 @@ def test_recall_and_scores(spark):
     assert [i for _, i in copies] == [5, 10, 11, 12, 13, 14, 15, 16, 17, 18]
 
 
+def _clusters(n):
+    rng = np.random.default_rng(3)
+    return (rng.standard_normal((n, 48)) + 2 * rng.integers(0, 4, (n, 1))).astype(np.float32)
+
+
+def _recall(x, got, k=10):
+    hit, asked = 0, range(0, len(x), 100)
+    for q in asked:
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(d, kind="stable")[:k].tolist()))
+    return hit / (k * len(asked))
+
+
+def test_recall_of_the_scan_alone_above_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(a, "SAMPLE", 512)
+    x = _clusters(8000)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    alone, whole = a.nearest(vectors, again=False).collect(), a.nearest(vectors).collect()
+    assert _recall(x, alone) >= 0.85 and _recall(x, whole) >= _recall(x, alone)
+    assert len(whole) == 800 and len({(r.query_id, r.vec_id) for r in whole}) == 800
+
+
+def test_results_come_from_the_scan_alone(spark, monkeypatch):
+    monkeypatch.setattr(a, "COLUMNS", 8)
+    x = _clusters(400)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rejecting = -9.0  # no candidate but near copies passes its tests
+    assert a.nearest(vectors, epsilon=rejecting, again=False).count() < 40
+    got = a.nearest(vectors, epsilon=rejecting).collect()
+    assert sorted((r.query_id, r.rank) for r in got) == [(q, r) for q in range(0, 400, 100) for r in range(1, 11)] and _recall(x, got) == 1
+
+
 def test_small_tables(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (100, [0.0, 1.0]), (7, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert sorted((r.query_id, r.rank, r.vec_id) for r in a.nearest(few).collect()) == [(0, 1, 7), (0, 2, 100), (100, 1, 7), (100, 2, 0)]
