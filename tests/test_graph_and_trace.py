@@ -3,6 +3,7 @@ import json
 import pytest
 
 from tessera.operators import graph, trace
+from tessera.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +34,13 @@ def test_communities_cover_every_entity_and_find_cliques(spark):
     assert graph.modularity(e, m).first().modularity > 0.3
 
 
+def test_communities_query_takes_every_edge(spark, tmp_path):
+    rows = [(i % 3, i, 100 + i, float(i)) for i in range(60)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.id for r in catalog.QUERIES["g3_communities"](spark, str(tmp_path)).collect()}
+    assert got == {f"s{i}" for i in range(3)} | {f"p{i}" for i in range(60)}
+
+
 def nodes(*rows):
     return [{"id": i, "kind": k, "parent_ids": p, "payload": json.dumps(d)} for i, k, p, d in rows]
 
