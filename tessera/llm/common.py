@@ -32,12 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame, rows_per_batch: int | None = None) -> DataFrame:
-    """Cut lineage reliably: into the folder of spark.checkpoint.dir, or where it is unset a temporary one.
+    """Cut lineage reliably: into the folder of spark.checkpoint.dir; in local mode, where it may be unset, into a temporary one.
 
     rows_per_batch: rows that go to a Python worker at once, where rows are wide.
     """
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     if rows_per_batch is None:
         return df.checkpoint(eager=True)
@@ -49,6 +51,15 @@ def checkpoint(df: DataFrame, rows_per_batch: int | None = None) -> DataFrame:
         spark.conf.set(key, before)
 
 
+#: Rows of ids and labels that one task holds at least, where a table is small.
+SMALL = 100_000
+
+
+def tasks_for(df: DataFrame, rows: int = SMALL) -> int:
+    """Tasks that a table of a few columns needs: by its rows, not by the cluster's partitions."""
+    return min(max(1, -(-df.count() // rows)), shuffle_partitions(df.sparkSession))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -151,40 +162,61 @@ def spans(batch: Iterable[pa.RecordBatch], names: list[str]) -> list[np.ndarray]
     return [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
 
 
-#: Words of 64 bits in a member filter at most (2 MB), whatever the data's size.
-FILTER_WORDS = 1 << 18
+#: Words of 64 bits in a member filter: at least and at most (16 MB), whatever the data's size.
+FILTER_LEAST, FILTER_MOST = 1 << 10, 1 << 21
 
 
-def member_filter(ids: DataFrame, col: str, words: int = FILTER_WORDS) -> np.ndarray:
-    """A bitmap of fixed size that has the bit of each id; others' bits may be set too.
+def row_key(doc_id: str = "doc_id", text: str = "text") -> F.Column:
+    """With doc_id it tells rows apart by their contents: null ids, and texts that share an id."""
+    return F.xxhash64(doc_id, text)
 
-    What reaches the driver is at most ``words`` longs, however many ids there are. Its users join
-    afterwards, so a full filter only costs time.
+
+def member_filter(ids: DataFrame, cols: list[str]) -> np.ndarray:
+    """A bitmap that has the bit of each row of ids; others' bits may be set too.
+
+    It has 16 bits or more for each id, up to FILTER_MOST words, which bounds what reaches the driver,
+    however many ids there are. Its users join afterwards, so a full filter only costs time.
     """
-    slot = F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(words * 64))
-    rows = ids.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 AS INT)))").alias("b"))
+    n = ids.count()
+    words = min(max(1 << max(n // 4, 1).bit_length(), FILTER_LEAST), FILTER_MOST)
+    rows = ids.select(_slot(cols, words).alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 AS INT)))").alias("b"))
     out = np.zeros(words, np.int64)
     got = rows.toArrow()
     out[got.column("w").to_numpy()] = got.column("b").to_numpy()
     return out
 
 
-def semi_filtered(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
-    """Rows of df whose id is in ids, and a few others: thins df before a join that shuffles its texts."""
-    sc = df.sparkSession.sparkContext
-    bits = sc.broadcast(member_filter(ids, col))
-    slot = F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(FILTER_WORDS * 64))
+def _slot(cols: list[str], words: int) -> F.Column:
+    return F.pmod(F.xxhash64(*(F.col(x).cast("long") for x in cols)), F.lit(words * 64))
 
-    def keep(batches):
+
+def _masked(df: DataFrame, cols: list[str], bits: np.ndarray, inside: bool) -> DataFrame:
+    held = df.sparkSession.sparkContext.broadcast(bits)  # FILTER_MOST words at most
+    names = [f"c{i}" for i in range(len(df.columns))]
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = column(b, "__slot").to_numpy()
-            mask = (bits.value[s >> 6] >> (s & 63)) & 1
-            out = b.filter(pa.array(mask.astype(bool)))
+            s = b.column(len(names)).to_numpy()
+            mask = ((held.value[s >> 6] >> (s & 63)) & 1).astype(bool)
+            out = b.filter(pa.array(mask if inside else ~mask))
             if out.num_rows:
                 yield out.select(names)
 
-    names = df.columns
-    return df.withColumn("__slot", slot).mapInArrow(keep, df.schema)
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema.fields, strict=True))
+    own = df.select("*", _slot(cols, len(bits)).alias("__slot")).toDF(*names, "__slot")
+    return own.mapInArrow(keep, kinds).toDF(*df.columns)
+
+
+def semi_filtered(df: DataFrame, cols: str | list[str], ids: DataFrame) -> DataFrame:
+    """Rows of df whose id is in ids, and a few others: thins df before a join that shuffles its texts."""
+    cols = [cols] if isinstance(cols, str) else cols
+    return _masked(df, cols, member_filter(ids, cols), True)
+
+
+def parted(df: DataFrame, cols: list[str], ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose id is in ids and a few others, all other rows): so that only the first need a shuffle."""
+    bits = member_filter(ids, cols)
+    return _masked(df, cols, bits, True), _masked(df, cols, bits, False)
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -194,13 +226,15 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     label of that label, so chains halve. Labels of all nodes stay in tables; only one count reaches
     the driver per round. Nodes without edges keep their own id and take no part in the rounds.
     """
-    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    label = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
+    edges = edges.select("a", "b")
+    tasks = tasks_for(edges)
+    both = checkpoint(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().coalesce(tasks))
+    label = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")).coalesce(tasks))
     for _ in range(rounds):
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
         step = label.join(near, label.id == near.a, "left").select("id", F.least("component", F.coalesce("m", "component")).alias("new"), F.col("component").alias("old"))
         jump = step.select(F.col("id").alias("j"), F.col("new").alias("jl"))
-        new = checkpoint(step.join(jump, step.new == jump.j, "left").select("id", F.least("new", F.coalesce("jl", "new")).alias("component"), "old"))
+        new = checkpoint(step.join(jump, step.new == jump.j, "left").select("id", F.least("new", F.coalesce("jl", "new")).alias("component"), "old").coalesce(tasks))
         changed = new.where("component <> old").limit(1).count()
         label = new.select("id", "component")
         if not changed:

@@ -70,11 +70,12 @@ def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def op6_surrogate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op6_surrogate_generation(spark: SparkSession, sf_dir: str, key: bytes = b"a key for tests; give your own") -> DataFrame:
+    """key: what surrogates depend on; whoever has it can tell which entity became which."""
     from tessera.llm.surrogates import replaced
 
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replaced(docs, SURROGATE_KEY).select("doc_id", "n_entities", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
+    return replaced(docs, key).select("doc_id", "n_entities", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
 
 
 @query

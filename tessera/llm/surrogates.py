@@ -10,8 +10,13 @@
   corpus, all but the least entity are enciphered again with the next tweak until none collides. The
   checks are aggregates over the distinct entities; no list of them reaches the driver.
 
-Defined results: null texts stay null and empty ones empty; rows that repeat a doc_id must repeat its
-text; rows without doc_id are dropped, as nothing could name their entities; other columns are kept.
+* Persons: within a document, mentions by family name alone, and by the same name under another title,
+  are mentions of the one full name that ends so; a gendered title decides over a neutral one, the first
+  of several. Two full names of one family name leave a bare family name an entity of its own.
+
+Defined results: null texts stay null and empty ones empty; rows without doc_id, and texts that share
+one, are documents of their own; equal rows come out equal; overlapping entities go to the first, then
+the longest, then by type; an empty table gives an empty one; other columns are kept.
 """
 
 from __future__ import annotations
@@ -65,6 +70,34 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def _persons(text: str) -> list[tuple[int, int, str, str]]:
+    """Mentions of the persons that a title names somewhere in the text."""
+    gender: dict[str, str] = {}
+    titled = [(m.span(2), m[2], _TITLE[m[1]]) for m in _PERSON.finditer(text)]
+    for _, name, g in titled:
+        if gender.get(name, "n") == "n":
+            gender[name] = g
+    full: dict[str, set[str]] = {}
+    for name in gender:
+        if " " in name:
+            full.setdefault(name.rsplit(" ", 1)[1], set()).add(name)
+    of = {name: name for name in gender}
+    for family, names in full.items():
+        if len(names) == 1:
+            (name,) = names
+            if family in gender and gender[name] == "n":
+                gender[name] = gender[family]
+            if gender.get(family, "n") in ("n", gender[name]):
+                of[family] = name
+        else:  # whose family name a bare one is, no one can tell
+            of.setdefault(family, family)
+            gender.setdefault(family, "n")
+    out = [(*span, "person", f"{gender[of[name]]}:{of[name]}") for span, name, _ in titled]
+    for name, whole in of.items():
+        out += [(*m.span(), "person", f"{gender[whole]}:{whole}") for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text)]
+    return out
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, entity) of each entity, in order, not overlapping. The entity is what mentions share: type ``person`` has the gender before the name."""
     found: list[tuple[int, int, str, str]] = []
@@ -92,14 +125,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     if low:
         found += [(*m.span(1), "secret", m[1]) for m in _SECRET.finditer(text) if any(x.isdigit() for x in m[1])]
     if any(t in text for t in _TITLE):
-        names: dict[str, str] = {}
-        for m in _PERSON.finditer(text):
-            g = _TITLE[m[1]]
-            names.setdefault(m[2], g)
-            found.append((*m.span(2), "person", f"{g}:{m[2]}"))
-        for name, g in names.items():
-            for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text):
-                found.append((*m.span(), "person", f"{g}:{name}"))
+        found += _persons(text)
     out: list[tuple[int, int, str, str]] = []
     for f in sorted(set(found), key=lambda f: (f[0], -f[1], f[2], f[3])):
         if not out or f[0] >= out[-1][1]:
@@ -147,8 +173,9 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     tweak = f"{kind}{attempt}"
     if kind == "email":
         local, domain = entity.rsplit("@", 1)
-        host = _number(key, "domain", domain) % 10**6
-        return f"{encipher(key, tweak + domain, local)}@h{host:06d}.example.{('com', 'org', 'net')[host % 3]}"
+        host = _number(key, "domain", domain) % 36**12
+        name = "".join("0123456789abcdefghijklmnopqrstuvwxyz"[host // 36**k % 36] for k in range(12))
+        return f"{encipher(key, tweak + domain, local)}@h{name}.example.{('com', 'org', 'net')[host % 3]}"
     if kind == "ip":
         n = int.from_bytes(bytes(map(int, entity.split("."))), "big")
         left, right = n >> 16, n & 0xFFFF
@@ -193,7 +220,8 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
 def render(raw: str, kind: str, value: str) -> str:
     """The surrogate as this mention is written: its separators, or its letter case."""
     if kind == "person":
-        return value.split(":", 1)[1]
+        words = value.split(":", 1)[1].split()
+        return " ".join(words[-len(raw.split()) :])  # the family name where the mention is that alone
     if kind == "email":
         return value.upper() if raw.isupper() else value
     if kind in ("phone", "card"):
@@ -202,19 +230,21 @@ def render(raw: str, kind: str, value: str) -> str:
     return value
 
 
-_SPAN = "doc_id long, s int, e int, kind string, entity string"
+#: Keys among which the mentions of one entity are dealt out.
+SALTS = 16
+_SPAN = "doc_id long, row long, s int, e int, kind string, entity string"
 
 
 def detected(docs: DataFrame) -> DataFrame:
-    """(doc_id, s, e, kind, entity): every entity of every whole text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("kind", pa.string()), ("entity", pa.string())])
+    """(doc_id, row, s, e, kind, entity): every entity of every whole text; doc_id is 0 where it is null, and row tells such rows apart."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("kind", pa.string()), ("entity", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(doc, *f) for doc, t in zip(c.column(b, "doc_id").to_pylist(), c.column(b, "text").to_pylist(), strict=True) if t for f in detect(t)]
-            yield c.record_batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 5))
+            rows = [(doc, row, *f) for doc, row, t in zip(*(c.column(b, x).to_pylist() for x in ("doc_id", "row", "text")), strict=True) if t for f in detect(t)]
+            yield c.record_batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 6))
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, _SPAN)
+    return docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), c.row_key().alias("row"), "text").mapInArrow(run, _SPAN)
 
 
 def assign(entities: DataFrame, key: bytes, rounds: int = 12) -> DataFrame:
@@ -240,15 +270,20 @@ def assign(entities: DataFrame, key: bytes, rounds: int = 12) -> DataFrame:
 
 
 def replaced(docs: DataFrame, key: bytes) -> DataFrame:
-    """The columns of docs(doc_id, text, ...) with every entity replaced, and ``n_entities``."""
-    docs = docs.where("doc_id IS NOT NULL")
+    """The columns of docs(doc_id, text, ...) with every entity replaced, and ``n_entities``. Rows without entities aren't shuffled."""
     spans = c.checkpoint(detected(docs).distinct())
     table = assign(c.checkpoint(spans.select("kind", "entity").distinct()), key)
-    lists = spans.join(table, ["kind", "entity"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "kind", "surrogate"))).alias("spans"))
+    # an entity that a third of all texts name is many rows of one key: salted, with its surrogate once for each salt
+    salted = spans.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row"), F.lit(SALTS)).cast("int"))
+    wide = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lists = salted.join(wide, ["kind", "entity", "salt"]).groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("s", "e", "kind", "surrogate"))).alias("spans"))
+    lists = c.checkpoint(lists)
     names = [f"c{i}" for i in range(len(docs.columns))]
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
     at, ids = docs.columns.index("text"), names[docs.columns.index("doc_id")]
-    joined = docs.toDF(*names).join(lists.withColumnRenamed("doc_id", "__id"), F.col(ids) == F.col("__id"), "left").select(*names, "spans")
+    keyed = docs.toDF(*names).withColumn("__id", F.coalesce(F.col(ids), F.lit(0)).cast("long")).withColumn("__row", c.row_key(ids, names[at]))
+    some, rest = c.parted(keyed, ["__id", "__row"], lists.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")))
+    joined = some.join(lists.toDF("__id", "__row", "spans"), ["__id", "__row"], "left").select(*names, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,4 +300,5 @@ def replaced(docs: DataFrame, key: bytes) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if i == at else x for i, x in enumerate(b.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64())], [*names, "n_entities"])
 
-    return joined.mapInArrow(run, f"{kinds}, n_entities long").toDF(*docs.columns, "n_entities")
+    done = joined.mapInArrow(run, f"{kinds}, n_entities long")
+    return done.unionByName(rest.select(*names, F.lit(0).cast("long").alias("n_entities"))).toDF(*docs.columns, "n_entities")

@@ -1,6 +1,25 @@
+import duckdb
+import pytest
+
 import corpus_pipeline
 from tessera.llm import queries
 
+DATA = "/root/testdata/sf0.001"
+TABLES = ("documents", "embeddings", "pages")
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_every_query_runs_and_agrees_with_its_sql(spark, name):
+    got = queries.QUERIES[name](spark, DATA).toPandas()
+    assert len(got)
+    if name in queries.ORACLE:
+        con = duckdb.connect()
+        for t in TABLES:
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+        want = con.execute(queries.ORACLE[name]).df()
+        flat = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).where(d[sorted(d.columns)].notna(), None).itertuples(index=False, name=None)))
+        assert sorted(got.columns) == sorted(want.columns) and flat(got) == flat(want)
+
 
 def test_eleven_queries():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLE) <= set(queries.QUERIES)
