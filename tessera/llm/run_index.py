@@ -5,25 +5,29 @@ removed. The steps, each exact:
 
 * Anchors. Each window of ``length`` bytes owns the leftmost least hash of its GRAM-byte strings. The
   choice depends on the window's bytes alone, so equal windows have equal anchors at equal places. A
-  run of windows with one anchor is a context: the bytes that those windows cover, about 500.
-* Contexts meet by their anchor's hash; only hashes and offsets are shuffled. Equal contexts repeat
-  as a whole. Where an anchor has several different contexts, one of each kind goes to the index.
-* Run-length index. The contexts of a group of anchors form a text; its suffix array gives the
-  Burrows-Wheeler transform, of which the run heads are sampled. The common prefix of a suffix and
-  its predecessor is compared only at those heads; streaming along the text it falls by one from
-  position to position until the next head. That gives each position's longest match with any other,
-  its matching statistic, and windows whose statistic is ``length`` or more are marked.
+  run of windows with one anchor is a context: the bytes that those windows cover, about 500. Only
+  hashes and offsets are shuffled to bring contexts of one anchor together; a context that no other
+  meets can't repeat. This is a filter, and decides no match.
+* Classes. Of contexts with equal bytes two go to the index; what it says of them holds for the others.
+  A group of more than BIG_GROUP different contexts is dealt out again by parts of their windows, by
+  what all windows of a part have in common, down to single windows, so no index is unbounded.
+* Run-length index. The contexts of some groups form a shard. Its Burrows-Wheeler transform is kept as
+  runs: character, first rank, and, for the runs' heads and ends, the common prefix of the suffix that
+  they lead to with its neighbour. The contexts are streamed through it from their ends by the last-to-
+  first mapping: within a run a suffix's common prefixes with its neighbours grow by one a step, at the
+  heads and ends the samples hold. The greater one is the matching statistic, the longest match with
+  any other place; windows whose statistic is ``length`` or more are marked.
 
 Matches never cross documents, as contexts don't. Defined results: null and empty texts have no bytes
-and lose none; rows that repeat a doc_id must repeat its text, and each such row counts as a place, so
-equal rows of ``length`` bytes or more lose all; rows without doc_id take no part; other columns are
-ignored.
+and lose none; each row is a place of its own, also where doc_id is null or repeated, so equal rows of
+``length`` bytes or more lose all; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +40,12 @@ from tessera.llm import common as c
 GRAM = 192
 _PLACE = 24
 _PIECE = 1 << 23
-#: Bytes of text in one index, but for a larger single group; contexts from which a group is dealt out by its neighbouring bytes.
+#: Bytes of text in one index, and different contexts of one group, at most (but for a group that comes last); parts of the windows by which larger groups are dealt out, step by step.
 INDEX_BYTES = 1 << 20
 BIG_GROUP = 4000
+FINER = (8, 256)
+#: Rows that a task holds while it tells classes apart.
+HELD = 200_000
 _SALT = [c.U(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -69,84 +76,90 @@ def contexts(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ..
     return text, lo - block.start[text], hi - lo, rel, anchor, whole
 
 
-_ANCHOR = pa.schema([("anchor", pa.int64()), ("whole", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("windows", pa.int32()), ("rel", pa.int32()), ("state", pa.int32())])
-_MET = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("windows", pa.int32()), ("rel", pa.int32()), ("anchor", pa.int64()), ("lone", pa.bool_())])
+_PLACES = "doc long, row long, lo long, windows int, rel int"
+_ANCHOR = pa.schema([("anchor", pa.int64()), ("whole", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("windows", pa.int32()), ("rel", pa.int32())])
+_MET = pa.schema([("indexed", pa.bool_()), *_ANCHOR])
 
 
-#: States of a context: it stands for itself; for itself and equal ones of its batch; or another does for it.
-_LONE, _MANY, _DONE = 0, 1, 2
-
-
-def _combined(anchor: np.ndarray, whole: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, state) of a batch's contexts: the first of several equal ones goes to its anchor for all; the others' keys are their salt, so a text that comes again and again makes no hot key."""
+def _third(anchor: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Whether an equal context comes twice before each, for contexts in any order."""
     order = np.lexsort((np.arange(len(anchor)), whole, anchor))
     a, w = anchor[order], whole[order]
-    same = np.concatenate(([False], (a[1:] == a[:-1]) & (w[1:] == w[:-1]))) if len(a) else np.zeros(0, bool)
-    state = np.zeros(len(anchor), np.int32)
-    state[order[same]] = _DONE
-    state[order[np.flatnonzero(same[1:] & ~same[:-1])]] = _MANY
-    return np.where(state == _DONE, salt, anchor), state
+    same = np.zeros(len(a), bool)
+    same[2:] = (a[2:] == a[:-2]) & (w[2:] == w[:-2])
+    out = np.empty(len(a), bool)
+    out[order] = same
+    return out
 
 
 def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """A row for each context. Of a batch's equal ones, those after the second get a negative ``rel`` and a key of their own, so that a text that comes again and again makes no hot key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = c.column(b, "doc_id").to_pylist(), c.as_bytes(c.column(b, "text"))
-            pieces = [(i, s, t[s : s + _PIECE + length - 1]) for i, t in zip(ids, texts, strict=True) for s in range(0, len(t), _PIECE) if len(t) - s >= length]
+            ids, row, texts = c.column(b, "doc").to_pylist(), c.column(b, "row").to_pylist(), c.as_bytes(c.column(b, "text"))
+            pieces = [(i, r, s, t[s : s + _PIECE + length - 1]) for i, r, t in zip(ids, row, texts, strict=True) for s in range(0, len(t), _PIECE) if len(t) - s >= length]
             found = []
-            for i, j in c.blocks([p[2] for p in pieces]):
-                text, lo, windows, rel, anchor, whole = contexts([p[2] for p in pieces[i:j]], length, gram)
-                doc, start = np.array([p[0] for p in pieces[i:j]]), np.array([p[1] for p in pieces[i:j]])
-                found.append((anchor, whole, doc[text], lo + start[text], windows.astype(np.int32), rel.astype(np.int32)))
+            for i, j in c.blocks([p[3] for p in pieces]):
+                text, lo, windows, rel, anchor, whole = contexts([p[3] for p in pieces[i:j]], length, gram)
+                doc, own, start = (np.array([p[k] for p in pieces[i:j]]) for k in range(3))
+                found.append((anchor, whole, doc[text], own[text], lo + start[text], windows.astype(np.int32), rel.astype(np.int32)))
             if found:
-                anchor, whole, doc, lo, windows, rel = (np.concatenate(x) for x in zip(*found, strict=True))
-                key, state = _combined(anchor, whole, c.mix(doc.astype(c.U) * _SALT[0] + lo.astype(c.U)))
+                anchor, whole, doc, own, lo, windows, rel = (np.concatenate(x) for x in zip(*found, strict=True))
+                known = _third(anchor, whole)
+                key = np.where(known, c.mix(own.view(c.U) + lo.astype(c.U)), anchor)
+                rel = np.where(known, -1 - rel, rel).astype(np.int32)
                 for i in range(0, len(key), 50_000):
                     p = slice(i, i + 50_000)
-                    yield c.record_batch(_ANCHOR, c.signed(key[p]), c.signed(whole[p]), doc[p], lo[p], windows[p], rel[p], state[p])
+                    yield c.record_batch(_ANCHOR, c.signed(key[p]), c.signed(whole[p]), doc[p], own[p], lo[p], windows[p], rel[p])
 
-    return docs.mapInArrow(run, "anchor long, whole long, doc_id long, lo long, windows int, rel int, state int")
+    return docs.mapInArrow(run, f"anchor long, whole long, {_PLACES}")
 
 
 def _meet(anchors: DataFrame, parts: int) -> DataFrame:
-    """kind 0: a context that repeats as a whole. kind 1: one context of each kind of an anchor that has several kinds.
-
-    A task holds its partition of fixed-width rows; equal contexts of a batch come as one row under their anchor.
-    """
+    """The contexts that meet another at their anchor: indexed, or one that equals two indexed ones. A task holds HELD rows."""
+    names = _ANCHOR.names
+
+    def close(rows: list[np.ndarray], last: bool, before: tuple) -> tuple[pa.RecordBatch | None, list[np.ndarray], tuple]:
+        """What is told of sorted rows; what waits for those to come (an anchor's only row so far); and the last (anchor, whole, rows of the class, rows of the anchor)."""
+        anchor, whole = rows[0], rows[1]
+        n = len(anchor)
+        group = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+        kind = group | np.concatenate(([True], whole[1:] != whole[:-1]))
+        in_group, in_kind = (np.arange(n) - np.maximum.accumulate(np.where(x, np.arange(n), 0)) for x in (group, kind))
+        same = anchor == before[0]
+        in_group = in_group + np.where(same, before[3], 0)
+        in_kind = in_kind + np.where(same & (whole == before[1]), before[2], 0)
+        alone = (in_group == 0) & np.concatenate((group[1:], [True]))
+        wait = bool(alone[-1]) and not last
+        state = before if wait and n == 1 else tuple(int(x) for x in (anchor[-1 - wait], whole[-1 - wait], in_kind[-1 - wait] + 1, in_group[-1 - wait] + 1))
+        pick = np.flatnonzero(~alone)
+        out = c.record_batch(_MET, in_kind[pick] < 2, *(x[pick] for x in rows)) if len(pick) else None
+        return out, [x[-1:] for x in rows] if wait else [x[:0] for x in rows], state
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, whole, doc, lo, windows, rel, state = c.spans(batches, _ANCHOR.names)
-        done = np.flatnonzero(state == _DONE)
-        for i in range(0, len(done), 50_000):
-            p = done[i : i + 50_000]
-            yield c.record_batch(_MET, np.zeros(len(p), np.int32), doc[p], lo[p], windows[p], rel[p], anchor[p], np.zeros(len(p), bool))
-        live = np.flatnonzero(state != _DONE)
-        anchor, whole, doc, lo, windows, rel, many = (x[live] for x in (anchor, whole, doc, lo, windows, rel, state == _MANY))
-        order = np.argsort(anchor)
-        same = anchor[order][1:] == anchor[order][:-1]
-        twin = np.zeros(len(order), bool)
-        if len(order):
-            twin[1:] |= same
-            twin[:-1] |= same
-        keep = order[twin | many[order]]
-        if not len(keep):
-            return
-        anchor, whole, doc, lo, windows, rel, many = (x[keep] for x in (anchor, whole, doc, lo, windows, rel, many))
-        order = np.lexsort((lo, doc, whole, anchor))
-        anchor, whole, doc, lo, windows, rel, many = (x[order] for x in (anchor, whole, doc, lo, windows, rel, many))
-        new_group = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-        new_class = new_group | np.concatenate(([True], whole[1:] != whole[:-1]))
-        head = np.flatnonzero(new_class)
-        copies = np.diff(np.concatenate((head, [len(anchor)])))
-        kinds = np.add.reduceat(new_class.astype(np.int64), np.flatnonzero(new_group))
-        kinds = kinds[np.cumsum(new_group) - 1]
-        repeated = np.repeat((copies > 1) | np.logical_or.reduceat(many, head), copies)
-        for kind, pick in ((0, np.flatnonzero(repeated)), (1, head[kinds[head] > 1])):
-            for i in range(0, len(pick), 50_000):
-                p = pick[i : i + 50_000]
-                yield c.record_batch(_MET, np.full(len(p), kind, np.int32), doc[p], lo[p], windows[p], rel[p], anchor[p], ~repeated[p])
-
-    return anchors.repartition(parts, "anchor").mapInArrow(run, "kind int, doc_id long, lo long, windows int, rel int, anchor long, lone boolean")
+        held, many, before = [], 0, (0, 0, 0, 0)
+        for b in batches:
+            rows = [c.column(b, x).to_numpy() for x in names]
+            known = np.flatnonzero(rows[6] < 0)
+            if len(known):
+                yield c.record_batch(_MET, np.zeros(len(known), bool), *(x[known] for x in rows[:6]), -1 - rows[6][known])
+                rows = [x[rows[6] >= 0] for x in rows]
+            held.append(rows)
+            many += len(rows[0])
+            if many >= HELD:
+                out, rest, before = close([np.concatenate(x) for x in zip(*held, strict=True)], False, before)
+                held, many = [rest], len(rest[0])
+                if out is not None:
+                    yield out
+        rows = [np.concatenate(x) for x in zip(*held, strict=True)] if held else []
+        if rows and len(rows[0]):
+            out, *_ = close(rows, True, before)
+            if out is not None:
+                yield out
+
+    dealt = anchors.repartition(parts, "anchor").sortWithinPartitions("anchor", "whole", "doc", "row", "lo")
+    return dealt.mapInArrow(run, f"indexed boolean, anchor long, whole long, {_PLACES}")
 
 
 def suffix_array(text: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -193,84 +206,150 @@ def common_prefix(prefix: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.nda
     return low
 
 
+class RunIndex:
+    """The run-compressed Burrows-Wheeler transform of some pieces, with samples at the runs' heads and ends.
+
+    A suffix ends with its piece, so a piece's last suffix is its last character alone; those of one
+    character come first among the suffixes that begin with it. Only arrays of runs are kept.
+    """
+
+    def __init__(self, pieces: list[bytes]):
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.end = np.cumsum(size)
+        end = np.repeat(self.end, size)
+        raw = b"".join(pieces)
+        text = np.frombuffer(raw, np.uint8)
+        n = len(text)
+        sa = suffix_array(text, end)
+        starts = np.zeros(n, bool)
+        starts[self.end - size] = True
+        bwt = np.where(starts[sa], 256, text[sa - 1].astype(np.int16))
+        head = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
+        self.first, self.char = head, bwt[head]  # of each run
+        length = np.diff(np.append(head, n))
+        self.last = head + length - 1
+        count = np.bincount(text, minlength=257)[:257]
+        self.begin = np.cumsum(count) - count  # rank of the first suffix of each character
+        self.bare = np.bincount(text[self.end - 1], minlength=257)  # of which are a piece's last
+        order = np.argsort(self.char, kind="stable")
+        length = length[order]
+        kind = self.char[order]
+        before = np.cumsum(length) - length
+        before -= before[np.searchsorted(kind, kind)]
+        self.to = np.empty(len(head), np.int64)  # the rank that a run's head leads to
+        self.to[order] = (self.begin + self.bare)[kind] + before
+        leads = self.char < 256
+        prefix = c.Block([raw]).prefix
+
+        def common(rank: np.ndarray) -> np.ndarray:
+            """Common prefix of the suffix of each rank and the one before; 0 beyond either end."""
+            inside = (rank > 0) & (rank < n)
+            p, q = sa[np.where(inside, rank, 0)], sa[np.where(inside, rank - 1, 0)]
+            return common_prefix(prefix, p, q, np.where(inside, np.minimum(end[p] - p, end[q] - q), 0))
+
+        self.at_head, self.at_end = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)
+        self.at_head[leads] = common(self.to[leads])
+        self.at_end[leads] = common(self.to[leads] + (self.last - self.first)[leads] + 1)
+
+    def statistics(self, pieces: list[bytes]) -> np.ndarray:
+        """For each byte of the indexed pieces, one after another, the longest match that starts there with any other place in them."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        out = np.zeros(int(self.end[-1]) if len(self.end) else 0, np.int32)
+        order = np.argsort(-size, kind="stable")
+        at = self.end[order] - 1
+        char = np.fromiter((p[-1] for p in pieces), np.int64, len(pieces))
+        by = np.argsort(char, kind="stable")
+        place = np.empty(len(pieces), np.int64)
+        place[by] = np.arange(len(pieces)) - np.searchsorted(char[by], char[by])
+        rank = self.begin[char] + place
+        before, after = (place > 0).astype(np.int64), (rank + 1 < self.begin[char + 1]).astype(np.int64)
+        rank, before, after = rank[order], before[order], after[order]
+        active = np.searchsorted(-size[order], -np.arange(1, int(size.max()) + 1), "right")  # pieces of t bytes or more
+        for n in active.tolist():
+            rank, before, after, at = rank[:n], before[:n], after[:n], at[:n]
+            out[at] = np.maximum(before, after)
+            run = np.searchsorted(self.first, rank, "right") - 1
+            before = np.where(rank == self.first[run], self.at_head[run], before + 1)
+            after = np.where(rank == self.last[run], self.at_end[run], after + 1)
+            rank = self.to[run] + rank - self.first[run]
+            at = at - 1
+        return out
+
+
 def matching_statistics(pieces: list[bytes]) -> np.ndarray:
-    """For each byte of the pieces, one after another, the longest match that starts there with any other place in them."""
-    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    end = np.repeat(np.cumsum(size), size)
-    raw = b"".join(pieces)
-    text = np.frombuffer(raw, np.uint8)
-    n = len(text)
-    sa = suffix_array(text, end)
-    starts = np.zeros(n, bool)
-    starts[np.cumsum(size) - size] = True
-    bwt = np.where(starts[sa], -1, text[sa - 1].astype(np.int16))
-    head = np.concatenate(([True], (bwt[1:] != bwt[:-1]) | (bwt[1:] < 0)))  # of the runs
-    i = np.flatnonzero(head)
-    p, q = sa[i], sa[np.maximum(i - 1, 0)]
-    most = np.where(i > 0, np.minimum(end[p] - p, end[q] - q), 0)
-    sampled = np.zeros(n, np.int64)
-    prefix = c.Block([raw]).prefix
-    sampled[p] = common_prefix(prefix, p, q, most)
-    at = np.zeros(n, np.int64)
-    at[p] = p
-    last = np.maximum.accumulate(at)
-    before = np.maximum(sampled[last] - (np.arange(n) - last), 0)  # with the suffix before, streamed along the text
-    out = before.copy()
-    out[sa[:-1]] = np.maximum(out[sa[:-1]], before[sa[1:]])
-    return out
+    return RunIndex(pieces).statistics(pieces) if pieces else np.zeros(0, np.int32)
 
 
-_CONTEXT = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("windows", pa.int32()), ("lone", pa.bool_()), ("bytes", pa.binary())])
-_MARK = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
+_LISTED = ["lo", "windows", "rel", "anchor"]
+_CONTEXT = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("windows", pa.int32()), ("bytes", pa.binary())])
+_MARK = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
 
-def _cut(docs: DataFrame, kinds: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, doc_id, lo, windows, lone, bytes): the contexts' bytes. Large groups are dealt out by the half of the rest of each window that lies on one side of the anchor."""
-    big = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BIG_GROUP).select("anchor", F.lit(True).alias("big"))
-    flagged = kinds.join(big, "anchor", "left").select("doc_id", F.struct("lo", "windows", "rel", "anchor", "lone", F.coalesce("big", F.lit(False)).alias("big")).alias("x"))
-    lists = c.checkpoint(flagged.groupBy("doc_id").agg(F.collect_list("x").alias("xs")))
-    thin = c.semi_filtered(docs, "doc_id", lists.select("doc_id")).dropDuplicates(["doc_id"])
-    side = (length - gram) // 2
+def _listed(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(doc, row, text, xs): the texts of the kinds' places, each with a list of them."""
+    lists = c.checkpoint(kinds.groupBy("doc", "row").agg(F.collect_set(F.struct(*_LISTED)).alias("xs")))
+    thin = c.semi_filtered(docs, ["doc", "row"], lists.select("doc", "row")).dropDuplicates(["doc", "row"])
+    copies = kinds.groupBy("doc", "row", *_LISTED).agg(F.count("*").alias("n")).where("n > 1").groupBy("doc", "row").agg(F.collect_set(F.struct(*_LISTED)).alias("twice"))  # of equal rows
+    return thin.join(lists, ["doc", "row"]).join(copies, ["doc", "row"], "left")
+
+
+def _finer(docs: DataFrame, kinds: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
+    """The kinds cut into parts of their windows; the anchor of each is what all windows of a part have in common."""
+    width = max(1, -(-(length - gram + 1) // parts))
+    digest = lambda b, *tell: int.from_bytes(hashlib.blake2b(b, digest_size=8, key=b"".join((x & (2**64 - 1)).to_bytes(8, "little") for x in tell)).digest(), "little", signed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for doc, t, xs in zip(c.column(b, "doc_id").to_pylist(), c.as_bytes(c.column(b, "text")), c.column(b, "xs").to_pylist(), strict=True):
-                for x in xs:
-                    lo, w, rel, key = x["lo"], x["windows"], x["rel"], x["anchor"]
-                    if not x["big"]:
-                        rows.append((key, doc, lo, w, x["lone"], t[lo : lo + w + length - 1]))
-                        continue
-                    a = lo + rel
-                    cut = min(max(rel + gram + side - length, 0), w)  # windows from here on hold side bytes after the anchor, those before hold more before it
-                    for s, e, near in ((0, cut, t[a - side : a]), (cut, w, t[a + gram : a + gram + side])):
-                        if e > s:
-                            own = int.from_bytes(hashlib.blake2b(near, digest_size=8, key=(key & (2**64 - 1)).to_bytes(8, "little") + bytes([s > 0 or cut == 0])).digest(), "little", signed=True)
-                            rows.append((own, doc, lo + s, e - s, x["lone"], t[lo + s : lo + e + length - 1]))
+            for doc, own, t, xs, twice in zip(c.column(b, "doc").to_pylist(), c.column(b, "row").to_pylist(), c.as_bytes(c.column(b, "text")), c.column(b, "xs").to_pylist(), c.column(b, "twice").to_pylist(), strict=True):
+                for x in xs + (twice or []):
+                    lo, w, a, anchor = x["lo"], x["windows"], x["lo"] + x["rel"], x["anchor"]
+                    for q in range((a - lo - w + 1) // width, (a - lo) // width + 1):
+                        s, e = max(lo, a - (q + 1) * width + 1), min(lo + w, a - q * width + 1)  # first windows, and one past the last
+                        shared = t[a - q * width : a - (q + 1) * width + 1 + length]
+                        rows.append((digest(shared, anchor, parts, q), digest(t[s : e + length - 1], a - s, e - s), doc, own, s, e - s, a - s))
+                if len(rows) > 20_000:
+                    yield c.record_batch(_ANCHOR, *zip(*rows, strict=True))
+                    rows = []
+            if rows:
+                yield c.record_batch(_ANCHOR, *zip(*rows, strict=True))
+
+    return _listed(docs, kinds).mapInArrow(run, f"anchor long, whole long, {_PLACES}")
+
+
+def _cut(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
+    """(key, doc, row, lo, windows, bytes): the contexts' bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for doc, own, t, xs, twice in zip(c.column(b, "doc").to_pylist(), c.column(b, "row").to_pylist(), c.as_bytes(c.column(b, "text")), c.column(b, "xs").to_pylist(), c.column(b, "twice").to_pylist(), strict=True):
+                for x in xs + (twice or []):
+                    lo, w = x["lo"], x["windows"]
+                    rows.append((x["anchor"], doc, own, lo, w, t[lo : lo + w + length - 1]))
                 if len(rows) > 4000:
                     yield c.record_batch(_CONTEXT, *zip(*rows, strict=True))
                     rows = []
             if rows:
                 yield c.record_batch(_CONTEXT, *zip(*rows, strict=True))
 
-    return thin.join(lists, "doc_id").mapInArrow(run, "key long, doc_id long, lo long, windows int, lone boolean, bytes binary")
+    return _listed(docs, kinds).mapInArrow(run, "key long, doc long, row long, lo long, windows int, bytes binary")
 
 
 def _index(cut: DataFrame, length: int, parts: int) -> DataFrame:
-    """(doc_id, s, e): spans of the lone contexts whose windows the index finds elsewhere."""
+    """(doc, row, s, e): spans of the windows that the index finds elsewhere."""
 
     def marks(rows: list[tuple]) -> pa.RecordBatch:
         ms = matching_statistics([r[5] for r in rows])
         out, at = [], 0
-        for _, doc, lo, w, lone, b in rows:
-            if lone:
-                hit = np.flatnonzero(ms[at : at + w] >= length)
-                if len(hit):
-                    gap = np.flatnonzero(np.diff(hit) > length)
-                    for s, e in zip(hit[np.concatenate(([0], gap + 1))], hit[np.concatenate((gap, [len(hit) - 1]))], strict=True):
-                        out.append((doc, lo + int(s), lo + int(e) + length))
+        for _, doc, own, lo, w, b in rows:
+            hit = np.flatnonzero(ms[at : at + w] >= length)
+            if len(hit):
+                gap = np.flatnonzero(np.diff(hit) > length)
+                for s, e in zip(hit[np.concatenate(([0], gap + 1))].tolist(), hit[np.concatenate((gap, [len(hit) - 1]))].tolist(), strict=True):
+                    out.append((doc, own, lo + s, lo + e + length))
             at += len(b)
-        return c.record_batch(_MARK, *(zip(*out, strict=True) if out else ([], [], [])))
+        return c.record_batch(_MARK, *(zip(*out, strict=True) if out else [[]] * 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, key = [], 0, None
@@ -285,27 +364,40 @@ def _index(cut: DataFrame, length: int, parts: int) -> DataFrame:
         if rows:
             yield marks(rows)
 
-    return cut.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, s long, e long")
+    return cut.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "doc long, row long, s long, e long")
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """(doc, row, text, doc_id): null ids and texts that share an id are told apart by ``row``."""
+    return docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), c.row_key().alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
-    """(doc_id, s, e): byte spans, possibly overlapping, whose union is what repeats. docs(doc_id, text)."""
+    """(doc, row, s, e): byte spans, possibly overlapping, whose union is what repeats. docs(doc_id, text)."""
     gram = min(gram, length)
     parts = c.shuffle_partitions(docs.sparkSession)
-    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    docs = _identified(docs).drop("doc_id").where(F.octet_length("text") >= length)
     met = c.checkpoint(_meet(_anchors(docs, length, gram), parts))
-    whole = met.where("kind = 0").select("doc_id", F.col("lo").alias("s"), (F.col("lo") + F.col("windows") + (length - 1)).alias("e"))
-    found = _index(_cut(docs, met.where("kind = 1"), length, gram), length, parts)
-    return whole.unionByName(found)
+    known, kinds = [met.where("NOT indexed")], met.where("indexed")
+    for n in FINER:
+        big = c.checkpoint(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BIG_GROUP).select("anchor"))
+        if not big.limit(1).count():
+            break
+        finer = c.checkpoint(_meet(_finer(docs, kinds.join(big, "anchor", "left_semi"), n, length, gram), parts))
+        kinds = kinds.join(big, "anchor", "left_anti").select(*_MET.names).unionByName(finer.where("indexed"))
+        known.append(finer.where("NOT indexed"))
+    whole = reduce(DataFrame.unionByName, known).select("doc", "row", F.col("lo").alias("s"), (F.col("lo") + F.col("windows") + (length - 1)).alias("e"))
+    return whole.unionByName(_index(_cut(docs, kinds, length), length, parts))
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, keep_bytes: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of each document; kept is null unless keep_bytes."""
-    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    by_doc = repeated_spans(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of each document; kept is null unless keep_bytes. Texts that lose nothing aren't shuffled."""
+    docs = docs.select("doc_id", "text")
+    by_doc = c.checkpoint(repeated_spans(docs, length, gram).groupBy("doc", "row").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    some, rest = c.parted(_identified(docs), ["doc", "row"], by_doc.select("doc", "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -322,4 +414,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, keep_by
                 out.append((doc, len(t), len(t) - len(rest), n_spans, rest if keep_bytes else None, hashlib.sha256(rest).hexdigest()))
             yield c.record_batch(_KEPT, *(zip(*out, strict=True) if out else [[]] * 6))
 
-    return docs.join(by_doc, "doc_id", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    cut = some.join(by_doc, ["doc", "row"], "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    raw, none = F.coalesce("text", F.lit("")).cast("binary"), F.lit(0).cast("long")
+    whole = rest.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), (raw if keep_bytes else F.lit(None).cast("binary")).alias("kept"), F.sha2(raw, 256).alias("kept_sha256"))
+    return cut.unionByName(whole)

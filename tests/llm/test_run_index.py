@@ -46,9 +46,30 @@ def test_large_groups_are_dealt_out(spark, monkeypatch):
     assert [got[i] for i, _ in rows] == brute([(t or "").encode() for _, t in rows], 40)
 
 
+def test_long_texts_are_cut_and_classes_told_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(r, "_PIECE", 500)
+    monkeypatch.setattr(r, "HELD", 7)
+    rows = list(enumerate(texts(6) + ["the same again " * 9] * 5))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in r.remove_repeats(docs, 40, 16).collect()}
+    assert [got[i] for i, _ in rows] == brute([(t or "").encode() for _, t in rows], 40)
+
+
+def test_index_is_run_compressed():
+    """Repetitive pieces: the index keeps far fewer runs than bytes, and its statistics alone mark what repeats."""
+    rng = random.Random(8)
+    base = bytes(rng.choice(b"abcd") for _ in range(500))
+    pieces = [base] * 40
+    index = r.RunIndex(pieces)
+    assert len(index.first) < 600 < 40 * 500 and index.statistics(pieces).tolist() == [*range(500, 0, -1)] * 40
+
+
 def test_equal_rows_and_empty_table(spark):
-    docs = spark.createDataFrame([(1, "q" * 30 + "w" * 30), (1, "q" * 30 + "w" * 30), (None, "lost" * 40)], "doc_id long, text string")
-    assert [(x.n_removed, x.n_spans) for x in r.remove_repeats(docs, 40, 16).collect()] == [(60, 1)] * 2
+    shared = prose = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "q" * 30 + "w" * 30)] * 2 + [(None, "lost" * 40), (None, "a" + shared), (7, "b" + shared), (7, "c " + prose[50:] + " d")]
+    docs = spark.createDataFrame([(*x, 0, "e") for x in rows], "doc_id long, text string, row int, whole string")
+    got = sorted(((x.doc_id or -1, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in r.remove_repeats(docs, 40, 16).collect()))
+    assert got == sorted((i or -1, *x) for (i, _), x in zip(rows, brute([t.encode() for _, t in rows], 40), strict=True))
     assert r.remove_repeats(docs.limit(0)).count() == 0
 
 
