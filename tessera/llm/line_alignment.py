@@ -7,7 +7,8 @@ a key is aligned with the first text (smallest doc_id) that holds it, so a key m
 has later holders; the first text of many pairs goes to several tasks. Common blocks of an alignment, of
 at least ``block_bytes`` bytes or ``block_lines`` lines, are deleted from the later document; a line's
 first holder always keeps it. Equal texts count once, and the later of them lose every line. Alignments
-move hashes of lines, not texts.
+move hashes of lines, not texts, and texts that lose nothing aren't shuffled. ``rare`` is a part of the
+method: a line that more texts hold, too short to be a passage, starts no alignment of its own.
 
 Defined results: null and empty texts have no lines and lose none; blank lines are no keys, but go with
 their block; rows that repeat a doc_id must repeat its text and are one document, none of which is the
@@ -139,23 +140,24 @@ def block_keys(h: np.ndarray, sizes: np.ndarray, counts: np.ndarray, block_lines
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, whole, lines, hashes, sizes) of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("lines", pa.int32()), ("hashes", pa.binary()), ("sizes", pa.binary())])
+    """(doc_id, whole, also, lines, hashes, sizes) of each document; whole and also are two 64-bit hashes of its text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("also", pa.int64()), ("lines", pa.int32()), ("hashes", pa.binary()), ("sizes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = line_hashes(c.as_bytes(c.column(b, "text")))
-            yield c.record_batch(schema, c.column(b, "doc_id"), [w for *_, w in got], [len(h) for h, *_ in got], [h.tobytes() for h, *_ in got], [s.astype(np.int32).tobytes() for _, s, _ in got])
+            yield c.record_batch(schema, c.column(b, "doc_id"), [w for *_, w in got], c.column(b, "also"), [len(h) for h, *_ in got], [h.tobytes() for h, *_ in got], [s.astype(np.int32).tobytes() for _, s, _ in got])
 
-    return docs.mapInArrow(run, "doc_id long, whole long, lines int, hashes binary, sizes binary")
+    return docs.withColumn("also", F.xxhash64("text")).mapInArrow(run, "doc_id long, whole long, also long, lines int, hashes binary, sizes binary")
 
 
 def removed_lines(docs: DataFrame, rare: int = RARE, block_lines: int = BLOCK_LINES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, spans, all_lines): for each document that loses lines the spans (first line, lines) of the deleted blocks, which may overlap, and whether it loses all."""
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND octet_length(text) > 0")
     every = c.checkpoint(_documents(docs))
-    first = every.groupBy("whole", "lines").agg(F.min("doc_id").alias("first"))
-    marked = c.checkpoint(every.join(first, ["whole", "lines"]))
+    same = ["whole", "also", "lines"]
+    first = every.groupBy(*same).agg(F.min("doc_id").alias("first"))
+    marked = c.checkpoint(every.join(first, same))
     own = marked.where("doc_id = first").dropDuplicates(["doc_id"])
     keys = pa.schema([("line", pa.int64()), ("passage", pa.bool_()), ("doc_id", pa.int64())])
 
@@ -168,7 +170,9 @@ def removed_lines(docs: DataFrame, rare: int = RARE, block_lines: int = BLOCK_LI
 
     held = own.select("doc_id", "lines", "hashes", "sizes").mapInArrow(lines, "line long, passage boolean, doc_id long")
     shared = held.groupBy("line").agg(F.count("*").alias("n"), F.max("passage").alias("passage"), F.min("doc_id").alias("a")).where((F.col("n") >= 2) & (F.col("passage") | (F.col("n") <= rare))).select("line", "a")
-    pairs = c.checkpoint(held.select("line", "doc_id").join(shared, "line").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
+    shared = c.checkpoint(shared)
+    few = c.semi_filtered(held.select("line", "doc_id"), "line", shared)  # lines that are no keys, the very common ones among them, aren't shuffled
+    pairs = c.checkpoint(few.join(shared, "line").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
     body = own.select("doc_id", "hashes", "sizes")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIR_SHARE).cast("int").alias("parts"))
     firsts = body.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")).join(parts, "a").select("a", "ha", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -197,7 +201,9 @@ def _apply(docs: DataFrame, cuts: DataFrame) -> DataFrame:
     names = [f"c{i}" for i in range(len(docs.columns))]
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
     text, ids = names[docs.columns.index("text")], names[docs.columns.index("doc_id")]
-    joined = docs.toDF(*names).join(cuts.withColumnRenamed("doc_id", "__id"), F.col(ids) == F.col("__id"), "left").select(*names, "spans")
+    cuts = c.checkpoint(cuts.select(F.col("doc_id").alias("__id"), "spans"))
+    some, rest = c.parted(docs.toDF(*names), [ids], cuts.select(F.col("__id").alias(ids)))
+    joined = some.join(cuts, F.col(ids) == F.col("__id"), "left").select(*names, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,7 +222,11 @@ def _apply(docs: DataFrame, cuts: DataFrame) -> DataFrame:
             n, r, k = zip(*counts, strict=True) if counts else ((), (), ())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(kept, pa.string()), *(pa.array(x, pa.int64()) for x in (n, r, k))], [*names, *schema.names[1:]])
 
-    return joined.mapInArrow(run, f"{kinds}, kept string, n_lines long, n_removed long, n_blocks long").toDF(*docs.columns, "kept", "n_lines", "n_removed", "n_blocks")
+    cut = joined.mapInArrow(run, f"{kinds}, kept string, n_lines long, n_removed long, n_blocks long")
+    n_lines = F.when(F.octet_length(text) > 0, F.length(text) - F.length(F.translate(text, "\n", "")) + 1).otherwise(0).cast("long")
+    none = F.lit(0).cast("long")
+    whole = rest.select(*names, F.col(text).alias("kept"), n_lines.alias("n_lines"), none.alias("n_removed"), none.alias("n_blocks"))
+    return cut.unionByName(whole).toDF(*docs.columns, "kept", "n_lines", "n_removed", "n_blocks")
 
 
 def deduplicated(docs: DataFrame, rare: int = RARE, block_lines: int = BLOCK_LINES, block_bytes: int = BLOCK_BYTES) -> DataFrame:

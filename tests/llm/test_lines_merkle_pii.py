@@ -161,3 +161,46 @@ def test_replacement_equals_one_by_one(spark):
     got = s.replaced(docs, key)
     assert got.columns == ["doc_id", "text", "n_entities", "spans", "n_entities"]
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
+
+
+def by_hand(texts, rare, block_lines, block_bytes):
+    """Lines that each text (in order of doc_id, all different) loses: every pair of a key's first holder and a later one, aligned."""
+    lines = [t.split("\n") for t in texts]
+    holders = {}
+    for i, ls in enumerate(lines):
+        for a in range(len(ls)):
+            if ls[a].strip():
+                holders.setdefault((ls[a],), [set(), False])[0].add(i)
+            for n in range(1, block_lines + 1):
+                run = [x if x.strip() else "" for x in ls[a : a + n]]
+                if len(run) == n and (n == block_lines or sum(len(x.encode()) for x in run if x.strip()) >= block_bytes):
+                    if any(x.strip() for x in run):
+                        got = holders.setdefault(tuple(run), [set(), False])
+                        got[0].add(i)
+                        got[1] = True
+                    break
+    lost = [set() for _ in texts]
+    for who, passage in holders.values():
+        if len(who) >= 2 and (passage or len(who) <= rare):
+            for b in who - {min(who)}:
+                ids = {x: k for k, x in enumerate(dict.fromkeys(x if x.strip() else "" for t in (min(who), b) for x in lines[t]), 1)} | {"": 0}
+                one, two = ([ids[x if x.strip() else ""] for x in lines[t]] for t in (min(who), b))
+                for _, at, n in la.patience(one, two):
+                    if n >= block_lines or sum(len(x.encode()) for x in lines[b][at : at + n]) >= block_bytes:
+                        lost[b].update(range(at, at + n))
+    return [hashlib.sha256("\n".join(x for k, x in enumerate(ls) if k not in gone).encode()).hexdigest() for ls, gone in zip(lines, lost, strict=True)], [len(x) for x in lost]
+
+
+def test_lines_against_brute_force(spark):
+    rng = random.Random(12)
+    pool = [f"line {i} " + "x" * rng.randint(0, 40) for i in range(25)] + ["", " ", "é" * 40]
+    texts = list(dict.fromkeys("\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for _ in range(120)))
+    block = "\n".join(f"a passage line {k} of many words that everyone shares" for k in range(3))
+    texts += [f"own {i}\n{block}\ntail {i}" for i in range(90)]
+    texts = [t for t in texts if t]
+    docs = spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate(texts)] + [(None, block, "x", 3)], "doc_id long, text string, kept string, n_lines int")
+    for rare in (5,):
+        got = {r.doc_id: (r.kept_sha256, r.n_removed) for r in la.line_report(docs, rare).collect()}
+        assert got.pop(None)[1] == 0
+        sha, n = by_hand(texts, rare, la.BLOCK_LINES, la.BLOCK_BYTES)
+        assert [got[i] for i in range(len(texts))] == list(zip(sha, n, strict=True))
