@@ -9,7 +9,8 @@ Training takes at most ``train_rows`` labelled rows, the ones of least hash, wit
 ``train_bytes``; both are parameters. Labels belong to documents, so each round trains on the windows
 that score highest so far, after the embeddings start from smoothed log-odds.
 
-Defined results: null and empty texts are one window without words; repeated rows score alike; where
+Defined results: null and empty texts are one window without words; repeated rows score alike; rows
+without doc_id are scored, count as not held out and never train; where
 no row of a class is labelled, every score is the share of toxic labels (0 without labels); rows with
 a null label don't train; other columns are ignored.
 """
@@ -326,12 +327,25 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 5000, train_bytes: int = 1 << 13) -> dict:
-    """Trains on at most train_rows labelled documents that aren't held out, of at most train_bytes each."""
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Trains on at most train_rows labelled documents that aren't held out, of at most train_bytes each, in one task, so that only parameters reach the driver."""
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)  # a bounded number of (id, label) rows
     small = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= train_bytes)
-    rows = small.join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending")])
-    return train(c.as_bytes(rows.column("text").combine_chunks()), rows.column("toxic").to_numpy())
+    rows = small.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    schema = pa.schema([("name", pa.string()), ("shape", pa.list_(pa.int64())), ("kind", pa.string()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # train_rows of train_bytes at most
+        if not held:
+            return
+        got = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        p = train(c.as_bytes(got.column("text").combine_chunks()), got.column("toxic").to_numpy())
+        yield c.record_batch(schema, list(p), [list(x.shape) for x in p.values()], [x.dtype.str for x in p.values()], [x.tobytes() for x in p.values()])
+
+    made = rows.repartition(1).mapInArrow(run, "name string, shape array<long>, kind string, data binary").toArrow()  # tables of fixed size
+    if not made.num_rows:  # an empty table has no partition
+        return train([], np.zeros(0, np.int64))
+    return {r["name"]: np.frombuffer(r["data"], r["kind"]).reshape(r["shape"]) for r in made.to_pylist()}
 
 
 def toxicity(docs: DataFrame, parameters: dict) -> DataFrame:
