@@ -1,15 +1,18 @@
 """Corpus pipeline: five training-data stages from ``documents`` to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next one's docs. All but the last return the columns of ``documents``. Documents without
-doc_id, which no decision can name, leave at the second stage.
+again as the next one's docs. All but the last return the columns of ``documents``, further columns
+included, whatever their names. Documents without doc_id, which no decision can name, leave at the
+second stage. Rows that repeat a doc_id share its fate: decisions are made by id, but the mix deals out
+copies to each row. An empty table passes through as an empty table; null and empty texts aren't toxic,
+have no lines and no shingles, and leave at the mix, which takes only words.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common as c
@@ -25,7 +28,7 @@ def _with(docs: DataFrame, decided: DataFrame, how: str = "left_semi") -> DataFr
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose score is 0.5 or more."""
+    """Drops the documents whose score is 0.5 or more, in any row of their id; a score of exactly 0.5 goes."""
     from tessera.llm.toxicity import fit, toxicity
 
     scored = toxicity(docs, fit(docs, c.table(spark, sf_dir, "labels"), train_rows=TRAIN_ROWS))
@@ -33,7 +36,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes the blocks of lines that a later document shares with an earlier one; documents that lose all go."""
+    """Deletes the blocks of lines that a later document shares with an earlier one; documents that lose all go. Of equal texts the smallest doc_id stays."""
     from tessera.llm.line_alignment import deduplicated
 
     return deduplicated(docs.where("doc_id IS NOT NULL"))
@@ -48,16 +51,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as many times as the mix does; a document that it takes twice comes as two equal rows."""
+    """Takes each document as many times as the mix does; a document that it takes twice comes as two equal rows. Rows of one doc_id are dealt its copies in the order of their texts' hashes."""
     from tessera.llm.mixing import entropy_mix
 
-    mixed = entropy_mix(docs, WEIGHTS, SHARE, MOST).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = docs.join(mixed, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select(*docs.columns)
+    mixed = entropy_mix(docs, WEIGHTS, SHARE, MOST).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    ids, text = (names[docs.columns.index(n)] for n in ("doc_id", "text"))
+    place = F.row_number().over(Window.partitionBy(ids).orderBy(F.xxhash64(text))) - 1
+    rows = docs.toDF(*names).join(mixed.withColumnRenamed("doc_id", "__id"), F.col(ids).eqNullSafe(F.col("__id"))).withColumn("__place", place)
+    own = F.expr("((__place + 1) * copies) div rows - (__place * copies) div rows")
+    dealt = rows.withColumn("__copies", own).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return dealt.select(*names).toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences; returns a row for each piece."""
+    """Packs what is left into sequences; returns a row for each piece. Each row is a document of its own; ties go by doc_id."""
     import public_tokenizers
 
     from tessera.llm.packing import pack_documents
