@@ -8,8 +8,9 @@ removed. The steps, each exact:
   run of windows with one anchor is a context: the bytes that those windows cover, about 500. Only
   hashes and offsets are shuffled to bring contexts of one anchor together; a context that no other
   meets can't repeat. This is a filter, and decides no match.
-* Classes. Of contexts with equal bytes two go to the index; what it says of them holds for the others.
-  A group of more than BIG_GROUP different contexts is dealt out again by parts of their windows, by
+* Classes. Of contexts with equal bytes one goes to the index, with weight 2 if there are more: there it
+  is two equal pieces, next to one another in suffix order, so the weight lengthens runs. What the index
+  says of it holds for the others. A group of more than BIG_GROUP different contexts is dealt out again by parts of their windows, by
   what all windows of a part have in common, down to single windows, so no index is unbounded.
 * Run-length index. The contexts of some groups form a shard. Its Burrows-Wheeler transform is kept as
   runs: character, first rank, and, for the runs' heads and ends, the common prefix of the suffix that
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common as c
 
 #: Bytes of an anchor's string; bits of its place in a packed minimum; bytes of one long text's piece.
-GRAM = 192
+GRAM = 96
 _PLACE = 24
 _PIECE = 1 << 23
 #: Bytes of text in one index, and different contexts of one group, at most (but for a group that comes last); parts of the windows by which larger groups are dealt out, step by step.
@@ -78,7 +79,7 @@ def contexts(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ..
 
 _PLACES = "doc long, row long, lo long, windows int, rel int"
 _ANCHOR = pa.schema([("anchor", pa.int64()), ("whole", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("windows", pa.int32()), ("rel", pa.int32())])
-_MET = pa.schema([("indexed", pa.bool_()), *_ANCHOR])
+_MET = pa.schema([("indexed", pa.bool_()), ("twice", pa.bool_()), *_ANCHOR])
 
 
 def _third(anchor: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -117,11 +118,11 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _meet(anchors: DataFrame, parts: int) -> DataFrame:
-    """The contexts that meet another at their anchor: indexed, or one that equals two indexed ones. A task holds HELD rows."""
+    """The contexts that meet another at their anchor: one of each class indexed, twice if the class has more. A task holds HELD rows."""
     names = _ANCHOR.names
 
     def close(rows: list[np.ndarray], last: bool, before: tuple) -> tuple[pa.RecordBatch | None, list[np.ndarray], tuple]:
-        """What is told of sorted rows; what waits for those to come (an anchor's only row so far); and the last (anchor, whole, rows of the class, rows of the anchor)."""
+        """What is told of sorted rows; what waits for those to come (a class's only row so far); and the last (anchor, whole, rows of the class, rows of the anchor)."""
         anchor, whole = rows[0], rows[1]
         n = len(anchor)
         group = np.concatenate(([True], anchor[1:] != anchor[:-1]))
@@ -131,10 +132,12 @@ def _meet(anchors: DataFrame, parts: int) -> DataFrame:
         in_group = in_group + np.where(same, before[3], 0)
         in_kind = in_kind + np.where(same & (whole == before[1]), before[2], 0)
         alone = (in_group == 0) & np.concatenate((group[1:], [True]))
-        wait = bool(alone[-1]) and not last
+        twice = (in_kind == 0) & ~np.concatenate((kind[1:], [True]))
+        wait = bool(in_kind[-1] == 0) and not last
         state = before if wait and n == 1 else tuple(int(x) for x in (anchor[-1 - wait], whole[-1 - wait], in_kind[-1 - wait] + 1, in_group[-1 - wait] + 1))
         pick = np.flatnonzero(~alone)
-        out = c.record_batch(_MET, in_kind[pick] < 2, *(x[pick] for x in rows)) if len(pick) else None
+        pick = pick[:-1] if wait and len(pick) and pick[-1] == n - 1 else pick
+        out = c.record_batch(_MET, in_kind[pick] == 0, twice[pick], *(x[pick] for x in rows)) if len(pick) else None
         return out, [x[-1:] for x in rows] if wait else [x[:0] for x in rows], state
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +146,7 @@ def _meet(anchors: DataFrame, parts: int) -> DataFrame:
             rows = [c.column(b, x).to_numpy() for x in names]
             known = np.flatnonzero(rows[6] < 0)
             if len(known):
-                yield c.record_batch(_MET, np.zeros(len(known), bool), *(x[known] for x in rows[:6]), -1 - rows[6][known])
+                yield c.record_batch(_MET, np.zeros(len(known), bool), np.zeros(len(known), bool), *(x[known] for x in rows[:6]), -1 - rows[6][known])
                 rows = [x[rows[6] >= 0] for x in rows]
             held.append(rows)
             many += len(rows[0])
@@ -159,33 +162,40 @@ def _meet(anchors: DataFrame, parts: int) -> DataFrame:
                 yield out
 
     dealt = anchors.repartition(parts, "anchor").sortWithinPartitions("anchor", "whole", "doc", "row", "lo")
-    return dealt.mapInArrow(run, f"indexed boolean, anchor long, whole long, {_PLACES}")
+    return dealt.mapInArrow(run, f"indexed boolean, twice boolean, anchor long, whole long, {_PLACES}")
 
 
 def suffix_array(text: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Suffixes in order; end: for each position the end of its own piece, at which its suffix ends (before all bytes, then by place)."""
     n = len(text)
-    at = np.arange(n)
-    key = np.zeros(n, c.U)
-    for j in range(8):
-        q = np.minimum(at + j, n - 1)
-        key = (key << c.U(8)) | np.where(at + j < end, text[q], 0).astype(c.U)
-    short = at + 8 > end
-    sa = np.lexsort((at, np.where(short, end - at, 0), ~short, key))
-    k, s = key[sa], short[sa]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | s[1:] | s[:-1]))
-    first = np.flatnonzero(new)
-    rank = np.empty(n, np.int64)
+    small = np.int32 if n < 1 << 30 else np.int64
+    end = end.astype(small)
+    left = end - np.arange(n, dtype=small)
+    key, more = np.zeros(n, c.U), np.concatenate((text, np.zeros(7, np.uint8)))
+    for j in range(7):
+        key <<= c.U(8)
+        key |= more[j : j + n]
+    few = np.flatnonzero(left < 7)  # suffixes that end within the key: nothing of the next piece counts
+    key[few] &= ~c.U(0) << (c.U(8) * (c.U(7) - left[few].astype(c.U)))
+    key <<= c.U(8)
+    key |= np.minimum(left, 7).astype(c.U)
+    sa = np.argsort(key).astype(small)
+    k = key[sa]
+    few = np.flatnonzero(k & c.U(255) < c.U(7))
+    sa[few] = sa[few][np.lexsort((sa[few], k[few]))]  # equal ones by place
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (k[1:] & c.U(255) < c.U(7))))
+    first = np.flatnonzero(new).astype(small)
+    rank = np.empty(n, small)
     rank[sa] = first[np.cumsum(new) - 1]
-    h = 8
+    h = 7
     while True:
         alone = new & np.concatenate((new[1:], [True]))
         slot = np.flatnonzero(~alone)
         if not len(slot):
-            return sa
+            return sa.astype(np.int64)
         p = sa[slot]
-        q = p + h
-        key2 = rank[p] * (2 * n + 2) + np.where(q < end[p], rank[np.minimum(q, n - 1)] + n + 1, p)
+        q = p + small(h)
+        key2 = rank[p] * np.int64(2 * n + 2) + np.where(q < end[p], rank[np.minimum(q, small(n - 1))] + small(n + 1), p)
         order = np.argsort(key2)
         p, key2 = p[order], key2[order]
         sa[slot] = p
@@ -198,12 +208,19 @@ def suffix_array(text: np.ndarray, end: np.ndarray) -> np.ndarray:
 def common_prefix(prefix: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Length of the common prefix at p and q, at most ``most``, by bisection on prefix hashes."""
     _, inv = c.powers(len(prefix))
-    low, high = np.zeros(len(p), np.int64), most.astype(np.int64)
-    while (low < high).any():
-        mid = (low + high + 1) >> 1
-        same = (prefix[p + mid] - prefix[p]) * inv[p] == (prefix[q + mid] - prefix[q]) * inv[q]
-        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    return low
+
+    def bisected(p: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        before_p, before_q, inv_p, inv_q = prefix[p], prefix[q], inv[p], inv[q]
+        while (low < high).any():
+            mid = (low + high + 1) >> 1
+            same = (prefix[p + mid] - before_p) * inv_p == (prefix[q + mid] - before_q) * inv_q
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        return low
+
+    out = bisected(p, q, np.zeros(len(p), np.int64), np.minimum(most, 15))
+    far = np.flatnonzero((out == 15) & (most > 15))  # few
+    out[far] = bisected(p[far], q[far], out[far], most[far].astype(np.int64))
+    return out
 
 
 class RunIndex:
@@ -213,75 +230,84 @@ class RunIndex:
     character come first among the suffixes that begin with it. Only arrays of runs are kept.
     """
 
-    def __init__(self, pieces: list[bytes]):
+    def __init__(self, pieces: list[bytes], weight: np.ndarray):
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.end = np.cumsum(size)
+        self.end, self.weight = np.cumsum(size), weight
         end = np.repeat(self.end, size)
         raw = b"".join(pieces)
         text = np.frombuffer(raw, np.uint8)
-        n = len(text)
         sa = suffix_array(text, end)
-        starts = np.zeros(n, bool)
+        many = np.repeat(weight, size)
+        starts = np.zeros(len(text), bool)
         starts[self.end - size] = True
         bwt = np.where(starts[sa], 256, text[sa - 1].astype(np.int16))
         head = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
-        self.first, self.char = head, bwt[head]  # of each run
-        length = np.diff(np.append(head, n))
-        self.last = head + length - 1
-        count = np.bincount(text, minlength=257)[:257]
+        rank = np.cumsum(many[sa]) - many[sa]  # the first of each suffix
+        n = int(many.sum())
+        self.first, self.char = rank[head], bwt[head]  # of each run
+        length = np.diff(np.append(self.first, n))
+        self.last = self.first + length - 1
+        count = np.bincount(text, many, 257).astype(np.int64)
         self.begin = np.cumsum(count) - count  # rank of the first suffix of each character
-        self.bare = np.bincount(text[self.end - 1], minlength=257)  # of which are a piece's last
+        bare = np.bincount(text[self.end - 1], weight, 257).astype(np.int64)  # of which are a piece's last
         order = np.argsort(self.char, kind="stable")
-        length = length[order]
-        kind = self.char[order]
-        before = np.cumsum(length) - length
+        kind, steps = self.char[order], length[order]
+        before = np.cumsum(steps) - steps
         before -= before[np.searchsorted(kind, kind)]
         self.to = np.empty(len(head), np.int64)  # the rank that a run's head leads to
-        self.to[order] = (self.begin + self.bare)[kind] + before
+        self.to[order] = (self.begin + bare)[kind] + before
         leads = self.char < 256
         prefix = c.Block([raw]).prefix
 
-        def common(rank: np.ndarray) -> np.ndarray:
-            """Common prefix of the suffix of each rank and the one before; 0 beyond either end."""
-            inside = (rank > 0) & (rank < n)
-            p, q = sa[np.where(inside, rank, 0)], sa[np.where(inside, rank - 1, 0)]
+        def common(at: np.ndarray) -> np.ndarray:
+            """Common prefix of the suffix whose first rank it is with the one before; 0 beyond either end."""
+            inside = (at > 0) & (at < n)
+            j = np.searchsorted(rank, np.where(inside, at, rank[-1]))
+            p, q = sa[j], sa[j - 1]
             return common_prefix(prefix, p, q, np.where(inside, np.minimum(end[p] - p, end[q] - q), 0))
 
         self.at_head, self.at_end = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)
         self.at_head[leads] = common(self.to[leads])
-        self.at_end[leads] = common(self.to[leads] + (self.last - self.first)[leads] + 1)
+        # where a run's end leads to, the next run of its character takes over: their common prefix is that one's
+        self.at_end[order[:-1]] = self.at_head[order[1:]]
+        final = np.flatnonzero(np.append(kind[1:] != kind[:-1], True) & (kind < 256))
+        self.at_end[order[final]] = common((self.to + length)[order[final]])
 
     def statistics(self, pieces: list[bytes]) -> np.ndarray:
         """For each byte of the indexed pieces, one after another, the longest match that starts there with any other place in them."""
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        out = np.zeros(int(self.end[-1]) if len(self.end) else 0, np.int32)
-        order = np.argsort(-size, kind="stable")
-        at = self.end[order] - 1
+        out = np.zeros(int(self.end[-1]), np.int32)
         char = np.fromiter((p[-1] for p in pieces), np.int64, len(pieces))
         by = np.argsort(char, kind="stable")
         place = np.empty(len(pieces), np.int64)
-        place[by] = np.arange(len(pieces)) - np.searchsorted(char[by], char[by])
+        steps = np.cumsum(self.weight[by]) - self.weight[by]
+        place[by] = steps - steps[np.searchsorted(char[by], char[by])]
         rank = self.begin[char] + place
         before, after = (place > 0).astype(np.int64), (rank + 1 < self.begin[char + 1]).astype(np.int64)
-        rank, before, after = rank[order], before[order], after[order]
+        order = np.argsort(-size, kind="stable")
+        kept = np.int32 if self.last[-1] < 1 << 30 else np.int64
+        firsts, lasts, to, at_head, at_end = (x.astype(kept) for x in (self.first, self.last, self.to, self.at_head, self.at_end))
+        rank, before, after, at = (x[order].astype(kept) for x in (rank, before, after, self.end - 1))
+        one = kept(1)
         active = np.searchsorted(-size[order], -np.arange(1, int(size.max()) + 1), "right")  # pieces of t bytes or more
         for n in active.tolist():
             rank, before, after, at = rank[:n], before[:n], after[:n], at[:n]
             out[at] = np.maximum(before, after)
-            run = np.searchsorted(self.first, rank, "right") - 1
-            before = np.where(rank == self.first[run], self.at_head[run], before + 1)
-            after = np.where(rank == self.last[run], self.at_end[run], after + 1)
-            rank = self.to[run] + rank - self.first[run]
-            at = at - 1
-        return out
+            run = np.searchsorted(firsts, rank, "right") - 1
+            first = firsts[run]
+            before = np.where(rank == first, at_head[run], before + one)
+            after = np.where(rank == lasts[run], at_end[run], after + one)
+            rank = to[run] + rank - first
+            at = at - one
+        return out.astype(np.int64)
 
 
-def matching_statistics(pieces: list[bytes]) -> np.ndarray:
-    return RunIndex(pieces).statistics(pieces) if pieces else np.zeros(0, np.int32)
+def matching_statistics(pieces: list[bytes], weight: np.ndarray | None = None) -> np.ndarray:
+    return RunIndex(pieces, np.ones(len(pieces), np.int64) if weight is None else weight).statistics(pieces)
 
 
-_LISTED = ["lo", "windows", "rel", "anchor"]
-_CONTEXT = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("windows", pa.int32()), ("bytes", pa.binary())])
+_LISTED = ["lo", "windows", "rel", "anchor", "twice"]
+_CONTEXT = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("windows", pa.int32()), ("twice", pa.bool_()), ("bytes", pa.binary())])
 _MARK = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
 
@@ -289,8 +315,7 @@ def _listed(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     """(doc, row, text, xs): the texts of the kinds' places, each with a list of them."""
     lists = c.checkpoint(kinds.groupBy("doc", "row").agg(F.collect_set(F.struct(*_LISTED)).alias("xs")))
     thin = c.semi_filtered(docs, ["doc", "row"], lists.select("doc", "row")).dropDuplicates(["doc", "row"])
-    copies = kinds.groupBy("doc", "row", *_LISTED).agg(F.count("*").alias("n")).where("n > 1").groupBy("doc", "row").agg(F.collect_set(F.struct(*_LISTED)).alias("twice"))  # of equal rows
-    return thin.join(lists, ["doc", "row"]).join(copies, ["doc", "row"], "left")
+    return thin.join(lists, ["doc", "row"])
 
 
 def _finer(docs: DataFrame, kinds: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
@@ -301,13 +326,13 @@ def _finer(docs: DataFrame, kinds: DataFrame, parts: int, length: int, gram: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for doc, own, t, xs, twice in zip(c.column(b, "doc").to_pylist(), c.column(b, "row").to_pylist(), c.as_bytes(c.column(b, "text")), c.column(b, "xs").to_pylist(), c.column(b, "twice").to_pylist(), strict=True):
-                for x in xs + (twice or []):
+            for doc, own, t, xs in zip(c.column(b, "doc").to_pylist(), c.column(b, "row").to_pylist(), c.as_bytes(c.column(b, "text")), c.column(b, "xs").to_pylist(), strict=True):
+                for x in xs:
                     lo, w, a, anchor = x["lo"], x["windows"], x["lo"] + x["rel"], x["anchor"]
                     for q in range((a - lo - w + 1) // width, (a - lo) // width + 1):
                         s, e = max(lo, a - (q + 1) * width + 1), min(lo + w, a - q * width + 1)  # first windows, and one past the last
                         shared = t[a - q * width : a - (q + 1) * width + 1 + length]
-                        rows.append((digest(shared, anchor, parts, q), digest(t[s : e + length - 1], a - s, e - s), doc, own, s, e - s, a - s))
+                        rows += [(digest(shared, anchor, parts, q), digest(t[s : e + length - 1], a - s, e - s), doc, own, s, e - s, a - s)] * (1 + x["twice"])
                 if len(rows) > 20_000:
                     yield c.record_batch(_ANCHOR, *zip(*rows, strict=True))
                     rows = []
@@ -318,31 +343,31 @@ def _finer(docs: DataFrame, kinds: DataFrame, parts: int, length: int, gram: int
 
 
 def _cut(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
-    """(key, doc, row, lo, windows, bytes): the contexts' bytes."""
+    """(key, doc, row, lo, windows, twice, bytes): the contexts' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for doc, own, t, xs, twice in zip(c.column(b, "doc").to_pylist(), c.column(b, "row").to_pylist(), c.as_bytes(c.column(b, "text")), c.column(b, "xs").to_pylist(), c.column(b, "twice").to_pylist(), strict=True):
-                for x in xs + (twice or []):
+            for doc, own, t, xs in zip(c.column(b, "doc").to_pylist(), c.column(b, "row").to_pylist(), c.as_bytes(c.column(b, "text")), c.column(b, "xs").to_pylist(), strict=True):
+                for x in xs:
                     lo, w = x["lo"], x["windows"]
-                    rows.append((x["anchor"], doc, own, lo, w, t[lo : lo + w + length - 1]))
+                    rows.append((x["anchor"], doc, own, lo, w, x["twice"], t[lo : lo + w + length - 1]))
                 if len(rows) > 4000:
                     yield c.record_batch(_CONTEXT, *zip(*rows, strict=True))
                     rows = []
             if rows:
                 yield c.record_batch(_CONTEXT, *zip(*rows, strict=True))
 
-    return _listed(docs, kinds).mapInArrow(run, "key long, doc long, row long, lo long, windows int, bytes binary")
+    return _listed(docs, kinds).mapInArrow(run, "key long, doc long, row long, lo long, windows int, twice boolean, bytes binary")
 
 
 def _index(cut: DataFrame, length: int, parts: int) -> DataFrame:
     """(doc, row, s, e): spans of the windows that the index finds elsewhere."""
 
     def marks(rows: list[tuple]) -> pa.RecordBatch:
-        ms = matching_statistics([r[5] for r in rows])
+        ms = matching_statistics([r[6] for r in rows], np.array([1 + r[5] for r in rows]))
         out, at = [], 0
-        for _, doc, own, lo, w, b in rows:
+        for _, doc, own, lo, w, _, b in rows:
             hit = np.flatnonzero(ms[at : at + w] >= length)
             if len(hit):
                 gap = np.flatnonzero(np.diff(hit) > length)
@@ -360,7 +385,7 @@ def _index(cut: DataFrame, length: int, parts: int) -> DataFrame:
                     rows, size = [], 0
                 key = r[0]
                 rows.append(r)
-                size += len(r[5])
+                size += len(r[6])
         if rows:
             yield marks(rows)
 

@@ -60,8 +60,18 @@ def test_index_is_run_compressed():
     rng = random.Random(8)
     base = bytes(rng.choice(b"abcd") for _ in range(500))
     pieces = [base] * 40
-    index = r.RunIndex(pieces)
+    index = r.RunIndex(pieces, np.ones(40, int))
     assert len(index.first) < 600 < 40 * 500 and index.statistics(pieces).tolist() == [*range(500, 0, -1)] * 40
+    # a piece of weight 2 says what two equal ones do
+    mixed = [base[:200], base[50:300] + b"x", bytes(rng.choice(b"ab") for _ in range(90)), b"abab"]
+    weight = np.array([1, 2, 1, 2])
+    double = [p for p, w in zip(mixed, weight, strict=True) for _ in range(w)]
+    want, at = [], 0
+    every = r.matching_statistics(double).tolist()
+    for p, w in zip(mixed, weight, strict=True):
+        want += every[at : at + len(p)]
+        at += w * len(p)
+    assert r.matching_statistics(mixed, weight).tolist() == want
 
 
 def test_equal_rows_and_empty_table(spark):
