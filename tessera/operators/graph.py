@@ -90,33 +90,57 @@ def touched_communities(start: DataFrame, found: DataFrame, entities: DataFrame,
     return ids.join(entities.select("id", "community").where("community IS NOT NULL"), "id").select("query_id", "community").distinct().join(communities.select(F.col("id").alias("community"), "summary"), "community").select("query_id", "community", "summary")
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, community): local moves that raise modularity, from one community per entity.
-
-    In each round half of the entities, by hash, may join the neighbouring community of most gain (its
-    links there, less those that chance would give), ties to the smaller label; so no two swap for
-    ever. Communities are numbered from 0 in the order of their least member; every entity of an edge
-    is in one.
+def _moved(both: DataFrame, label: DataFrame, twice: DataFrame, half: int) -> DataFrame:
+    """One round of local moves: (id, label, d, moved). Half of the nodes, by hash, may join the neighbouring community of most gain (its links there, less those that chance would give), ties to the smaller label; so no two swap for ever."""
+    links = both.join(label.select(F.col("id").alias("near"), "label"), "near").groupBy("id", "label").agg(F.sum("weight").alias("links"))
+    options = links.unionByName(label.select("id", "label", F.lit(0).cast("long").alias("links"))).groupBy("id", "label").agg(F.sum("links").alias("links"))
+    total = label.groupBy("label").agg(F.sum("d").alias("total"))
+    own = label.select("id", F.col("label").alias("own"), "d")
+    others = F.col("total") - F.when(F.col("own") == F.col("label"), F.col("d")).otherwise(0)
+    gain = F.round(F.col("links") - F.col("d") * others / F.col("twice"), 9)
+    rated = options.join(total, "label").join(own, "id").crossJoin(F.broadcast(twice)).withColumn("gain", gain)  # one row
+    best = rated.groupBy("id").agg(F.min_by("label", F.struct(-F.col("gain"), F.col("label"))).alias("best"))
+    turn = F.pmod(F.xxhash64("id"), F.lit(2)) == half
+    new = F.when(turn, F.col("best")).otherwise(F.col("label"))
+    return label.join(best, "id").select("id", new.alias("label"), "d", (new != F.col("label")).alias("moved"))
+
+
+def communities(edges: DataFrame, rounds: int = 40, levels: int = 12) -> DataFrame:
+    """(id, community): communities of high modularity, in two phases a level.
+
+    First, from one community per node, rounds of local moves until two in a row move fewer than a
+    thousandth of the nodes; then each community becomes a node whose weights are summed, and the next
+    level begins, until one merges nothing. Reaching ``levels`` raises an error; ``rounds`` only ends a
+    phase, as the next level goes on from there. Communities are numbered from 0 in the order of their
+    least member; every entity of an edge is in one.
     """
     w = pair_weights(edges)
     both = cut(w.select(F.col("a").alias("id"), F.col("b").alias("near"), "weight").unionByName(w.select(F.col("b").alias("id"), F.col("a").alias("near"), "weight")))
     ends = both.groupBy("id").agg(F.sum("weight").alias("d"))
-    every = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    every = cut(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct())
+    member = every.select("id", F.col("id").alias("node"))
+    twice = cut(ends.agg(F.sum("d").alias("twice")))
     label = cut(every.join(ends, "id", "left").select("id", F.col("id").alias("label"), F.coalesce("d", F.lit(0)).alias("d")))
-    twice = ends.agg(F.sum("d").alias("twice"))
-    for r in range(rounds):
-        links = both.join(label.select(F.col("id").alias("near"), "label"), "near").groupBy("id", "label").agg(F.sum("weight").alias("links"))
-        options = links.unionByName(label.select("id", "label", F.lit(0).cast("long").alias("links"))).groupBy("id", "label").agg(F.sum("links").alias("links"))
-        total = label.groupBy("label").agg(F.sum("d").alias("total"))
-        own = label.select("id", F.col("label").alias("own"), "d")
-        others = F.col("total") - F.when(F.col("own") == F.col("label"), F.col("d")).otherwise(0)
-        gain = F.round(F.col("links") - F.col("d") * others / F.col("twice"), 9)
-        rated = options.join(total, "label").join(own, "id").crossJoin(F.broadcast(twice)).withColumn("gain", gain)  # one row
-        best = rated.groupBy("id").agg(F.min_by("label", F.struct(-F.col("gain"), F.col("label"))).alias("best"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        label = cut(label.join(best, "id").select("id", F.when(turn, F.col("best")).otherwise(F.col("label")).alias("label"), "d"))
-    number = label.groupBy("label").agg(F.min("id").alias("least")).select("label", (F.row_number().over(Window.orderBy("least")) - 1).alias("community"))
-    return label.join(number, "label").select("id", "community")
+    for _ in range(levels):
+        nodes, quiet = label.count(), 0
+        for r in range(rounds):
+            label = cut(_moved(both, label, twice, r % 2))
+            quiet = quiet + 1 if 1000 * label.where("moved").count() <= nodes else 0
+            label = label.drop("moved")
+            if quiet == 2:
+                break
+        member = cut(member.join(label.select(F.col("id").alias("node"), "label"), "node").select("id", F.col("label").alias("node")))
+        merged = cut(label.groupBy("label").agg(F.sum("d").alias("d")).select(F.col("label").alias("id"), "label", "d"))
+        if merged.count() == nodes:
+            break
+        of = lambda n: label.select(F.col("id").alias(n), F.col("label").alias(f"{n}_label"))  # noqa: E731,B023
+        joined = both.join(of("id"), "id").join(of("near"), "near").where("id_label <> near_label")
+        both = cut(joined.groupBy(F.col("id_label").alias("id"), F.col("near_label").alias("near")).agg(F.sum("weight").alias("weight")))
+        label = merged
+    else:
+        raise RuntimeError(f"communities still merge after {levels} levels")
+    number = member.groupBy("node").agg(F.min("id").alias("least")).select("node", (F.row_number().over(Window.orderBy("least")) - 1).alias("community"))
+    return member.join(number, "node").select("id", "community")
 
 
 def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's folder, or where spark.checkpoint.dir is unset in a temporary one."""
+    """A reliable checkpoint in the session's folder; in local mode, where spark.checkpoint.dir may be unset, in a temporary one."""
     spark = rows.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return rows.checkpoint(eager=True)

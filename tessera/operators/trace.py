@@ -40,7 +40,9 @@ def _cycles(nodes: DataFrame) -> DataFrame:
 
     def run(key, table):
         ids = table.column("id").to_pylist()
-        parents = {i: {p for p in ps if p in set(ids)} for i, ps in zip(ids, table.column("parent_ids").to_pylist(), strict=True)}
+        parents: dict[str, set[str]] = {i: set() for i in ids}
+        for i, ps in zip(ids, table.column("parent_ids").to_pylist(), strict=True):  # nodes that share an id share their parents
+            parents[i].update(p for p in ps if p in parents)
         while ready := [i for i, ps in parents.items() if not ps]:
             for i in ready:
                 del parents[i]

@@ -196,10 +196,10 @@ def f9_word_band(spark, sf_dir):
 
 _BM25 = f"""
 WITH tok AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
 dl AS (SELECT doc_id, len({_TOKENS}) AS dl FROM documents),
 st AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM dl),
-raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM tf, st GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), st),
 av AS (SELECT avg(raw) AS avg_idf, 0.25::DOUBLE * avg(raw) AS eps FROM raw),
 idf AS (SELECT term, df, raw, CASE WHEN raw < 0 THEN eps ELSE raw END AS idf FROM raw, av)
 """
@@ -261,10 +261,10 @@ def l1_dense_topk(spark, sf_dir):
     return dense.top_k(_vectors(spark, sf_dir), [1.0 if i % 3 == 0 else -0.5 for i in range(DIMS)], 20)
 
 
-@query(f"SELECT q.vec_id AS query_id, v.vec_id AS id, {_DOT} AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, v.vec_id) AS INTEGER) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 10 = 0 QUALIFY rank <= 5")
+@query(f"SELECT q.vec_id AS query_id, v.vec_id AS id, {_DOT} AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, v.vec_id) AS INTEGER) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY rank <= 5")
 def j2_dense_batch(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return dense.search(v, v.where("id % 10 = 0").select(F.col("id").alias("query_id"), "embedding"), 5)
+    return dense.search(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), 5)
 
 
 @query(f"SELECT v.label, v.vec_id AS id, {_DOT} AS score, CAST(row_number() OVER (PARTITION BY v.label ORDER BY {_DOT} DESC, v.vec_id) AS INTEGER) AS rank FROM embeddings v, embeddings q WHERE q.vec_id = 0 QUALIFY rank <= 3")
@@ -314,19 +314,19 @@ def l5_hybrid_rerank(spark, sf_dir):
     return ranking.rerank(rows.withColumn("rerank_score", models.LexicalReranker().score(F.col("text"), F.col("passage"))))
 
 
-_GRADED = f"""
-WITH g AS (
-  SELECT q.item_id AS query_id, d.doc_id AS id, CASE WHEN coalesce({_OVERLAP}, 0) >= 0.3 THEN 'correct' WHEN coalesce({_OVERLAP}, 0) > 0 THEN 'ambiguous' ELSE 'incorrect' END AS verdict
-  FROM benchmark q, documents d WHERE d.doc_id % 20 = q.item_id % 20
+_GRADED = _BM25 + _ALL + _SCORED + f""", g AS (
+  SELECT r.query_id, r.doc_id AS id, CASE WHEN coalesce({_OVERLAP}, 0) >= 0.3 THEN 'correct' WHEN coalesce({_OVERLAP}, 0) > 0 THEN 'ambiguous' ELSE 'incorrect' END AS verdict
+  FROM ranked r JOIN q USING (query_id) JOIN documents d USING (doc_id) WHERE r.rank <= 20
 )
 """
 
 
 def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark item's lexical verdicts on the documents of its residue, found by an equi-join."""
-    q = _questions(spark, sf_dir).select("query_id", F.col("text").alias("q"), (F.col("query_id") % 20).alias("r"))
-    d = _docs(spark, sf_dir).withColumn("r", F.col("doc_id") % 20)
-    return d.join(q, "r").select("query_id", F.col("doc_id").alias("id"), grading.lexical_verdict(grading.lexical_overlap(F.col("q"), F.col("text"))).alias("verdict"))
+    """The lexical verdict on each document that BM25 ranks among the first 20 for a benchmark item."""
+    docs, q = _docs(spark, sf_dir), _questions(spark, sf_dir)
+    found = sparse.search(sparse.build(docs), q, 20).select("query_id", "doc_id")
+    rows = found.join(docs, "doc_id").join(q.withColumnRenamed("text", "q"), "query_id")
+    return rows.select("query_id", F.col("doc_id").alias("id"), grading.lexical_verdict(grading.lexical_overlap(F.col("q"), F.col("text"))).alias("verdict"))
 
 
 @query(_GRADED + "SELECT * FROM g")
@@ -359,7 +359,7 @@ def f7_judgement_repair(spark, sf_dir):
 
 # --- the entity graph -------------------------------------------------------------------------------
 
-_EDGES = "WITH e AS (SELECT 's' || l_suppkey AS src, 'ships' AS rel, 'p' || l_partkey AS dst, 'o' || l_orderkey AS chunk_id FROM lineitem WHERE l_quantity >= 45), adj AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+_EDGES = "WITH e AS (SELECT 's' || l_suppkey AS src, 'ships' AS rel, 'p' || l_partkey AS dst, 'o' || l_orderkey AS chunk_id FROM lineitem), adj AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 _HOPS = _EDGES + """,
 q AS (SELECT 1 AS query_id, 's1' AS id UNION ALL SELECT 2, 'p7' UNION ALL SELECT 2, 'p8' UNION ALL SELECT 3, 'nowhere'),
 h0 AS (SELECT DISTINCT query_id, id FROM q WHERE id IN (SELECT src FROM adj)),
@@ -369,14 +369,10 @@ v AS (SELECT query_id, id, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT *, 0 AS
 """
 
 
-def _all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
-    return table(spark, sf_dir, "lineitem").select("l_quantity", name("s", "l_suppkey").alias("src"), F.lit("ships").alias("rel"), name("p", "l_partkey").alias("dst"), name("o", "l_orderkey").alias("chunk_id"))
-
-
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges that the queries with SQL take, by the filter of their SQL."""
-    return _all_edges(spark, sf_dir).where("l_quantity >= 45").drop("l_quantity")
+    """Each line of an order joins its supplier and its part, in the order's chunk."""
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    return table(spark, sf_dir, "lineitem").select(name("s", "l_suppkey").alias("src"), F.lit("ships").alias("rel"), name("p", "l_partkey").alias("dst"), name("o", "l_orderkey").alias("chunk_id"))
 
 
 def _starts(spark: SparkSession) -> DataFrame:
@@ -421,7 +417,7 @@ def w3_hop_chunks(spark, sf_dir):
 
 @query()
 def g3_communities(spark, sf_dir):
-    return graph.communities(_all_edges(spark, sf_dir).drop("l_quantity"), rounds=6)
+    return graph.communities(_edges(spark, sf_dir))
 
 
 _MEMBERS = _EDGES + ", m AS (SELECT src AS id, CAST(src[2:] AS INTEGER) % 7 AS community FROM adj GROUP BY src)"
@@ -697,10 +693,38 @@ def g8_evidence(spark, sf_dir):
     return trace.evidence(trace.exploded(runs)).select("trace_id", F.array_join("chunk_ids", " ").alias("chunk_ids"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS trace_id, CAST(NULL AS VARCHAR) AS problem WHERE false")
+_BROKEN = """
+WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS t, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations),
+n AS (
+  SELECT CAST(conv_id AS VARCHAR) AS trace_id, CASE WHEN conv_id % 6 = 4 AND t = k - 1 THEN 'n0' ELSE 'n' || t END AS id, CASE WHEN conv_id % 6 = 1 AND t = 0 THEN 'strange' ELSE 'grade' END AS kind,
+    CASE WHEN conv_id % 6 = 2 AND t = 1 THEN 'gone' WHEN conv_id % 6 = 3 AND t = 0 THEN 'n' || (k - 1) WHEN t > 0 THEN 'n' || (t - 1) END AS parent
+  FROM c WHERE conv_id % 6 < 5
+),
+r AS (SELECT a.trace_id, a.id, a.parent FROM n a WHERE a.parent IS NOT NULL UNION SELECT r.trace_id, r.id, n.parent FROM r JOIN n ON n.trace_id = r.trace_id AND n.id = r.parent WHERE n.parent IS NOT NULL)
+SELECT DISTINCT trace_id, 'unknown kind' AS problem FROM n WHERE kind <> 'grade'
+UNION SELECT trace_id, 'duplicate id' FROM n GROUP BY trace_id, id HAVING count(*) > 1
+UNION SELECT trace_id, 'dangling parent' FROM n a WHERE parent IS NOT NULL AND NOT EXISTS (FROM n b WHERE b.trace_id = a.trace_id AND b.id = a.parent)
+UNION SELECT trace_id, 'cycle' FROM r WHERE id = parent
+UNION SELECT DISTINCT CAST(conv_id AS VARCHAR), 'empty' FROM conversations WHERE conv_id % 6 = 5
+"""
+
+
+@query(_BROKEN)
 def f13_trace_problems(spark, sf_dir):
-    runs = pipelines.hybrid(_posed(spark, sf_dir), _corpus(spark, sf_dir))
-    return trace.problems(trace.exploded(runs), runs)
+    """Traces made from conversations, five of six kinds broken by rule: unknown kind, lost parent, cycle, id twice, no nodes."""
+    every = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    rule, k = F.col("conv_id") % 6, F.size("turns")
+    name = lambda i: F.concat(F.lit("n"), i.cast("string"))
+
+    def made(_, t: Column) -> Column:
+        own = F.when((rule == 4) & (t == k - 1), F.lit("n0")).otherwise(name(t))
+        kind = F.when((rule == 1) & (t == 0), F.lit("strange")).otherwise(F.lit("grade"))
+        parent = F.when((rule == 2) & (t == 1), F.lit("gone")).when((rule == 3) & (t == 0), name(k - 1)).when(t > 0, name(t - 1))
+        return F.struct(own.alias("id"), kind.alias("kind"), kind.alias("label"), F.filter(F.array(parent), lambda x: x.isNotNull()).alias("parent_ids"), F.lit(0.0).alias("duration_ms"), F.lit("").alias("explain"), F.lit("{}").alias("payload"))
+
+    nodes = F.when(rule < 5, F.transform("turns", lambda x, i: made(x, i)))
+    traces = every.select(F.col("conv_id").cast("string").alias("trace_id"), nodes.alias("nodes"))
+    return trace.problems(trace.exploded(traces.where("nodes IS NOT NULL")), traces)
 
 
 _Q = "'Answer from the context alone and cite the ids of the chunks that you use.' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg('[c::' || turn || '] (' || role || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) || 'Question: what was said in ' || conv_id"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.functions import text as T
 from tessera.operators import sparse
 
 
@@ -15,7 +16,7 @@ def index_stream(documents: DataFrame, folder: str, checkpoint: str, **trigger)
     def write(batch: DataFrame, number: int) -> None:
         built = sparse.postings(batch)
         built.write.mode("overwrite").parquet(f"{folder}/postings/batch={number}")
-        batch.select("doc_id", F.size(F.split(F.trim("text"), r"\s+")).cast("long").alias("dl")).write.mode("overwrite").parquet(f"{folder}/lengths/batch={number}")
+        batch.select("doc_id", F.size(T.tokens(F.coalesce("text", F.lit("")))).cast("long").alias("dl")).write.mode("overwrite").parquet(f"{folder}/lengths/batch={number}")
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
