@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,14 +107,14 @@ def _moved(both: DataFrame, label: DataFrame, twice: DataFrame, half: int) -> Da
     return label.join(best, "id").select("id", new.alias("label"), "d", (new != F.col("label")).alias("moved"))
 
 
-def communities(edges: DataFrame, rounds: int = 40, levels: int = 12) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 8, levels: int | None = None) -> DataFrame:
     """(id, community): communities of high modularity, in two phases a level.
 
-    First, from one community per node, rounds of local moves until two in a row move fewer than a
-    thousandth of the nodes; then each community becomes a node whose weights are summed, and the next
-    level begins, until one merges nothing. Reaching ``levels`` raises an error; ``rounds`` only ends a
-    phase, as the next level goes on from there. Communities are numbered from 0 in the order of their
-    least member; every entity of an edge is in one.
+    First, from one community per node, rounds of local moves until two in a row move no more than a
+    hundredth of the nodes; then each community becomes a node whose weights are summed, and the next
+    level begins, until one merges nothing or ``levels`` are done. ``rounds`` only ends a phase, as the
+    next level goes on from there. Communities are numbered from 0 in the order of their least member;
+    every entity of an edge is in one.
     """
     w = pair_weights(edges)
     both = cut(w.select(F.col("a").alias("id"), F.col("b").alias("near"), "weight").unionByName(w.select(F.col("b").alias("id"), F.col("a").alias("near"), "weight")))
@@ -121,24 +123,22 @@ def communities(edges: DataFrame, rounds: int = 40, levels: int = 12) -> DataFra
     member = every.select("id", F.col("id").alias("node"))
     twice = cut(ends.agg(F.sum("d").alias("twice")))
     label = cut(every.join(ends, "id", "left").select("id", F.col("id").alias("label"), F.coalesce("d", F.lit(0)).alias("d")))
-    for _ in range(levels):
+    for level in itertools.count(1):
         nodes, quiet = label.count(), 0
         for r in range(rounds):
             label = cut(_moved(both, label, twice, r % 2))
-            quiet = quiet + 1 if 1000 * label.where("moved").count() <= nodes else 0
+            quiet = quiet + 1 if 100 * label.where("moved").count() <= nodes else 0
             label = label.drop("moved")
             if quiet == 2:
                 break
         member = cut(member.join(label.select(F.col("id").alias("node"), "label"), "node").select("id", F.col("label").alias("node")))
         merged = cut(label.groupBy("label").agg(F.sum("d").alias("d")).select(F.col("label").alias("id"), "label", "d"))
-        if merged.count() == nodes:
+        if level == levels or merged.count() == nodes:
             break
         of = lambda n: label.select(F.col("id").alias(n), F.col("label").alias(f"{n}_label"))  # noqa: E731,B023
         joined = both.join(of("id"), "id").join(of("near"), "near").where("id_label <> near_label")
         both = cut(joined.groupBy(F.col("id_label").alias("id"), F.col("near_label").alias("near")).agg(F.sum("weight").alias("weight")))
         label = merged
-    else:
-        raise RuntimeError(f"communities still merge after {levels} levels")
     number = member.groupBy("node").agg(F.min("id").alias("least")).select("node", (F.row_number().over(Window.orderBy("least")) - 1).alias("community"))
     return member.join(number, "node").select("id", "community")
 
