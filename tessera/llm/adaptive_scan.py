@@ -126,7 +126,7 @@ def nearest(vectors: DataFrame, query_rule: str = "vec_id % 100 = 0", k: int = 1
             turned = v.astype(np.float32) @ turn
             yield pa.RecordBatch.from_arrays([pa.array(own), c.column(b, "vec_id"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([x.tobytes() for x in turned], pa.binary())], ["list", "vec_id", "raw", "columns"])
 
-    indexed = c.checkpoint(every.mapInArrow(placed, "list int, vec_id long, raw binary, columns binary"))
+    indexed = c.checkpoint(every.mapInArrow(c.tidied(placed), "list int, vec_id long, raw binary, columns binary"))
     sizes = dict(indexed.groupBy("list").count().collect())  # one row per list
     count = np.array([sizes.get(i, 0) for i in range(lists)])
     probes = max(1, round(probe * lists))
@@ -149,7 +149,7 @@ def nearest(vectors: DataFrame, query_rule: str = "vec_id % 100 = 0", k: int = 1
                     rows += [(int(t), i, float(kth), raw, columns) for t in to if count[t]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["list", "vec_id", "kth", "raw", "columns"])
 
-        return c.checkpoint(queries.mapInArrow(probing, "list int, vec_id long, kth double, raw binary, columns binary"))
+        return c.checkpoint(queries.mapInArrow(c.tidied(probing), "list int, vec_id long, kth double, raw binary, columns binary"))
 
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     part = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")

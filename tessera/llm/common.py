@@ -6,8 +6,10 @@ per document is a few array slices rather than a Python loop over words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,18 @@ def tasks_for(df: DataFrame, rows: int = SMALL) -> int:
     return min(max(1, -(-df.count() // rows)), shuffle_partitions(df.sparkSession))
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives freed memory back: idle workers of earlier stages stay beside those of the next."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can't trim
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidy
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -204,7 +218,7 @@ def _masked(df: DataFrame, cols: list[str], bits: np.ndarray, inside: bool) -> D
 
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema.fields, strict=True))
     own = df.select("*", _slot(cols, len(bits)).alias("__slot")).toDF(*names, "__slot")
-    return own.mapInArrow(keep, kinds).toDF(*df.columns)
+    return own.mapInArrow(tidied(keep), kinds).toDF(*df.columns)
 
 
 def semi_filtered(df: DataFrame, cols: str | list[str], ids: DataFrame) -> DataFrame:

@@ -148,7 +148,7 @@ def _documents(docs: DataFrame) -> DataFrame:
             got = line_hashes(c.as_bytes(c.column(b, "text")))
             yield c.record_batch(schema, c.column(b, "doc_id"), [w for *_, w in got], c.column(b, "also"), [len(h) for h, *_ in got], [h.tobytes() for h, *_ in got], [s.astype(np.int32).tobytes() for _, s, _ in got])
 
-    return docs.withColumn("also", F.xxhash64("text")).mapInArrow(run, "doc_id long, whole long, also long, lines int, hashes binary, sizes binary")
+    return docs.withColumn("also", F.xxhash64("text")).mapInArrow(c.tidied(run), "doc_id long, whole long, also long, lines int, hashes binary, sizes binary")
 
 
 def removed_lines(docs: DataFrame, rare: int = RARE, block_lines: int = BLOCK_LINES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -168,7 +168,7 @@ def removed_lines(docs: DataFrame, rare: int = RARE, block_lines: int = BLOCK_LI
             text, key, passage = block_keys(h, sizes, counts, block_lines, block_bytes)
             yield c.record_batch(keys, key, passage, ids[text])
 
-    held = own.select("doc_id", "lines", "hashes", "sizes").mapInArrow(lines, "line long, passage boolean, doc_id long")
+    held = own.select("doc_id", "lines", "hashes", "sizes").mapInArrow(c.tidied(lines), "line long, passage boolean, doc_id long")
     shared = held.groupBy("line").agg(F.count("*").alias("n"), F.max("passage").alias("passage"), F.min("doc_id").alias("a")).where((F.col("n") >= 2) & (F.col("passage") | (F.col("n") <= rare))).select("line", "a")
     shared = c.checkpoint(shared)
     few = c.semi_filtered(held.select("line", "doc_id"), "line", shared)  # lines that are no keys, the very common ones among them, aren't shuffled
@@ -190,7 +190,7 @@ def removed_lines(docs: DataFrame, rare: int = RARE, block_lines: int = BLOCK_LI
                         rows.append((b, at, n))
             yield c.record_batch(spans, *(zip(*rows, strict=True) if rows else [[]] * 3))
 
-    blocks = joined.mapInArrow(align, "doc_id long, line int, n int").groupBy("doc_id").agg(F.collect_set(F.struct("line", "n")).alias("spans"))
+    blocks = joined.mapInArrow(c.tidied(align), "doc_id long, line int, n int").groupBy("doc_id").agg(F.collect_set(F.struct("line", "n")).alias("spans"))
     copies = marked.where("doc_id <> first").select("doc_id", F.array(F.struct(F.lit(0).alias("line"), F.col("lines").alias("n"))).alias("spans"), F.lit(True).alias("all_lines")).distinct()
     return blocks.withColumn("all_lines", F.lit(False)).unionByName(copies)
 
@@ -222,7 +222,7 @@ def _apply(docs: DataFrame, cuts: DataFrame) -> DataFrame:
             n, r, k = zip(*counts, strict=True) if counts else ((), (), ())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(kept, pa.string()), *(pa.array(x, pa.int64()) for x in (n, r, k))], [*names, *schema.names[1:]])
 
-    cut = joined.mapInArrow(run, f"{kinds}, kept string, n_lines long, n_removed long, n_blocks long")
+    cut = joined.mapInArrow(c.tidied(run), f"{kinds}, kept string, n_lines long, n_removed long, n_blocks long")
     n_lines = F.when(F.octet_length(text) > 0, F.length(text) - F.length(F.translate(text, "\n", "")) + 1).otherwise(0).cast("long")
     none = F.lit(0).cast("long")
     whole = rest.select(*names, F.col(text).alias("kept"), n_lines.alias("n_lines"), none.alias("n_removed"), none.alias("n_blocks"))

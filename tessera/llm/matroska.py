@@ -299,7 +299,7 @@ def encode_column(docs: DataFrame, lacing: str = "fixed") -> DataFrame:
             for i, j in c.blocks(texts, 8 << 20):
                 yield c.record_batch(schema, ids.slice(i, j - i), [len(t) for t in texts[i:j]], [write_pcm(payload(t), lacing) for t in texts[i:j]])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(c.tidied(run), "doc_id long, n_bytes long, media binary")
 
 
 def packet_table(media: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -318,7 +318,7 @@ def packet_table(media: DataFrame, key: str = "doc_id") -> DataFrame:
                 })
 
     kind = media.schema[key].dataType.simpleString()
-    return media.select(key, "media").mapInArrow(run, f"{key} {kind}, {kinds}")
+    return media.select(key, "media").mapInArrow(c.tidied(run), f"{key} {kind}, {kinds}")
 
 
 def media_features(docs: DataFrame, lacing: str = "fixed") -> DataFrame:
@@ -332,4 +332,4 @@ def media_features(docs: DataFrame, lacing: str = "fixed") -> DataFrame:
                 rows.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(got, samples)))
             yield c.record_batch(_ROW, *(zip(*rows, strict=True) if rows else [[]] * 8))
 
-    return encode_column(docs, lacing).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return encode_column(docs, lacing).mapInArrow(c.tidied(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

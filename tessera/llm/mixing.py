@@ -42,7 +42,7 @@ def document_sizes(docs: DataFrame) -> DataFrame:
                 size.append(np.diff(c.Block(texts[i:j]).words()[2]))
             yield c.record_batch(schema, c.column(b, "doc_id"), c.column(b, "source"), np.concatenate(size) if size else [])
 
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(run, "doc_id long, source string, size long")
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(c.tidied(run), "doc_id long, source string, size long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:

@@ -197,7 +197,7 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
             k = _keys(sets)
             yield c.record_batch(_SETS, c.column(b, "doc_id"), [len(s) for s in sets], c.signed(k[0]), c.signed(k[1]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.select("doc_id", "text").mapInArrow(c.tidied(run), "doc_id long, n_shingles long, h1 long, h2 long")
 
 
 def _tiled(docs: DataFrame, n: int, num: int) -> DataFrame:
@@ -219,7 +219,7 @@ def _tiled(docs: DataFrame, n: int, num: int) -> DataFrame:
                 if out:
                     yield c.record_batch(_TILED, c.signed(np.concatenate(out)), c.signed(np.repeat(np.array(key, c.U), size)))
 
-    return docs.select("text").mapInArrow(run, "tile long, key long")
+    return docs.select("text").mapInArrow(c.tidied(run), "tile long, key long")
 
 
 def _meet(tiled: DataFrame, parts: int) -> DataFrame:
@@ -265,7 +265,7 @@ def _meet(tiled: DataFrame, parts: int) -> DataFrame:
             at = np.repeat(first[o] - np.cumsum(n) + n, n) + np.arange(n.sum())
             yield c.record_batch(_MET, np.repeat(group[o], n), k[at], np.repeat(times, n))
 
-    return tiled.repartition(parts, "tile").mapInArrow(run, "tile long, key long, shared int")
+    return tiled.repartition(parts, "tile").mapInArrow(c.tidied(run), "tile long, key long, shared int")
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -280,7 +280,7 @@ def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield c.record_batch(schema, ids.slice(i, j - i), [len(h) for h in sets], [h.tobytes() for h in sets])
 
     thin = c.semi_filtered(docs.select("doc_id", "text"), "doc_id", wanted.withColumnRenamed("id", "doc_id"))
-    return thin.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "id long, n long, hashes binary")
+    return thin.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(c.tidied(run), "id long, n long, hashes binary")
 
 
 def verify(pairs: DataFrame, arrays: DataFrame, num: int, parts: int) -> DataFrame:
@@ -310,7 +310,7 @@ def verify(pairs: DataFrame, arrays: DataFrame, num: int, parts: int) -> DataFra
                     b.append(i)
             yield c.record_batch(schema, a, b)
 
-    return rows.repartition(parts, "hub", "share").sortWithinPartitions("hub", "share", "role", "id").mapInArrow(run, "a long, b long")
+    return rows.repartition(parts, "hub", "share").sortWithinPartitions("hub", "share", "role", "id").mapInArrow(c.tidied(run), "a long, b long")
 
 
 def _maps(arrays: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ def _maps(arrays: DataFrame) -> DataFrame:
             wide = [_width(len(h)) for h in sets]
             yield c.record_batch(schema, c.column(b, "id"), c.column(b, "n"), *([bitmap(h, k * w).tobytes() for h, w in zip(sets, wide, strict=True)] for k in (1, 2)))
 
-    return arrays.mapInArrow(run, "id long, n long, m1 binary, m2 binary")
+    return arrays.mapInArrow(c.tidied(run), "id long, n long, m1 binary, m2 binary")
 
 
 def _stack(rows: list[tuple]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -375,7 +375,7 @@ def _possible(pairs: DataFrame, maps: DataFrame, num: int) -> DataFrame:
                     keep.append(i)
             yield c.record_batch(_PAIR, [a[i] for i in keep], [b[i] for i in keep])
 
-    return pick.mapInArrow(run, "a long, b long")
+    return pick.mapInArrow(c.tidied(run), "a long, b long")
 
 
 def _crossing(families: DataFrame, comp: DataFrame, maps: DataFrame, num: int, parts: int) -> DataFrame:
@@ -408,7 +408,7 @@ def _crossing(families: DataFrame, comp: DataFrame, maps: DataFrame, num: int, p
             yield close(at, rows)
 
     dealt = blocks.select("hub", "block", "blocks", *names).repartition(parts, "hub", "block").sortWithinPartitions("hub", "block")
-    first = c.checkpoint(dealt.mapInArrow(own, "a long, b long, hub long, block int, data binary"), WIDE)
+    first = c.checkpoint(dealt.mapInArrow(c.tidied(own), "a long, b long, hub long, block int, data binary"), WIDE)
     packed = first.where("hub IS NOT NULL")
     x, y = packed.select("hub", "block", "data"), packed.select("hub", F.col("block").alias("block2"), F.col("data").alias("data2"))
 
@@ -418,7 +418,7 @@ def _crossing(families: DataFrame, comp: DataFrame, maps: DataFrame, num: int, p
                 found = _allowed(pickle.loads(p), _stack(pickle.loads(q)), num)
                 yield c.record_batch(_PAIR, [f[0] for f in found], [f[1] for f in found])
 
-    across = x.join(y, "hub").where("block < block2").select("data", "data2").repartition(parts).mapInArrow(compare, "a long, b long")
+    across = x.join(y, "hub").where("block < block2").select("data", "data2").repartition(parts).mapInArrow(c.tidied(compare), "a long, b long")
     return first.where("hub IS NULL").select("a", "b").unionByName(across).distinct()
 
 

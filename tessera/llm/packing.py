@@ -133,7 +133,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
                         rows.append((ids[k], p, s, min(capacity, n - s), zlib.crc32(raw[4 * s : 4 * (s + capacity)]), k))
             yield c.record_batch(_PIECE, *(zip(*rows, strict=True) if rows else [[]] * 6))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, salt int")
+    return docs.select("doc_id", "text").mapInArrow(c.tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long, salt int")
 
 
 def fit(length: np.ndarray, capacity: int, max_docs: int, max_cost: int, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> tuple[np.ndarray, np.ndarray]:

@@ -114,7 +114,7 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     p = slice(i, i + 50_000)
                     yield c.record_batch(_ANCHOR, c.signed(key[p]), c.signed(whole[p]), doc[p], own[p], lo[p], windows[p], rel[p])
 
-    return docs.mapInArrow(run, f"anchor long, whole long, {_PLACES}")
+    return docs.mapInArrow(c.tidied(run), f"anchor long, whole long, {_PLACES}")
 
 
 def _meet(anchors: DataFrame, parts: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _meet(anchors: DataFrame, parts: int) -> DataFrame:
                 yield out
 
     dealt = anchors.repartition(parts, "anchor").sortWithinPartitions("anchor", "whole", "doc", "row", "lo")
-    return dealt.mapInArrow(run, f"indexed boolean, twice boolean, anchor long, whole long, {_PLACES}")
+    return dealt.mapInArrow(c.tidied(run), f"indexed boolean, twice boolean, anchor long, whole long, {_PLACES}")
 
 
 def suffix_array(text: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -339,7 +339,7 @@ def _finer(docs: DataFrame, kinds: DataFrame, parts: int, length: int, gram: int
             if rows:
                 yield c.record_batch(_ANCHOR, *zip(*rows, strict=True))
 
-    return _listed(docs, kinds).mapInArrow(run, f"anchor long, whole long, {_PLACES}")
+    return _listed(docs, kinds).mapInArrow(c.tidied(run), f"anchor long, whole long, {_PLACES}")
 
 
 def _cut(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
@@ -358,7 +358,7 @@ def _cut(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield c.record_batch(_CONTEXT, *zip(*rows, strict=True))
 
-    return _listed(docs, kinds).mapInArrow(run, "key long, doc long, row long, lo long, windows int, twice boolean, bytes binary")
+    return _listed(docs, kinds).mapInArrow(c.tidied(run), "key long, doc long, row long, lo long, windows int, twice boolean, bytes binary")
 
 
 def _index(cut: DataFrame, length: int, parts: int) -> DataFrame:
@@ -389,7 +389,7 @@ def _index(cut: DataFrame, length: int, parts: int) -> DataFrame:
         if rows:
             yield marks(rows)
 
-    return cut.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "doc long, row long, s long, e long")
+    return cut.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(c.tidied(run), "doc long, row long, s long, e long")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -439,7 +439,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, keep_by
                 out.append((doc, len(t), len(t) - len(rest), n_spans, rest if keep_bytes else None, hashlib.sha256(rest).hexdigest()))
             yield c.record_batch(_KEPT, *(zip(*out, strict=True) if out else [[]] * 6))
 
-    cut = some.join(by_doc, ["doc", "row"], "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    cut = some.join(by_doc, ["doc", "row"], "left").mapInArrow(c.tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     raw, none = F.coalesce("text", F.lit("")).cast("binary"), F.lit(0).cast("long")
     whole = rest.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), (raw if keep_bytes else F.lit(None).cast("binary")).alias("kept"), F.sha2(raw, 256).alias("kept_sha256"))
     return cut.unionByName(whole)

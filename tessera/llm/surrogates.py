@@ -244,7 +244,7 @@ def detected(docs: DataFrame) -> DataFrame:
             rows = [(doc, row, *f) for doc, row, t in zip(*(c.column(b, x).to_pylist() for x in ("doc_id", "row", "text")), strict=True) if t for f in detect(t)]
             yield c.record_batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 6))
 
-    return docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), c.row_key().alias("row"), "text").mapInArrow(run, _SPAN)
+    return docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), c.row_key().alias("row"), "text").mapInArrow(c.tidied(run), _SPAN)
 
 
 def assign(entities: DataFrame, key: bytes, rounds: int = 12) -> DataFrame:
@@ -256,7 +256,7 @@ def assign(entities: DataFrame, key: bytes, rounds: int = 12) -> DataFrame:
             k, e, a = (c.column(b, x).to_pylist() for x in ("kind", "entity", "attempt"))
             yield c.record_batch(schema, k, e, a, [surrogate(key, *x) for x in zip(k, e, a, strict=True)])
 
-    made = c.checkpoint(entities.withColumn("attempt", F.lit(0)).mapInArrow(run, "kind string, entity string, attempt int, surrogate string"))
+    made = c.checkpoint(entities.withColumn("attempt", F.lit(0)).mapInArrow(c.tidied(run), "kind string, entity string, attempt int, surrogate string"))
     for _ in range(rounds):
         least = made.groupBy("kind", "surrogate").agg(F.min("entity").alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "surrogate", "first")
         clash = made.join(least, ["kind", "surrogate"]).where("entity <> first").select("kind", "entity", "attempt")
@@ -264,7 +264,7 @@ def assign(entities: DataFrame, key: bytes, rounds: int = 12) -> DataFrame:
         again = c.checkpoint(clash.unionByName(real).distinct())
         if not again.limit(1).count():
             return made.select("kind", "entity", "surrogate")
-        fresh = again.withColumn("attempt", F.col("attempt") + 1).mapInArrow(run, "kind string, entity string, attempt int, surrogate string")
+        fresh = again.withColumn("attempt", F.col("attempt") + 1).mapInArrow(c.tidied(run), "kind string, entity string, attempt int, surrogate string")
         made = c.checkpoint(made.join(again, ["kind", "entity"], "left_anti").unionByName(fresh))
     raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
@@ -300,5 +300,5 @@ def replaced(docs: DataFrame, key: bytes) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if i == at else x for i, x in enumerate(b.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64())], [*names, "n_entities"])
 
-    done = joined.mapInArrow(run, f"{kinds}, n_entities long")
+    done = joined.mapInArrow(c.tidied(run), f"{kinds}, n_entities long")
     return done.unionByName(rest.select(*names, F.lit(0).cast("long").alias("n_entities"))).toDF(*docs.columns, "n_entities")

@@ -342,7 +342,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 5000, train_bytes:
         p = train(c.as_bytes(got.column("text").combine_chunks()), got.column("toxic").to_numpy())
         yield c.record_batch(schema, list(p), [list(x.shape) for x in p.values()], [x.dtype.str for x in p.values()], [x.tobytes() for x in p.values()])
 
-    made = rows.repartition(1).mapInArrow(run, "name string, shape array<long>, kind string, data binary").toArrow()  # tables of fixed size
+    made = rows.repartition(1).mapInArrow(c.tidied(run), "name string, shape array<long>, kind string, data binary").toArrow()  # tables of fixed size
     if not made.num_rows:  # an empty table has no partition
         return train([], np.zeros(0, np.int64))
     return {r["name"]: np.frombuffer(r["data"], r["kind"]).reshape(r["shape"]) for r in made.to_pylist()}
@@ -359,4 +359,4 @@ def toxicity(docs: DataFrame, parameters: dict) -> DataFrame:
             yield c.record_batch(schema, c.column(b, "doc_id"), c.column(b, "held_out"), s, (s >= 0.5).astype(np.int32))
 
     rows = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(c.tidied(run), "doc_id long, held_out boolean, score double, predicted int")
