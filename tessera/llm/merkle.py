@@ -76,7 +76,7 @@ def _height(a: DataFrame, b: DataFrame) -> int:
     if low is None:
         return 0
     n = 0
-    while low >> FAN_BITS * n != high >> FAN_BITS * n and n < 64 // FAN_BITS:
+    while (top := (low >> FAN_BITS * n, high >> FAN_BITS * n)) != (-1, 0) and top[0] != top[1]:
         n += 1
     return n
 
