@@ -7,7 +7,8 @@ k-th distance is rejected: scaled partial distance > k-th distance * (1 + epsilo
 What survives is measured exactly, in double precision, on the original vectors.
 
 The lists' centres are fitted on at most SAMPLE vectors, the ones of least hash; every vector is
-indexed. The k-th distance among the sampled vectors of a query's probed lists is the bound that it
+indexed. How many lists a query looks into is measured on the sample: as many as hold the share
+``recall`` of the k nearest others of ASKED of its vectors that the centres weren't fitted on. The k-th distance among the sampled vectors of a query's probed lists is the bound that it
 starts with; results come from the scan alone. Queries for which it finds fewer than k are asked again,
 in all lists and without abandoning, so that none finds fewer than k where there are k. Each (list,
 share of the list, share of its queries) is one unit of work of bounded rows: a list that holds a third
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm import common as c
 
 SAMPLE = 16384
+#: Vectors of the sample that measure how many lists to probe.
+ASKED = 256
 COLUMNS = 16
 #: Candidates and queries of one unit of work; queries that are scanned at once.
 LIST_SHARE = 16384
@@ -55,6 +58,23 @@ def fit_centres(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def probes_needed(sample: np.ndarray, ids: np.ndarray, centres: np.ndarray, asked: int, k: int, recall: float) -> int:
+    """The least number of nearest lists that holds the share recall of the k nearest others, in the sample, of its first asked vectors."""
+    norm = (sample**2).sum(1)
+    member = np.argmin((centres**2).sum(1) - 2 * sample @ centres.T, 1)
+    needed = []
+    for at in range(0, asked, AT_ONCE):
+        q = sample[at : min(at + AT_ONCE, asked)]
+        d = norm - 2 * q @ sample.T
+        d[ids[at : at + len(q), None] == ids] = np.inf
+        near = np.argpartition(d, min(k, len(sample)) - 1, 1)[:, :k]
+        order = np.argsort((centres**2).sum(1) - 2 * q @ centres.T, 1, kind="stable")
+        place = np.argsort(order, 1)
+        needed.append(np.take_along_axis(place, member[near], 1)[np.isfinite(np.take_along_axis(d, near, 1))])
+    needed = np.sort(np.concatenate(needed)) if needed else np.zeros(0, int)
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1 if len(needed) else len(centres)
+
+
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
     return q * np.sign(np.diag(r))
@@ -95,10 +115,10 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 _UNIT = "list int, share int, qshare int, role int, vec_id long, kth double, raw binary, columns binary"
 
 
-def nearest(vectors: DataFrame, query_rule: str = "vec_id % 100 = 0", k: int = 10, lists: int = 128, probe: float = 0.65, epsilon: float = 2.1, again: bool = True) -> DataFrame:
+def nearest(vectors: DataFrame, query_rule: str = "vec_id % 100 = 0", k: int = 10, lists: int = 128, recall: float = 0.96, epsilon: float = 2.1, again: bool = True) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector that query_rule selects its k nearest others found, by Euclidean distance.
 
-    vectors(vec_id, embedding). probe: the share of the lists that a query looks into.
+    vectors(vec_id, embedding). recall: the share of the sample's nearest that the probed lists must hold; 1 probes what the sample needs at most.
     again: ask those that find fewer than k again; False leaves what the scan found.
     """
     spark = vectors.sparkSession
@@ -114,7 +134,8 @@ def nearest(vectors: DataFrame, query_rule: str = "vec_id % 100 = 0", k: int = 1
     sample_ids = got.column("vec_id").to_numpy()
     sample = np.array(got.column("v").combine_chunks().flatten()).reshape(-1, dims)
     lists = max(1, min(lists, len(sample) // 32))
-    centres = fit_centres(sample, lists)
+    asked = min(ASKED, len(sample) // 4)
+    centres = fit_centres(sample[asked:], lists)
     turn = rotation(dims).astype(np.float32)
     model = sc.broadcast((centres, turn, sample_ids, sample))  # SAMPLE and as many centres as lists, whatever the input
 
@@ -129,7 +150,7 @@ def nearest(vectors: DataFrame, query_rule: str = "vec_id % 100 = 0", k: int = 1
     indexed = c.checkpoint(every.mapInArrow(c.tidied(placed), "list int, vec_id long, raw binary, columns binary"))
     sizes = dict(indexed.groupBy("list").count().collect())  # one row per list
     count = np.array([sizes.get(i, 0) for i in range(lists)])
-    probes = max(1, round(probe * lists))
+    probes = probes_needed(sample, sample_ids, centres, asked, k, recall)
 
     def asking(queries: DataFrame, probes: int) -> DataFrame:
         def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

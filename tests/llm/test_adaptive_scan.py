@@ -45,10 +45,29 @@ def test_recall_of_the_scan_alone_above_the_sample(spark, monkeypatch):
     x = _clusters(8000)
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     alone, whole = a.nearest(vectors, again=False).collect(), a.nearest(vectors).collect()
-    assert _recall(x, alone) >= 0.85 and _recall(x, whole) >= _recall(x, alone)
+    assert _recall(x, alone) >= 0.9 and _recall(x, whole) >= _recall(x, alone)
     assert len(whole) == 800 and len({(r.query_id, r.vec_id) for r in whole}) == 800
 
 
+def test_recall_with_few_sampled_vectors(spark, monkeypatch):
+    monkeypatch.setattr(a, "SAMPLE", 200)
+    x = np.random.default_rng(4).standard_normal((3000, 32)).astype(np.float32)  # no clusters: lists say little
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert _recall(x, a.nearest(vectors, again=False).collect()) >= 0.9
+
+
+def test_probes_follow_the_data():
+    rng = np.random.default_rng(5)
+    apart = rng.standard_normal((640, 16)) + 50 * np.eye(16)[np.arange(640) % 8]
+    mixed = rng.standard_normal((640, 16))
+    ids = np.arange(640)
+    few, many = (a.probes_needed(s, ids, a.fit_centres(s[160:], 20), 160, 10, 0.96) for s in (apart, mixed))
+    assert few < many <= 20
+    assert a.probes_needed(mixed, ids, a.fit_centres(mixed, 20), 160, 10, 1.0) >= many
+    assert a.probes_needed(mixed[:1], ids[:1], mixed[:1], 0, 10, 0.96) == 1
+    assert a.probes_needed(mixed[:4], np.zeros(4, int), mixed[:1], 4, 10, 0.96) == 1  # one id: no others
+
+
 def test_results_come_from_the_scan_alone(spark, monkeypatch):
     monkeypatch.setattr(a, "COLUMNS", 8)
     x = _clusters(400)
