@@ -90,7 +90,7 @@ def backend_mix(rows: DataFrame) -> DataFrame:
 
 def routing_accuracy(rows: DataFrame, rubric: DataFrame) -> DataFrame:
     """(total, correct, accuracy) of adaptive rows. rubric(question_type, acceptable array); types without one don't count."""
-    a = rows.where("architecture = 'adaptive' AND adaptive_routed_to IS NOT NULL").join(F.broadcast(rubric.limit(1000)), "question_type", "left")
+    a = rows.where("architecture = 'adaptive' AND adaptive_routed_to IS NOT NULL").join(rubric, "question_type", "left")
     ok = F.array_contains("acceptable", F.col("adaptive_routed_to"))
     return a.agg(F.count(ok).alias("total"), F.count_if(ok).alias("correct"), F.avg(ok.cast("int")).alias("accuracy"))
 

@@ -92,8 +92,8 @@ def touched_communities(start: DataFrame, found: DataFrame, entities: DataFrame,
     return ids.join(entities.select("id", "community").where("community IS NOT NULL"), "id").select("query_id", "community").distinct().join(communities.select(F.col("id").alias("community"), "summary"), "community").select("query_id", "community", "summary")
 
 
-def _moved(both: DataFrame, label: DataFrame, twice: DataFrame, half: int) -> DataFrame:
-    """One round of local moves: (id, label, d, moved). Half of the nodes, by hash, may join the neighbouring community of most gain (its links there, less those that chance would give), ties to the smaller label; so no two swap for ever."""
+def _moved(both: DataFrame, label: DataFrame, twice: DataFrame, half: int, deal: int) -> DataFrame:
+    """One round of local moves: (id, label, d, moved). Half of the nodes, by a hash that ``deal`` seeds, may join the neighbouring community of most gain (its links there, less those that chance would give), ties to the smaller label; so two that swap in one deal don't in another."""
     links = both.join(label.select(F.col("id").alias("near"), "label"), "near").groupBy("id", "label").agg(F.sum("weight").alias("links"))
     options = links.unionByName(label.select("id", "label", F.lit(0).cast("long").alias("links"))).groupBy("id", "label").agg(F.sum("links").alias("links"))
     total = label.groupBy("label").agg(F.sum("d").alias("total"))
@@ -102,7 +102,7 @@ def _moved(both: DataFrame, label: DataFrame, twice: DataFrame, half: int) -> Da
     gain = F.round(F.col("links") - F.col("d") * others / F.col("twice"), 9)
     rated = options.join(total, "label").join(own, "id").crossJoin(F.broadcast(twice)).withColumn("gain", gain)  # one row
     best = rated.groupBy("id").agg(F.min_by("label", F.struct(-F.col("gain"), F.col("label"))).alias("best"))
-    turn = F.pmod(F.xxhash64("id"), F.lit(2)) == half
+    turn = F.pmod(F.xxhash64("id", F.lit(deal)), F.lit(2)) == half
     new = F.when(turn, F.col("best")).otherwise(F.col("label"))
     return label.join(best, "id").select("id", new.alias("label"), "d", (new != F.col("label")).alias("moved"))
 
@@ -110,10 +110,10 @@ def _moved(both: DataFrame, label: DataFrame, twice: DataFrame, half: int) -> Da
 def communities(edges: DataFrame, rounds: int = 8, levels: int | None = None) -> DataFrame:
     """(id, community): communities of high modularity, in two phases a level.
 
-    First, from one community per node, rounds of local moves until two in a row move no more than a
-    hundredth of the nodes; then each community becomes a node whose weights are summed, and the next
-    level begins, until one merges nothing or ``levels`` are done. ``rounds`` only ends a phase, as the
-    next level goes on from there. Communities are numbered from 0 in the order of their least member;
+    First, from one community per node, pairs of rounds of local moves until a pair, in which every node
+    has a turn, moves no more than a hundredth of the nodes; then each community becomes a node whose
+    weights are summed, and the next level begins, until one ends so and merges nothing or ``levels`` are
+    done. ``rounds`` (2 at least) only ends a phase, as the next level goes on from there. Communities are numbered from 0 in the order of their least member;
     every entity of an edge is in one.
     """
     w = pair_weights(edges)
@@ -124,16 +124,17 @@ def communities(edges: DataFrame, rounds: int = 8, levels: int | None = None) ->
     twice = cut(ends.agg(F.sum("d").alias("twice")))
     label = cut(every.join(ends, "id", "left").select("id", F.col("id").alias("label"), F.coalesce("d", F.lit(0)).alias("d")))
     for level in itertools.count(1):
-        nodes, quiet = label.count(), 0
-        for r in range(rounds):
-            label = cut(_moved(both, label, twice, r % 2))
-            quiet = quiet + 1 if 100 * label.where("moved").count() <= nodes else 0
+        nodes, moved, settled = label.count(), 0, False
+        for r in range(max(rounds, 2)):
+            label = cut(_moved(both, label, twice, r % 2, level * rounds + r // 2))
+            moved = label.where("moved").count() + (moved if r % 2 else 0)
             label = label.drop("moved")
-            if quiet == 2:
+            settled = r % 2 == 1 and 100 * moved <= nodes
+            if settled:
                 break
         member = cut(member.join(label.select(F.col("id").alias("node"), "label"), "node").select("id", F.col("label").alias("node")))
         merged = cut(label.groupBy("label").agg(F.sum("d").alias("d")).select(F.col("label").alias("id"), "label", "d"))
-        if level == levels or merged.count() == nodes:
+        if level == levels or (settled and merged.count() == nodes):
             break
         of = lambda n: label.select(F.col("id").alias(n), F.col("label").alias(f"{n}_label"))  # noqa: E731,B023
         joined = both.join(of("id"), "id").join(of("near"), "near").where("id_label <> near_label")

@@ -25,7 +25,7 @@ def parent_kinds(nodes: DataFrame, edges: DataFrame, required: DataFrame) -> Dat
 
     nodes(graph, id, kind), edges(graph, src, dst), required(kind, accepted array, least): a row for each kind that needs parents.
     """
-    need = nodes.join(F.broadcast(required.limit(1000)), "kind")  # one row for each kind
+    need = nodes.join(required, "kind")
     source = nodes.select("graph", F.col("id").alias("src"), F.col("kind").alias("src_kind"))
     found = edges.join(source, ["graph", "src"]).join(need.select("graph", F.col("id").alias("dst"), "accepted"), ["graph", "dst"]).where(F.array_contains("accepted", F.col("src_kind")))
     count = found.groupBy("graph", F.col("dst").alias("id")).agg(F.count("*").alias("parents"))

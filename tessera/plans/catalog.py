@@ -681,6 +681,31 @@ def _pipeline(name: str) -> Query:
 for _i, _a in enumerate(config.ARCHITECTURES, 1):
     QUERIES[f"p{_i}_{_a}"] = _pipeline(_a)
 
+_WORDS = "CAST(len(list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')) AS INTEGER)"
+_PARA = "chr(10) || chr(10)"
+
+#: In this graph each region is linked to its nations alone, so that communities are the regions.
+ORACLE["p5_graph"] = f"""
+WITH e AS (SELECT lower(n_name) AS src, lower(r_name) AS dst, 'd::' || n_nationkey AS chunk_id FROM nation JOIN region ON n_regionkey = r_regionkey),
+adj AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+deg AS (SELECT src AS id, count(*) AS degree FROM adj GROUP BY src),
+ev AS (SELECT src AS id, chunk_id FROM e UNION SELECT dst, chunk_id FROM e),
+q AS (SELECT item_id AS query_id, text || CASE item_id % 4 WHEN 1 THEN ' in ' || coalesce(n_name, 'France') WHEN 2 THEN ' via RRF' WHEN 3 THEN ' and the rest of it' ELSE '' END AS text FROM benchmark LEFT JOIN nation ON n_nationkey * 4 + 1 = item_id),
+h0 AS (SELECT query_id, id FROM q JOIN deg ON regexp_matches(lower(text), '(^|[^a-z0-9_])' || id || '($|[^a-z0-9_])')),
+h1 AS (SELECT DISTINCT query_id, dst AS id FROM h0 JOIN adj ON src = id),
+h2 AS (SELECT DISTINCT query_id, dst AS id FROM h1 JOIN adj ON src = id),
+v AS (SELECT * FROM h0 UNION SELECT * FROM h1 UNION SELECT * FROM h2),
+c AS (SELECT query_id, chunk_id, degree, id FROM v JOIN deg USING (id) JOIN ev USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY degree DESC, id) = 1),
+r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY degree DESC, id, chunk_id) AS rank FROM c QUALIFY rank <= 40),
+h AS (SELECT query_id, string_agg(chunk_id, ' ' ORDER BY rank) AS chunk_ids, string_agg('[' || chunk_id || ']' || chr(10) || text, {_PARA} ORDER BY rank) AS context, arg_min(text || ' [' || chunk_id || ']', rank) AS answer FROM r JOIN documents ON 'd::' || doc_id = chunk_id GROUP BY query_id),
+m AS (SELECT dst AS region, 'Entities: ' || dst || ', ' || string_agg(src, ', ') AS summary FROM e GROUP BY dst),
+g AS (SELECT query_id, 'Background, not to be cited:' || chr(10) || string_agg(summary, chr(10)) || {_PARA} AS background FROM v JOIN m ON region = id GROUP BY query_id),
+a AS (SELECT q.query_id, q.text, coalesce(chunk_ids, '') AS chunk_ids, coalesce(answer, 'The context does not answer this question.') AS answer,
+  'Answer from the context alone and cite the ids of the chunks that you use.' || {_PARA} || coalesce(background, '') || 'Context:' || chr(10) || coalesce(context, '') || {_PARA} || 'Question: ' || q.text AS prompt
+  FROM q LEFT JOIN h USING (query_id) LEFT JOIN g USING (query_id))
+SELECT query_id, 'graph' AS architecture, 'graph::' || sha256(text)[:10] AS trace_id, chunk_ids, sha256(answer) AS answer_sha, 1 AS llm_calls, {_WORDS.format("prompt")} AS prompt_tokens, {_WORDS.format("answer")} AS completion_tokens, 3 AS n_nodes FROM a
+"""
+
 
 @query()
 def p9_spec_hybrid(spark, sf_dir):

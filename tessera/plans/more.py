@@ -243,10 +243,10 @@ def x5_word_usage(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", views.word_usage(F.col("text"), F.col("role"), own, F.lit(None).cast("int")).alias("u")).select("conv_id", "turn", "u.prompt_tokens", "u.completion_tokens")
 
 
-@query("SELECT doc_id, lang || ' notes' AS title, ['a', lower(lang)] AS tags, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'no tags' WHEN 2 THEN 'no created' ELSE 'no opening ---' END AS problem FROM documents".replace("['a', lower(lang)] AS tags", "CASE WHEN doc_id % 4 = 1 THEN '' ELSE 'a,' || lang END AS tags").replace("len(list", "CAST(len(list").replace("x <> '')) AS words", "x <> '')) AS BIGINT) AS words") + " WHERE text NOT LIKE '%---%'")
+@query("SELECT doc_id, lang || ' notes' AS title, ['a', lower(lang)] AS tags, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS words, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'no tags' WHEN 2 THEN 'no created' ELSE 'no opening ---' END AS problem FROM documents".replace("['a', lower(lang)] AS tags", "CASE WHEN doc_id % 4 = 1 THEN '' ELSE 'a,' || lang END AS tags").replace("len(list", "CAST(len(list").replace("x <> '')) AS words", "x <> '')) AS BIGINT) AS words"))
 def s19_strict_notes(spark, sf_dir):
-    d, m = table(spark, sf_dir, "documents").where("NOT contains(text, '---')"), F.col("doc_id") % 4  # the second parser cuts at any dashes
-    text = F.concat(F.when(m == 3, "\n").otherwise(""), F.lit("---\ntitle: \""), "lang", F.lit(" notes\"\ntags: ["), F.when(m == 1, "").otherwise(F.concat(F.lit("a, "), "lang")), F.lit("]\nentities:\n  - One\n  - 'two b'\n"), F.when(m == 2, "").otherwise("created: 2024-05-01\n"), F.lit("---\n"), "text")
+    d, m = table(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    text = F.concat(F.when(m == 3, "\n").otherwise(""), F.lit("---\ntitle: \""), "lang", F.lit(" notes\"\ntags: ["), F.when(m == 1, "").otherwise(F.concat(F.lit("a, "), "lang")), F.lit("]\nentities:\n  - One\n  - 'two b'\n"), F.when(m == 2, "").otherwise("created: 2024-05-01\n"), F.lit("---\n"), F.coalesce("text", F.lit("")))
     got = views.strict_notes(d.select(F.col("doc_id").alias("name"), text.alias("text")))
     return got.select(F.col("name").alias("doc_id"), "title", F.array_join("tags", ",").alias("tags"), F.col("words").cast("long").alias("words"), "problem")
 

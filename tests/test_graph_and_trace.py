@@ -34,6 +34,13 @@ def test_communities_cover_every_entity_and_find_cliques(spark):
     assert graph.modularity(e, m).first().modularity > 0.3
 
 
+def test_stars_are_communities_whatever_their_names(spark):
+    """A hub and its leaves may stand in the same half and swap communities; the halves are dealt anew, so that none stays cut."""
+    e = spark.createDataFrame([(f"leaf {h}-{i}", "r", f"hub {h}", "c") for h in range(12) for i in range(5)], "src string, rel string, dst string, chunk_id string")
+    by = {r.id: r.community for r in graph.communities(e).collect()}
+    assert all(len({by[f"hub {h}"]} | {by[f"leaf {h}-{i}"] for i in range(5)}) == 1 for h in range(12)) and len(set(by.values())) == 12
+
+
 def test_communities_query_takes_every_edge(spark, tmp_path):
     rows = [(i % 3, i, 100 + i, float(i)) for i in range(60)]
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
