@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -53,6 +54,18 @@ def checkpoint(df: DataFrame, rows_per_batch: int | None = None) -> DataFrame:
         spark.conf.set(key, before)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path beside the checkpoints, where driver and executors can reach it."""
+    checkpoint(spark.range(1))  # makes sure that there is a checkpoint folder
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """df, written as Parquet and read again: its size is known to the planner, and lost tasks don't reach behind it."""
+    df.write.mode(mode).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows of ids and labels that one task holds at least, where a table is small.
 SMALL = 100_000
 

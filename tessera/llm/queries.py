@@ -100,6 +100,13 @@ def op10_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(c.table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.manifest import audited
+
+    return audited(c.table(spark, sf_dir, "documents"))
+
+
 _RECORDS = r"""
 WITH r AS (
   SELECT page_id AS record, page_id // 256 AS file,
@@ -137,3 +144,55 @@ p AS (
 SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, m.component_id
 FROM g JOIN (SELECT id, min(reached) AS component_id FROM r GROUP BY id) m ON m.id = g.doc_id
 """
+
+
+def _crc32(number: str) -> str:
+    """SQL for the unsigned CRC-32 of the decimal digits of an integer, a bit at a time (0xEDB88320 is its reversed polynomial)."""
+    byte = f"list_transform(range(1, length({number}::VARCHAR) + 1), lambda i: ord(({number}::VARCHAR)[i])::BIGINT)"
+    bits = "list_reduce(list_concat([xor(acc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)"
+    return f"xor(list_reduce(list_concat([4294967295]::BIGINT[], {byte}), lambda acc, b: {bits}), 4294967295)"
+
+
+def _tree_sql(name: str, leaves: str, levels: int) -> str:
+    """SQL of the nodes (lvl, g, i, n, h) of each group's tree of eights, and of the siblings (g, i, lvl, b, a) of each leaf."""
+    out = [f"{name}0 AS ({leaves})"]
+    for k in range(levels):
+        out.append(f"{name}{k + 1} AS (SELECT g, i // 8 AS i, max(n + 7) // 8 AS n, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}{k} WHERE n > 1 GROUP BY g, i // 8)")
+    step = "SELECT x.g, x.i, {k} AS lvl, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < x.j), '') AS b, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > x.j), '') AS a FROM (SELECT g, i, i // {d} AS j FROM {t}0) x JOIN {t}{k} s ON s.g = x.g AND s.i // 8 = x.j // 8 AND s.n > 1 GROUP BY x.g, x.i, x.j"
+    out.append(f"{name}_steps AS ({' UNION ALL '.join(step.format(k=k, d=8**k, t=name) for k in range(levels))})")
+    out.append(f"{name}_top AS ({' UNION ALL '.join(f'SELECT g, h FROM {name}{k} WHERE n = 1' for k in range(levels + 1))})")
+    return ",\n".join(out)
+
+
+#: Levels that the SQL can tell: 8^7 rows of a language.
+_LEVELS = 7
+ORACLE["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR] AS head, text,
+    {_crc32("doc_id")} % 3 = 0 AS struck
+  FROM documents
+), f AS (
+  SELECT *, array_to_string(list_transform(head, lambda x: coalesce(strlen(x) || ':' || x, '-')), '') AS pre,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM d
+), v AS (
+  SELECT doc_id, g, sha256(pre || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN struck THEN sha256(pre || coalesce(strlen(low) || ':' || low, '-')) END AS forged
+  FROM f
+), w AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM v
+),
+{_tree_sql("t", "SELECT g, i, n, leaf AS h FROM w", _LEVELS)},
+{_tree_sql("u", "SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, h FROM t_top", _LEVELS)},
+s AS (
+  SELECT g, i, lvl, b, a FROM t_steps
+  UNION ALL SELECT w.g, w.i, {_LEVELS} + u.lvl, u.b, u.a FROM w JOIN (SELECT g, row_number() OVER (ORDER BY g) - 1 AS place FROM t_top) p ON p.g = w.g JOIN u_steps u ON u.i = p.place
+), l AS (
+  SELECT g, i, list({{'b': b, 'a': a}} ORDER BY lvl) AS steps, string_agg(b || a, '' ORDER BY lvl) AS proof FROM s GROUP BY g, i
+), z AS (
+  SELECT w.g, w.i, 0 AS k, coalesce(w.forged, w.leaf) AS h, coalesce(l.steps, []) AS steps FROM w LEFT JOIN l ON l.g = w.g AND l.i = w.i
+  UNION ALL SELECT g, i, k + 1, sha256(steps[k + 1].b || h || steps[k + 1].a), steps FROM z WHERE k < len(steps)
+)
+SELECT w.doc_id, w.leaf, t.h AS subroot, u.h AS root, sha256(coalesce(l.proof, '')) AS proof_sha256, z.h AS folded_root, z.h = u.h AS verified
+FROM w JOIN t_top t ON t.g = w.g CROSS JOIN u_top u LEFT JOIN l ON l.g = w.g AND l.i = w.i JOIN z ON z.g = w.g AND z.i = w.i AND z.k = len(z.steps)
+"""
