@@ -107,6 +107,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(c.table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.trie import rebuilt_trie
+
+    return rebuilt_trie(c.table(spark, sf_dir, "conversations"))
+
+
 _RECORDS = r"""
 WITH r AS (
   SELECT page_id AS record, page_id // 256 AS file,
@@ -196,3 +203,31 @@ s AS (
 SELECT w.doc_id, w.leaf, t.h AS subroot, u.h AS root, sha256(coalesce(l.proof, '')) AS proof_sha256, z.h AS folded_root, z.h = u.h AS verified
 FROM w JOIN t_top t ON t.g = w.g CROSS JOIN u_top u LEFT JOIN l ON l.g = w.g AND l.i = w.i JOIN z ON z.g = w.g AND z.i = w.i AND z.k = len(z.steps)
 """
+ORACLE["op12_prefix_trie"] = f"""
+WITH k AS (SELECT DISTINCT conv_id, {_crc32("conv_id")} % 9 AS h FROM conversations WHERE conv_id IS NOT NULL
+), t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations
+), r AS (
+  SELECT k.conv_id, 0 AS part, t.place, role, text FROM k JOIN t ON t.conv_id = k.conv_id - k.conv_id % 5 AND t.place <= k.h
+  UNION ALL SELECT k.conv_id, 1, t.place, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND t.place > k.h
+), o AS (
+  SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes, list(strlen(role) || ':' || role || text) OVER w AS path
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)
+), p AS (
+  SELECT conv_id, depth, bytes, path FROM o UNION ALL SELECT conv_id, 0, 0, [] FROM k
+), e AS (SELECT conv_id, max(depth) AS stop FROM p GROUP BY conv_id
+), n AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (stop = depth), '') AS ends
+  FROM p JOIN e USING (conv_id) GROUP BY path, depth
+), c AS (SELECT path[:-2] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY path[:-2]
+), m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (path)
+), u AS (
+  SELECT x.path[:d] AS path, sum((n_convs - 1) * bytes) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM m) x GROUP BY x.path[:d]
+)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.leaves AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN u ON u.path = m.path LEFT JOIN n q ON m.depth > 0 AND q.path = m.path[:-2]
+"""
