@@ -30,8 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common as c
 
 SHARD = 1 << 16
-#: Documents in a sequence at most, and weights of what is left of tokens, documents and cost.
-MAX_DOCS = 1024
+#: Weights of what is left of tokens, documents and cost.
 WEIGHTS = (1.0, 0.3, 0.3)
 #: Distinct words whose ids a worker keeps (about 34 bytes each); beyond, it starts anew. Words that the tokenizer gets at once; bytes of text that are looked up at once.
 CACHE = 2_000_000
@@ -192,14 +191,15 @@ def fit(length: np.ndarray, capacity: int, max_docs: int, max_cost: int, rule: s
 _PACKED = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, max_docs: int = MAX_DOCS, max_cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS, shard: int = SHARD) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS, shard: int = SHARD) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): where each piece goes.
 
-    tokenizer: path of a tokenizer file that every executor can read. max_cost: the sum of squared
-    lengths in a sequence; by default a full piece's, the least that lets every piece in, which what
-    is left of tokens never exceeds: it then counts in the norm only.
+    tokenizer: path of a tokenizer file that every executor can read. max_docs: documents in a sequence;
+    max_cost: the sum of squared lengths in one. By default they are as many as there are tokens, and a
+    full piece's, the least that lets every piece in: tokens alone then close a sequence, and the others
+    count in the norm.
     """
-    max_cost = max_cost or capacity * capacity
+    max_docs, max_cost = max_docs or capacity, max_cost or capacity * capacity
     pieces = c.checkpoint(token_pieces(docs, tokenizer, capacity, end_id))
     shards = max(1, round(pieces.count() / shard))
 

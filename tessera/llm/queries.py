@@ -114,6 +114,15 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt_trie(c.table(spark, sf_dir, "conversations"))
 
 
+@query
+def op13_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.curve_packing import pack_along_curve
+
+    return pack_along_curve(c.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
+
+
 _RECORDS = r"""
 WITH r AS (
   SELECT page_id AS record, page_id // 256 AS file,

@@ -1,11 +1,15 @@
 """PII: surrogate generation. Detected entities get keyed replacements that keep type and format.
 
-* Detection: e-mail addresses, phone numbers, IPv4 addresses, payment card numbers, long hexadecimal
-  secrets after a naming word, and persons after a title (with later mentions of the same name).
+* Detection: e-mail addresses, phone numbers (international, and national forms of several countries),
+  IPv4 addresses, payment card numbers, account numbers (IBAN, by their check digits), national
+  identity numbers of the form 123-45-6789, long hexadecimal secrets after a naming word, and persons
+  after titles: any run of them, then initials, particles and names (with later mentions of the same
+  name). A title is never taken for a name.
 * A surrogate depends on the key and the entity alone, so mentions anywhere in the corpus stay one.
   Digits and letters are enciphered class by class by a Feistel network over the entity's own pattern
-  of classes, which is one-to-one; cards keep their check digit valid; e-mail domains become reserved
-  ones; persons get a name of the same gender (by title), script and number of words.
+  of classes, which is one-to-one; cards and account numbers keep their check digits valid; e-mail
+  domains become reserved ones; persons get a name of the same gender (by the first title that has
+  one), script and number of words, initials for initials; particles stay.
 * Collision checks: if two entities of a type get one surrogate, or a surrogate equals an entity of the
   corpus, all but the least entity are enciphered again with the next tweak until none collides. The
   checks are aggregates over the distinct entities; no list of them reaches the driver.
@@ -35,8 +39,10 @@ from tessera.llm import common as c
 TITLES = {
     "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "г-н", "κ."),
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "г-жа", "κα"),
-    "n": ("Dr", "Prof"),
+    "n": ("Dr", "Prof", "Professor", "Doktor", "Dipl.-Ing", "Ing", "Mag", "Rev"),
 }
+# Particles of family names, which stay as they are.
+PARTICLES = ("von", "vom", "van", "zu", "zum", "zur", "de", "den", "der", "del", "della", "di", "da", "dos", "du", "des", "la", "le", "ten", "ter", "bin", "al", "y")
 GIVEN = {
     ("latin", "m"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Marco", "Nils", "Oscar", "Paul", "Quentin", "Robert", "Simon", "Thomas"),
     ("latin", "f"): ("Anna", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helen", "Irene", "Julia", "Karin", "Laura", "Maria", "Nora", "Olga", "Paula", "Rosa", "Sara", "Tina", "Vera"),
@@ -55,13 +61,27 @@ ENDINGS = {"latin": ("son", "er", "man", "ley"), "cyrillic": ("ов", "ин", "
 _EMAIL = re.compile(r"[A-Za-z0-9À-ɏ._%+\-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24}")
 _LOCAL = re.compile(r"[A-Za-z0-9À-ɏ._%+\-]*$")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)", re.ASCII)
-_PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w)", re.ASCII)
+_PHONE = re.compile(
+    r"(?<![\w+])(?:\+1[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}"  # international
+    r"|\(\d{3}\) ?\d{3}-\d{4}|[2-9]\d{2}([ .\-])\d{3}\1\d{4}|[6-9]\d{2} \d{3} \d{3}"  # North American, Spanish
+    r"|(?!\d\d([\-/])\d\d\2\d{4}(?!\d))(?:\(0\d{1,4}\) ?|0\d{1,4}[ \-/])\d{2,8}(?:[ \-]\d{2,5}){0,4}|0\d(?:\.\d{2}){4})(?!\w)",  # with the national 0, no dates
+    re.ASCII,
+)
+_IDENTITY = re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", re.ASCII)
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)", re.ASCII)
 _CARD = re.compile(r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?![\w.]*\d)", re.ASCII)
 _SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[=:]\s*[\"']?([0-9A-Za-z_\-]{16,128})")
-_DIGITS = re.compile(r"[+(]?\d[\d .\-()]{5,}\d", re.ASCII)
+_DIGITS = re.compile(r"[+(]?\d[\d .\-()/]{5,}\d", re.ASCII)
 _TITLE = {t: g for g, ts in TITLES.items() for t in ts}
-_WORD = r"[A-ZÀ-ÞΆ-ΫА-Я][\w'’\-]+"
-_PERSON = re.compile(r"(?<!\w)(" + "|".join(map(re.escape, sorted(_TITLE, key=len, reverse=True))) + rf")\.? ({_WORD}(?: {_WORD}){{0,2}})")
+_ALL = "|".join(map(re.escape, sorted(_TITLE, key=len, reverse=True)))
+_CAPITAL = "[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ]"
+_WORD = rf"(?!(?:{_ALL})(?!\w)){_CAPITAL}[\w'’\-]+"
+_INITIALS = rf"(?:{_CAPITAL}\.(?:-?{_CAPITAL}\.)*)"
+_PARTICLES = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
+#: Between a title and what follows: a full stop, blanks, at most one end of line; and degrees in lower case, such as med. or rer. nat.
+_GAP = r"(?:(?:\.[ \u00a0\t]*|[ \u00a0\t]+)(?:\r?\n[ \t]*)?|\r?\n[ \t]*)"
+_PERSON = re.compile(rf"(?<!\w)((?:{_ALL})(?:{_GAP}(?:{_ALL})(?!\w))*){_GAP}(?:[a-zäöü]{{1,5}}\. ?){{0,4}}((?:{_INITIALS} ?){{0,3}}{_PARTICLES}{_WORD}(?: (?:{_INITIALS} ){{0,2}}{_PARTICLES}{_WORD}){{0,2}})")
+_ONE_TITLE = re.compile(rf"(?<!\w)(?:{_ALL})(?!\w)")
 
 
 def luhn(digits: str) -> int:
@@ -70,10 +90,20 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def iban_check(country: str, account: str) -> str:
+    """The two check digits of a country's account number."""
+    return f"{98 - int(''.join(str(int(x, 36)) for x in account + country + '00')) % 97:02d}"
+
+
+def _gender(titles: str) -> str:
+    """Of a run of titles: of the first that has one."""
+    return next((g for t in _ONE_TITLE.findall(titles) if (g := _TITLE[t]) != "n"), "n")
+
+
 def _persons(text: str) -> list[tuple[int, int, str, str]]:
     """Mentions of the persons that a title names somewhere in the text."""
     gender: dict[str, str] = {}
-    titled = [(m.span(2), m[2], _TITLE[m[1]]) for m in _PERSON.finditer(text)]
+    titled = [(m.span(2), m[2], _gender(m[1])) for m in _PERSON.finditer(text)]
     for _, name, g in titled:
         if gender.get(name, "n") == "n":
             gender[name] = g
@@ -98,6 +128,19 @@ def _persons(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _accounts(text: str) -> list[tuple[int, int, str, str]]:
+    out = []
+    for m in _IBAN.finditer(text):
+        raw = m[0]
+        while raw:  # what follows may look like its last group
+            plain = raw.replace(" ", "")
+            if len(plain) >= 15 and iban_check(plain[:2], plain[4:]) == plain[2:4]:
+                out.append((m.start(), m.start() + len(raw), "iban", plain))
+                break
+            raw = raw.rpartition(" ")[0]
+    return out
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, entity) of each entity, in order, not overlapping. The entity is what mentions share: type ``person`` has the gender before the name."""
     found: list[tuple[int, int, str, str]] = []
@@ -112,15 +155,21 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         s, e = run.span()
         while s and (text[s - 1].isalnum() or text[s - 1] in "+("):
             s -= 1
-        for kind, pattern in (("ip", _IP), ("phone", _PHONE), ("card", _CARD)):
-            for m in pattern.finditer(text, s, min(len(text), e + 4)):
+        view, base = text[max(0, s - 1) : e + 5], max(0, s - 1)
+        for kind, pattern in (("ip", _IP), ("national", _IDENTITY), ("phone", _PHONE), ("card", _CARD)):
+            for m in pattern.finditer(view, s - base, min(len(view), e + 4 - base)):
                 digits = re.sub(r"\D", "", m[0])
                 if kind == "phone" and not 7 <= len(digits) <= 15 or kind == "card" and not 13 <= len(digits) <= 19:
                     continue
                 if kind == "phone" and m[0][0] == "+":
                     country = len(re.match(r"\+(\d*)", m[0])[1])
                     digits = f"{digits[:country]}:{digits[country:]}"
-                found.append((*m.span(), kind, m[0] if kind == "ip" else digits))
+                elif kind == "phone" and digits[0] == "0":
+                    digits = f"0:{digits[1:]}"
+                found.append((base + m.start(), base + m.end(), kind, m[0] if kind == "ip" else digits))
+                if kind in ("ip", "national"):  # what is one isn't a part of a number beside it
+                    view = view[: m.start()] + "\n" * len(m[0]) + view[m.end() :]
+    found += _accounts(text)
     low = text.lower() if any(w in text for w in ("oken", "OKEN", "ecret", "ECRET", "assw", "ASSW", "key", "KEY", "Key")) else ""
     if low:
         found += [(*m.span(1), "secret", m[1]) for m in _SECRET.finditer(text) if any(x.isdigit() for x in m[1])]
@@ -195,6 +244,11 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     if kind == "phone":
         country, mark, rest = entity.rpartition(":")
         return country + mark + encipher(key, tweak + country, rest)
+    if kind == "national":
+        return encipher(key, tweak, entity)
+    if kind == "iban":
+        account = encipher(key, tweak + entity[:2], entity[4:])
+        return entity[:2] + iban_check(entity[:2], account) + account
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", entity):
             return encipher(key, tweak, entity, True)
@@ -203,8 +257,18 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     words, n, script = name.split(), _number(key, tweak, entity), _script(name)
     pool = GIVEN[script, gender] if gender != "n" else GIVEN[script, "m"] + GIVEN[script, "f"]
     out = []
-    for k in range(len(words)):
-        if k < len(words) - 1:
+    for k, word in enumerate(words):
+        if word in PARTICLES:
+            out.append(word)
+        elif k < len(words) - 1 and "." in word:
+            letters = []
+            for x in word:
+                if x.isalpha():
+                    first, size = {"latin": ("A", 26), "cyrillic": ("А", 24), "greek": ("Α", 16)}[script]
+                    x, n = chr(ord(first) + n % size), n // size
+                letters.append(x)
+            out.append("".join(letters))
+        elif k < len(words) - 1:
             out.append(pool[n % len(pool)])
             n //= len(pool)
         else:
@@ -224,7 +288,10 @@ def render(raw: str, kind: str, value: str) -> str:
         return " ".join(words[-len(raw.split()) :])  # the family name where the mention is that alone
     if kind == "email":
         return value.upper() if raw.isupper() else value
-    if kind in ("phone", "card"):
+    if kind == "iban":
+        letters = iter(value)
+        return "".join(x if x == " " else next(letters) for x in raw)
+    if kind in ("phone", "card", "national"):
         digits = iter(value.replace(":", ""))
         return "".join(next(digits) if x.isdigit() else x for x in raw)
     return value

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import line_alignment as la
@@ -139,6 +140,64 @@ def test_mentions_of_one_person_stay_one():
     assert two == {"m:Al Roe", "f:Bea Roe", "n:Roe"}
 
 
+@pytest.mark.parametrize(
+    ("text", "captured", "gender"),
+    [
+        ("Prof. Dr. Hans Müller came; Müller spoke", "Hans Müller", "n"),
+        ("Herr Dr. Müller kam", "Müller", "m"),
+        ("Frau Dr. Anna Weber kam, Weber ging", "Anna Weber", "f"),
+        ("Mr. J. R. Tolkien wrote", "J. R. Tolkien", "m"),
+        ("Mr. J.R.R. Tolkien wrote", "J.R.R. Tolkien", "m"),
+        ("Herr von Braun sprach", "von Braun", "m"),
+        ("Dr. med. Eva Klein", "Eva Klein", "n"),
+        ("gez. Dr.\nHans Weber", "Hans Weber", "n"),
+        ("Herr Prof. Dr. h. c. Ludwig van Beethoven", "Ludwig van Beethoven", "m"),
+        ("Señora Ana de la Cruz", "Ana de la Cruz", "f"),
+        ("г-н Иван Петров", "Иван Петров", "m"),
+    ],
+)
+def test_titles_initials_and_particles(spark, text, captured, gender):
+    assert {e for *_, e in s.detect(text)} == {f"{gender}:{captured}"}
+    out = s.replaced(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"key").first().text
+    assert not {w for w in captured.split() if w not in s.PARTICLES and "." not in w} & set(re.findall(r"\w+", out))
+    titles = re.match(r"(?:gez\. )?[\w-]+\.?", text)[0]
+    assert out.startswith(titles) and len(s.detect(out)) == len(s.detect(text))
+
+
+def test_a_title_is_no_name():
+    assert s.detect("Mrs. Dr") == [] and s.detect("Prof. Dr. came") == [] and [e for *_, e in s.detect("Mr Smith. Dr Jones")] == ["m:Smith", "n:Jones"]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "raw", "pattern"),
+    [
+        ("call 030 1234567 now", "phone", "030 1234567", r"0\d\d \d{7}"),
+        ("call 0171/1234567.", "phone", "0171/1234567", r"0\d{3}/\d{7}"),
+        ("tel. 01.23.45.67.89", "phone", "01.23.45.67.89", r"0\d(\.\d\d){4}"),
+        ("tel. 612 345 678,", "phone", "612 345 678", r"\d{3} \d{3} \d{3}"),
+        ("tel. 212.555.0123", "phone", "212.555.0123", r"\d{3}\.\d{3}\.\d{4}"),
+        ("no 123-45-6789!", "national", "123-45-6789", r"\d{3}-\d\d-\d{4}"),
+        ("to DE89 3704 0044 0532 0130 00 by", "iban", "DE89 3704 0044 0532 0130 00", r"DE\d\d( \d{4}){4} \d\d"),
+        ("to GB82WEST12345698765432 by", "iban", "GB82WEST12345698765432", r"GB\d\d[A-Z]{4}\d{14}"),
+        ("to IT60 X054 2811 1010 0000 0123 456 MEHR", "iban", "IT60 X054 2811 1010 0000 0123 456", r"IT\d\d [A-Z]\d{3}( \d{4}){4} \d{3}"),
+    ],
+)
+def test_numbers_of_more_kinds(text, kind, raw, pattern):
+    ((a, b, k, e),) = s.detect(text)
+    assert (text[a:b], k) == (raw, kind)
+    out = s.render(raw, kind, s.surrogate(b"key", kind, e))
+    assert out != raw and re.fullmatch(pattern, out)
+    if kind == "iban":
+        plain = out.replace(" ", "")
+        assert int("".join(str(int(x, 36)) for x in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_dates_are_no_numbers_and_neighbours_stay_apart():
+    assert s.detect("on 01-02-2024 or 01/02/2024 and 12-34-5678") == []
+    assert [x[2:] for x in s.detect("+1 (826) 555-4081 190.137.223.204 +1 (826) 555-4082 4111111111111111")] == [("phone", "1:8265554081"), ("ip", "190.137.223.204"), ("phone", "1:8265554082"), ("card", "4111111111111111")]
+    assert len({s.surrogate(b"k", "iban", f"DE{s.iban_check('DE', f'{i:018d}')}{i:018d}") for i in range(2000)}) == 2000
+
+
 def test_replacement_equals_one_by_one(spark):
     """Every row against detection, surrogates and their collision checks in plain Python."""
     texts = [TEXT, TEXT, "ip 10.0.0.%d " * 3 % (1, 2, 3), None, "", "x@a.org " * 3000, "call 123-456-7890 or a1@b.org", "Mr Al Roe wrote; Roe left"] + [f"host 10.0.{i % 7}.{i} and u{i}@m{i % 3}.org" for i in range(60)]

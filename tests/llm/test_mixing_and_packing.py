@@ -109,3 +109,19 @@ def test_every_capacity_binds(rule):
     assert len(np.unique(free)) <= 1.03 * length.sum() / 100 + 1 if rule == "norm" else True
     with pytest.raises(ValueError):
         packing.fit(np.array([101]), 100, 4, 10000)
+
+
+def test_empty_texts_fill_sequences(spark):
+    """Documents of one token: as many to a sequence as it has tokens."""
+    d = spark.range(20000).selectExpr("id AS doc_id", "'' AS text", "'x' AS piece", "7 AS offset")
+    got = packing.pack_documents(d, PATH)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert got.select("sequence_id").distinct().count() == 5 and got.count() == 20000
+
+
+def test_few_more_sequences_than_tokens_need(spark):
+    rng = random.Random(4)
+    rows = [(i if i % 9 else None, " ".join(["w"] * rng.choice([3, 40, 700, 2500, 9000]))) for i in range(200)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    assert sum(r.doc_id is None for r in got) >= 23
+    assert len({r.sequence_id for r in got}) <= 1.05 * -(-sum(r.length for r in got) // 4096) + 1
