@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's folder; in local mode, where spark.checkpoint.dir may be unset, in a temporary one."""
-    spark = rows.sparkSession
+def _folder(spark: SparkSession) -> None:
+    """Makes sure that there is a checkpoint folder: the session's; in local mode, where spark.checkpoint.dir may be unset, a temporary one."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """A reliable checkpoint."""
+    _folder(rows.sparkSession)
     return rows.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path beside the checkpoints, which driver and executors share."""
+    _folder(spark)
+    spark.range(1).checkpoint(eager=True)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
