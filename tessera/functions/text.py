@@ -124,7 +124,7 @@ def mentions(text: Column, pattern: Column) -> Column:
 
 def mention_pattern(entity: Column) -> Column:
     """Pattern of an entity: its parts between white space or hyphens, joined by either, at word boundaries."""
-    return F.concat(F.lit(r"\b\Q"), F.regexp_replace(entity, r"[\s\-]+", r"\\E[\\s\\-]+\\Q"), F.lit(r"\E\b"))
+    return F.concat(F.lit(r"(?U)\b\Q"), F.regexp_replace(entity, r"(?U)[\s\-]+", r"\\E[\\s\\-]+\\Q"), F.lit(r"\E\b"))
 
 
 def json_of(text: Column) -> Column:

@@ -12,8 +12,8 @@ that any of them gives to a query of weight 1. So a search reads
    with all lighter words. A document that reaches it lies in one of these;
 4. of those documents that still may reach it, what skipped blocks add, found by the hash's bits.
 
-Postings are never shuffled: lists of needed blocks are sent to where the blocks are read, if they have
-at most SENT rows, which is counted; larger batches of queries join instead. Only scores are shuffled.
+Postings are never shuffled: lists of needed blocks are sent to where the blocks are read, if they are
+few, which is counted; larger batches of queries join instead. Only scores are shuffled.
 Scores, ties and documents without a hit are those of ``sparse.search``.
 
 A query with a word of negative weight (words that most documents hold may have one) isn't pruned, nor
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from tessera import config
 from tessera.functions import text as T
 from tessera.operators import sparse
-from tessera.operators.lineage import cut, scratch
+from tessera.operators.lineage import cut, scratch, sent
 from tessera.operators.ranking import first_n
 
-#: Postings of a block; postings of a bucket of words, at most so many buckets; words that a scan is told by name; rows that are sent to every task.
-SPAN, BUCKET, BUCKETS, NAMED, SENT = 256, 2_000_000, 4096, 4096, 200_000
+#: Postings of a block; postings of a bucket of words, at most so many buckets; words that a scan is told by name.
+SPAN, BUCKET, BUCKETS, NAMED = 256, 2_000_000, 4096, 4096
 #: What rounding may hide of a score.
 SLACK = 1e-5
 
@@ -128,11 +128,6 @@ def _stored(df: DataFrame, path: str, *order: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    """df, to be sent to every task if its rows, which are counted, are few; it must be cut already."""
-    return F.broadcast(df) if df.limit(SENT + 1).count() <= SENT else df
-
-
 def _of_words(table: DataFrame, index: BlockIndex, words: DataFrame) -> DataFrame:
     """The rows of the words' buckets, and of the words alone where there are few enough to name them to the scan."""
     named = [r[0] for r in words.limit(NAMED + 1).collect()]
@@ -146,7 +141,7 @@ def _of_words(table: DataFrame, index: BlockIndex, words: DataFrame) -> DataFram
 
 def _postings(blocks: DataFrame, needed: DataFrame, index: BlockIndex) -> DataFrame:
     """(query_id, term, doc_id, part) of needed(query_id, term, block, weight), which is cut."""
-    met = blocks.join(_sent(needed), ["term", "block"]).select("query_id", "term", "weight", F.inline("posts").alias("doc_id", "tf", "dl"))
+    met = blocks.join(sent(needed), ["term", "block"]).select("query_id", "term", "weight", F.inline("posts").alias("doc_id", "tf", "dl"))
     return met.select("query_id", "term", "doc_id", (F.col("weight") * index.part(F.col("tf"), F.col("dl"))).alias("part"))
 
 
@@ -167,7 +162,7 @@ def search(index: BlockIndex, queries: DataFrame, k: int = config.TOP_K, digits:
     below = F.sum("top").over(heaviest) - F.col("top")
     weighed = cut(weighed.select("query_id", "term", "bits", "weight", "top", below.alias("below"), F.sum("top").over(per).alias("all"), F.min("weight").over(per).alias("least")))
     blocks = _of_words(index.blocks, index, words)
-    sketch = blocks.select("term", "block", "peak").join(_sent(weighed), "term")
+    sketch = blocks.select("term", "block", "peak").join(sent(weighed), "term")
     sketch = cut(sketch.select("query_id", "term", "block", "weight", (F.greatest("weight", F.lit(0.0)) * F.col("peak")).alias("high"), "below", "least"))
     gathered = lambda parts: parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("sum"), F.collect_set("term").alias("seen"))
     limit, needed = None, sketch

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import text as T
+from tessera.operators import mentions
 from tessera.operators.lineage import cut
 from tessera.operators.ranking import take_distinct
 
@@ -51,12 +52,8 @@ def entity_chunks(edges: DataFrame) -> DataFrame:
 
 
 def seeds(questions: DataFrame, entities: DataFrame) -> DataFrame:
-    """(query_id, id): entities that a question mentions at word boundaries.
-
-    The entity side is a vocabulary; the join is a nested loop over it, as each has its own pattern.
-    """
-    pattern = entities.select("id", T.mention_pattern(F.col("id")).alias("pattern"))
-    return questions.join(pattern, T.mentions(F.col("text"), F.col("pattern"))).select("query_id", "id")
+    """(query_id, id): entities that a question mentions at word boundaries, by n-grams (see ``mentions``)."""
+    return mentions.mentioned(questions, entities)
 
 
 def expand(start: DataFrame, adj: DataFrame, hops: int = config.GRAPH_HOPS) -> DataFrame:

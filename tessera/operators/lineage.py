@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession) -> None:
@@ -27,3 +28,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     _folder(spark)
     spark.range(1).checkpoint(eager=True)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written to a scratch table of Parquet and read again: cut, and of a size that the planner knows."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+#: Rows that are sent to every task at most.
+SENT = 200_000
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """rows, which are cut and narrow, marked to be sent to every task if they are few; they are counted for that."""
+    return F.broadcast(rows) if rows.limit(SENT + 1).count() <= SENT else rows

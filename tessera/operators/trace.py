@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from collections import deque
+import itertools
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import config
+from tessera.operators.lineage import cut
 
 NODE = "struct<id string, kind string, label string, parent_ids array<string>, duration_ms double, explain string, payload string>"
 METRICS = "struct<latency_ms double, llm_calls int, prompt_tokens int, completion_tokens int>"
@@ -35,22 +34,23 @@ def problems(nodes: DataFrame, traces: DataFrame | None = None) -> DataFrame:
 
 
 def _cycles(nodes: DataFrame) -> DataFrame:
-    """A trace has tens of nodes: each is sorted topologically in one group; what can't be is a cycle."""
-    schema = pa.schema([("trace_id", pa.string()), ("problem", pa.string())])
+    """(trace_id, problem): traces with a cycle, all at once.
 
-    def run(key, table):
-        ids = table.column("id").to_pylist()
-        parents: dict[str, set[str]] = {i: set() for i in ids}
-        for i, ps in zip(ids, table.column("parent_ids").to_pylist(), strict=True):  # nodes that share an id share their parents
-            parents[i].update(p for p in ps if p in parents)
-        while ready := [i for i, ps in parents.items() if not ps]:
-            for i in ready:
-                del parents[i]
-            for ps in parents.values():
-                ps.difference_update(ready)
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * bool(parents), pa.string()), pa.array(["cycle"] * bool(parents), pa.string())], schema=schema)
-
-    return nodes.select("trace_id", "id", "parent_ids").groupBy("trace_id").applyInArrow(run, "trace_id string, problem string")
+    Round by round the nodes that depend on no other are peeled off, with the edges to those that depend
+    on them; where a round takes nothing, what is left stands on cycles. A round is a join of the edges
+    that are left, and there are as many as the longest way, not as many as traces. Nodes that share an
+    id share their parents.
+    """
+    known = nodes.select("trace_id", F.col("id").alias("parent"))
+    edges = cut(nodes.select("trace_id", "id", F.explode("parent_ids").alias("parent")).distinct().join(known, ["trace_id", "parent"], "left_semi"))
+    left = edges.count()
+    while left:
+        bound = edges.select("trace_id", F.col("id").alias("parent"))
+        edges = cut(edges.join(bound, ["trace_id", "parent"], "left_semi"))
+        before, left = left, edges.count()
+        if left == before:
+            break
+    return edges.select("trace_id").distinct().select("trace_id", F.lit("cycle").alias("problem"))
 
 
 def checked(traces: DataFrame) -> DataFrame:
@@ -82,48 +82,57 @@ def routed_to(nodes: Column) -> Column:
     return F.when(first["kind"] == "route", F.get_json_object(first["payload"], "$.chosen"))
 
 
-def walk(nodes: list[dict]) -> list[str]:
-    """Evidence of one trace, in order, each once.
+_RESULTS = "array<struct<chunk_id: string>>"
+_TOLD = f"struct<after: {_RESULTS}, results: {_RESULTS}, chunk_ids: array<string>, judgements: array<struct<chunk_id: string, verdict: string>>>"
 
-    Goes back from the last node, which must be ``generate``. A branch ends where it was retrieved:
-    at a rerank, a retrieval or a graph expansion; grades on the way take out what they judged
-    incorrect, unless that would be all.
-    """
-    if not nodes or nodes[-1]["kind"] != "generate":
-        raise ValueError("a trace ends in a generate node")
-    by_id = {n["id"]: n for n in nodes}
-    todo: deque[tuple[str, frozenset[str]]] = deque([(nodes[-1]["id"], frozenset())])
-    seen: set[tuple[str, frozenset[str]]] = set()
-    found: dict[str, None] = {}
-    while todo:
-        at = todo.popleft()
-        if at in seen or at[0] not in by_id:
-            continue
-        seen.add(at)
-        node, wrong = by_id[at[0]], at[1]
-        payload = json.loads(node["payload"] or "{}")
-        ids = None
-        if node["kind"] == "rerank":
-            ids = [r["chunk_id"] for r in payload.get("after", [])]
-        elif node["kind"].startswith("retrieve_"):
-            ids = [r["chunk_id"] for r in payload.get("results", [])]
-        elif node["kind"] == "graph_expand":
-            ids = payload.get("chunk_ids", [])
-        if ids is not None:
-            found |= dict.fromkeys([i for i in ids if i not in wrong] or ids)
-            continue
-        if node["kind"] == "grade":
-            wrong |= {j["chunk_id"] for j in payload.get("judgements", []) if j.get("verdict") == "incorrect"}
-        todo.extend((p, wrong) for p in node["parent_ids"] or [])
-    return list(found)
 
+def _steps(nodes: DataFrame) -> DataFrame:
+    """(trace_id, id, parent_ids, found, bad): of each node what its payload says: the chunks that end a branch there (null where it goes on), and those that a grade judges incorrect. Of nodes that share an id the last counts."""
+    told = F.from_json("payload", _TOLD)
+    kind, none = F.col("kind"), F.array().cast("array<string>")
+    ids = lambda name: F.coalesce(F.transform(told[name], lambda r: r["chunk_id"]), none)
+    found = F.when(kind == "rerank", ids("after")).when(kind.startswith("retrieve_"), ids("results")).when(kind == "graph_expand", F.coalesce(told["chunk_ids"], none))
+    bad = F.when(kind == "grade", F.transform(F.filter(told["judgements"], lambda j: j["verdict"] == "incorrect"), lambda j: j["chunk_id"]))
+    rows = nodes.select("trace_id", "pos", "id", "kind", "parent_ids", found.alias("found"), F.coalesce(bad, none).alias("bad"))
+    return rows.groupBy("trace_id", "id").agg(F.max_by(F.struct("parent_ids", "found", "bad"), "pos").alias("n")).select("trace_id", "id", "n.*")
 
-def evidence(nodes: DataFrame) -> DataFrame:
-    """(trace_id, chunk_ids) by ``walk``; one small group per trace."""
-    schema = pa.schema([("trace_id", pa.string()), ("chunk_ids", pa.list_(pa.string()))])
 
-    def run(key, table):
-        rows = sorted(table.to_pylist(), key=lambda n: n["pos"])
-        return pa.Table.from_arrays([pa.array([key[0].as_py()]), pa.array([walk(rows)], pa.list_(pa.string()))], schema=schema)
+def evidence(nodes: DataFrame) -> DataFrame:
+    """(trace_id, chunk_ids): what the answer of each trace rests on, in order, each chunk once.
 
-    return nodes.select("trace_id", "pos", "id", "kind", "parent_ids", "payload").groupBy("trace_id").applyInArrow(run, "trace_id string, chunk_ids array<string>")
+    All traces are walked at once, from their last nodes, which must be answers, towards their roots. A
+    token stands for a node and the chunks known to be wrong on the way to it; a step moves every token
+    that isn't at an end to its node's parents, in order. Tokens that stood before aren't moved again,
+    so cycles end. A branch ends where chunks were ranked or found; those known to be wrong are left
+    out, unless that leaves none.
+    """
+    steps = cut(_steps(nodes))
+    last = nodes.groupBy("trace_id").agg(F.max_by(F.struct("id", "kind"), "pos").alias("n"))
+    start = F.when(F.col("n.kind") == "generate", F.col("n.id")).otherwise(F.raise_error(F.concat(F.lit("a trace ends in a generate node, not "), "trace_id")).cast("string"))
+    none = F.array().cast("array<string>")
+    order = "array<int>"
+    tokens = last.select("trace_id", start.alias("id"), none.alias("wrong"), F.array(F.lit(0)).cast(order).alias("way"))
+    known: DataFrame | None = None
+    ends: DataFrame | None = None
+    for depth in itertools.count():
+        here = tokens.join(steps, ["trace_id", "id"])
+        here = cut(here.select("trace_id", "id", "wrong", "way", "parent_ids", "found", "bad", F.lit(depth).alias("depth")))
+        if not here.limit(1).count():
+            break
+        right = F.filter("found", lambda i: ~F.array_contains("wrong", i))
+        ended = here.where("found IS NOT NULL").select("trace_id", "depth", "way", F.posexplode(F.when(F.size(right) > 0, right).otherwise(F.col("found"))).alias("n", "chunk_id"))
+        ends = ended if ends is None else ends.unionByName(ended)
+        stood = here.select("trace_id", "id", "wrong")
+        known = stood if known is None else known.unionByName(stood)
+        on = here.where("found IS NULL").select("trace_id", "way", F.array_sort(F.array_union("wrong", "bad")).alias("wrong"), F.posexplode("parent_ids").alias("n", "id"))
+        # a token's way is the place among those of its step, so that it stays short
+        first = on.groupBy("trace_id", "id", "wrong").agg(F.min(F.struct("way", "n")).alias("way"))
+        fresh = first.join(known, ["trace_id", "id", "wrong"], "left_anti")
+        place = F.row_number().over(Window.partitionBy("trace_id").orderBy("way"))  # a trace's tokens
+        tokens = fresh.select("trace_id", "id", "wrong", F.array(place).cast(order).alias("way"))
+    every = last.select("trace_id")
+    if ends is None:
+        return every.select("trace_id", none.alias("chunk_ids"))
+    once = ends.groupBy("trace_id", "chunk_id").agg(F.min(F.struct("depth", "way", "n")).alias("at"))
+    lists = once.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
+    return every.join(lists, "trace_id", "left").select("trace_id", F.coalesce("chunk_ids", none).alias("chunk_ids"))

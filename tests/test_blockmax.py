@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.operators import blockmax, sparse
+from tessera.operators import blockmax, lineage, sparse
 
 
 def texts(rng, n, vocabulary=400):
@@ -98,7 +98,7 @@ def test_many_words_and_large_lists(spark, corpus, monkeypatch):
     """Beyond NAMED words and SENT rows, buckets are read and joins shuffle; the results are the same."""
     _, index, plain = corpus
     monkeypatch.setattr(blockmax, "NAMED", 3)
-    monkeypatch.setattr(blockmax, "SENT", 0)
+    monkeypatch.setattr(lineage, "SENT", 0)
     queries = spark.createDataFrame([(i, t) for i, t in enumerate(texts(random.Random(5), 10))], "query_id long, text string")
     assert listed(blockmax.search(index, queries, 5)) == listed(sparse.search(plain, queries, 5).select("query_id", "rank", "doc_id", "score"))
 

@@ -48,8 +48,15 @@ def test_communities_query_takes_every_edge(spark, tmp_path):
     assert got == {f"s{i}" for i in range(3)} | {f"p{i}" for i in range(60)}
 
 
-def nodes(*rows):
-    return [{"id": i, "kind": k, "parent_ids": p, "payload": json.dumps(d)} for i, k, p, d in rows]
+def traced(spark, *traces):
+    """Nodes as ``exploded`` gives them, of traces of (id, kind, parents, payload)."""
+    rows = [(f"t{t}", p, i, k, ps, json.dumps(d)) for t, ns in enumerate(traces) for p, (i, k, ps, d) in enumerate(ns)]
+    return spark.createDataFrame(rows, "trace_id string, pos int, id string, kind string, parent_ids array<string>, payload string")
+
+
+def walked(spark, *traces):
+    got = {r.trace_id: r.chunk_ids for r in trace.evidence(traced(spark, *traces)).collect()}
+    return [got[f"t{i}"] for i in range(len(traces))]
 
 
 def hits(*ids):
@@ -60,15 +67,41 @@ def grade(**verdicts):
     return {"judgements": [{"chunk_id": i, "verdict": v} for i, v in verdicts.items()]}
 
 
-def test_evidence_walk():
-    assert trace.walk(nodes(("1", "retrieve_dense", [], hits("a", "b")), ("2", "generate", ["1"], {}))) == ["a", "b"]
-    assert trace.walk(nodes(("1", "retrieve_dense", [], hits("a")), ("2", "rerank", ["1"], {"after": [{"chunk_id": "z"}]}), ("3", "generate", ["2"], {}))) == ["z"]
-    graded = (("1", "retrieve_dense", [], hits("keep1", "drop1", "keep2")), ("2", "grade", ["1"], grade(keep1="correct", drop1="incorrect")), ("3", "generate", ["2"], {}))
-    assert trace.walk(nodes(*graded)) == ["keep1", "keep2"]
-    assert trace.walk(nodes(("1", "retrieve_dense", [], hits("a")), ("2", "grade", ["1"], grade(a="incorrect")), ("3", "generate", ["2"], {}))) == ["a"]
-    assert trace.walk(nodes(("1", "retrieve_dense", [], hits("a", "b")), ("2", "retrieve_sparse", [], hits("b", "c")), ("3", "generate", ["1", "2"], {}))) == ["a", "b", "c"]
-    with pytest.raises(ValueError):
-        trace.walk(nodes(("1", "retrieve_dense", [], hits("a"))))
+def test_evidence_walk(spark):
+    dense = ("1", "retrieve_dense", [], hits("a", "b"))
+    traces = [
+        [dense, ("2", "generate", ["1"], {})],
+        [dense, ("2", "rerank", ["1"], {"after": [{"chunk_id": "z"}]}), ("3", "generate", ["2"], {})],
+        [("1", "retrieve_dense", [], hits("keep1", "drop1", "keep2")), ("2", "grade", ["1"], grade(keep1="correct", drop1="incorrect")), ("3", "generate", ["2"], {})],
+        [dense, ("2", "grade", ["1"], grade(a="incorrect", b="incorrect")), ("3", "generate", ["2"], {})],
+        [dense, ("2", "retrieve_sparse", [], hits("b", "c")), ("3", "generate", ["1", "2"], {})],
+        [("1", "graph_expand", [], {"chunk_ids": ["x", "y", "x"]}), ("2", "generate", ["1", "gone"], {})],
+        [("1", "retrieve_dense", [], {}), ("2", "generate", ["1"], {})],
+        [("1", "generate", [], {})],
+        # the nearer branch comes first, whatever the order of the nodes; grades hold for their own branch alone
+        [dense, ("2", "grade", ["1"], grade(a="incorrect")), ("3", "reflect", ["2"], {}), ("4", "retrieve_sparse", [], hits("c", "a")), ("5", "generate", ["3", "4"], {})],
+        [dense, ("2", "grade", ["1"], grade(a="incorrect")), ("3", "generate", ["2", "1"], {})],
+        # nodes in a circle, and an id that is there twice
+        [("1", "route", ["2"], {}), ("2", "plan", ["1", "3"], {}), ("3", "retrieve_dense", [], hits("q")), ("4", "generate", ["1"], {})],
+        [("1", "retrieve_dense", [], hits("old")), ("1", "retrieve_dense", [], hits("new")), ("2", "generate", ["1"], {})],
+    ]
+    assert walked(spark, *traces) == [["a", "b"], ["z"], ["keep1", "keep2"], ["a", "b"], ["a", "b", "c"], ["x", "y"], [], [], ["c", "a", "b"], ["a", "b"], ["q"], ["new"]]
+    with pytest.raises(Exception, match="generate node"):
+        walked(spark, [dense])
+
+
+def test_evidence_has_no_python_in_its_plan(spark):
+    plan = trace.evidence(traced(spark, [("1", "retrieve_dense", [], hits("a")), ("2", "generate", ["1"], {})]))._jdf.queryExecution().toString()
+    assert "Arrow" not in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_cycles_of_many_traces(spark):
+    """Long chains without a cycle, and cycles behind chains."""
+    chain = [(f"n{i}", "plan", [f"n{i - 1}"] if i else [], {}) for i in range(12)]
+    ring = [*chain, ("a", "plan", ["c", "n11"], {}), ("b", "plan", ["a"], {}), ("c", "plan", ["b"], {}), ("d", "plan", ["c"], {})]
+    own = [("1", "plan", ["1"], {})]
+    split = [("1", "plan", ["9"], {}), ("2", "plan", ["1", "1"], {}), ("3", "plan", ["1", "2"], {})]
+    assert {r.trace_id for r in trace._cycles(traced(spark, chain, ring, own, split)).collect()} == {"t1", "t2"}
 
 
 def test_trace_problems_and_checked_write(spark):

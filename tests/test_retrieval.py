@@ -36,9 +36,8 @@ def test_dense_finds_itself_and_breaks_ties_by_id(spark):
     rows = [(i, v[i % 4].tolist()) for i in range(8)]
     vectors = spark.createDataFrame(rows, "id long, embedding array<float>")
     q = spark.createDataFrame([(9, v[2].tolist())], "query_id long, embedding array<double>")
-    for block in (1, 4096):
-        got = dense.search(vectors, q, 2, block=block).orderBy("rank").collect()
-        assert [r.id for r in got] == [2, 6] and abs(got[0].score - 1) < 1e-4
+    got = dense.search(vectors, q, 2).orderBy("rank").collect()
+    assert [r.id for r in got] == [2, 6] and abs(got[0].score - 1) < 1e-4
     assert [r.id for r in dense.top_k(vectors, v[2].tolist(), 2).orderBy("rank").collect()] == [2, 6]
     assert dense.top_k(vectors, v[2].tolist(), 0).count() == 0 and dense.search(vectors, q.limit(0), 2).count() == 0
     zero = spark.createDataFrame([([0.0, 0.0],)], "v array<float>").select(dense.normalised(F.col("v")).alias("n")).first().n
@@ -71,3 +70,20 @@ def test_ordered_sets(spark):
     assert [r.pos for r in ranking.last_attempt(rows, ["q"], "pos").collect()] == [4]
     a, b = spark.range(3).toDF("k"), spark.range(1, 4).toDF("k")
     assert sorted((r.k, r.problem) for r in ranking.missing_and_stale(a, b, ["k"]).collect()) == [(0, "missing"), (3, "stale")]
+
+
+@pytest.mark.parametrize("tile", [7, 4096])
+def test_tiles_meet_whatever_their_number(spark, monkeypatch, tile):
+    """Every query against every vector in numpy; ties between equal vectors go by id."""
+    monkeypatch.setattr(dense, "TILE", tile)
+    monkeypatch.setattr(dense, "PRODUCT", 5)
+    rng = np.random.default_rng(3)
+    v, q = rng.standard_normal((90, 4)), rng.standard_normal((40, 4))
+    v[60:] = v[:30]
+    vectors = spark.createDataFrame([(100 - i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, embedding array<double>")
+    got = dense.search(vectors, asked, 3)
+    score = np.round(q @ v.astype(np.float32).astype(float).T, 6)
+    want = {(i, r + 1, 100 - j, score[i, j]) for i in range(40) for r, j in enumerate(sorted(range(90), key=lambda j: (-score[i, j], 100 - j))[:3])}
+    assert {(r.query_id, r.rank, r.id, r.score) for r in got.collect()} == want
+    assert dense.search(vectors, asked, 100).count() == 40 * 90 and dense.search(vectors.limit(0), asked, 3).count() == 0
