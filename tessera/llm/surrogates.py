@@ -39,9 +39,10 @@ from tessera.llm import common as c
 TITLES = {
     "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "г-н", "κ."),
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "г-жа", "κα"),
-    "n": ("Dr", "Prof", "Professor", "Doktor", "Dipl.-Ing", "Ing", "Mag", "Rev"),
+    "n": ("Dr", "Prof", "Professor", "Doktor", "Dipl.-Ing"),
 }
-# Particles of family names, which stay as they are.
+# Academic degrees in lower case that stand between a title and a name, and particles of family names; both stay as they are.
+DEGREES = ("med", "dent", "vet", "phil", "rer", "nat", "jur", "iur", "pol", "oec", "techn", "theol", "habil", "h", "c", "ing")
 PARTICLES = ("von", "vom", "van", "zu", "zum", "zur", "de", "den", "der", "del", "della", "di", "da", "dos", "du", "des", "la", "le", "ten", "ter", "bin", "al", "y")
 GIVEN = {
     ("latin", "m"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Marco", "Nils", "Oscar", "Paul", "Quentin", "Robert", "Simon", "Thomas"),
@@ -78,9 +79,9 @@ _CAPITAL = "[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ]"
 _WORD = rf"(?!(?:{_ALL})(?!\w)){_CAPITAL}[\w'’\-]+"
 _INITIALS = rf"(?:{_CAPITAL}\.(?:-?{_CAPITAL}\.)*)"
 _PARTICLES = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
-#: Between a title and what follows: a full stop, blanks, at most one end of line; and degrees in lower case, such as med. or rer. nat.
+#: Between a title and what follows: a full stop, blanks, at most one end of line.
 _GAP = r"(?:(?:\.[ \u00a0\t]*|[ \u00a0\t]+)(?:\r?\n[ \t]*)?|\r?\n[ \t]*)"
-_PERSON = re.compile(rf"(?<!\w)((?:{_ALL})(?:{_GAP}(?:{_ALL})(?!\w))*){_GAP}(?:[a-zäöü]{{1,5}}\. ?){{0,4}}((?:{_INITIALS} ?){{0,3}}{_PARTICLES}{_WORD}(?: (?:{_INITIALS} ){{0,2}}{_PARTICLES}{_WORD}){{0,2}})")
+_PERSON = re.compile(rf"(?<!\w)((?:{_ALL})(?:{_GAP}(?:{_ALL})(?!\w))*){_GAP}(?:(?:{'|'.join(DEGREES)})\. ?){{0,4}}((?:{_INITIALS} ?){{0,3}}{_PARTICLES}{_WORD}(?: (?:{_INITIALS} ){{0,2}}{_PARTICLES}{_WORD}){{0,2}})")
 _ONE_TITLE = re.compile(rf"(?<!\w)(?:{_ALL})(?!\w)")
 
 
