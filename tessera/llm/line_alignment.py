@@ -177,20 +177,28 @@ def removed_lines(docs: DataFrame, rare: int = RARE, block_lines: int = BLOCK_LI
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIR_SHARE).cast("int").alias("parts"))
     firsts = body.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")).join(parts, "a").select("a", "ha", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    joined = dealt.join(firsts, ["a", "part"]).join(body.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"), "sizes"), "b").select("b", "ha", "hb", "sizes")
+    # a part gets its first text's hashes once, ahead of those of the later texts
+    later = dealt.join(body.select(F.col("doc_id").alias("b"), "hashes", "sizes"), "b").select("a", "part", "b", "hashes", "sizes")
+    heads = firsts.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("ha").alias("hashes"), F.lit(None).cast("binary").alias("sizes"))
+    met = heads.unionByName(later).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
     spans = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32())])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list[int] = []
         for batch in batches:
             rows = []
-            for b, ha, hb, sizes in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for b, hashes, sizes in zip(*(c.column(batch, x).to_pylist() for x in ("b", "hashes", "sizes")), strict=True):
+                own = np.frombuffer(hashes, np.int64).tolist()
+                if b is None:
+                    first = own
+                    continue
                 size = np.frombuffer(sizes, np.int32)
-                for _, at, n in patience(np.frombuffer(ha, np.int64).tolist(), np.frombuffer(hb, np.int64).tolist()):
+                for _, at, n in patience(first, own):
                     if n >= block_lines or int(size[at : at + n].sum()) >= block_bytes:
                         rows.append((b, at, n))
             yield c.record_batch(spans, *(zip(*rows, strict=True) if rows else [[]] * 3))
 
-    blocks = joined.mapInArrow(c.tidied(align), "doc_id long, line int, n int").groupBy("doc_id").agg(F.collect_set(F.struct("line", "n")).alias("spans"))
+    blocks = met.mapInArrow(c.tidied(align), "doc_id long, line int, n int").groupBy("doc_id").agg(F.collect_set(F.struct("line", "n")).alias("spans"))
     copies = marked.where("doc_id <> first").select("doc_id", F.array(F.struct(F.lit(0).alias("line"), F.col("lines").alias("n"))).alias("spans"), F.lit(True).alias("all_lines")).distinct()
     return blocks.withColumn("all_lines", F.lit(False)).unionByName(copies)
 
