@@ -4,7 +4,7 @@ CHUNK_TARGET_WORDS, CHUNK_OVERLAP_WORDS = 250, 50
 TOP_K, RRF_K, POOL_K = 5, 60, 20
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 GRAPH_HOPS, GRAPH_MAX_CHUNKS = 2, 40
-MAX_SUB_QUESTIONS, MAX_CORRECTIONS = 3, 2
+MAX_SUB_QUESTIONS, MAX_CORRECTIONS, RELATION_WORDS = 3, 2, 4
 GRADE_CORRECT_FROM = 0.3
 COMMUNITY_EDGES, COMMUNITY_EXCERPT, PROMPT_PREVIEW, VECTOR_PREVIEW = 15, 300, 200, 8
 FAITHFULNESS_GAP, TONE_GOOD, TONE_WARN = 0.2, 0.8, 0.5

@@ -1,4 +1,9 @@
-"""Prompts as Columns: what each step of a pipeline asks a language model. None but the answer's asks for citations."""
+"""Prompts as Columns: what each step of a pipeline asks a language model.
+
+A prompt is an order for one step: the step's kind, the fields that it returns, how the plan goes on from
+there, which is what the model has to decide by, and the step's inputs between tags. The texts of the
+orders state what our own steps do with the reply.
+"""
 
 from __future__ import annotations
 
@@ -7,86 +12,131 @@ from pyspark.sql import functions as F
 
 from tessera import config
 
-HYDE = "Draft two to four sentences that could answer the question, in the words that technical notes would use. They need not be true: they are searched with and shown to no one."
-GRADE = "Grade each chunk as evidence for the question: correct if it supports an answer by itself, ambiguous if it is on the topic but would not suffice, incorrect if it is of no use, however alike it looks."
-REWRITE = "A search of the notes with this query brought back chunks that were graded incorrect. Word a better query for the same notes; there is nothing else to search. Say in short why it should do better."
-PLAN = "Split the question into at most {n} parts that together cover it, in the order in which to look into them. A question that is simple already is its only part."
-REFLECT = "Judge whether this evidence suffices to answer the part of the question: it has to hold the facts, not only the topic."
-ROUTE = "Choose the one architecture that suits the question best. Give its name as chosen, a score from 0 to 1 for each of the six as scores, and a short reason."
-#: What each architecture is for, in the router's words.
-ROUTES = {
-    "agentic": "questions that need several independent pieces of evidence together; not those that are merely hard",
-    "corrective": "questions that a first search may miss, or that the notes may not answer",
-    "graph": "how named entities relate to one another",
-    "hybrid": "exact terms: values, flags, names, messages, also where only the answer is such a term",
-    "hyde": "questions worded unlike the passage that answers them",
-    "naive": "plain questions for one fact or idea",
+_SEARCHES = config.MAX_CORRECTIONS + 1
+#: For each step: the fields that it returns, and what becomes of them.
+ORDERS = {
+    "generate_hypothetical": (
+        "text",
+        f"The text becomes a search vector and is then thrown away. Chunks have {config.CHUNK_TARGET_WORDS} words at most; invent the one that would settle the question, in its own vocabulary. Made-up details do no harm.",
+    ),
+    "grade": (
+        "judgements: chunk_id, verdict, reason, for every chunk in the order given",
+        "Chunks marked incorrect are removed before the answer is written. If they outnumber those marked correct, another search is made. Mark correct what you would cite, incorrect what an answer would lose nothing without, and ambiguous all else.",
+    ),
+    "rewrite": (
+        "to, reason",
+        f"The next of {_SEARCHES} searches at most is made with the text of `to`, by vectors, over the chunks that the last one saw. The reasons tell what went wrong: steer away from it.",
+    ),
+    "plan": (
+        f"sub_questions: 1 to {config.MAX_SUB_QUESTIONS} strings",
+        "Every sub-question is searched for alone, by one of the tools dense, sparse and graph, and sees none of the others. What one search can find stays whole.",
+    ),
+    "reflect": (
+        "sufficient: true or false; reason",
+        "With true, the lines below go to the answer. With false, another tool searches once more for the sub-question. Cut lines end in the middle; judge what is there.",
+    ),
+    "route": (
+        "chosen; scores: a number from 0 to 1 under each name; reason",
+        "One of these plans is run with the question. Each is given with its searches and its model calls; of those that would bring the passage to light, the cheapest is best.",
+    ),
+    "triples": (
+        "triples: subject, relation, object",
+        f"A triple becomes an edge from subject to object, labelled by the relation, with this chunk as evidence. Ends that aren't lines of the vocabulary are discarded, so copy them. Labels longer than {config.RELATION_WORDS} words are hard to draw. Chunks without an edge are common.",
+    ),
+    "summary": (
+        "summary",
+        "The summary stands above the chunks as background of answers that touch this group; it is not cited. Two or three sentences on what holds the group together, from its edges and excerpts.",
+    ),
+    "judge": (
+        "point_support: true or false for each point, in order; reads_as_appropriate_refusal: true or false",
+        "Shares of supported points are reported as faithfulness, so a point that the answer contradicts or leaves out is false. The second field is about tone: true for an answer that says openly that its sources are silent, also where they aren't.",
+    ),
+}
+#: The plans that a route chooses from, by their searches and model calls.
+PLANS = {
+    "agentic": f"up to {config.MAX_SUB_QUESTIONS} sub-questions, each searched by one tool or two; 4 to {2 + 2 * config.MAX_SUB_QUESTIONS} calls",
+    "corrective": f"1 to {_SEARCHES} vector searches, graded one by one; 2 to {2 * _SEARCHES} calls",
+    "graph": f"{config.GRAPH_HOPS} hops over edges from the entities that the question names; 1 call",
+    "hybrid": "vectors and literal words, merged and reranked; 1 call",
+    "hyde": "one vector search by an invented passage; 2 calls",
+    "naive": "one vector search; 1 call",
 }
-EXTRACT = "List the triples of subject, relation and object that the chunk states or clearly implies. Subject and object are entries of the vocabulary, word for word; the relation is one to four words. No triple at all is a good answer."
-SUMMARISE = "Say in one to three sentences what connects these entities, from the relations and excerpts alone."
-JUDGE = "Compare the answer with the expected points. Give point_support, one boolean a point in the same order: whether the answer agrees with it. Apart from that give reads_as_appropriate_refusal: whether it reads like an honest statement that the notes do not say, whether or not that was right."
-JSON = "Reply with JSON of this shape and nothing else, without fences:"
-NOTHING, NO_REASONS, NO_EDGES, NO_EXCERPTS, NO_HEADING = "(nothing was found)", "- (none given)", "(no relations)", "(no excerpts)", "(no heading)"
-_GAP = "\n\n"
+REPLY = "Reply: one JSON object of this shape."
+NONE = "none"
+
+
+def head(step: str) -> str:
+    """The step, its fields and what becomes of them."""
+    fields, then = ORDERS[step]
+    return f"Step: {step}\nReturns: {fields}\n{then}"
 
 
-def _parts(*parts: Column | str) -> Column:
-    return F.concat_ws(_GAP, *(F.lit(p) if isinstance(p, str) else p for p in parts))
+def _tag(name: str, value: Column, *attributes: tuple[str, Column]) -> Column:
+    opened = [F.lit(f"<{name}")] + [x for k, v in attributes for x in (F.lit(f' {k}="'), v, F.lit('"'))] + [F.lit(">\n")]
+    return F.concat(*opened, value, F.lit(f"\n</{name}>"))
 
 
-def _told(name: str, value: Column, sep: str = " ") -> Column:
-    return F.concat(F.lit(f"{name}:{sep}"), value)
+def order(step: str, *inputs: Column) -> Column:
+    return F.concat_ws("\n", F.lit(head(step)), *inputs)
 
 
-def bullets(items: Column, empty: str) -> Column:
+def lines(items: Column) -> Column:
     items = F.coalesce(items, F.array().cast("array<string>"))
-    return F.when(F.size(items) == 0, empty).otherwise(F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n"))
+    return F.when(F.size(items) == 0, NONE).otherwise(F.array_join(items, "\n"))
+
+
+def chunks(hits: Column, width: int | None = None) -> Column:
+    """Chunks of an array of structs with chunk_id and text, in order; of each at most width characters."""
+    hits = F.coalesce(hits, F.array().cast("array<struct<chunk_id:string,text:string>>")) if width else hits
+    one = lambda h: _tag("chunk", F.substring(h["text"], 1, width) if width else h["text"], ("id", h["chunk_id"]))
+    return F.when(F.size(hits) == 0, NONE).otherwise(F.array_join(F.transform(hits, one), "\n"))
 
 
 def hyde(question: Column) -> Column:
-    return _parts(HYDE, _told("Question", question), "Passage:")
+    return order("generate_hypothetical", _tag("question", question))
 
 
 def grading(question: Column, hits: Column) -> Column:
-    """hits: array of structs with chunk_id and text, in order."""
-    return _parts(GRADE, _told("Question", question), "Chunks:", F.array_join(F.transform(hits, lambda h: F.concat(F.lit("["), h["chunk_id"], F.lit("]\n"), h["text"])), _GAP))
+    return order("grade", chunks(hits), _tag("question", question))
 
 
 def rewrite(query: Column, reasons: Column) -> Column:
-    return _parts(REWRITE, _told("Query", query), _told("Reasons", bullets(reasons, NO_REASONS), "\n"))
+    return order("rewrite", _tag("reasons", lines(reasons)), _tag("query", query))
 
 
-def plan(question: Column, most: int = config.MAX_SUB_QUESTIONS) -> Column:
-    return _parts(PLAN.format(n=most), _told("Question", question))
+def plan(question: Column) -> Column:
+    return order("plan", _tag("question", question))
 
 
 def reflect(part: Column, hits: Column, width: int = config.PROMPT_PREVIEW) -> Column:
-    hits = F.coalesce(hits, F.array().cast("array<struct<chunk_id:string,text:string>>"))
-    shown = F.array_join(F.transform(hits, lambda h: F.concat(F.lit("["), h["chunk_id"], F.lit("]: "), F.substring(h["text"], 1, width))), _GAP)
-    return _parts(REFLECT, _told("Part", part), _told("Evidence", F.when(F.size(hits) == 0, NOTHING).otherwise(shown), "\n"))
+    return order("reflect", chunks(hits, width), _tag("sub_question", part))
+
+
+def plans() -> str:
+    return "\n".join(f"{k} = {v}" for k, v in sorted(PLANS.items()))
 
 
 def route(question: Column) -> Column:
-    return _parts(ROUTE, "\n".join(f"- {k}: {v}" for k, v in sorted(ROUTES.items())), _told("Question", question))
+    return order("route", _tag("plans", F.lit(plans())), _tag("question", question))
 
 
 def extraction(note_id: Column, heading: Column, text: Column, vocabulary: Column) -> Column:
-    return _parts(EXTRACT, F.concat_ws("\n", _told("Note", note_id), _told("Heading", F.when(F.coalesce(heading, F.lit("")) == "", NO_HEADING).otherwise(heading))), _told("Chunk", text, "\n"), _told("Vocabulary", bullets(vocabulary, ""), "\n"))
+    shown = F.when(F.coalesce(heading, F.lit("")) == "", NONE).otherwise(heading)
+    return order("triples", _tag("vocabulary", lines(vocabulary)), _tag("chunk", text, ("note", note_id), ("heading", shown)))
 
 
 def community(entities: Column, edges: Column, excerpts: Column, width: int = config.COMMUNITY_EXCERPT) -> Column:
     """edges: array of structs src, rel, dst; excerpts: array of structs chunk_id and text, those without a text left out."""
-    lines = F.transform(edges, lambda e: F.concat(e["src"], F.lit(" --["), e["rel"], F.lit("]--> "), e["dst"]))
+    drawn = F.transform(edges, lambda e: F.concat(e["src"], F.lit(" | "), e["rel"], F.lit(" | "), e["dst"]))
     some = F.filter(excerpts, lambda x: F.coalesce(x["text"], F.lit("")) != "")
-    shown = F.array_join(F.transform(some, lambda x: F.concat(F.lit("["), x["chunk_id"], F.lit("]: "), F.substring(x["text"], 1, width))), "\n")
-    return _parts(SUMMARISE, _told("Entities", bullets(entities, ""), "\n"), _told("Relations", bullets(lines, NO_EDGES), "\n"), _told("Excerpts", F.when(F.size(some) == 0, NO_EXCERPTS).otherwise(shown), "\n"))
+    return order("summary", _tag("members", lines(entities)), _tag("edges", lines(drawn)), chunks(some, width))
 
 
 def judge(question: Column, answer: Column, points: Column) -> Column:
-    numbered = F.array_join(F.transform(points, lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), p)), "\n")
-    return _parts(JUDGE, _told("Question", question), _told("Answer", answer, "\n"), _told("Expected points", numbered, "\n"))
+    numbered = F.transform(points, lambda p, i: F.concat(F.lit("#"), (i + 1).cast("string"), F.lit(" "), p))
+    return order("judge", _tag("points", lines(numbered)), _tag("question", question), _tag("answer", answer))
 
 
 def with_json(prompt: Column, shape: str) -> Column:
     """The prompt with the shape that the reply must have."""
-    return _parts(prompt, F.concat(F.lit(JSON + "\n"), F.lit(shape)))
+    return F.concat_ws("\n", prompt, F.lit(REPLY), F.lit(shape))

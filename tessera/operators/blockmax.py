@@ -140,16 +140,17 @@ def _of_words(table: DataFrame, index: BlockIndex, words: DataFrame) -> DataFram
 
 
 def _postings(blocks: DataFrame, needed: DataFrame, index: BlockIndex) -> DataFrame:
-    """(query_id, term, doc_id, part) of needed(query_id, term, block, weight), which is cut."""
-    met = blocks.join(sent(needed), ["term", "block"]).select("query_id", "term", "weight", F.inline("posts").alias("doc_id", "tf", "dl"))
-    return met.select("query_id", "term", "doc_id", (F.col("weight") * index.part(F.col("tf"), F.col("dl"))).alias("part"))
+    """(query_id, term, doc_id, part, top) of needed(query_id, term, block, weight, top), which is cut."""
+    met = blocks.join(sent(needed), ["term", "block"]).select("query_id", "term", "weight", "top", F.inline("posts").alias("doc_id", "tf", "dl"))
+    return met.select("query_id", "term", "doc_id", (F.col("weight") * index.part(F.col("tf"), F.col("dl"))).alias("part"), "top")
 
 
 def search(index: BlockIndex, queries: DataFrame, k: int = config.TOP_K, digits: int = config.SCORE_DIGITS, first: int = 16, prune: bool = True) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of each of queries(query_id, text), ties by doc_id.
 
     first: blocks that the threshold is taken from, beside k. prune=False scores every document that
-    shares a word.
+    shares a word, in one pass; so does a batch of which a threshold would spare less than half of the
+    postings, as where queries are long.
     """
     if k <= 0:
         return queries.sparkSession.createDataFrame([], queries.select("query_id").schema.add("doc_id", index.lengths.schema["doc_id"].dataType).add("score", "double").add("rank", "integer"))
@@ -162,37 +163,43 @@ def search(index: BlockIndex, queries: DataFrame, k: int = config.TOP_K, digits:
     below = F.sum("top").over(heaviest) - F.col("top")
     weighed = cut(weighed.select("query_id", "term", "bits", "weight", "top", below.alias("below"), F.sum("top").over(per).alias("all"), F.min("weight").over(per).alias("least")))
     blocks = _of_words(index.blocks, index, words)
-    sketch = blocks.select("term", "block", "peak").join(sent(weighed), "term")
-    sketch = cut(sketch.select("query_id", "term", "block", "weight", (F.greatest("weight", F.lit(0.0)) * F.col("peak")).alias("high"), "below", "least"))
-    gathered = lambda parts: parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("sum"), F.collect_set("term").alias("seen"))
-    limit, needed = None, sketch
-    if prune:
-        seeds = cut(first_n(sketch.where("least >= 0"), ["query_id"], k + first, F.desc("high"), F.col("term"), F.col("block")).select("query_id", "term", "block", "weight"))
-        partial = _postings(blocks, seeds, index).groupBy("query_id", "doc_id").agg(F.sum("part").alias("sum"))
-        best = first_n(partial.where(F.col("sum") > SLACK), ["query_id"], k, F.desc("sum"), F.col("doc_id"))
-        limit = cut(best.groupBy("query_id").agg(F.min("sum").alias("limit"), F.count("*").alias("met")).where(F.col("met") == k).select("query_id", "limit"))
-        needed = sketch.join(limit, "query_id", "left").withColumn("kept", F.col("limit").isNull() | (F.col("high") + F.col("below") + SLACK >= F.col("limit")))
-        needed = cut(needed.select("query_id", "term", "block", "weight", "kept"))
-    kept = needed.where("kept") if prune else needed
-    found = gathered(_postings(blocks, cut(kept.select("query_id", "term", "block", "weight")), index))
+    sketch = blocks.select("term", "block", "n", "peak").join(sent(weighed), "term")
+    sketch = cut(sketch.select("query_id", "term", "block", "n", "weight", "top", (F.greatest("weight", F.lit(0.0)) * F.col("peak")).alias("high"), "below", "least"))
+    need = ["query_id", "term", "block", "weight", "top"]
+    limit = _limit(index, blocks, sketch.select(*need, "high", "least"), k, first) if prune else None
+    kept = skipped = None
     if limit is not None:
-        skipped = cut(needed.where("NOT kept").select("query_id", "term", "block", "weight"))
-        if skipped.limit(1).count():
-            found = _completed(index, blocks, cut(found), skipped, weighed, limit)
+        judged = sketch.join(sent(limit), "query_id", "left").withColumn("kept", F.col("limit").isNull() | (F.col("high") + F.col("below") + SLACK >= F.col("limit")))
+        judged = cut(judged.select(*need, "n", "kept"))
+        spared, every = judged.agg(F.sum(F.when(~F.col("kept"), F.col("n"))), F.sum("n")).first()
+        if 2 * (spared or 0) >= (every or 1):
+            kept, skipped = cut(judged.where("kept").select(*need)), cut(judged.where("NOT kept").select(*need))
+        else:
+            limit = None
+    found = _postings(blocks, sketch.select(*need) if kept is None else kept, index).groupBy("query_id", "doc_id").agg(F.sum("part").alias("sum"), F.sum("top").alias("seen"))
+    if skipped is not None:
+        found = _completed(index, blocks, found, skipped, weighed, limit)
     hits = found.select("query_id", "doc_id", F.round("sum", digits).alias("score"))
     return _filled(index, queries, cut(first_n(hits, ["query_id"], k, F.desc("score"), F.col("doc_id"))), limit, hits, k)
 
 
+def _limit(index: BlockIndex, blocks: DataFrame, sketch: DataFrame, k: int, first: int) -> DataFrame:
+    """(query_id, limit): what the k best documents of a query reach, by the postings of its k + first blocks of highest score; cut."""
+    seeds = cut(first_n(sketch.where("least >= 0"), ["query_id"], k + first, F.desc("high"), F.col("term"), F.col("block")).drop("high", "least", "rank"))
+    partial = _postings(blocks, seeds, index).groupBy("query_id", "doc_id").agg(F.sum("part").alias("sum"))
+    best = first_n(partial.where(F.col("sum") > SLACK), ["query_id"], k, F.desc("sum"), F.col("doc_id"))
+    return cut(best.groupBy("query_id").agg(F.min("sum").alias("limit"), F.count("*").alias("met")).where(F.col("met") == k).select("query_id", "limit"))
+
+
 def _completed(index: BlockIndex, blocks: DataFrame, found: DataFrame, skipped: DataFrame, weighed: DataFrame, limit: DataFrame) -> DataFrame:
-    """found(query_id, doc_id, sum, seen) without what can't reach the limit, and with what the skipped blocks add."""
-    words = weighed.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("top", "bits")))).alias("words"))  # a query's words
-    held = found.join(limit, "query_id", "left").join(words, "query_id")
-    unseen = F.map_filter("words", lambda t, x: ~F.array_contains("seen", t))
-    most = F.aggregate(F.map_values(unseen), F.lit(0.0), lambda s, x: s + x["top"])
-    held = cut(held.where(F.col("limit").isNull() | (F.col("sum") + most + SLACK >= F.col("limit"))).select("query_id", "doc_id", "sum", unseen.alias("unseen")))
-    wanted = held.select("query_id", "doc_id", F.explode("unseen").alias("term", "w")).select("query_id", "doc_id", "term", _block(F.col("doc_id"), F.col("w.bits")).alias("block"))
+    """found(query_id, doc_id, sum, seen) without what can't reach the limit, and with what the skipped blocks add: a word's block is kept or skipped as a whole, so nothing counts twice."""
+    most = weighed.groupBy("query_id").agg(F.max("all").alias("all"))
+    held = found.join(sent(limit), "query_id", "left").join(sent(most), "query_id")
+    held = cut(held.where(F.col("limit").isNull() | (F.col("sum") + F.col("all") - F.col("seen") + SLACK >= F.col("limit"))).select("query_id", "doc_id", "sum"))
+    partly = skipped.select("query_id", "term").distinct().join(weighed.select("query_id", "term", "bits"), ["query_id", "term"])
+    wanted = held.select("query_id", "doc_id").join(partly, "query_id").select("query_id", "doc_id", "term", _block(F.col("doc_id"), F.col("bits")).alias("block"))
     wanted = cut(wanted.join(skipped, ["query_id", "term", "block"]))
-    lists = cut(wanted.select("query_id", "term", "block", "weight").distinct())
+    lists = cut(wanted.select("query_id", "term", "block", "weight", "top").distinct())
     more = _postings(blocks, lists, index).join(wanted.select("query_id", "term", "doc_id"), ["query_id", "term", "doc_id"])
     added = more.groupBy("query_id", "doc_id").agg(F.sum("part").alias("more"))
     return held.join(added, ["query_id", "doc_id"], "left").select("query_id", "doc_id", (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"))

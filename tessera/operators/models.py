@@ -6,12 +6,8 @@ made it. Real models plug in by the same signatures.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 from typing import Protocol
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +19,9 @@ from tessera.operators import grading
 class Embedder(Protocol):
     dims: int
 
-    def embed(self, text: Column) -> Column: ...
+    def embed(self, rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+        """(key, embedding array<float>) of rows, whose keys are distinct."""
+        ...
 
 
 class Reranker(Protocol):
@@ -43,36 +41,24 @@ class Judge(Protocol):
 
 
 class HashingEmbedder:
-    """Signed feature hashing of words into ``dims`` dimensions, of length 1; texts without words are zero."""
+    """Signed feature hashing of words into ``dims`` dimensions, of length 1; texts without words are zero.
+
+    A word's place and sign come from its MD5; a text's vector is one aggregation of its words' signs.
+    """
 
     backend = "offline-hashing"
 
     def __init__(self, dims: int = 64):
         self.dims = dims
 
-    def embed(self, text: Column) -> Column:
-        dims = self.dims
-
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            known: dict[str, tuple[int, float]] = {}
-            for texts in batches:
-                out = []
-                for t in texts:
-                    v = np.zeros(dims, np.float64)
-                    for w in (t or "").lower().split():
-                        if w not in known:
-                            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                            known[w] = h % dims, 1.0 if h >> 63 else -1.0
-                            if len(known) > 500_000:
-                                known.clear()
-                                known[w] = h % dims, 1.0 if h >> 63 else -1.0
-                        i, s = known[w]
-                        v[i] += s
-                    n = np.sqrt(v @ v)
-                    out.append((v / n if n else v).astype(np.float32))
-                yield pd.Series(out)
-
-        return F.pandas_udf(run, "array<float>")(text)
+    def embed(self, rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+        words = rows.select(key, F.explode_outer(T.tokens(F.coalesce(F.col(text), F.lit("")))).alias("word")).withColumn("h", F.md5("word"))
+        number = lambda a, n: F.conv(F.substring("h", a, n), 16, 10).cast("long")
+        placed = words.select(key, (number(1, 8) % self.dims).alias("place"), F.when(number(9, 1) < 8, 1).otherwise(-1).alias("sign"))
+        sums = placed.groupBy(key).agg(*(F.coalesce(F.sum(F.when(F.col("place") == i, F.col("sign"))), F.lit(0)).alias(f"v{i}") for i in range(self.dims)))
+        square = sum((F.col(f"v{i}") * F.col(f"v{i}") for i in range(self.dims)), F.lit(0))
+        sums = sums.withColumn("size", F.sqrt(square))
+        return sums.select(key, F.array(*(F.when(F.col("size") == 0, 0.0).otherwise(F.col(f"v{i}") / F.col("size")).cast("float") for i in range(self.dims))).alias("embedding"))
 
 
 class LexicalReranker:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import text as T
+from tessera.operators.lineage import cut, sent
 
 
 @dataclass(frozen=True)
@@ -75,8 +76,34 @@ def search(index: SparseIndex, queries: DataFrame, k: int = config.TOP_K, **opti
     queries(query_id, text). Documents without a shared word score 0 and stay eligible, in order of
     doc_id: if a query has fewer than k hits, k of the first 2 k documents are free to fill its list.
     """
-    hits = scores(index, queries, **options)
-    first = index.lengths.select("doc_id").orderBy("doc_id").limit(2 * k)  # 2 k rows
+    return _ranked(scores(index, queries, **options), queries, index.lengths, k)
+
+
+def _ranked(hits: DataFrame, queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    first = documents.select("doc_id").orderBy("doc_id").limit(2 * k)  # 2 k rows
     rest = queries.select("query_id").crossJoin(F.broadcast(first)).join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return hits.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def search_texts(docs: DataFrame, queries: DataFrame, k: int = config.TOP_K, k1: float = config.BM25_K1, b: float = config.BM25_B, epsilon: float = config.BM25_EPSILON, digits: int = config.SCORE_DIGITS) -> DataFrame:
+    """As ``search``, of docs(doc_id, text) that no index holds, for one batch of queries.
+
+    Nothing is indexed: of the texts' words only those that queries ask for become postings, where the
+    texts are read, and only these are shuffled; of the others, which the mean weight depends on, counts.
+    """
+    asked = cut(query_terms(queries))
+    words = docs.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    n, total = words.agg(F.count("*"), F.sum(F.size("w"))).first()
+    avgdl = (total or 0) / n if n else 0.0
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    df = cut(words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", raw))
+    eps = (df.agg(F.avg("raw")).first()[0] or 0.0) * epsilon
+    idf = F.when(F.col("raw") < 0, F.lit(eps)).otherwise(F.col("raw"))
+    weight = cut(df.join(sent(asked), "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight")))
+    terms = sent(cut(weight.select("term").distinct()))
+    posts = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf, dl = F.col("tf"), F.col("dl")
+    part = tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * dl / F.lit(avgdl)))
+    hits = posts.select("doc_id", "term", part.alias("part")).join(sent(weight), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("part")), digits).alias("score"))
+    return _ranked(cut(hits), queries, docs, k)

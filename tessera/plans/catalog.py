@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import text as T
-from tessera.operators import dense, evaluation, graph, grading, models, ranking, sparse, trace
+from tessera.operators import blockmax, dense, evaluation, graph, grading, models, ranking, sparse, trace
+from tessera.plans import pipeline_sql as SQL
 from tessera.plans import pipelines, spec
 from tessera.streaming import ingest
 
@@ -232,19 +233,42 @@ def a2_corpus_stats(spark, sf_dir):
     return sparse.build(_docs(spark, sf_dir)).corpus.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 9).alias("avg_idf"), F.round("eps", 9).alias("eps"))
 
 
-@query(_BM25 + "SELECT term, CAST(df AS BIGINT) AS df, round(idf, 9) AS idf FROM idf")
+@query(f"""
+WITH n AS (SELECT count(*) AS n FROM documents),
+d AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TOKENS})) AS term FROM documents) GROUP BY term),
+r AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM d, n)
+SELECT term, CAST(df AS BIGINT) AS df, round(CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM r) ELSE raw END, 9) AS idf FROM r
+""")
 def a3_idf_table(spark, sf_dir):
-    return sparse.build(_docs(spark, sf_dir)).terms.select("term", "df", F.round("idf", 9).alias("idf"))
+    return blockmax.build(_docs(spark, sf_dir)).terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(_BM25 + _ONE + _SCORED + _RANKED + "50")
 def r2_bm25_topk(spark, sf_dir):
-    return sparse.search(sparse.build(_docs(spark, sf_dir)), _asked(spark), 50).select("query_id", "doc_id", "score", "rank")
+    return sparse.search_texts(_docs(spark, sf_dir), _asked(spark), 50).select("query_id", "doc_id", "score", "rank")
 
 
 @query(_BM25 + _ALL + _SCORED + _RANKED + "5")
 def l2_bm25_batch(spark, sf_dir):
-    return sparse.search(sparse.build(_docs(spark, sf_dir)), _questions(spark, sf_dir), 5).select("query_id", "doc_id", "score", "rank")
+    return sparse.search_texts(_docs(spark, sf_dir), _questions(spark, sf_dir), 5).select("query_id", "doc_id", "score", "rank")
+
+
+@query(_BM25 + _ONE + _SCORED + _RANKED + "50")
+def r2_block_max(spark, sf_dir):
+    """The literal query through the stored index."""
+    return blockmax.search(blockmax.build(_docs(spark, sf_dir)), _asked(spark), 50).select("query_id", "doc_id", "score", "rank")
+
+
+@query(_BM25 + _ALL + _SCORED + _RANKED + "5")
+def l2_block_max_batch(spark, sf_dir):
+    return blockmax.search(blockmax.build(_docs(spark, sf_dir)), _questions(spark, sf_dir), 5).select("query_id", "doc_id", "score", "rank")
+
+
+@query(_BM25 + "SELECT term, CAST(df AS BIGINT) AS postings, round(peak, 9) AS peak FROM (SELECT term, count(*) AS df, max(tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS peak FROM tf JOIN dl USING (doc_id), st GROUP BY term)")
+def k1_block_peaks(spark, sf_dir):
+    """Of each word the postings that its blocks hold, and the highest score among their peaks."""
+    blocks = blockmax.build(_docs(spark, sf_dir)).blocks
+    return blocks.groupBy("term").agg(F.sum(F.size("posts")).alias("postings"), F.round(F.max("peak"), 9).alias("peak"))
 
 
 # --- dense retrieval --------------------------------------------------------------------------------
@@ -296,7 +320,7 @@ fused AS (
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25's list and the lexical overlap's, for the literal query."""
     docs, q = _docs(spark, sf_dir), _asked(spark)
-    first = sparse.search(sparse.build(docs), q, 20).select("query_id", F.lit(0).alias("list_no"), F.col("doc_id").alias("id"), "rank")
+    first = sparse.search_texts(docs, q, 20).select("query_id", F.lit(0).alias("list_no"), F.col("doc_id").alias("id"), "rank")
     over = docs.crossJoin(F.broadcast(q.withColumnRenamed("text", "q"))).select("query_id", F.col("doc_id").alias("id"), F.round(F.coalesce(grading.lexical_overlap(F.col("q"), F.col("text")), F.lit(0.0)), 9).alias("o"))  # one query
     second = ranking.first_n(over, ["query_id"], 20, F.desc("o"), F.col("id")).select("query_id", F.lit(1).alias("list_no"), "id", "rank")
     return first.unionByName(second)
@@ -324,7 +348,7 @@ _GRADED = _BM25 + _ALL + _SCORED + f""", g AS (
 def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexical verdict on each document that BM25 ranks among the first 20 for a benchmark item."""
     docs, q = _docs(spark, sf_dir), _questions(spark, sf_dir)
-    found = sparse.search(sparse.build(docs), q, 20).select("query_id", "doc_id")
+    found = sparse.search_texts(docs, q, 20).select("query_id", "doc_id")
     rows = found.join(docs, "doc_id").join(q.withColumnRenamed("text", "q"), "query_id")
     return rows.select("query_id", F.col("doc_id").alias("id"), grading.lexical_verdict(grading.lexical_overlap(F.col("q"), F.col("text"))).alias("verdict"))
 
@@ -660,11 +684,11 @@ def _corpus(spark: SparkSession, sf_dir: str) -> pipelines.Corpus:
 
 
 def _posed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark's passages, with a nation's name, an acronym or a second part added to some."""
-    m = F.col("query_id") % 4
-    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 4 + 1).cast("long").alias("query_id"), "n_name")
-    extra = F.when(m == 1, F.concat(F.lit(" in "), F.coalesce("n_name", F.lit("France")))).when(m == 2, " via RRF").when(m == 3, " and the rest of it").otherwise("")
-    return _questions(spark, sf_dir).join(n, "query_id", "left").select("query_id", F.concat("text", extra).alias("text"))
+    """The benchmark's passages, with a nation's name, an acronym, a second part, a question word or a negation added to some."""
+    m = F.col("query_id") % 6
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 6 + 1).cast("long").alias("query_id"), "n_name")
+    extra = F.when(m == 1, F.concat(F.lit(" in "), F.coalesce("n_name", F.lit("France")))).when(m == 2, " via RRF").when(m == 3, " and the rest of it").when(m == 5, " without it").otherwise("")
+    return _questions(spark, sf_dir).join(n, "query_id", "left").select("query_id", F.concat(F.when(m == 4, "why ").otherwise(""), "text", extra).alias("text"))
 
 
 def _flat(runs: DataFrame) -> DataFrame:
@@ -681,39 +705,18 @@ def _pipeline(name: str) -> Query:
 for _i, _a in enumerate(config.ARCHITECTURES, 1):
     QUERIES[f"p{_i}_{_a}"] = _pipeline(_a)
 
-_WORDS = "CAST(len(list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')) AS INTEGER)"
-_PARA = "chr(10) || chr(10)"
-
-#: In this graph each region is linked to its nations alone, so that communities are the regions.
-ORACLE["p5_graph"] = f"""
-WITH e AS (SELECT lower(n_name) AS src, lower(r_name) AS dst, 'd::' || n_nationkey AS chunk_id FROM nation JOIN region ON n_regionkey = r_regionkey),
-adj AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-deg AS (SELECT src AS id, count(*) AS degree FROM adj GROUP BY src),
-ev AS (SELECT src AS id, chunk_id FROM e UNION SELECT dst, chunk_id FROM e),
-q AS (SELECT item_id AS query_id, text || CASE item_id % 4 WHEN 1 THEN ' in ' || coalesce(n_name, 'France') WHEN 2 THEN ' via RRF' WHEN 3 THEN ' and the rest of it' ELSE '' END AS text FROM benchmark LEFT JOIN nation ON n_nationkey * 4 + 1 = item_id),
-h0 AS (SELECT query_id, id FROM q JOIN deg ON regexp_matches(lower(text), '(^|[^a-z0-9_])' || id || '($|[^a-z0-9_])')),
-h1 AS (SELECT DISTINCT query_id, dst AS id FROM h0 JOIN adj ON src = id),
-h2 AS (SELECT DISTINCT query_id, dst AS id FROM h1 JOIN adj ON src = id),
-v AS (SELECT * FROM h0 UNION SELECT * FROM h1 UNION SELECT * FROM h2),
-c AS (SELECT query_id, chunk_id, degree, id FROM v JOIN deg USING (id) JOIN ev USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY degree DESC, id) = 1),
-r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY degree DESC, id, chunk_id) AS rank FROM c QUALIFY rank <= 40),
-h AS (SELECT query_id, string_agg(chunk_id, ' ' ORDER BY rank) AS chunk_ids, string_agg('[' || chunk_id || ']' || chr(10) || text, {_PARA} ORDER BY rank) AS context, arg_min(text || ' [' || chunk_id || ']', rank) AS answer FROM r JOIN documents ON 'd::' || doc_id = chunk_id GROUP BY query_id),
-m AS (SELECT dst AS region, 'Entities: ' || dst || ', ' || string_agg(src, ', ') AS summary FROM e GROUP BY dst),
-g AS (SELECT query_id, 'Background, not to be cited:' || chr(10) || string_agg(summary, chr(10)) || {_PARA} AS background FROM v JOIN m ON region = id GROUP BY query_id),
-a AS (SELECT q.query_id, q.text, coalesce(chunk_ids, '') AS chunk_ids, coalesce(answer, 'The context does not answer this question.') AS answer,
-  'Answer from the context alone and cite the ids of the chunks that you use.' || {_PARA} || coalesce(background, '') || 'Context:' || chr(10) || coalesce(context, '') || {_PARA} || 'Question: ' || q.text AS prompt
-  FROM q LEFT JOIN h USING (query_id) LEFT JOIN g USING (query_id))
-SELECT query_id, 'graph' AS architecture, 'graph::' || sha256(text)[:10] AS trace_id, chunk_ids, sha256(answer) AS answer_sha, 1 AS llm_calls, {_WORDS.format("prompt")} AS prompt_tokens, {_WORDS.format("answer")} AS completion_tokens, 3 AS n_nodes FROM a
-"""
+_POSED = """q AS (SELECT item_id AS query_id, CASE item_id % 6 WHEN 4 THEN 'why ' ELSE '' END || text || CASE item_id % 6 WHEN 1 THEN ' in ' || coalesce(n_name, 'France') WHEN 2 THEN ' via RRF' WHEN 3 THEN ' and the rest of it' WHEN 5 THEN ' without it' ELSE '' END AS text
+  FROM benchmark LEFT JOIN nation ON n_nationkey * 6 + 1 = item_id)"""
+ORACLE |= {f"p{i}_{a}": SQL.adaptive(_POSED) if a == "adaptive" else SQL.plan(_POSED, a) for i, a in enumerate(config.ARCHITECTURES, 1)}
 
 
-@query()
+@query(SQL.spec_hybrid(_POSED))
 def p9_spec_hybrid(spark, sf_dir):
     out = spec.compile_spec(spec.PRESETS["hybrid"], _corpus(spark, sf_dir))(_posed(spark, sf_dir))
     return out.select("query_id", "node", F.array_join("chunk_ids", " ").alias("chunk_ids"), F.sha2("answer", 256).alias("answer_sha"))
 
 
-@query()
+@query(SQL.evidence(_POSED))
 def g8_evidence(spark, sf_dir):
     runs = pipelines.corrective(_posed(spark, sf_dir), _corpus(spark, sf_dir))
     return trace.evidence(trace.exploded(runs)).select("trace_id", F.array_join("chunk_ids", " ").alias("chunk_ids"))

@@ -13,9 +13,13 @@ from tessera.plans.catalog import ORACLE, QUERIES, query, table
 _N = "chr(10)"
 
 
-def _sql(*parts: str) -> str:
-    """SQL that joins parts by an empty line; each part is SQL."""
-    return f" || {_N} || {_N} || ".join(parts)
+def _sql(step: str, *parts: str) -> str:
+    """SQL of a step's prompt; each part is SQL."""
+    return f" || {_N} || ".join((_text(P.head(step)), *parts))
+
+
+def _tag(name: str, sql: str, opened: str | None = None) -> str:
+    return f"{opened or _text(f'<{name}>')} || {_N} || {sql} || {_N} || '</{name}>'"
 
 
 def _text(s: str) -> str:
@@ -33,12 +37,14 @@ def _sha(c):
 _SHAPE = '{"chosen": "string"}'
 
 
-@query(f"SELECT item_id, sha256({_sql(_text(P.HYDE), "'Question: ' || text", "'Passage:'")}) AS prompt_sha FROM benchmark")
+@query(f"SELECT item_id, sha256({_sql('generate_hypothetical', _tag('question', 'text'))}) AS prompt_sha FROM benchmark")
 def q3_hyde_prompts(spark, sf_dir):
     return _items(spark, sf_dir).select("item_id", _sha(P.hyde(F.col("q"))).alias("prompt_sha"))
 
 
-_TURNS = "FROM (SELECT conv_id, 'what of ' || conv_id AS q, string_agg('[c::' || turn || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS hits, coalesce(string_agg('- ' || role || ' ' || turn, chr(10) ORDER BY turn) FILTER (turn % 2 = 1), '" + P.NO_REASONS + "') AS reasons, coalesce(string_agg('[c::' || turn || ']: ' || text[:200], chr(10) || chr(10) ORDER BY turn) FILTER (turn % 2 = 1), '" + P.NOTHING + "') AS odd FROM conversations GROUP BY conv_id)"
+_CHUNK = "'<chunk id=\"c::' || turn || '\">' || chr(10) || {} || chr(10) || '</chunk>'"
+_TURNS = f"""FROM (SELECT conv_id, 'what of ' || conv_id AS q, string_agg({_CHUNK.format('text')}, chr(10) ORDER BY turn) AS hits, coalesce(string_agg(role || ' ' || turn, chr(10) ORDER BY turn) FILTER (turn % 2 = 1), 'none') AS reasons,
+  coalesce(string_agg({_CHUNK.format('text[:200]')}, chr(10) ORDER BY turn) FILTER (turn % 2 = 1), 'none') AS odd FROM conversations GROUP BY conv_id)"""
 
 
 def _turns(spark, sf_dir):
@@ -50,24 +56,27 @@ def _turns(spark, sf_dir):
     return rows.select("conv_id", F.concat(F.lit("what of "), F.col("conv_id").cast("string")).alias("q"), hits.alias("hits"), F.transform(odd, lambda x: x["reason"]).alias("reasons"), F.transform(odd, lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["text"].alias("text"))).alias("odd"))
 
 
-@query(f"SELECT conv_id, sha256({_sql(_text(P.GRADE), "'Question: ' || q", "'Chunks:'", 'hits')}) AS grading_sha, sha256({_sql(_text(P.REWRITE), "'Query: ' || q", "'Reasons:' || chr(10) || reasons")}) AS rewrite_sha {_TURNS}")
+@query(f"SELECT conv_id, sha256({_sql('grade', 'hits', _tag('question', 'q'))}) AS grading_sha, sha256({_sql('rewrite', _tag('reasons', 'reasons'), _tag('query', 'q'))}) AS rewrite_sha {_TURNS}")
 def q4_corrective_prompts(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", _sha(P.grading(F.col("q"), F.col("hits"))).alias("grading_sha"), _sha(P.rewrite(F.col("q"), F.col("reasons"))).alias("rewrite_sha"))
 
 
-@query(f"SELECT conv_id, sha256({_sql(_text(P.PLAN.format(n=config.MAX_SUB_QUESTIONS)), "'Question: ' || q")}) AS plan_sha, sha256({_sql(_text(P.REFLECT), "'Part: ' || q", "'Evidence:' || chr(10) || odd")}) AS reflect_sha {_TURNS}")
+@query(f"SELECT conv_id, sha256({_sql('plan', _tag('question', 'q'))}) AS plan_sha, sha256({_sql('reflect', 'odd', _tag('sub_question', 'q'))}) AS reflect_sha {_TURNS}")
 def q5_agentic_prompts(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", _sha(P.plan(F.col("q"))).alias("plan_sha"), _sha(P.reflect(F.col("q"), F.col("odd"))).alias("reflect_sha"))
 
 
-@query(f"SELECT item_id, sha256({_sql(_text(P.ROUTE), _text(chr(10).join(f'- {k}: {v}' for k, v in sorted(P.ROUTES.items()))), "'Question: ' || text")}) AS prompt_sha FROM benchmark")
+@query(f"SELECT item_id, sha256({_sql('route', _tag('plans', _text(P.plans())), _tag('question', 'text'))}) AS prompt_sha FROM benchmark")
 def q6_route_prompts(spark, sf_dir):
     return _items(spark, sf_dir).select("item_id", _sha(P.route(F.col("q"))).alias("prompt_sha"))
 
 
+_NOTE = "'<chunk note=\"' || doc_id || '\" heading=\"' || CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE source END || '\">'"
+
+
 @query(f"""
-WITH v AS (SELECT string_agg('- ' || lower(r_name), chr(10) ORDER BY r_name) AS v FROM region)
-SELECT doc_id, sha256({_sql(_text(P.EXTRACT), "'Note: ' || doc_id || chr(10) || 'Heading: ' || CASE WHEN doc_id % 3 = 0 THEN '(no heading)' ELSE source END", "'Chunk:' || chr(10) || text", "'Vocabulary:' || chr(10) || v")}) AS prompt_sha FROM documents, v
+WITH v AS (SELECT string_agg(lower(r_name), chr(10) ORDER BY r_name) AS v FROM region)
+SELECT doc_id, sha256({_sql('triples', _tag('vocabulary', 'v'), _tag('chunk', 'text', _NOTE))}) AS prompt_sha FROM documents, v
 """)
 def q7_extraction_prompts(spark, sf_dir):
     v = table(spark, sf_dir, "region").agg(F.array_sort(F.collect_list(F.lower("r_name"))).alias("v"))  # the vocabulary: one row
@@ -77,8 +86,8 @@ def q7_extraction_prompts(spark, sf_dir):
 
 @query(f"""
 WITH e AS (SELECT r_regionkey, r_name, n_name, 'c::' || n_nationkey AS chunk_id, CASE WHEN n_nationkey % 4 > 0 THEN n_name || ' of ' || r_name END AS text FROM nation JOIN region ON n_regionkey = r_regionkey),
-g AS (SELECT r_regionkey, string_agg('- ' || n_name, chr(10) ORDER BY n_name) AS ents, string_agg('- ' || n_name || ' --[lies in]--> ' || r_name, chr(10) ORDER BY n_name) AS rels, coalesce(string_agg('[' || chunk_id || ']: ' || text[:300], chr(10) ORDER BY chunk_id) FILTER (text <> ''), '{P.NO_EXCERPTS}') AS ex FROM e GROUP BY 1)
-SELECT CAST(r_regionkey AS BIGINT) AS community, sha256({_sql(_text(P.SUMMARISE), "'Entities:' || chr(10) || ents", "'Relations:' || chr(10) || rels", "'Excerpts:' || chr(10) || ex")}) AS prompt_sha FROM g
+g AS (SELECT r_regionkey, string_agg(n_name, chr(10) ORDER BY n_name) AS ents, string_agg(n_name || ' | lies in | ' || r_name, chr(10) ORDER BY n_name) AS rels, coalesce(string_agg('<chunk id="' || chunk_id || '">' || chr(10) || text[:300] || chr(10) || '</chunk>', chr(10) ORDER BY chunk_id) FILTER (text <> ''), 'none') AS ex FROM e GROUP BY 1)
+SELECT CAST(r_regionkey AS BIGINT) AS community, sha256({_sql('summary', _tag('members', 'ents'), _tag('edges', 'rels'), 'ex')}) AS prompt_sha FROM g
 """)
 def q7_community_prompts(spark, sf_dir):
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -87,10 +96,10 @@ def q7_community_prompts(spark, sf_dir):
     return g.select("community", _sha(P.community(F.col("entities"), F.col("edges"), F.col("excerpts"))).alias("prompt_sha"))
 
 
-_POINTS = "SELECT conv_id, any_value('what of ' || conv_id) AS q, arg_max(text, turn) AS answer, string_agg((turn + 1) || '. ' || role, chr(10) ORDER BY turn) AS points FROM (SELECT conv_id, text, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn FROM conversations) GROUP BY conv_id"
+_POINTS = "SELECT conv_id, any_value('what of ' || conv_id) AS q, arg_max(text, turn) AS answer, string_agg('#' || (turn + 1) || ' ' || role, chr(10) ORDER BY turn) AS points FROM (SELECT conv_id, text, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn FROM conversations) GROUP BY conv_id"
 
 
-@query(f"SELECT conv_id, sha256({_sql(_text(P.JUDGE), "'Question: ' || q", "'Answer:' || chr(10) || answer", "'Expected points:' || chr(10) || points", _text(P.JSON) + f" || chr(10) || '{_SHAPE}'")}) AS prompt_sha FROM ({_POINTS})")
+@query(f"SELECT conv_id, sha256({_sql('judge', _tag('points', 'points'), _tag('question', 'q'), _tag('answer', 'answer'), _text(P.REPLY), _text(_SHAPE))}) AS prompt_sha FROM ({_POINTS})")
 def q8_judge_prompts(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"), F.max_by("text", "turn").alias("answer"))
     prompt = P.judge(F.concat(F.lit("what of "), F.col("conv_id").cast("string")), F.col("answer"), F.transform("t", lambda x: x["role"]))

@@ -8,56 +8,79 @@ over those still active; there are at most three.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import config
+from tessera.functions import prompts
 from tessera.functions import text as T
-from tessera.operators import dense, graph, grading, ranking, sparse
-from tessera.operators.lineage import cut
-from tessera.operators.models import ExtractiveCompleter, HashingEmbedder, LexicalReranker
+from tessera.operators import blockmax, dense, graph, grading, ranking, sparse
+from tessera.operators.lineage import cut, stored
+from tessera.operators.models import Embedder, ExtractiveCompleter, HashingEmbedder, LexicalReranker
 from tessera.operators.trace import NODE, spliced
 
 _HITS = "array<struct<rank int, chunk_id string, score double, text string, heading string>>"
+_RANKS = "array<struct<rank int, chunk_id string, score double>>"
 
 
 @dataclass
 class Corpus:
-    """chunks(id long, chunk_id, heading, text), their index, vectors(id, embedding), and the entity graph: entities(id, community), edges(src, rel, dst, chunk_id), communities(id, summary)."""
+    """chunks(id long, chunk_id, heading, text), vectors(id, embedding), and what of an index and an entity graph there is: edges(src, rel, dst, chunk_id), entities(id, community), communities(id, summary).
+
+    Without a stored index, texts are searched as they are. Communities are sought when a plan first needs them.
+    """
 
     chunks: DataFrame
-    index: sparse.SparseIndex
     vectors: DataFrame
+    index: blockmax.BlockIndex | None = None
     edges: DataFrame | None = None
-    entities: DataFrame | None = None
-    communities: DataFrame | None = None
-    embedder: HashingEmbedder = field(default_factory=HashingEmbedder)
+    embedder: Embedder = field(default_factory=HashingEmbedder)
     reranker: LexicalReranker = field(default_factory=LexicalReranker)
     completer: ExtractiveCompleter = field(default_factory=ExtractiveCompleter)
 
     @staticmethod
-    def of(chunks: DataFrame, edges: DataFrame | None = None, **models) -> Corpus:
-        """Indexes chunks(id, chunk_id, heading, text)."""
-        embedder = models.get("embedder") or HashingEmbedder()
+    def of(chunks: DataFrame, edges: DataFrame | None = None, **parts) -> Corpus:
+        """The corpus of chunks(id, chunk_id, heading, text)."""
+        embedder = parts.get("embedder") or HashingEmbedder()
         chunks = chunks if "heading" in chunks.columns else chunks.withColumn("heading", F.lit(None).cast("string"))
-        vectors = chunks.select("id", embedder.embed(F.col("text")).alias("embedding"))
-        entities = communities = None
-        if edges is not None:
-            entities = graph.communities(edges)
-            communities = graph.community_members(entities).withColumn("summary", F.concat(F.lit("Entities: "), F.array_join("entity_ids", ", ")))
-        return Corpus(chunks, sparse.build(chunks, "id").cache(), vectors.persist(), edges, entities and entities.persist(), communities, **models)
+        return Corpus(chunks, stored(embedder.embed(chunks, "id"), "vectors"), edges=edges, **parts)
+
+    @cached_property
+    def entities(self) -> DataFrame | None:
+        return None if self.edges is None else stored(graph.communities(self.edges), "entities")
+
+    @cached_property
+    def communities(self) -> DataFrame | None:
+        return None if self.entities is None else graph.community_members(self.entities).withColumn("summary", F.concat(F.lit("Entities: "), F.array_join("entity_ids", ", ")))
 
-    def dense(self, questions: DataFrame, k: int) -> DataFrame:
-        """questions(query_id, text) to (query_id, id, score, rank)."""
-        return dense.search(self.vectors, questions.select("query_id", self.embedder.embed(F.col("text")).alias("embedding")), k)
+    @cached_property
+    def names(self) -> DataFrame:
+        """(id): the entities of the edges."""
+        return stored(self.edges.select(F.col("src").alias("id")).union(self.edges.select("dst")).distinct(), "names")
+
+    def embedded(self, questions: DataFrame) -> DataFrame:
+        """(query_id, vector) of questions(query_id, text), cut."""
+        return cut(self.embedder.embed(questions, "query_id").withColumnRenamed("embedding", "vector"))
+
+    def dense(self, questions: DataFrame, k: int, vectors: DataFrame | None = None) -> DataFrame:
+        """questions(query_id, text) to (query_id, id, score, rank); vectors: what ``embedded`` gives for them, if it is there already."""
+        vectors = self.embedded(questions) if vectors is None else vectors
+        return dense.search(self.vectors, vectors.withColumnRenamed("vector", "embedding"), k)
 
     def sparse(self, questions: DataFrame, k: int) -> DataFrame:
-        return sparse.search(self.index, questions.select("query_id", "text"), k).withColumnRenamed("doc_id", "id")
+        asked = questions.select("query_id", "text")
+        found = sparse.search_texts(self.chunks.select(F.col("id").alias("doc_id"), "text"), asked, k) if self.index is None else blockmax.search(self.index, asked, k)
+        return found.withColumnRenamed("doc_id", "id")
+
+    def named(self, ranked: DataFrame) -> DataFrame:
+        """(query_id, hits): each list as an array of (rank, chunk_id, score) in rank order."""
+        rows = ranked.join(self.chunks.select("id", "chunk_id"), "id")
+        return rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).cast(_RANKS).alias("hits"))
 
     def listed(self, ranked: DataFrame) -> DataFrame:
-        """(query_id, hits): each list as an array in rank order. The text comes in only here, for the few chunks that were found."""
+        """As ``named``, with texts and headings, which come in only here, for the few chunks that go on to a prompt."""
         rows = ranked.join(self.chunks.select("id", "chunk_id", "text", "heading"), "id")
         return rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score", "text", "heading"))).cast(_HITS).alias("hits"))
 
@@ -67,7 +90,7 @@ class Corpus:
             empty = questions.sparkSession.createDataFrame
             return empty([], "query_id long, id string"), empty([], "query_id long, src string, rel string, dst string, chunk_id string"), empty([], "query_id long, id long, score double, rank int")
         adj = graph.adjacency(self.edges)
-        start = graph.seeds(questions, self.edges.select(F.col("src").alias("id")).union(self.edges.select("dst")).distinct())
+        start = graph.seeds(questions.select("query_id", "text"), self.names)
         visited = graph.expand(start, adj)
         found = graph.hop_chunks(visited, adj, graph.entity_chunks(self.edges))
         known = found.join(self.chunks.select("id", "chunk_id"), "chunk_id").select("query_id", "id", F.lit(None).cast("double").alias("score"), "rank")
@@ -139,23 +162,25 @@ def _runs(rows: DataFrame, architecture: str, calls: Column, nodes: Column, extr
 
 def naive(questions: DataFrame, corpus: Corpus, k: int = config.TOP_K) -> DataFrame:
     """Dense top-k, then an answer."""
-    q = questions.select("query_id", "text", corpus.embedder.embed(F.col("text")).alias("vector"))
-    rows = _answered(q.join(corpus.listed(corpus.dense(questions, k)), "query_id", "left"), corpus)
+    v = corpus.embedded(questions)
+    q = questions.select("query_id", "text").join(v, "query_id")
+    rows = _answered(q.join(corpus.listed(corpus.dense(questions, k, v)), "query_id", "left"), corpus)
     nodes = F.array(_embed_node("n1", [], corpus, F.col("vector")), node("n2", "retrieve_dense", ["n1"], results=_results(F.col("hits")), k=F.lit(k)), _generate_node("n3", ["n2"]))
     return _runs(rows, "naive", F.lit(1), nodes)
 
 
 def hybrid(questions: DataFrame, corpus: Corpus, k: int = config.TOP_K, pool: int = config.POOL_K) -> DataFrame:
     """Dense and sparse pools, fused by reciprocal rank, reranked to k."""
-    d, s = cut(corpus.dense(questions, pool)), cut(corpus.sparse(questions, pool))
+    v = corpus.embedded(questions)
+    d, s = cut(corpus.dense(questions, pool, v)), cut(corpus.sparse(questions, pool))
     lists = d.select("query_id", F.lit(0).alias("list_no"), "id", "rank").unionByName(s.select("query_id", F.lit(1).alias("list_no"), "id", "rank"))
     fused = cut(ranking.fuse(lists, pool=pool))
     text = fused.join(corpus.chunks.select("id", F.col("text").alias("passage")), "id").join(questions.select("query_id", "text"), "query_id")
     best = ranking.rerank(text.withColumn("rerank_score", corpus.reranker.score(F.col("text"), F.col("passage"))), k)
-    q = questions.select("query_id", "text", corpus.embedder.embed(F.col("text")).alias("vector"))
-    for name, lst in (("dense", d), ("sparse", s), ("fused", fused), ("hits", best.select("query_id", "id", F.col("rerank_score").alias("score"), "rank"))):
-        q = q.join(corpus.listed(lst).withColumnRenamed("hits", name), "query_id", "left")
-    rows = _answered(q, corpus)
+    q = questions.select("query_id", "text").join(v, "query_id")
+    for name, lst in (("dense", d), ("sparse", s), ("fused", fused)):
+        q = q.join(corpus.named(lst).withColumnRenamed("hits", name), "query_id", "left")
+    rows = _answered(q.join(corpus.listed(best.select("query_id", "id", F.col("rerank_score").alias("score"), "rank")), "query_id", "left"), corpus)
     nodes = F.array(
         _embed_node("n1", [], corpus, F.col("vector")), node("n2", "retrieve_dense", ["n1"], results=_results(F.col("dense")), k=F.lit(pool)), node("n3", "retrieve_sparse", ["n1"], results=_results(F.col("sparse")), k=F.lit(pool)),
         node("n4", "fuse", ["n2", "n3"], method=F.lit("rrf"), k=F.lit(config.RRF_K), inputs=F.array(F.lit("n2"), F.lit("n3")), results=_results(F.col("fused"))),
@@ -166,36 +191,41 @@ def hybrid(questions: DataFrame, corpus: Corpus, k: int = config.TOP_K, pool: in
 
 def hyde(questions: DataFrame, corpus: Corpus, k: int = config.TOP_K) -> DataFrame:
     """Retrieves by a hypothetical passage, answers the question itself."""
-    q = questions.select("query_id", "text", corpus.completer.hypothetical(F.col("text")).alias("draft")).withColumn("vector", corpus.embedder.embed(F.col("draft")))
-    found = corpus.listed(corpus.dense(q.select("query_id", F.col("draft").alias("text")), k))
-    rows = _answered(q.join(found, "query_id", "left"), corpus)
+    q = cut(questions.select("query_id", "text", corpus.completer.hypothetical(F.col("text")).alias("draft"), prompts.hyde(F.col("text")).alias("order")))
+    drafts = q.select("query_id", F.col("draft").alias("text"))
+    v = corpus.embedded(drafts)
+    rows = _answered(q.join(v, "query_id").join(corpus.listed(corpus.dense(drafts, k, v)), "query_id", "left"), corpus)
     nodes = F.array(
-        node("n1", "generate_hypothetical", [], output=F.col("draft"), prompt_preview=T.preview(F.col("text")), tokens=_n_words(F.col("draft"))), _embed_node("n2", ["n1"], corpus, F.col("vector")),
+        node("n1", "generate_hypothetical", [], output=F.col("draft"), prompt_preview=T.preview(F.col("order")), tokens=_n_words(F.col("draft"))), _embed_node("n2", ["n1"], corpus, F.col("vector")),
         node("n3", "retrieve_dense", ["n2"], results=_results(F.col("hits")), k=F.lit(k)), _generate_node("n4", ["n3"]),
     )
-    return _runs(rows, "hyde", F.lit(2), nodes, _n_words(F.col("text")))
+    return _runs(rows, "hyde", F.lit(2), nodes, _n_words(F.col("order")))
 
 
 def corrective(questions: DataFrame, corpus: Corpus, k: int = config.TOP_K, most: int = config.MAX_CORRECTIONS) -> DataFrame:
     """Grades what it finds against the question; while more is incorrect than correct, rewrites and retrieves again, at most ``most`` times."""
     judged = lambda hits: F.transform(hits, lambda h: F.struct(h["chunk_id"].alias("chunk_id"), grading.lexical_verdict(grading.lexical_overlap(F.col("text"), h["text"])).alias("verdict"), F.lit("token overlap").alias("reason")))
-    state = questions.select("query_id", "text", F.col("text").alias("asked"), F.lit(False).alias("stop"), F.lit(0).alias("rounds"), F.array().cast(_HITS).alias("hits"), F.array().cast("array<struct<chunk_id string, verdict string, reason string>>").alias("grades"), F.array().cast(f"array<{NODE}>").alias("nodes"))
+    state = questions.select("query_id", "text", F.col("text").alias("asked"), F.lit(False).alias("stop"), F.lit(0).alias("rounds"), F.lit(0).alias("spent"), F.array().cast(_HITS).alias("hits"), F.array().cast("array<struct<chunk_id string, verdict string, reason string>>").alias("grades"), F.array().cast(f"array<{NODE}>").alias("nodes"))
     for a in range(1, most + 2):
         active = state.where(~F.col("stop"))
-        found = corpus.listed(corpus.dense(active.select("query_id", F.col("asked").alias("text")), k)).withColumnRenamed("hits", "new")
-        got = active.join(found, "query_id", "left").withColumn("new", F.coalesce("new", F.array().cast(_HITS))).withColumn("judged", judged(F.col("new")))
+        query = active.select("query_id", F.col("asked").alias("text"))
+        v = corpus.embedded(query)
+        found = corpus.listed(corpus.dense(query, k, v)).withColumnRenamed("hits", "new")
+        got = active.join(v, "query_id").join(found, "query_id", "left").withColumn("new", F.coalesce("new", F.array().cast(_HITS))).withColumn("judged", judged(F.col("new")))
+        reasons = F.transform(F.filter("judged", lambda j: j["verdict"] == "incorrect"), lambda j: j["reason"])
+        got = got.withColumn("grading", prompts.grading(F.col("text"), F.col("new"))).withColumn("rewriting", prompts.rewrite(F.col("asked"), reasons))
         count = lambda v: F.size(F.filter("judged", lambda j: j["verdict"] == v))
         base = 4 * (a - 1)
         again = corpus.completer.rewrite(F.col("text"))
         ok = (count("incorrect") <= count("correct")) if a <= most else F.lit(True)
         steps = F.array(
-            _embed_node(f"n{base + 1}", [f"n{base}"] if base else [], corpus, corpus.embedder.embed(F.col("asked"))), node(f"n{base + 2}", "retrieve_dense", [f"n{base + 1}"], results=_results(F.col("new")), k=F.lit(k)),
-            node(f"n{base + 3}", "grade", [f"n{base + 2}"], judgements=F.col("judged")),
+            _embed_node(f"n{base + 1}", [f"n{base}"] if base else [], corpus, F.col("vector")), node(f"n{base + 2}", "retrieve_dense", [f"n{base + 1}"], results=_results(F.col("new")), k=F.lit(k)),
+            node(f"n{base + 3}", "grade", [f"n{base + 2}"], judgements=F.col("judged"), prompt_preview=T.preview(F.col("grading"))),
         )
-        rewrite = F.array(node(f"n{base + 4}", "rewrite", [f"n{base + 3}"], **{"from": F.col("asked"), "to": again, "reason": F.lit("more incorrect than correct")}))
+        rewrite = F.array(node(f"n{base + 4}", "rewrite", [f"n{base + 3}"], **{"from": F.col("asked"), "to": again, "reason": F.lit("more incorrect than correct"), "prompt_preview": T.preview(F.col("rewriting"))}))
         got = got.withColumn("ok", ok).withColumn("steps", steps)
         moved = got.select(
-            "query_id", "text", F.when(F.col("ok"), F.col("asked")).otherwise(again).alias("asked"), F.col("ok").alias("stop"), F.lit(a).alias("rounds"), F.col("new").alias("hits"), F.col("judged").alias("grades"),
+            "query_id", "text", F.when(F.col("ok"), F.col("asked")).otherwise(again).alias("asked"), F.col("ok").alias("stop"), F.lit(a).alias("rounds"), (F.col("spent") + _n_words(F.col("grading")) + F.when(F.col("ok"), 0).otherwise(_n_words(F.col("rewriting")))).alias("spent"), F.col("new").alias("hits"), F.col("judged").alias("grades"),
             F.when(F.col("ok"), F.concat("nodes", "steps")).otherwise(F.concat("nodes", "steps", rewrite)).alias("nodes"),
         )
         state = cut(moved.unionByName(state.where("stop")))
@@ -204,7 +234,7 @@ def corrective(questions: DataFrame, corpus: Corpus, k: int = config.TOP_K, most
     rows = _answered(state.withColumn("wrong", wrong).withColumn("hits", F.when(F.size(kept) > 0, kept).otherwise(F.col("hits"))), corpus)
     last = F.concat(F.lit("n"), (4 * F.col("rounds") - 1).cast("string"))
     end = _generate_node("end", F.array(last)).withField("id", F.concat(F.lit("n"), (4 * F.col("rounds")).cast("string")))
-    return _runs(rows, "corrective", 2 * F.col("rounds"), F.concat("nodes", F.array(end)), _n_words(F.col("text")) * (2 * F.col("rounds") - 1))
+    return _runs(rows, "corrective", 2 * F.col("rounds"), F.concat("nodes", F.array(end)), F.col("spent"))
 
 
 def graph_hops(questions: DataFrame, corpus: Corpus) -> DataFrame:
@@ -252,36 +282,40 @@ def agentic(questions: DataFrame, corpus: Corpus, k: int = config.TOP_K) -> Data
     """
     subs = questions.select("query_id", F.posexplode(corpus.completer.plan(F.col("text"))).alias("no", "part")).select(F.col("query_id").alias("of"), "no", (F.col("query_id") * 10 + F.col("no")).alias("query_id"), F.col("part").alias("text"))
     enough = F.exists("hits", lambda h: F.coalesce(grading.lexical_overlap(F.col("text"), h["text"]), F.lit(0.0)) >= config.GRADE_CORRECT_FROM)
-    first = cut(tool_route(cut(subs), corpus))
+    subs = cut(subs)
+    v = corpus.embedded(subs)
+    first = cut(tool_route(subs, corpus))
     got = cut(first.join(_by_tool(first.select("query_id", "text", "tool"), corpus, k), "query_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast(_HITS))).withColumn("attempt", F.lit(1)).withColumn("enough", enough))
     other = F.create_map(*(F.lit(x) for kv in RETRY.items() for x in kv))[F.col("tool")]
     second = cut(got.where(~F.col("enough")).select("of", "no", "query_id", "text", other.alias("tool")))
     more = second.join(_by_tool(second.select("query_id", "text", "tool"), corpus, k), "query_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast(_HITS))).withColumn("attempt", F.lit(2)).withColumn("enough", enough)
-    tries = cut(got.unionByName(more))
+    order = prompts.reflect(F.col("text"), F.transform("hits", lambda h: F.struct(h["chunk_id"].alias("chunk_id"), h["text"].alias("text"))))
+    tries = cut(got.unionByName(more).join(v, "query_id").withColumn("order", order))
     key = F.concat(F.lit("s"), F.col("no").cast("string"), F.lit("a"), F.col("attempt").cast("string"))
     name = lambda s: F.concat(key, F.lit(f"-{s}"))
     before = F.when(F.col("attempt") == 1, F.array(F.lit("plan"))).otherwise(F.array(F.concat(F.lit("s"), F.col("no").cast("string"), F.lit("a1-reflect"))))
     route = node(name("route"), "route", before, chosen=F.col("tool"), scores=F.create_map().cast("map<string,double>"), reason=F.lit("rule"))
     results = {"results": _results(F.col("hits")), "k": F.lit(k)}
     branch = (
-        F.when(F.col("tool") == "dense", F.array(_embed_node("x", F.array(name("route")), corpus, corpus.embedder.embed(F.col("text"))).withField("id", name("embed")), node(name("got"), "retrieve_dense", F.array(name("embed")), **results)))
+        F.when(F.col("tool") == "dense", F.array(_embed_node("x", F.array(name("route")), corpus, F.col("vector")).withField("id", name("embed")), node(name("got"), "retrieve_dense", F.array(name("embed")), **results)))
         .when(F.col("tool") == "sparse", F.array(node(name("got"), "retrieve_sparse", F.array(name("route")), **results)))
         .otherwise(F.array(node(name("seed"), "graph_seed", F.array(name("route"))), node(name("got"), "graph_expand", F.array(name("seed")), hops=F.lit(config.GRAPH_HOPS), edges=F.array().cast("array<struct<src string, rel string, dst string>>"), chunk_ids=_ids(F.col("hits")))))
     )
-    reflect = node(name("reflect"), "reflect", F.array(name("got")), sufficient=F.col("enough"), reason=F.lit("token overlap"), next_action=F.when(F.col("enough"), "answer").otherwise("retry"))
-    steps = cut(tries.select("of", "no", "attempt", "hits", F.concat(F.array(route), branch, F.array(reflect)).alias("steps")))
-    per = steps.groupBy("of", "no").agg(F.max("attempt").alias("attempts"), F.max_by("hits", "attempt").alias("hits"), F.array_sort(F.collect_list(F.struct("attempt", "steps"))).alias("t"))
-    whole = per.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("no", "attempts", "hits", "t"))).alias("subs"))
+    reflect = node(name("reflect"), "reflect", F.array(name("got")), sufficient=F.col("enough"), reason=F.lit("token overlap"), next_action=F.when(F.col("enough"), "answer").otherwise("retry"), prompt_preview=T.preview(F.col("order")))
+    steps = cut(tries.select("of", "no", "attempt", "hits", _n_words(F.col("order")).alias("spent"), F.concat(F.array(route), branch, F.array(reflect)).alias("steps")))
+    per = steps.groupBy("of", "no").agg(F.max("attempt").alias("attempts"), F.sum("spent").alias("spent"), F.max_by("hits", "attempt").alias("hits"), F.array_sort(F.collect_list(F.struct("attempt", "steps"))).alias("t"))
+    whole = per.groupBy("of").agg(F.sum("spent").alias("spent"), F.array_sort(F.collect_list(F.struct("no", "attempts", "hits", "t"))).alias("subs"))
     q = questions.select("query_id", "text").join(whole, F.col("query_id") == F.col("of"), "left").drop("of")
     every = F.flatten(F.transform("subs", lambda s: s["hits"]))
     once = F.filter(every, lambda h, i: F.array_position(F.transform(every, lambda x: x["chunk_id"]), h["chunk_id"]) == i + 1)
     rows = _answered(q.withColumn("hits", once), corpus)
-    plan = F.array(node("plan", "plan", [], sub_questions=corpus.completer.plan(F.col("text"))))
+    planning = prompts.plan(F.col("text"))
+    plan = F.array(node("plan", "plan", [], sub_questions=corpus.completer.plan(F.col("text")), prompt_preview=T.preview(planning)))
     inner = F.flatten(F.transform("subs", lambda s: F.flatten(F.transform(s["t"], lambda t: t["steps"]))))
     ends = F.transform("subs", lambda s: F.concat(F.lit("s"), s["no"].cast("string"), F.lit("a"), s["attempts"].cast("string"), F.lit("-reflect")))
     n_tries = F.aggregate("subs", F.lit(0), lambda a, s: a + s["attempts"])
-    rows = cut(rows.select("query_id", "text", "hits", "prompt", "answer", n_tries.alias("tries"), F.concat(plan, inner, F.array(_generate_node("end", ends))).alias("steps")))
-    return _runs(rows, "agentic", 2 + F.col("tries"), numbered(F.col("steps")), _n_words(F.col("text")) * (1 + F.col("tries")))
+    rows = cut(rows.select("query_id", "text", "hits", "prompt", "answer", n_tries.alias("tries"), (F.col("spent") + _n_words(planning)).alias("spent"), F.concat(plan, inner, F.array(_generate_node("end", ends))).alias("steps")))
+    return _runs(rows, "agentic", 2 + F.col("tries"), numbered(F.col("steps")), F.col("spent"))
 
 
 def architecture_route(questions: DataFrame, corpus: Corpus) -> DataFrame:
@@ -289,23 +323,29 @@ def architecture_route(questions: DataFrame, corpus: Corpus) -> DataFrame:
     start, _, _ = corpus.graph_chunks(questions)
     named = start.groupBy("query_id").agg(F.count("*").alias("named"))
     parts = F.size(corpus.completer.plan(F.col("text")))
-    chosen = F.when(F.coalesce("named", F.lit(0)) >= 2, "graph").when(T.has_exact_token(F.col("text")), "hybrid").when(parts > 1, "agentic").otherwise("naive")
+    word = lambda p: F.col("text").rlike(p)
+    chosen = (
+        F.when(F.coalesce("named", F.lit(0)) >= 2, "graph").when(T.has_exact_token(F.col("text")), "hybrid").when(parts > 1, "agentic")
+        .when(word(r"(?i)^\s*(why|how)\b"), "hyde").when(word(r"(?i)\b(not|never|without)\b"), "corrective").otherwise("naive")
+    )
     return questions.join(named, "query_id", "left").withColumn("chosen", chosen).drop("named")
 
 
 def adaptive(questions: DataFrame, corpus: Corpus) -> DataFrame:
     """Routes each question to one of the others and splices its trace below the route."""
     routed = cut(architecture_route(questions.select("query_id", "text"), corpus))
-    runs = [PIPELINES[a](routed.where(F.col("chosen") == a).select("query_id", "text"), corpus) for a in ("naive", "hybrid", "graph", "agentic")]
+    runs = [PIPELINES[a](routed.where(F.col("chosen") == a).select("query_id", "text"), corpus) for a in DELEGATES]
     every = cut(reduce(DataFrame.unionByName, runs))
-    route = F.array(node("n1", "route", [], chosen=F.col("architecture"), scores=F.create_map().cast("map<string,double>"), reason=F.lit("rule")))
+    route = F.array(node("n1", "route", [], chosen=F.col("architecture"), scores=F.create_map().cast("map<string,double>"), reason=F.lit("rule"), prompt_preview=T.preview(prompts.route(F.col("question")))))
     name = F.lit("adaptive")
     return every.select(
-        "query_id", name.alias("architecture"), "question", "answer", "chunk_ids", (F.col("llm_calls") + 1).alias("llm_calls"), (F.col("prompt_tokens") + _n_words(F.col("question"))).alias("prompt_tokens"), "completion_tokens",
+        "query_id", name.alias("architecture"), "question", "answer", "chunk_ids", (F.col("llm_calls") + 1).alias("llm_calls"), (F.col("prompt_tokens") + _n_words(prompts.route(F.col("question")))).alias("prompt_tokens"), "completion_tokens",
         T.trace_id(name, F.col("question")).alias("trace_id"), F.concat(route, spliced(F.col("nodes"), F.col("architecture"), F.lit("n1"))).alias("nodes"),
     )
 
 
+#: What ``adaptive`` chooses from.
+DELEGATES = ("naive", "hybrid", "hyde", "corrective", "graph", "agentic")
 PIPELINES = {"naive": naive, "hybrid": hybrid, "hyde": hyde, "corrective": corrective, "graph": graph_hops, "agentic": agentic, "adaptive": adaptive}
 
 

@@ -28,13 +28,14 @@ def listed(rows):
 
 @pytest.mark.parametrize("k", [5, 40])
 def test_equal_to_the_plain_search(spark, corpus, k):
-    _, index, plain = corpus
+    docs, index, plain = corpus
     rng = random.Random(k)
     asked = [(i, t) for i, t in enumerate(texts(rng, 40))] + [(100, "w0"), (101, "all"), (102, "all w3 w3 w90"), (103, "nothing known"), (104, ""), (105, None), (106, "w0 w1 w2 w3 w4 w399 w398")]
     queries = spark.createDataFrame(asked, "query_id long, text string")
     want = listed(sparse.search(plain, queries, k).select("query_id", "rank", "doc_id", "score"))
     assert listed(blockmax.search(index, queries, k, first=2)) == want
     assert listed(blockmax.search(index, queries, k, prune=False)) == want
+    assert listed(sparse.search_texts(docs, queries, k)) == want
 
 
 def test_a_word_that_all_documents_hold(spark):
@@ -64,7 +65,7 @@ def plan(df):
 
 def test_a_question_reads_its_words_files_alone(spark, corpus):
     _, index, _ = corpus
-    needed = spark.createDataFrame([(1, "w5", 0, 1.0)], "query_id long, term string, block long, weight double")
+    needed = spark.createDataFrame([(1, "w5", 0, 1.0, 1.0)], "query_id long, term string, block long, weight double, top double")
     words = needed.select("term")
     pruned = blockmax._of_words(index.blocks, index, words)
     (bucket,) = {r.bucket for r in index.terms.where("term = 'w5'").collect()}
@@ -100,7 +101,7 @@ def test_many_words_and_large_lists(spark, corpus, monkeypatch):
     monkeypatch.setattr(blockmax, "NAMED", 3)
     monkeypatch.setattr(lineage, "SENT", 0)
     queries = spark.createDataFrame([(i, t) for i, t in enumerate(texts(random.Random(5), 10))], "query_id long, text string")
-    assert listed(blockmax.search(index, queries, 5)) == listed(sparse.search(plain, queries, 5).select("query_id", "rank", "doc_id", "score"))
+    assert listed(sparse.search_texts(corpus[0], queries, 5)) == listed(blockmax.search(index, queries, 5)) == listed(sparse.search(plain, queries, 5).select("query_id", "rank", "doc_id", "score"))
 
 
 def test_empty_and_unfinished(spark, tmp_path):
