@@ -52,22 +52,24 @@ def pack(parts: Column, target: int = config.CHUNK_TARGET_WORDS, overlap: int =
     A paragraph that would take the current chunk beyond target words closes it; the next one starts
     with its last ``overlap`` words. Paragraphs are never split.
     """
-    empty = F.struct(F.array().cast("array<string>").alias("now"), F.array().cast("array<string>").alias("done"))
-
-    def step(state: Column, part: Column) -> Column:
-        w = words(part)
-        now, done = state["now"], state["done"]
-        full = (F.size(now) > 0) & (F.size(now) + F.size(w) > target)
-        tail = F.slice(now, F.greatest(F.size(now) - overlap + 1, F.lit(1)), overlap) if overlap else F.array().cast("array<string>")
-        return F.struct(
-            F.when(full, F.concat(tail, w)).otherwise(F.concat(now, w)).alias("now"),
-            F.when(full, F.concat(done, F.array(F.array_join(now, " ")))).otherwise(done).alias("done"),
-        )
+    each = F.transform(parts, words)
+    spans = "array<struct<s: int, e: int>>"
+    empty = F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.array().cast(spans).alias("done"))
+
+    def step(state: Column, n: Column) -> Column:
+        """A chunk is a run of the text's words, [s, e): only numbers are carried along."""
+        s, e, done = state["s"], state["e"], state["done"]
+        full = (e > s) & (e - s + n > target)
+        start = F.when(full, F.greatest(e - overlap, s)).otherwise(s)
+        return F.struct(start.alias("s"), (e + n).alias("e"), F.when(full, F.concat(done, F.array(F.struct(s.alias("s"), e.alias("e"))))).otherwise(done).alias("done"))
 
     def finish(state: Column) -> Column:
-        return F.when(F.size(state["now"]) > 0, F.concat(state["done"], F.array(F.array_join(state["now"], " ")))).otherwise(state["done"])
+        last = F.array(F.struct(state["s"].alias("s"), state["e"].alias("e")))
+        return F.when(state["e"] > state["s"], F.concat(state["done"], last)).otherwise(state["done"])
 
-    return F.aggregate(parts, empty, step, finish)
+    cuts = F.aggregate(F.transform(each, F.size), empty, step, finish)
+    every = F.flatten(each)
+    return F.transform(cuts, lambda c: F.array_join(F.slice(every, c["s"] + 1, c["e"] - c["s"]), " "))
 
 
 def chunks(notes: DataFrame, note_id: str = "note_id", body: str = "body", delimiter: str = r"\n\s*\n", target: int = config.CHUNK_TARGET_WORDS, overlap: int = config.CHUNK_OVERLAP_WORDS) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import text as T
 from tessera.operators import mentions
-from tessera.operators.lineage import cut
+from tessera.operators.lineage import cut, sent, stored
 from tessera.operators.ranking import take_distinct
 
 
@@ -31,9 +29,14 @@ def accepted(triples: DataFrame, vocab: DataFrame) -> DataFrame:
     return t.join(vocab.select(F.col("id").alias("src")), "src", "left_semi").join(vocab.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "rel", "dst", "chunk_id")
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(src, dst): every edge from both ends, repeats kept: what walks over few entities join with."""
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """(src, dst): distinct neighbours, both ways."""
-    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return both_ways(edges).distinct()
 
 
 def degree(adj: DataFrame) -> DataFrame:
@@ -46,9 +49,14 @@ def pair_weights(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("weight"))
 
 
+def ends_with_chunks(edges: DataFrame) -> DataFrame:
+    """(id, chunk_id) of both ends of every edge, repeats kept."""
+    return edges.select(F.col("src").alias("id"), "chunk_id").unionByName(edges.select(F.col("dst").alias("id"), "chunk_id"))
+
+
 def entity_chunks(edges: DataFrame) -> DataFrame:
     """(id, chunk_id): the evidence of each entity at either end; entities without an edge are not there."""
-    return edges.select(F.col("src").alias("id"), "chunk_id").unionByName(edges.select(F.col("dst").alias("id"), "chunk_id")).distinct()
+    return ends_with_chunks(edges).distinct()
 
 
 def seeds(questions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -59,27 +67,37 @@ def seeds(questions: DataFrame, entities: DataFrame) -> DataFrame:
 def expand(start: DataFrame, adj: DataFrame, hops: int = config.GRAPH_HOPS) -> DataFrame:
     """(query_id, id, hop): what lies within so many hops; starts outside the graph give nothing.
 
-    One join per hop on the frontier alone, minus what was visited.
+    adj(src, dst), both ways; repeats do no harm. A hop joins the edges with the frontier alone, which is
+    sent to them while it is small, so that no edge is shuffled but those that were walked.
     """
-    known = adj.select(F.col("src").alias("id")).distinct()
-    visited = start.select("query_id", "id").distinct().join(known, "id", "left_semi").select("query_id", "id", F.lit(0).alias("hop"))
-    frontier = visited
+    frontier = cut(start.select("query_id", "id").distinct())
+    known = adj.join(sent(frontier.select(F.col("id").alias("src")).distinct()), "src").select(F.col("src").alias("id")).distinct()
+    frontier = cut(frontier.join(known, "id", "left_semi").select("query_id", "id", F.lit(0).alias("hop")))
+    visited = frontier
     for h in range(1, hops + 1):
-        step = frontier.select("query_id", F.col("id").alias("src")).join(adj, "src").select("query_id", F.col("dst").alias("id")).distinct()
-        frontier = step.join(visited, ["query_id", "id"], "left_anti").withColumn("hop", F.lit(h))
+        near = adj.join(sent(frontier.select("query_id", F.col("id").alias("src"))), "src").select("query_id", F.col("dst").alias("id")).distinct()
+        frontier = cut(near.join(visited, ["query_id", "id"], "left_anti").withColumn("hop", F.lit(h)))
         visited = visited.unionByName(frontier)
     return visited
 
 
 def induced(visited: DataFrame, edges: DataFrame) -> DataFrame:
     """(query_id, src, rel, dst, chunk_id): edges with both ends visited, parallel ones kept."""
-    a, b = visited.select("query_id", F.col("id").alias("src")), visited.select("query_id", F.col("id").alias("dst"))
-    return edges.join(a, "src").join(b, ["query_id", "dst"]).select("query_id", "src", "rel", "dst", "chunk_id")
+    seen = cut(visited.select("query_id", "id"))
+    found = edges.join(sent(seen.withColumnRenamed("id", "src")), "src")
+    return found.join(sent(seen.withColumnRenamed("id", "dst")), ["query_id", "dst"]).select("query_id", "src", "rel", "dst", "chunk_id")
 
 
 def hop_chunks(visited: DataFrame, adj: DataFrame, evidence: DataFrame, most: int = config.GRAPH_MAX_CHUNKS) -> DataFrame:
-    """(query_id, chunk_id, rank): distinct chunks by entity, entities of most neighbours first, then by id."""
-    rows = visited.join(degree(adj), "id").join(evidence, "id")
+    """(query_id, chunk_id, rank): distinct chunks by entity, entities of most neighbours first, then by id.
+
+    evidence(id, chunk_id); repeats in it and in adj do no harm. Degrees and evidence are those of visited
+    entities alone.
+    """
+    seen = cut(visited.select("query_id", "id"))
+    ids = cut(seen.select("id").distinct())
+    degrees = degree(adj.join(sent(ids.withColumnRenamed("id", "src")), "src").select("src", "dst").distinct())
+    rows = seen.join(degrees, "id").join(evidence.join(sent(ids), "id").distinct(), "id")
     return take_distinct(rows, ["query_id"], "chunk_id", most, F.desc("degree"), F.col("id"), F.col("chunk_id")).select("query_id", "chunk_id", "rank")
 
 
@@ -104,41 +122,84 @@ def _moved(both: DataFrame, label: DataFrame, twice: DataFrame, half: int, deal:
     return label.join(best, "id").select("id", new.alias("label"), "d", (new != F.col("label")).alias("moved"))
 
 
+#: Levels of communities at most; each merges at least two nodes of the last, and in practice most of them.
+LEVELS = 64
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """rows as a table of known size: estimates of checkpoints' sizes would multiply with each round's joins."""
+    return stored(rows, "communities")
+
+
+def _connected(both: DataFrame, label: DataFrame, rounds: int = 40) -> DataFrame:
+    """label(id, label, d) with communities cut into their connected parts, each named by its least node.
+
+    Least names spread along edges within a community, and each round also to the name of the name, so
+    the rounds are about the logarithm of the longest way.
+    """
+    named = label.select("id", "label")
+    own = both.select("id", "near").join(named, "id").join(named.select(F.col("id").alias("near"), F.col("label").alias("other")), "near").where("label = other").select("id", "near")
+    own = _kept(own)
+    part = _kept(label.select("id", F.col("id").alias("part")))
+    for _ in range(rounds):
+        least = own.join(part.select(F.col("id").alias("near"), F.col("part").alias("beside")), "near").groupBy("id").agg(F.min("beside").alias("beside"))
+        step = part.join(least, "id", "left").select("id", "part", F.least("part", F.coalesce("beside", "part")).alias("now"))
+        jump = step.select(F.col("id").alias("now"), F.col("now").alias("further"))
+        step = _kept(step.join(jump, "now", "left").select("id", "part", F.least("now", F.coalesce("further", "now")).alias("now")))
+        part = step.select("id", F.col("now").alias("part"))
+        if not step.where("part <> now").limit(1).count():
+            return _kept(label.join(part, "id").select("id", F.col("part").alias("label"), "d"))
+    raise RuntimeError(f"connected parts still grow after {rounds} rounds")
+
+
 def communities(edges: DataFrame, rounds: int = 8, levels: int | None = None) -> DataFrame:
-    """(id, community): communities of high modularity, in two phases a level.
+    """(id, community): connected communities of high modularity, in three phases a level.
 
     First, from one community per node, pairs of rounds of local moves until a pair, in which every node
-    has a turn, moves no more than a hundredth of the nodes; then each community becomes a node whose
-    weights are summed, and the next level begins, until one ends so and merges nothing or ``levels`` are
-    done. ``rounds`` (2 at least) only ends a phase, as the next level goes on from there. Communities are numbered from 0 in the order of their least member;
-    every entity of an edge is in one.
+    has a turn, moves no more than a hundredth of the nodes; then communities that have come apart are
+    cut into their connected parts, which never lowers modularity; then each becomes a node whose weights
+    are summed, and the next level begins, until one ends so and merges nothing or ``levels`` are done.
+    ``rounds`` (2 at least) only ends a phase, as the next level goes on from there. Communities are
+    numbered from 0 in the order of their least member; every entity of an edge is in one.
     """
     w = pair_weights(edges)
-    both = cut(w.select(F.col("a").alias("id"), F.col("b").alias("near"), "weight").unionByName(w.select(F.col("b").alias("id"), F.col("a").alias("near"), "weight")))
+    both = _kept(w.select(F.col("a").alias("id"), F.col("b").alias("near"), "weight").unionByName(w.select(F.col("b").alias("id"), F.col("a").alias("near"), "weight")))
     ends = both.groupBy("id").agg(F.sum("weight").alias("d"))
-    every = cut(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct())
+    every = _kept(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct())
     member = every.select("id", F.col("id").alias("node"))
-    twice = cut(ends.agg(F.sum("d").alias("twice")))
-    label = cut(every.join(ends, "id", "left").select("id", F.col("id").alias("label"), F.coalesce("d", F.lit(0)).alias("d")))
-    for level in itertools.count(1):
+    twice = _kept(ends.agg(F.sum("d").alias("twice")))
+    label = _kept(every.join(ends, "id", "left").select("id", F.col("id").alias("label"), F.coalesce("d", F.lit(0)).alias("d")))
+    for level in range(1, LEVELS + 1):
         nodes, moved, settled = label.count(), 0, False
         for r in range(max(rounds, 2)):
-            label = cut(_moved(both, label, twice, r % 2, level * rounds + r // 2))
+            label = _kept(_moved(both, label, twice, r % 2, level * rounds + r // 2))
             moved = label.where("moved").count() + (moved if r % 2 else 0)
             label = label.drop("moved")
             settled = r % 2 == 1 and 100 * moved <= nodes
             if settled:
                 break
-        member = cut(member.join(label.select(F.col("id").alias("node"), "label"), "node").select("id", F.col("label").alias("node")))
-        merged = cut(label.groupBy("label").agg(F.sum("d").alias("d")).select(F.col("label").alias("id"), "label", "d"))
+        label = _connected(both, label)
+        member = _kept(member.join(label.select(F.col("id").alias("node"), "label"), "node").select("id", F.col("label").alias("node")))
+        merged = _kept(label.groupBy("label").agg(F.sum("d").alias("d")).select(F.col("label").alias("id"), "label", "d"))
         if level == levels or (settled and merged.count() == nodes):
             break
         of = lambda n: label.select(F.col("id").alias(n), F.col("label").alias(f"{n}_label"))  # noqa: E731,B023
         joined = both.join(of("id"), "id").join(of("near"), "near").where("id_label <> near_label")
-        both = cut(joined.groupBy(F.col("id_label").alias("id"), F.col("near_label").alias("near")).agg(F.sum("weight").alias("weight")))
+        both = _kept(joined.groupBy(F.col("id_label").alias("id"), F.col("near_label").alias("near")).agg(F.sum("weight").alias("weight")))
         label = merged
-    number = member.groupBy("node").agg(F.min("id").alias("least")).select("node", (F.row_number().over(Window.orderBy("least")) - 1).alias("community"))
-    return member.join(number, "node").select("id", "community")
+    else:
+        raise RuntimeError(f"communities still merge after {LEVELS} levels")
+    return member.join(_numbered(member.groupBy("node").agg(F.min("id").alias("least"))), "node").select("id", F.col("number").alias("community"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(node, number) of rows(node, least), from 0 in the order of least: sorted by ranges, and counted by task."""
+    ranged = rows.repartitionByRange("least").sortWithinPartitions("least")
+    runs = stored(ranged.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)), "numbered")
+    parts = runs.groupBy("part").agg(F.count("*").alias("rows"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each task
+    offsets = parts.select("part", "first", before.alias("before"))
+    return runs.join(offsets, "part").select("node", (F.col("at") - F.col("first") + F.col("before")).cast("int").alias("number"))
 
 
 def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ def cut(rows: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path beside the checkpoints, which driver and executors share."""
     _folder(spark)
-    spark.range(1).checkpoint(eager=True)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.range(1).checkpoint(eager=True)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 

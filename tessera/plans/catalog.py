@@ -420,13 +420,13 @@ def a7_entity_chunks(spark, sf_dir):
 
 @query(_HOPS + "SELECT query_id, id, hop FROM v")
 def g2_two_hops(spark, sf_dir):
-    return graph.expand(_starts(spark), graph.adjacency(_edges(spark, sf_dir)))
+    return graph.expand(_starts(spark), graph.both_ways(_edges(spark, sf_dir)))
 
 
 @query(_HOPS + "SELECT a.query_id, e.src, e.rel, e.dst, e.chunk_id FROM e JOIN v a ON a.id = e.src JOIN v b ON b.id = e.dst AND b.query_id = a.query_id")
 def j6_induced_edges(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    return graph.induced(graph.expand(_starts(spark), graph.adjacency(e)), e)
+    return graph.induced(graph.expand(_starts(spark), graph.both_ways(e)), e)
 
 
 @query(_HOPS + """, deg AS (SELECT src AS id, count(*) AS degree FROM adj GROUP BY src), ev AS (SELECT src AS id, chunk_id FROM e UNION SELECT dst, chunk_id FROM e),
@@ -435,8 +435,8 @@ SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER B
 """)
 def w3_hop_chunks(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    adj = graph.adjacency(e)
-    return graph.hop_chunks(graph.expand(_starts(spark), adj), adj, graph.entity_chunks(e))
+    adj = graph.both_ways(e)
+    return graph.hop_chunks(graph.expand(_starts(spark), adj), adj, graph.ends_with_chunks(e))
 
 
 @query()
@@ -467,7 +467,7 @@ def g3_modularity(spark, sf_dir):
 @query(_HOPS + ", m AS (SELECT src AS id, CAST(src[2:] AS INTEGER) % 7 AS community FROM adj GROUP BY src), t AS (SELECT query_id, id FROM q UNION SELECT a.query_id, e.src FROM e JOIN v a ON a.id = e.src JOIN v b ON b.id = e.dst AND b.query_id = a.query_id UNION SELECT a.query_id, e.dst FROM e JOIN v a ON a.id = e.src JOIN v b ON b.id = e.dst AND b.query_id = a.query_id) SELECT DISTINCT t.query_id, m.community, 'community ' || m.community AS summary FROM t JOIN m USING (id)")
 def j7_touched_communities(spark, sf_dir):
     e, members = _edges(spark, sf_dir), _members(spark, sf_dir)
-    visited = graph.expand(_starts(spark), graph.adjacency(e))
+    visited = graph.expand(_starts(spark), graph.both_ways(e))
     told = members.select(F.col("community").alias("id"), F.concat(F.lit("community "), F.col("community").cast("string")).alias("summary")).distinct()
     return graph.touched_communities(_starts(spark), graph.induced(visited, e), members, told)
 

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import prompts as P
-from tessera.operators import evaluation, graph, views
+from tessera.functions import text as T
+from tessera.operators import completion, evaluation, extraction, graph, views
 from tessera.plans import catalog as C
+from tessera.plans import pipeline_sql as SQL
+from tessera.plans import sweep
 from tessera.plans.catalog import ORACLE, QUERIES, query, table
 
 _N = "chr(10)"
@@ -261,3 +264,77 @@ def s19_strict_notes(spark, sf_dir):
 
 
 __all__ = ["ORACLE", "QUERIES"]
+
+
+# --- completion, extraction and evaluation of runs --------------------------------------------------
+
+
+@query("""
+WITH p AS (SELECT DISTINCT c_mktsegment || ' ' || c_custkey AS prompt FROM customer)
+SELECT prompt, CASE WHEN prompt LIKE 'BUILDING%' THEN CASE WHEN prompt LIKE '%7' THEN NULL ELSE '{"by": "second"}' END WHEN prompt LIKE '%3' THEN '{"by": "repair"}' WHEN prompt LIKE '%5' THEN '{"by": "second"}' ELSE '{"by": "first"}' END AS json,
+  CASE WHEN prompt LIKE 'BUILDING%7' THEN NULL WHEN prompt LIKE 'BUILDING%' OR prompt LIKE '%5' THEN 'second' ELSE 'first' END AS backend,
+  prompt NOT LIKE 'BUILDING%' AND prompt LIKE '%3' AS repaired, CASE WHEN prompt LIKE 'BUILDING%7' THEN 'second is down' END AS error
+FROM p
+""")
+def x5_fallback(spark, sf_dir):
+    """Customers as prompts: the first backend is down for some, replies without JSON to others, once or whenever it's asked; the second is down for a few of these."""
+    prompt = F.col("prompt")
+    again = prompt.contains("<rejected>")
+    own = F.when(again & prompt.rlike(r"^\S+ \d*3\n"), '{"by": "repair"}').when(prompt.endswith("3"), "not yet").when(prompt.rlike(r"^\S+ \d*5(\n|$)"), "never").otherwise('{"by": "first"}')
+    first = completion.from_column("first", "m1", lambda _: own, lambda p: F.when(p.startswith("BUILDING"), "first is down"))
+    second = completion.from_column("second", "m2", lambda _: F.lit('{"by": "second"}'), lambda p: F.when(p.startswith("BUILDING") & p.endswith("7"), "second is down"))
+    asked = table(spark, sf_dir, "customer").select(F.concat_ws(" ", "c_mktsegment", F.col("c_custkey").cast("string")).alias("prompt"))
+    return completion.complete(asked, [first, second], as_json=True).select("prompt", "json", "backend", "repaired", "error")
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, 's' || l_suppkey AS s, 'p' || l_partkey AS p, l_orderkey % 6 AS rule FROM lineitem),
+c AS (SELECT l_orderkey, l_linenumber, count(*) AS n, any_value(rule) AS rule FROM r GROUP BY ALL)
+SELECT 'o' || l_orderkey || '-' || l_linenumber AS chunk_id, CAST(CASE WHEN rule = 5 THEN 0 ELSE 2 * n END AS BIGINT) AS proposed, CAST(CASE rule WHEN 0 THEN 2 * n WHEN 1 THEN 2 * n WHEN 2 THEN n WHEN 3 THEN n WHEN 4 THEN n ELSE 0 END AS BIGINT) AS kept FROM c
+""")
+def g5_triples(spark, sf_dir):
+    """Each line of an order as a chunk with a model's reply: clean, in prose, with an empty relation, an unknown subject, an element that is no object, or no list at all. What is kept of it, by chunk."""
+    t = table(spark, sf_dir, "lineitem")
+    s, p, rule = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.col("l_orderkey") % 6
+    triple = lambda a, r, b: F.format_string('{"subject": "%s", "relation": "%s", "object": "%s"}', a, F.lit(r), b)
+    one = triple(s, "ships", F.upper(p))
+    other = F.when(rule == 2, triple(s, " ", p)).when(rule == 3, triple(F.lit("nobody"), "ships", p)).when(rule == 4, F.lit('"no object"')).otherwise(triple(p, "comes from", F.concat(F.lit("  "), s)))
+    chunk = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    rows = t.select(chunk.alias("chunk_id"), rule.alias("rule"), F.concat_ws(", ", one, other).alias("own"), s.alias("s"), p.alias("p"))
+    told = rows.groupBy("chunk_id").agg(F.any_value("rule").alias("rule"), F.array_join(F.collect_list("own"), ", ").alias("own"))  # a line of an order
+    whole = F.concat(F.lit('{"triples": ['), F.col("own"), F.lit("]}"))
+    reply = F.when(F.col("rule") == 1, F.concat(F.lit("Here they are: "), whole, F.lit(" as asked."))).when(F.col("rule") == 5, '{"triples": "none"}').otherwise(whole)
+    replies = told.select("chunk_id", T.json_of(reply).alias("json"))
+    vocabulary = rows.select(F.col("s").alias("id")).unionByName(rows.select(F.col("p").alias("id"))).distinct()
+    return extraction.extracted(replies, vocabulary)[1].select("chunk_id", "proposed", "kept")
+
+
+_GOLD = "list_transform(range(query_id % 7, 1000, 7), lambda i: 'd::' || i)"
+
+
+@query(f"""
+WITH x AS ({SQL.plan(C._POSED, "naive")}), y AS (SELECT query_id, string_split(chunk_ids, ' ') AS r, {_GOLD} AS g, llm_calls FROM x),
+z AS (SELECT *, list_filter(range(1, len(r) + 1), lambda i: list_contains(g, r[i])) AS hit FROM y)
+SELECT 'naive' AS architecture, query_id AS question_id, round(len(list_intersect(r[:5], g)) / len(g), 9) AS recall_at_5, round(coalesce(1.0::DOUBLE / list_min(hit), 0), 9) AS mrr_at_10,
+  round(coalesce(list_sum(list_transform(hit, lambda i: 1.0::DOUBLE / log2(i + 1))), 0) / list_sum(list_transform(range(1, 11), lambda i: 1.0::DOUBLE / log2(i + 1))), 9) AS ndcg_at_10, llm_calls
+FROM z
+""")
+def m9_measured_runs(spark, sf_dir):
+    """The naive plan's runs, measured by their traces' evidence against gold by a fixed rule."""
+    asked = C._posed(spark, sf_dir).withColumn("question_id", F.col("query_id"))
+    gold = F.transform(F.sequence((F.col("query_id") % 7).cast("int"), F.lit(999), F.lit(7)), lambda i: F.concat(F.lit("d::"), i.cast("string")))
+    questions = asked.select("query_id", "question_id", "text", F.lit("factual").alias("question_type"), gold.alias("gold_chunk_ids"), F.array().cast("array<string>").alias("gold_answer_points"))
+    judge = completion.from_column("offline", "m", lambda _: F.lit('{"point_support": [], "reads_as_appropriate_refusal": false}'))
+    rows = sweep.measured(questions, C._corpus(spark, sf_dir), "naive", [judge])
+    return rows.select("architecture", "question_id", *(F.round(m, 9).alias(m) for m in ("recall_at_5", "mrr_at_10", "ndcg_at_10")), "llm_calls")
+
+
+@query("""
+WITH w AS (SELECT DISTINCT lower(p_type) AS id FROM part), q AS (SELECT p_partkey AS query_id, 'A ' || upper(p_type) || ', or ' || replace(p_type, ' ', '-') || 's and ' || p_name AS text FROM part)
+SELECT query_id, id FROM q JOIN w ON contains(lower(replace(text, '-', ' ')), id) AND regexp_matches(lower(text), '\\b' || replace(id, ' ', '[ -]+') || '\\b')
+""")
+def j4_part_mentions(spark, sf_dir):
+    """The types of all parts as vocabulary, matched in what is said about each part."""
+    parts = table(spark, sf_dir, "part")
+    q = parts.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("A "), F.upper("p_type"), F.lit(", or "), F.replace(F.col("p_type"), F.lit(" "), F.lit("-")), F.lit("s and "), "p_name").alias("text"))
+    return graph.seeds(q, parts.select(F.lower("p_type").alias("id")).distinct())

@@ -89,10 +89,10 @@ class Corpus:
         if self.edges is None:
             empty = questions.sparkSession.createDataFrame
             return empty([], "query_id long, id string"), empty([], "query_id long, src string, rel string, dst string, chunk_id string"), empty([], "query_id long, id long, score double, rank int")
-        adj = graph.adjacency(self.edges)
+        adj = graph.both_ways(self.edges)
         start = graph.seeds(questions.select("query_id", "text"), self.names)
         visited = graph.expand(start, adj)
-        found = graph.hop_chunks(visited, adj, graph.entity_chunks(self.edges))
+        found = graph.hop_chunks(visited, adj, graph.ends_with_chunks(self.edges))
         known = found.join(self.chunks.select("id", "chunk_id"), "chunk_id").select("query_id", "id", F.lit(None).cast("double").alias("score"), "rank")
         return start, graph.induced(visited, self.edges), known
 

@@ -41,6 +41,84 @@ def test_stars_are_communities_whatever_their_names(spark):
     assert all(len({by[f"hub {h}"]} | {by[f"leaf {h}-{i}"] for i in range(5)}) == 1 for h in range(12)) and len(set(by.values())) == 12
 
 
+def louvain(pairs):
+    """Modularity of a plain one-by-one search for communities, moving nodes and merging until nothing gains."""
+    weight, member = {}, {}
+    for a, b in pairs:
+        if a != b:
+            weight[a, b] = weight.get((a, b), 0) + 1
+            weight[b, a] = weight.get((b, a), 0) + 1
+    twice = sum(weight.values())
+    nodes = {a: {a} for a, _ in weight}
+    links = {a: {} for a in nodes}
+    for (a, b), w in weight.items():
+        links[a][b] = w
+    degree = {a: sum(links[a].values()) for a in nodes}
+    member = {a: a for a in nodes}
+    while True:
+        label = {a: a for a in nodes}
+        total = dict(degree)
+        gained = True
+        while gained:
+            gained = False
+            for a in nodes:
+                total[label[a]] -= degree[a]
+                near = {label[a]: 0}
+                for b, w in links[a].items():
+                    if b != a:
+                        near[label[b]] = near.get(label[b], 0) + w
+                best = max(near, key=lambda c: (near[c] - degree[a] * total[c] / twice, c == label[a]))
+                gained |= best != label[a]
+                label[a] = best
+                total[best] += degree[a]
+        member = {a: label[c] for a, c in member.items()}
+        if len(set(label.values())) == len(nodes):
+            break
+        merged = {}
+        for a in nodes:
+            for b, w in links[a].items():
+                merged.setdefault(label[a], {})
+                merged[label[a]][label[b]] = merged[label[a]].get(label[b], 0) + w
+        links = merged
+        nodes = {c: None for c in merged}
+        degree = {c: sum(merged[c].values()) for c in merged}
+    share = {}
+    for (a, _), w in weight.items():
+        share[member[a]] = share.get(member[a], 0) + w
+    return sum(w for (a, b), w in weight.items() if member[a] == member[b]) / twice - sum((x / twice) ** 2 for x in share.values())
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_communities_are_connected_and_as_good_as_one_by_one(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    pairs = [(f"{g}-{rng.randrange(12)}", f"{g if rng.random() < 0.9 else rng.randrange(6)}-{rng.randrange(12)}") for g in range(6) for _ in range(50)]
+    e = spark.createDataFrame([(a, "r", b, "c") for a, b in pairs], "src string, rel string, dst string, chunk_id string")
+    m = graph.communities(e)
+    by = {r.id: r.community for r in m.collect()}
+    assert set(by) == {x for p in pairs for x in p} and set(by.values()) == set(range(len(set(by.values()))))
+    least = {}
+    for i, c in by.items():
+        least[c] = min(least.get(c, i), i)
+    assert [least[c] for c in sorted(least)] == sorted(least.values())
+    near = {}
+    for a, b in pairs:
+        if by[a] == by[b]:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for c in set(by.values()):
+        inside = {i for i in by if by[i] == c}
+        seen, todo = set(), [min(inside)]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += near.get(x, ())
+        assert seen == inside
+    assert graph.modularity(e, m).first().modularity >= 0.98 * louvain(pairs)
+
+
 def test_communities_query_takes_every_edge(spark, tmp_path):
     rows = [(i % 3, i, 100 + i, float(i)) for i in range(60)]
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")

@@ -8,7 +8,7 @@ from tessera.plans import pipelines, sweep
 from tessera.sources.store import IntegrityError
 
 TEXTS = ["the quick brown fox jumps over the lazy dog", "a fast brown fox runs through the dark forest", "the lazy dog sleeps all day long", "machine learning models process text data"]
-PLANS = ("naive", "corrective")
+PLANS = ("naive", "hyde")
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def test_a_sweep_goes_on_where_it_stopped(spark, corpus, tmp_path):
     assert len(by) == 6 == rows.count()
     assert all(r.recall_at_5 == 1 and r.mrr_at_10 == 1 and r.faithfulness == 1 and r.judge_backend == "judge" for r in by.values())
     assert by["naive", "q2"].refusal_correctness is False and by["naive", "q0"].refusal_correctness is None
-    assert by["corrective", "q0"].backend_calls == ["offline-extractive"] * by["corrective", "q0"].llm_calls
+    assert by["hyde", "q0"].backend_calls == ["offline-extractive"] * 2
     report = str(tmp_path / "report")
     keys = spark.createDataFrame([(a, f"q{i}") for a in PLANS for i in range(3)], "architecture string, question_id string")
     sweep.write_report(rows, report, keys)
@@ -52,12 +52,12 @@ def test_a_sweep_goes_on_where_it_stopped(spark, corpus, tmp_path):
 def test_a_sweep_that_fails_has_published_nothing(spark, corpus, tmp_path, monkeypatch):
     path = str(tmp_path / "sweep")
     sweep.resume(questions(spark, 1), corpus, path, judge(), PLANS)
-    whole = pipelines.PIPELINES["corrective"]
+    whole = pipelines.PIPELINES["hyde"]
     kinds = F.transform("nodes", lambda n: n.withField("kind", F.lit("strange")))
-    monkeypatch.setitem(pipelines.PIPELINES, "corrective", lambda q, c: whole(q, c).withColumn("nodes", kinds.cast(f"array<{trace.NODE}>")))
+    monkeypatch.setitem(pipelines.PIPELINES, "hyde", lambda q, c: whole(q, c).withColumn("nodes", kinds.cast(f"array<{trace.NODE}>")))
     with pytest.raises(IntegrityError, match="unknown kind"):
         sweep.resume(questions(spark, 2), corpus, path, judge(), PLANS)
     assert {r.question_id for r in sweep.published(spark, path).collect()} == {"q0"}
-    monkeypatch.setitem(pipelines.PIPELINES, "corrective", whole)
+    monkeypatch.setitem(pipelines.PIPELINES, "hyde", whole)
     assert sweep.resume(questions(spark, 2), corpus, path, judge("no JSON"), PLANS) == 2
     assert {r.faithfulness for r in sweep.published(spark, path).where("question_id = 'q1'").collect()} == {0.0}
