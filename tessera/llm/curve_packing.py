@@ -30,7 +30,7 @@ from tessera.llm.packing import CACHE, WordIds
 DIMS, BITS = 6, 10
 BUCKETS, REACH = 1024, 2.5
 #: Bytes of texts that are tokenized at once.
-TEXTS = 4 << 20
+TEXTS = 2 << 20
 #: Characters beyond ASCII that are white space, and four that some take for it. Unicode's White_Space, and the information separators.
 SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\x1c\x1d\x1e\x1f"
 _SPACES = [x.encode() for x in SPACES]

@@ -33,9 +33,9 @@ SHARD = 1 << 16
 #: Weights of what is left of tokens, documents and cost.
 WEIGHTS = (1.0, 0.3, 0.3)
 #: Distinct words whose ids a worker keeps (about 34 bytes each); beyond, it starts anew. Words that the tokenizer gets at once; bytes of text that are looked up at once.
-CACHE = 2_000_000
+CACHE = 1_000_000
 AT_ONCE = 20_000
-TEXTS = 4 << 20
+TEXTS = 2 << 20
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("salt", pa.int32())])
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
