@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera import config
 from tessera.functions import prompts as P
 from tessera.functions import text as T
 from tessera.operators import completion, evaluation, extraction, graph, views
