@@ -253,20 +253,25 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     nodes(id), edges(a, b): longs. Each round takes the least label of the neighbours and then the
     label of that label, so chains halve. Labels of all nodes stay in tables; only one count reaches
     the driver per round. Nodes without edges keep their own id and take no part in the rounds.
+
+    Each round's labels are written as Parquet, whose size the planner knows: a checkpoint carries the
+    estimate of the plan that it cuts, and a round raises it to the fourth power, so that planning came
+    to hold numbers of millions of digits on the driver. Joins are told to merge, so that no table of
+    labels is built on the driver to be sent around.
     """
     edges = edges.select("a", "b")
-    tasks = tasks_for(edges)
-    both = checkpoint(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().coalesce(tasks))
-    label = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")).coalesce(tasks))
-    for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        step = label.join(near, label.id == near.a, "left").select("id", F.least("component", F.coalesce("m", "component")).alias("new"), F.col("component").alias("old"))
+    tasks, folder = tasks_for(edges), shared_folder(edges.sparkSession, "components")
+    both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().coalesce(tasks), f"{folder}/edges")
+    label = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")).coalesce(tasks), f"{folder}/0")
+    for r in range(1, rounds + 1):
+        near = both.join(label.withColumnRenamed("id", "b").hint("merge"), "b").groupBy("a").agg(F.min("component").alias("m"))
+        step = label.join(near.hint("merge"), label.id == near.a, "left").select("id", F.least("component", F.coalesce("m", "component")).alias("new"), F.col("component").alias("old"))
         jump = step.select(F.col("id").alias("j"), F.col("new").alias("jl"))
-        new = checkpoint(step.join(jump, step.new == jump.j, "left").select("id", F.least("new", F.coalesce("jl", "new")).alias("component"), "old").coalesce(tasks))
+        new = stored(step.join(jump.hint("merge"), step.new == jump.j, "left").select("id", F.least("new", F.coalesce("jl", "new")).alias("component"), "old").coalesce(tasks), f"{folder}/{r}")
         changed = new.where("component <> old").limit(1).count()
         label = new.select("id", "component")
         if not changed:
             break
     else:
         raise RuntimeError(f"components still change after {rounds} rounds")
-    return nodes.join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return nodes.join(label.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

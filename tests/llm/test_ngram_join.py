@@ -3,7 +3,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.llm import common as c
 from tessera.llm import ngram_join as j
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -77,3 +79,11 @@ def test_linked_sets_share_a_tile(num):
             b = np.unique(np.concatenate((a[cut:], rng.integers(0, 1 << 63, add, dtype=np.uint64))))
             if j.links(a, b, num):
                 assert len(np.intersect1d(j.tiles(a, bands), j.tiles(b, bands))), (num, size)
+
+
+def test_rounds_of_components_keep_the_planner_s_estimates_small(spark):
+    n = 300
+    chain = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = c.components(spark.range(n), chain)
+    assert len(str(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 20  # digits; thousands, as estimates grew to their fourth power each round
+    assert {r.component for r in got.collect()} == {0}
