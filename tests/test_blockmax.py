@@ -111,3 +111,18 @@ def test_empty_and_unfinished(spark, tmp_path):
     assert again.n == 0
     with pytest.raises(Exception, match="index"):
         blockmax.open_index(spark, str(tmp_path / "b"))
+
+
+def test_a_batch_shuffles_each_posting_once(spark):
+    posts = spark.createDataFrame([(d, t, 1.0 / (1 + d % 7 + len(t))) for d in range(3000) for t in ("a", "bb")], "doc_id long, term string, part double")
+    weight = spark.createDataFrame([(q, t, w) for q in range(40) for t, w in (("a", 1.0), ("bb", -2.0 if q == 7 else 0.5))], "query_id long, term string, weight double")
+    hits = sparse.best_of(posts, weight, 4).collect()
+    best = {}
+    for r in sorted(hits, key=lambda r: (-r.score, r.doc_id)):
+        best.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    part = lambda d, n: 1.0 / (1 + d % 7 + n)
+    for q in range(40):
+        every = sorted(((-round(part(d, 1) + (-2.0 if q == 7 else 0.5) * part(d, 2), 6), d) for d in range(3000)))
+        assert [(d, round(-s, 6)) for s, d in every[:4]] == [(d, round(s, 6)) for d, s in best[q][:4]]
+    assert len(best[7]) == 3000  # all that aren't above 0 are told
+    assert len(hits) - 3000 <= 39 * 4 * 16  # not a row for each of the 120,000 pairs
