@@ -43,3 +43,7 @@ def test_exact_tokens_json_and_mentions(spark):
     p = T.mention_pattern(F.lit("new york"))
     assert [one(spark, T.mentions(F.lit(t), p)) for t in ("In New-York now", "in new  york", "renew york", "a.b")] == [True, True, False, False]
     assert one(spark, T.mentions(F.lit("a.b c"), T.mention_pattern(F.lit("a.b")))) and not one(spark, T.mentions(F.lit("axb"), T.mention_pattern(F.lit("a.b"))))
+
+
+def test_exact_tokens_end_at_letters_beyond_ascii(spark):
+    assert [one(spark, T.has_exact_token(F.lit(t))) for t in ("tz. SSö tz", "éAB", "xAB", "AB_")] == [True, True, False, False]
