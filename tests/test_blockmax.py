@@ -126,3 +126,8 @@ def test_a_batch_shuffles_each_posting_once(spark):
         assert [(d, round(-s, 6)) for s, d in every[:4]] == [(d, round(s, 6)) for d, s in best[q][:4]]
     assert len(best[7]) == 3000  # all that aren't above 0 are told
     assert len(hits) - 3000 <= 39 * 4 * 16  # not a row for each of the 120,000 pairs
+
+
+def test_frequencies_without_postings(spark):
+    docs = spark.createDataFrame([(1, "a b A"), (2, "b"), (3, None), (4, "")], "doc_id long, text string")
+    assert {r.term: r.df for r in sparse.text_frequencies(docs).collect()} == {"a": 1, "b": 2}
