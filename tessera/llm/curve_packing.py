@@ -42,40 +42,46 @@ class ByteIds(WordIds):
     A tokenizer that splits by the usual pattern never joins what stands before a run of white space to
     it, so a text is the sequence of such units; a probe tells whether this one does. Texts that hold
     white space beyond ASCII, or a special token, go to the tokenizer whole, as does all text of others.
+    New units are told apart by the bytes that each id stands for, which the probe counts too, so that the
+    tokenizer needn't follow offsets.
     """
 
     def __init__(self, path: str):
         super().__init__(path)
         one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         units = ["Wonder...", " quite", " \n bad?!", "  \u00fcber", "\t\tx1-y,", "\n\ndon't;", " \r\n'll", " a:b", "   "]
-        self.apart = one("".join(units)) == [i for u in units for i in one(u)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a sign of a byte-level token is a byte
+        self.size[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        told = all(self.size[one(u)].sum() == len(u.encode()) for u in units)
+        self.apart = told and one("".join(units)) == [i for u in units for i in one(u)]
         self.odd = [*_SPACES, *self.special]
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """Ids of new units; all that begin with white space and end without, end to end, as one text."""
         n, ids, at = np.zeros(len(words), np.int64), [self.ids], len(self.ids)
-        bare = [i for i, w in enumerate(words) if not c._SPACE[w[0]] or c._SPACE[w[-1]]]
-        for i in bare:
-            got = self.tokenizer.encode(words[i].decode("utf-8"), add_special_tokens=False).ids
-            ids.append(np.array(got, "<u4"))
+        alone = np.fromiter((not c._SPACE[w[0]] or c._SPACE[w[-1]] for w in words), bool, len(words))
+        bare, rest = np.flatnonzero(alone), np.flatnonzero(~alone)
+        for i, got in zip(bare.tolist(), self._encoded([words[i] for i in bare.tolist()]), strict=True):
+            ids.append(got)
             n[i] = len(got)
-        rest = np.setdiff1d(np.arange(len(words)), bare)
         for i in range(0, len(rest), 20_000):
             some = rest[i : i + 20_000]
-            told = [words[k].decode("utf-8") for k in some.tolist()]
-            got = self.tokenizer.encode("".join(told), add_special_tokens=False)
+            told = [words[k] for k in some.tolist()]
+            (got,) = self._encoded([b"".join(told)])
             end = np.cumsum(np.fromiter(map(len, told), np.int64, len(told)))
-            # offsets leave out a leading blank, and may point to the end of what is all white space, but never beyond the unit
-            offset = np.fromiter((o[1] for o in got.offsets), np.int64, len(got.ids))
-            n[some] = np.bincount(np.searchsorted(end, offset), minlength=len(some))
-            ids.append(np.array(got.ids, "<u4"))
-        order = np.concatenate((np.array(bare, np.int64), rest))
+            n[some] = np.diff(np.searchsorted(np.cumsum(self.size[got]), end, side="right"), prepend=0)
+            ids.append(got)
+        order = np.concatenate((bare, rest))
         start = np.empty(len(words), np.int64)
         start[order] = at + np.cumsum(n[order]) - n[order]
         place = np.searchsorted(self.hashes, hashes)
         self.hashes, self.ids = np.insert(self.hashes, place, hashes), np.concatenate(ids)
         self.at, self.n = np.insert(self.at, place, start), np.insert(self.n, place, n)
 
+    def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
+
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         joined = b"\n".join(texts)
@@ -92,10 +98,14 @@ class ByteIds(WordIds):
         block = c.Block(texts)
         space = c._SPACE[block.data]
         space[block.end] = False  # the newline after each text, which isn't part of it
-        first = np.flatnonzero(space & ~np.concatenate(([False], space[:-1])))  # where runs of white space begin
-        s = np.union1d(first, block.start)  # no text is empty
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]  # where runs of white space begin
+        begins[block.start] = True  # no text is empty
+        s = np.flatnonzero(begins)
         e = np.append(s[1:], len(block.data))
-        e -= np.isin(e - 1, block.end)
+        ends = np.zeros(len(block.data), bool)
+        ends[block.end] = True
+        e -= ends[e - 1]
         u, at_first, back = np.unique(block.hashes(s, e), return_index=True, return_inverse=True)
         if len(self.hashes) > CACHE:
             self.clear()

@@ -226,6 +226,20 @@ def test_ids_are_the_tokenizers(spark):
     assert all(x.tolist() == plain.encode(t, add_special_tokens=False).ids for x, t in zip(got, texts, strict=True))
 
 
+def test_new_units_are_told_apart_by_their_ids_bytes():
+    """No offsets are followed: an id's bytes say where units end, whatever stands in them."""
+    plain, own = Tokenizer.from_file(PATH), curve_packing.ByteIds(PATH)
+
+    class Fast:
+        encode_batch_fast = own.tokenizer.encode_batch_fast
+
+    own.tokenizer = Fast()  # has no other call
+    texts = ["une \u00e9t\u00e9,\n\n  x1 \U0001f600\u65e5 don't   ", "a", " b ", "".join(f" w\u00f6rd{i}" for i in range(30_000))]
+    for x, t in zip(own.of([t.encode() for t in texts]), texts, strict=True):
+        assert x.tolist() == plain.encode(t, add_special_tokens=False).ids
+        assert own.size[x].sum() == len(t.encode())
+
+
 def test_hilbert_keys_walk_from_neighbour_to_neighbour():
     for dims, bits in ((2, 4), (3, 3), (6, 2)):
         grid = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
