@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from tessera.operators import graph, trace
+from tessera.operators import graph, lineage, trace
 from tessera.plans import catalog
 
 
@@ -126,6 +126,20 @@ def test_communities_query_takes_every_edge(spark, tmp_path):
     assert got == {f"s{i}" for i in range(3)} | {f"p{i}" for i in range(60)}
 
 
+def test_rounds_of_communities_leave_edges_in_their_buckets(spark):
+    """A round joins labels where the edges lie, and only rows of the half whose turn it is move; no table stays in the catalog."""
+    tables = []
+    both = lineage.bucketed(spark.createDataFrame([(1, 2, 1, 1), (2, 1, 1, 0), (2, 3, 1, 1), (3, 2, 1, 1)], "near long, id long, weight long, halves long"), "near", tables)
+    label = spark.createDataFrame([(1, 1, 1, 0), (2, 2, 2, 1), (3, 3, 1, 1)], "id long, label long, d long, halves long")
+    moved = graph._moved(both, label, 4, 1, 0)
+    assert "Bucketed: true" in moved._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.label, r.moved) for r in moved.collect()} == {(1, 1, False), (2, 1, True), (3, 2, True)}
+    spark.sql(f"DROP TABLE {tables[0]}")
+    e = spark.createDataFrame([("a", "r", "b", "c"), ("b", "r", "b", "c"), ("z", "r", "z", "c")], "src string, rel string, dst string, chunk_id string")
+    assert {(r.id, r.community) for r in graph.communities(e, 2, 1).collect()} == {("a", 0), ("b", 0), ("z", 1)}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tessera_")]
+
+
 def traced(spark, *traces):
     """Nodes as ``exploded`` gives them, of traces of (id, kind, parents, payload)."""
     rows = [(f"t{t}", p, i, k, ps, json.dumps(d)) for t, ns in enumerate(traces) for p, (i, k, ps, d) in enumerate(ns)]
