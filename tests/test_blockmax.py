@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import blockmax, lineage, sparse
 
@@ -131,3 +132,18 @@ def test_a_batch_shuffles_each_posting_once(spark):
 def test_frequencies_without_postings(spark):
     docs = spark.createDataFrame([(1, "a b A"), (2, "b"), (3, None), (4, "")], "doc_id long, text string")
     assert {r.term: r.df for r in sparse.text_frequencies(docs).collect()} == {"a": 1, "b": 2}
+
+
+def test_words_told_by_numbers_give_what_their_names_give(spark):
+    posts = spark.createDataFrame([(d, w, 1.0 + d / 10) for d in range(30) for w in range(6) if (d + w) % 4], "doc_id long, term long, part double")
+    weight = spark.createDataFrame([(q, w, 0.5 + q - w) for q in range(3) for w in (0, 2, 5, 9)], "query_id long, term long, weight double")
+    named = [x.withColumn("term", F.concat(F.lit("w"), F.col("term").cast("string"))) for x in (posts, weight)]
+    got, want = (sorted(map(tuple, sparse.best_of(p, w, 4).collect())) for p, w in ((posts, weight), named))
+    assert got == want and {r[0] for r in got} == {0, 1, 2}
+
+
+def test_documents_without_words_count_in_all_numbers(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (4, "a a c")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "c a")], "query_id long, text string")
+    assert list(map(tuple, sparse.search_texts(docs, q, 4).collect())) == list(map(tuple, sparse.search(sparse.build(docs), q, 4).collect()))
+    assert sparse.search_texts(docs.limit(0), q, 4).collect() == []
