@@ -1,6 +1,6 @@
 import pytest
 
-from tessera.operators import trace
+from tessera.operators import models, trace
 from tessera.plans import pipelines as P
 from tessera.plans import spec
 
@@ -61,3 +61,23 @@ def test_compiled_presets(world, name):
     assert sorted(r.query_id for r in rows) == [1, 2, 3] and all(r.answer for r in rows)
     with pytest.raises(ValueError):
         spec.compile_spec(spec.chain("grade>generate"), corpus)
+
+
+def test_embedder_hashes_each_word_once_and_signs_add_up(spark):
+    import hashlib
+    from collections import Counter
+
+    rows = [(i, None if i % 9 == 0 else " ".join(f"W\u00f6rt{(i * k) % 23}" for k in range(i % 40))) for i in range(300)] + [(7, "again \u2003 again")]
+    made = models.HashingEmbedder(48).embed(spark.createDataFrame(rows, "id long, text string"), "id")
+    assert "MapInArrow" in made._jdf.queryExecution().toString()  # not a branch for each dimension of each word
+    got = {r.id: r.embedding for r in made.collect()}
+    assert len(got) == 300
+    for i in range(300):
+        sums = Counter()
+        for w in (w for k, t in rows if k == i for w in (t or "").lower().split(" ") if w and w != "\u2003"):
+            h = hashlib.md5(w.encode()).hexdigest()
+            sums[int(h[:8], 16) % 48] += 1 if int(h[8], 16) < 8 else -1
+        size = sum(x * x for x in sums.values()) ** 0.5 or 1
+        if i != 7:
+            assert got[i] == pytest.approx([sums[d] / size for d in range(48)], abs=1e-6)
+    assert any(got[7])
