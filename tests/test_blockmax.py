@@ -147,3 +147,12 @@ def test_documents_without_words_count_in_all_numbers(spark):
     q = spark.createDataFrame([(1, "c a")], "query_id long, text string")
     assert list(map(tuple, sparse.search_texts(docs, q, 4).collect())) == list(map(tuple, sparse.search(sparse.build(docs), q, 4).collect()))
     assert sparse.search_texts(docs.limit(0), q, 4).collect() == []
+
+
+def test_words_are_counted_where_documents_lie(spark):
+    import pyarrow as pa
+
+    rows = [(5, ["b", "a", "b"]), (None, []), (7, ["ä"] * 3 + ["a"]), (8, [])]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["doc_id", "w"])
+    got = [tuple(r.values()) for b in blockmax._counted(iter([batch, batch.slice(0, 0), batch.slice(1, 1)])) for r in b.to_pylist()]
+    assert sorted(got, key=repr) == sorted([(5, 3, "a", 1), (5, 3, "b", 2), (7, 4, "a", 1), (7, 4, "ä", 3), (None, 0, None, 1), (8, 0, None, 1), (None, 0, None, 1)], key=repr)
