@@ -17,9 +17,14 @@ _SHAPE = '{"triples": [{"subject": "", "relation": "", "object": ""}]}'
 
 def proposed(replies: DataFrame) -> DataFrame:
     """(chunk_id, n, src, rel, dst) of replies(chunk_id, json): what each says, an element for each of its list. What is no list has none; an element that is no object has no parts."""
+    return _told(replies).where("n IS NOT NULL")
+
+
+def _told(replies: DataFrame) -> DataFrame:
+    """As ``proposed``, with a row without n for each reply that proposes nothing."""
     body = F.get_json_object("json", "$.triples")
     listed = F.when(body.rlike(r"^\s*\["), F.from_json(body, "array<string>"))
-    rows = replies.select("chunk_id", F.posexplode(listed).alias("n", "t"))
+    rows = replies.select("chunk_id", F.posexplode_outer(listed).alias("n", "t"))
     part = lambda x: F.coalesce(F.get_json_object("t", f"$.{x}"), F.lit(""))
     return rows.select("chunk_id", "n", part("subject").alias("src"), part("relation").alias("rel"), part("object").alias("dst"))
 
@@ -30,11 +35,11 @@ def extracted(replies: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, Dat
     An edge's ends are in the vocabulary, normalised, and no part of it is empty. Every chunk with a reply
     has counts.
     """
-    every = cut(proposed(replies))
-    edges = cut(accepted(every, vocabulary))
+    every = cut(_told(replies))
+    edges = cut(accepted(every.where("n IS NOT NULL"), vocabulary))
     kept = edges.groupBy("chunk_id").agg(F.count("*").alias("kept"))
-    counts = replies.select("chunk_id").distinct().join(every.groupBy("chunk_id").agg(F.count("*").alias("proposed")), "chunk_id", "left").join(kept, "chunk_id", "left")
-    counts = counts.select("chunk_id", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("proposed", "kept")))
+    counts = every.groupBy("chunk_id").agg(F.count("n").alias("proposed")).join(kept, "chunk_id", "left")
+    counts = counts.select("chunk_id", "proposed", F.coalesce("kept", F.lit(0)).alias("kept"))
     return edges, counts.withColumn("dropped", F.col("proposed") - F.col("kept"))
 
 

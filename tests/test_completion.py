@@ -118,3 +118,12 @@ def test_from_chunks_to_edges_and_summaries(spark):
 @pytest.mark.parametrize("bad", ["{", "[1]", "x {y", ""])
 def test_json_of_prose(spark, bad):
     assert spark.createDataFrame([(bad,)], "t string").select(T.json_of(F.col("t")).alias("j")).first().j is None
+
+
+def test_replies_are_read_once_for_triples_and_counts(spark):
+    rows = [("a", '{"triples": [{"subject": "x", "relation": "r", "object": "y"}, null, 3]}'), ("b", '{"triples": []}'), ("c", '{"triples": "none"}'), ("d", "{}")]
+    replies = spark.createDataFrame(rows, "chunk_id string, json string").mapInArrow(lambda batches: batches, "chunk_id string, json string")
+    edges, counts = extraction.extracted(replies, spark.createDataFrame([("x",), ("y",)], "id string"))
+    assert "MapInArrow" not in counts._jdf.queryExecution().toString()
+    assert {tuple(r) for r in counts.collect()} == {("a", 3, 1, 2), ("b", 0, 0, 0), ("c", 0, 0, 0), ("d", 0, 0, 0)}
+    assert [tuple(r) for r in edges.collect()] == [("x", "r", "y", "a")] and extraction.proposed(replies).count() == 3
