@@ -101,3 +101,15 @@ def test_matching_statistics():
                             best = max(best, n)
                 want.append(best)
         assert np.array_equal(got, want)
+
+
+def test_at_the_query_s_length(spark):
+    """400 bytes in the default gram: a passage of over 50 words that has fewer stays, one byte decides."""
+    prose = lambda tag, n: " ".join(f"{tag}{i:04d}" for i in range(n))
+    short = " ".join(f"p{i:03d}" for i in range(60))  # 299 bytes
+    rows = [prose("a", 90) + short + prose("b", 80), prose("c", 80) + short + prose("d", 90), short]
+    rows += [prose(t, 60) + t + short + "x" * 101 + t + prose(t, 70) for t in "ef"] + [prose(t, 60) + t + "y" * 399 + t for t in "gh"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in r.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == brute([t.encode() for t in rows], 400)
+    assert [got[i][1] for i in range(len(rows))] == [0, 0, 0, 400, 400, 0, 0]
