@@ -11,7 +11,8 @@ removed. The steps, each exact:
 * Classes. Of contexts with equal bytes one goes to the index, with weight 2 if there are more: there it
   is two equal pieces, next to one another in suffix order, so the weight lengthens runs. What the index
   says of it holds for the others. A group of more than BIG_GROUP different contexts is dealt out again by parts of their windows, by
-  what all windows of a part have in common, down to single windows, so no index is unbounded.
+  what all windows of a part have in common, down to single windows, so no index is unbounded. A class that
+  is alone at its anchor repeats whole and needs no index.
 * Run-length index. The contexts of some groups form a shard. Its Burrows-Wheeler transform is kept as
   runs: character, first rank, and, for the runs' heads and ends, the common prefix of the suffix that
   they lead to with its neighbour. The contexts are streamed through it from their ends by the last-to-
@@ -19,6 +20,11 @@ removed. The steps, each exact:
   heads and ends the samples hold. The greater one is the matching statistic, the longest match with
   any other place; windows whose statistic is ``length`` or more are marked.
 
+Passages can also be told by words (``words``): each byte that a string of so many words covers which also
+starts anywhere else, whatever stands between the words. Their windows have anchors of GRAM_WORDS words and go
+the same way, but a window is compared by its hash, not in the index. They are counted, never removed, since what
+is removed goes by bytes alone: 51 words may have as few as 101.
+
 Matches never cross documents, as contexts don't. Defined results: null and empty texts have no bytes
 and lose none; each row is a place of its own, also where doc_id is null or repeated, so equal rows of
 ``length`` bytes or more lose all; an empty table gives an empty one; other columns are ignored.
@@ -27,7 +33,7 @@ and lose none; each row is a place of its own, also where doc_id is null or repe
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -37,8 +43,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common as c
 
-#: Bytes of an anchor's string; bits of its place in a packed minimum; bytes of one long text's piece.
+#: Bytes of an anchor's string, or its words where windows are of words; bits of its place in a packed minimum; bytes of one long text's piece.
 GRAM = 96
+GRAM_WORDS = 8
 _PLACE = 24
 _PIECE = 1 << 23
 #: Bytes of text in one index, and different contexts of one group, at most (but for a group that comes last); parts of the windows by which larger groups are dealt out, step by step.
@@ -50,31 +57,64 @@ HELD = 200_000
 _SALT = [c.U(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
-def contexts(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, lo, windows, rel, anchor hash, context hash) of each context of texts of length bytes or more."""
-    block = c.Block(texts)
-    n = len(block.data)
-    at = np.arange(n - gram + 1)
-    full = block.hashes(at, at + gram)
+def _runs(full: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, lo, hi, own): runs lo..hi of windows that lie in one text (start, end) and whose leftmost least gram, of hash full, is own."""
+    at = np.arange(len(full))
     packed = (full >> c.U(_PLACE) << c.U(_PLACE)) | at.astype(c.U)
     width, size = length - gram + 1, 1
+    if len(full) < width:
+        return (np.zeros(0, np.int64),) * 4
     while size * 2 <= width:
         packed = np.minimum(packed[:-size], packed[size:])
         size *= 2
     least = np.minimum(packed[: len(packed) - (width - size)], packed[width - size :])
     own = np.full(len(least) + 1, -1, np.int64)
     own[:-1] = (least & c.U((1 << _PLACE) - 1)).astype(np.int64)
-    inside = np.zeros(n + 2, np.int32)
-    np.add.at(inside, block.start, 1)
-    np.add.at(inside, np.maximum(block.end - length + 1, block.start), -1)
+    inside = np.zeros(len(full) + gram + 1, np.int32)
+    np.add.at(inside, start, 1)
+    np.add.at(inside, np.maximum(end - length + 1, start), -1)
     own[:-1][np.cumsum(inside[: len(least)]) <= 0] = -1
     lo = np.flatnonzero(np.concatenate(([own[0] >= 0], (own[1:] != own[:-1]) & (own[1:] >= 0))))
     ends = np.flatnonzero(own[1:] != own[:-1]) + 1
     hi = ends[np.searchsorted(ends, lo, "right")]  # one past the last window
-    anchor, rel = full[own[lo]], own[lo] - lo
-    text = np.searchsorted(block.start, lo, "right") - 1
+    return np.searchsorted(start, lo, "right") - 1, lo, hi, own[lo]
+
+
+def contexts(block: c.Block, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, lo, windows, rel, anchor hash, context hash) of each context of the block's texts of length bytes or more."""
+    at = np.arange(max(len(block.data) - gram + 1, 0))
+    full = block.hashes(at, at + gram)
+    text, lo, hi, own = _runs(full, block.start, block.end, length, gram)
+    rel = own - lo
     whole = c.mix(block.hashes(lo, hi + length - 1) + rel.astype(c.U) * _SALT[0] + (hi - lo).astype(c.U) * _SALT[1])
-    return text, lo - block.start[text], hi - lo, rel, anchor, whole
+    return text, lo - block.start[text], hi - lo, rel, full[own], whole
+
+
+def _strings(block: c.Block, s: np.ndarray, e: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The hash of the words i to j (one past the last) of a block's words s, e."""
+    power, inv = c.powers(max(len(s), len(block.data)) + 1)
+    prefix = np.concatenate((np.zeros(1, c.U), np.cumsum(block.hashes(s, e) * power[: len(s)])))
+    return lambda i, j: c.mix((prefix[j] - prefix[i]) * inv[i] + _SALT[2] * (j - i).astype(c.U))
+
+
+def word_contexts(block: c.Block, words: int, gram: int) -> tuple[np.ndarray, ...]:
+    """As contexts(), for windows of so many words and anchors of gram words; in the place of windows the context's bytes, below zero."""
+    s, e, first = block.words()
+    of = _strings(block, s, e)
+    at = np.arange(max(len(s) - gram + 1, 0))
+    full = of(at, at + gram)
+    text, lo, hi, own = _runs(full, first[:-1], first[1:], words, gram)
+    rel = own - lo
+    whole = c.mix(of(lo, hi + words - 1) + rel.astype(c.U) * _SALT[0] + (hi - lo).astype(c.U) * _SALT[1])
+    return text, s[lo] - block.start[text], s[lo] - e[hi + words - 2], rel, full[own], whole
+
+
+def _word_pieces(t: bytes, words: int) -> Iterator[tuple[int, bytes]]:
+    """(start, piece) of a long text, so that each window of words lies in one piece."""
+    s, e, _ = c.Block([t]).words()
+    step = _PIECE // 8
+    for i in range(0, len(s) - words + 1, step):
+        yield int(s[i]), t[s[i] : e[min(i + step + words - 1, len(s)) - 1]]
 
 
 _PLACES = "doc long, row long, lo long, windows int, rel int"
@@ -93,18 +133,25 @@ def _third(anchor: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return out
 
 
-def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _anchors(docs: DataFrame, length: int, gram: int, words: int | None) -> DataFrame:
     """A row for each context. Of a batch's equal ones, those after the second get a negative ``rel`` and a key of their own, so that a text that comes again and again makes no hot key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, row, texts = c.column(b, "doc").to_pylist(), c.column(b, "row").to_pylist(), c.as_bytes(c.column(b, "text"))
-            pieces = [(i, r, s, t[s : s + _PIECE + length - 1]) for i, r, t in zip(ids, row, texts, strict=True) for s in range(0, len(t), _PIECE) if len(t) - s >= length]
+            rows = list(zip(c.column(b, "doc").to_pylist(), c.column(b, "row").to_pylist(), c.as_bytes(c.column(b, "text")), strict=True))
+            # in one piece for both kinds of windows; long texts in pieces for each
+            pieces = [(i, r, 0, t, 3) for i, r, t in rows if len(t) < _PIECE + length]
+            for i, r, t in rows:
+                if len(t) >= _PIECE + length:
+                    pieces += [(i, r, s, t[s : s + _PIECE + length - 1], 1) for s in range(0, len(t), _PIECE) if len(t) - s >= length]
+                    pieces += [(i, r, s, p, 2) for s, p in _word_pieces(t, words)] if words else []
             found = []
             for i, j in c.blocks([p[3] for p in pieces]):
-                text, lo, windows, rel, anchor, whole = contexts([p[3] for p in pieces[i:j]], length, gram)
-                doc, own, start = (np.array([p[k] for p in pieces[i:j]]) for k in range(3))
-                found.append((anchor, whole, doc[text], own[text], lo + start[text], windows.astype(np.int32), rel.astype(np.int32)))
+                block = c.Block([p[3] for p in pieces[i:j]])
+                doc, own, start, kind = (np.array([p[k] for p in pieces[i:j]]) for k in (0, 1, 2, 4))
+                for bit, each in ((1, contexts(block, length, gram)), *([(2, word_contexts(block, words, min(GRAM_WORDS, words)))] if words else [])):
+                    text, lo, windows, rel, anchor, whole = (x[(kind[each[0]] & bit) > 0] for x in each)
+                    found.append((anchor, whole, doc[text], own[text], lo + start[text], windows.astype(np.int32), rel.astype(np.int32)))
             if found:
                 anchor, whole, doc, own, lo, windows, rel = (np.concatenate(x) for x in zip(*found, strict=True))
                 known = _third(anchor, whole)
@@ -308,7 +355,7 @@ def matching_statistics(pieces: list[bytes], weight: np.ndarray | None = None) -
 
 _LISTED = ["lo", "windows", "rel", "anchor", "twice"]
 _CONTEXT = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("windows", pa.int32()), ("twice", pa.bool_()), ("bytes", pa.binary())])
-_MARK = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
+_MARK = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("of_words", pa.bool_())])
 
 
 def _listed(docs: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -318,8 +365,8 @@ def _listed(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     return thin.join(lists, ["doc", "row"])
 
 
-def _finer(docs: DataFrame, kinds: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
-    """The kinds cut into parts of their windows; the anchor of each is what all windows of a part have in common."""
+def _finer(docs: DataFrame, kinds: DataFrame, parts: int, length: int, gram: int, words: int | None) -> DataFrame:
+    """The kinds cut into parts of their windows; the anchor of each is what all windows of a part have in common. Windows of words are told apart at once."""
     width = max(1, -(-(length - gram + 1) // parts))
     digest = lambda b, *tell: int.from_bytes(hashlib.blake2b(b, digest_size=8, key=b"".join((x & (2**64 - 1)).to_bytes(8, "little") for x in tell)).digest(), "little", signed=True)
 
@@ -329,6 +376,10 @@ def _finer(docs: DataFrame, kinds: DataFrame, parts: int, length: int, gram: int
             for doc, own, t, xs in zip(c.column(b, "doc").to_pylist(), c.column(b, "row").to_pylist(), c.as_bytes(c.column(b, "text")), c.column(b, "xs").to_pylist(), strict=True):
                 for x in xs:
                     lo, w, a, anchor = x["lo"], x["windows"], x["lo"] + x["rel"], x["anchor"]
+                    if w < 0:
+                        for s, e, h in zip(*(y.tolist() for y in word_windows([t[lo : lo - w]], words)[:3]), strict=True):
+                            rows += [(h, h, doc, own, lo + s, s - e, 0)] * (1 + x["twice"])
+                        continue
                     for q in range((a - lo - w + 1) // width, (a - lo) // width + 1):
                         s, e = max(lo, a - (q + 1) * width + 1), min(lo + w, a - q * width + 1)  # first windows, and one past the last
                         shared = t[a - q * width : a - (q + 1) * width + 1 + length]
@@ -351,7 +402,7 @@ def _cut(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
             for doc, own, t, xs in zip(c.column(b, "doc").to_pylist(), c.column(b, "row").to_pylist(), c.as_bytes(c.column(b, "text")), c.column(b, "xs").to_pylist(), strict=True):
                 for x in xs:
                     lo, w = x["lo"], x["windows"]
-                    rows.append((x["anchor"], doc, own, lo, w, x["twice"], t[lo : lo + w + length - 1]))
+                    rows.append((x["anchor"], doc, own, lo, w, x["twice"], t[lo : lo + w + length - 1 if w > 0 else lo - w]))
                 if len(rows) > 4000:
                     yield c.record_batch(_CONTEXT, *zip(*rows, strict=True))
                     rows = []
@@ -361,20 +412,42 @@ def _cut(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
     return _listed(docs, kinds).mapInArrow(c.tidied(run), "key long, doc long, row long, lo long, windows int, twice boolean, bytes binary")
 
 
-def _index(cut: DataFrame, length: int, parts: int) -> DataFrame:
-    """(doc, row, s, e): spans of the windows that the index finds elsewhere."""
+def word_windows(pieces: list[bytes], words: int) -> tuple[np.ndarray, ...]:
+    """(start, end, hash, piece) of each window of so many words."""
+    block = c.Block(pieces)
+    s, e, first = block.words()
+    at = np.concatenate([np.arange(a, max(b - words + 1, a)) for a, b in zip(first[:-1], first[1:], strict=True)])
+    piece = np.searchsorted(block.start, s[at], "right") - 1
+    return s[at] - block.start[piece], e[at + words - 1] - block.start[piece], c.signed(_strings(block, s, e)(at, at + words)), piece
+
+
+def _index(cut: DataFrame, length: int, parts: int, words: int | None) -> DataFrame:
+    """(doc, row, s, e, of_words): spans of the windows that the index finds elsewhere, and of those of words that another equals."""
 
-    def marks(rows: list[tuple]) -> pa.RecordBatch:
-        ms = matching_statistics([r[6] for r in rows], np.array([1 + r[5] for r in rows]))
-        out, at = [], 0
+    def marks(every: list[tuple]) -> pa.RecordBatch:
+        out: list[tuple] = []
+        rows = [r for r in every if r[4] < 0]
+        if rows:
+            s, e, h, piece = word_windows([r[6] for r in rows], words)
+            _, same = np.unique(h, return_inverse=True)
+            twice = np.array([1 + r[5] for r in rows])
+            hit = np.bincount(same, twice[piece])[same] > 1
+            s, e, piece = s[hit], e[hit], piece[hit]
+            # windows that overlap go on together
+            new = np.flatnonzero(np.concatenate(([True], (piece[1:] != piece[:-1]) | (s[1:] > e[:-1]))) if len(s) else [])
+            for i, j in zip(new.tolist(), [*(new[1:] - 1).tolist(), len(s) - 1], strict=False):
+                _, doc, own, lo, *_ = rows[piece[i]]
+                out.append((doc, own, lo + int(s[i]), lo + int(e[j]), True))
+        rows, at = [r for r in every if r[4] > 0], 0
+        ms = matching_statistics([r[6] for r in rows], np.array([1 + r[5] for r in rows])) if rows else None
         for _, doc, own, lo, w, _, b in rows:
             hit = np.flatnonzero(ms[at : at + w] >= length)
             if len(hit):
                 gap = np.flatnonzero(np.diff(hit) > length)
                 for s, e in zip(hit[np.concatenate(([0], gap + 1))].tolist(), hit[np.concatenate((gap, [len(hit) - 1]))].tolist(), strict=True):
-                    out.append((doc, own, lo + s, lo + e + length))
+                    out.append((doc, own, lo + s, lo + e + length, False))
             at += len(b)
-        return c.record_batch(_MARK, *(zip(*out, strict=True) if out else [[]] * 4))
+        return c.record_batch(_MARK, *(zip(*out, strict=True) if out else [[]] * 5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, key = [], 0, None
@@ -389,7 +462,7 @@ def _index(cut: DataFrame, length: int, parts: int) -> DataFrame:
         if rows:
             yield marks(rows)
 
-    return cut.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(c.tidied(run), "doc long, row long, s long, e long")
+    return cut.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(c.tidied(run), "doc long, row long, s long, e long, of_words boolean")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -397,31 +470,42 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), c.row_key().alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
-    """(doc, row, s, e): byte spans, possibly overlapping, whose union is what repeats. docs(doc_id, text)."""
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, words: int | None = None) -> DataFrame:
+    """(doc, row, s, e, of_words): byte spans, possibly overlapping, whose union is what repeats. docs(doc_id, text).
+
+    With words, also those of strings of so many words that another place has too, whatever separates the words (of_words).
+    """
     gram = min(gram, length)
     parts = c.shuffle_partitions(docs.sparkSession)
-    docs = _identified(docs).drop("doc_id").where(F.octet_length("text") >= length)
-    met = c.checkpoint(_meet(_anchors(docs, length, gram), parts))
+    docs = _identified(docs).drop("doc_id").where(F.octet_length("text") >= min(length, 2 * (words or length) - 1))
+    met = c.checkpoint(_meet(_anchors(docs, length, gram, words), parts))
     known, kinds = [met.where("NOT indexed")], met.where("indexed")
+    # a class that meets no other has nothing left to be found: all its windows repeat
+    groups = c.checkpoint(kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.first(F.struct(*_MET.names)).alias("x")).select("anchor", "n", F.when(F.col("n") == 1, F.col("x")).alias("x")))
+    known.append(groups.where("n = 1").select("x.*"))
+    kinds = kinds.join(groups.where("n > 1").select("anchor"), "anchor", "left_semi").select(*_MET.names)
     for n in FINER:
         big = c.checkpoint(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BIG_GROUP).select("anchor"))
         if not big.limit(1).count():
             break
-        finer = c.checkpoint(_meet(_finer(docs, kinds.join(big, "anchor", "left_semi"), n, length, gram), parts))
+        finer = c.checkpoint(_meet(_finer(docs, kinds.join(big, "anchor", "left_semi"), n, length, gram, words), parts))
         kinds = kinds.join(big, "anchor", "left_anti").select(*_MET.names).unionByName(finer.where("indexed"))
         known.append(finer.where("NOT indexed"))
-    whole = reduce(DataFrame.unionByName, known).select("doc", "row", F.col("lo").alias("s"), (F.col("lo") + F.col("windows") + (length - 1)).alias("e"))
-    return whole.unionByName(_index(_cut(docs, kinds, length), length, parts))
+    end = F.when(F.col("windows") > 0, F.col("lo") + F.col("windows") + (length - 1)).otherwise(F.col("lo") - F.col("windows"))
+    whole = reduce(DataFrame.unionByName, known).select("doc", "row", F.col("lo").alias("s"), end.alias("e"), (F.col("windows") < 0).alias("of_words"))
+    return whole.unionByName(_index(_cut(docs, kinds, length), length, parts, words))
+
 
+_KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string()), ("passage_bytes", pa.int64())])
 
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, keep_bytes: bool = True, words: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of each document; kept is null unless keep_bytes. Texts that lose nothing aren't shuffled.
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, keep_bytes: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of each document; kept is null unless keep_bytes. Texts that lose nothing aren't shuffled."""
+    With words, passage_bytes follows: bytes that a string of so many words covers which also starts anywhere else. They are told, not removed.
+    """
     docs = docs.select("doc_id", "text")
-    by_doc = c.checkpoint(repeated_spans(docs, length, gram).groupBy("doc", "row").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    by_doc = c.checkpoint(repeated_spans(docs, length, gram, words).groupBy("doc", "row").agg(F.collect_set(F.struct("s", "e", "of_words")).alias("spans")))
     some, rest = c.parted(_identified(docs), ["doc", "row"], by_doc.select("doc", "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,17 +513,22 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, keep_by
             out = []
             for doc, t, spans in zip(c.column(b, "doc_id").to_pylist(), c.as_bytes(c.column(b, "text")), c.column(b, "spans").to_pylist(), strict=True):
                 kept, n_spans, at = [], 0, 0
-                for s, e in sorted((x["s"], x["e"]) for x in spans or []):
+                for s, e in sorted((x["s"], x["e"]) for x in spans or [] if not x["of_words"]):
                     if s > at or not n_spans:
                         kept.append(t[at:s])
                         n_spans += 1
                     at = max(at, e)
                 kept.append(t[at:])
                 rest = b"".join(kept)
-                out.append((doc, len(t), len(t) - len(rest), n_spans, rest if keep_bytes else None, hashlib.sha256(rest).hexdigest()))
-            yield c.record_batch(_KEPT, *(zip(*out, strict=True) if out else [[]] * 6))
+                told = at = 0
+                for s, e in sorted((x["s"], x["e"]) for x in spans or [] if x["of_words"]):
+                    told += max(0, e - max(s, at))
+                    at = max(at, e)
+                out.append((doc, len(t), len(t) - len(rest), n_spans, rest if keep_bytes else None, hashlib.sha256(rest).hexdigest(), told))
+            yield c.record_batch(_KEPT, *(zip(*out, strict=True) if out else [[]] * 7))
 
-    cut = some.join(by_doc, ["doc", "row"], "left").mapInArrow(c.tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    cut = some.join(by_doc, ["doc", "row"], "left").mapInArrow(c.tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, passage_bytes long")
     raw, none = F.coalesce("text", F.lit("")).cast("binary"), F.lit(0).cast("long")
-    whole = rest.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), (raw if keep_bytes else F.lit(None).cast("binary")).alias("kept"), F.sha2(raw, 256).alias("kept_sha256"))
-    return cut.unionByName(whole)
+    whole = rest.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), (raw if keep_bytes else F.lit(None).cast("binary")).alias("kept"), F.sha2(raw, 256).alias("kept_sha256"), none.alias("passage_bytes"))
+    out = cut.unionByName(whole)
+    return out if words else out.drop("passage_bytes")

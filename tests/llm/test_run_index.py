@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -113,3 +114,41 @@ def test_at_the_query_s_length(spark):
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in r.remove_repeats(docs).collect()}
     assert [got[i] for i in range(len(rows))] == brute([t.encode() for t in rows], 400)
     assert [got[i][1] for i in range(len(rows))] == [0, 0, 0, 400, 400, 0, 0]
+
+
+def brute_words(texts, k):
+    at = [[(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    strings = [[tuple(x[2] for x in w[i : i + k]) for i in range(len(w) - k + 1)] for w in at]
+    count = Counter(x for w in strings for x in w)
+    out = []
+    for w, own in zip(at, strings, strict=True):
+        out.append(len({b for i, x in enumerate(own) if count[x] > 1 for b in range(w[i][0], w[i + k - 1][1])}))
+    return out
+
+
+@pytest.mark.parametrize("piece, big, held", [(1 << 23, 4000, 200_000), (300, 2, 7)])
+def test_passages_of_words(spark, monkeypatch, piece, big, held):
+    """Passages of so many words are told whatever their bytes; what is removed stays as it is."""
+    for name, value in (("_PIECE", piece), ("BIG_GROUP", big), ("HELD", held)):
+        monkeypatch.setattr(r, name, value)
+    rng = random.Random(9)
+    passage = " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(14))
+    prose = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    rows = texts(3) + ["x y " * 30, passage, "q" * 90 + passage, *(f"{prose(20)} {passage}\n{prose(30)}" for _ in range(4)), prose(9) + "\t" + passage.replace(" ", "\n ") + " " + prose(150)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256, x.passage_bytes) for x in r.remove_repeats(docs, 40, 16, words=12).collect()}
+    raw = [(t or "").encode() for t in rows]
+    want = [(*x, y) for x, y in zip(brute(raw, 40), brute_words(raw, 12), strict=True)]
+    assert [got[i] for i in range(len(rows))] == want and sum(x[4] > 0 for x in want) > 9
+
+
+def test_query_tells_short_passages(spark, tmp_path):
+    """At the query's lengths: 51 words that have fewer than 400 bytes are told in passage_bytes, and not removed."""
+    from tessera.llm import queries
+
+    prose = lambda tag, n: " ".join(f"{tag}{i:04d}" for i in range(n))
+    many, few = (" ".join(f"p{n}{i:02d}" for i in range(n)) for n in (51, 50))
+    rows = [f"{prose(t, 40)} {x} {prose(t * 2, 40)}" for t, x in (("a", many), ("b", many), ("c", few), ("d", few))]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.n_removed, x.passage_bytes) for x in queries.op9_run_length_index(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, len(many)), 1: (0, len(many)), 2: (0, 0), 3: (0, 0)}
