@@ -63,6 +63,20 @@ def test_compiled_presets(world, name):
         spec.compile_spec(spec.chain("grade>generate"), corpus)
 
 
+def test_declared_hybrid_reranks_a_pool(spark):
+    """The passage that holds all words is long, so neither search has it among the first five; the rerank puts it first."""
+    words = "alpha beta gamma delta".split()
+    texts = [" ".join([w] * (n + 1)) for n in range(2) for w in words] + [f"{' '.join(words)} {' '.join(f'filler{i}' for i in range(60))}"] + [f"other{i} thing{i}" for i in range(20)]
+    corpus = P.Corpus.of(spark.createDataFrame([(i, f"n::{i}", t) for i, t in enumerate(texts)], "id long, chunk_id string, text string"))
+    questions = spark.createDataFrame([(1, " ".join(words))], "query_id long, text string")
+    got = spec.compile_spec(spec.PRESETS["hybrid"], corpus)(questions).first()
+    want = P.hybrid(questions, corpus).first()
+    assert got.chunk_ids[0] == "n::8" and len(got.chunk_ids) == 5
+    assert (got.chunk_ids, got.answer) == (want.chunk_ids, want.answer)
+    plain = spec.compile_spec(spec.PRESETS["naive"], corpus)(questions).first()
+    assert plain.chunk_ids == P.naive(questions, corpus).first().chunk_ids
+
+
 def test_embedder_hashes_each_word_once_and_signs_add_up(spark):
     import hashlib
     from collections import Counter
