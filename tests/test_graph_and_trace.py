@@ -126,6 +126,35 @@ def test_communities_query_takes_every_edge(spark, tmp_path):
     assert got == {f"s{i}" for i in range(3)} | {f"p{i}" for i in range(60)}
 
 
+def test_communities_query_merges_and_moves_until_modularity_rises_no_more(spark, tmp_path):
+    """A chain of suppliers and parts needs more levels than one: there is no community left that gains by joining another."""
+    links = [(i // 2, (i + 1) // 2) for i in range(96)]
+    spark.createDataFrame([(s, p, i, 1.0) for i, (s, p) in enumerate(links)], "l_suppkey long, l_partkey long, l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    m = catalog.QUERIES["g3_communities"](spark, str(tmp_path))
+    by = {r.id: r.community for r in m.collect()}
+    pairs = [(f"s{s}", f"p{p}") for s, p in links]
+    d = {}
+    between = {}
+    for a, b in pairs:
+        for x, y in ((a, b), (b, a)):
+            d[by[x]] = d.get(by[x], 0) + 1
+            between[by[x], by[y]] = between.get((by[x], by[y]), 0) + 1
+    assert all(n * 2 * len(pairs) <= d[a] * d[b] for (a, b), n in between.items() if a != b)
+    share = sum(n for (a, b), n in between.items() if a == b) / (2 * len(pairs)) - sum((x / 2 / len(pairs)) ** 2 for x in d.values())
+    assert share >= 0.97 * louvain(pairs)
+
+
+def test_phases_of_moves_end_by_modularity(spark, monkeypatch):
+    """A phase ends by modularity, of few equal links as of none."""
+    reached = []
+    quality = graph._quality
+    monkeypatch.setattr(graph, "_quality", lambda *a: reached.append(quality(*a)) or reached[-1])
+    e = spark.createDataFrame([(f"s{s}", "r", f"p{p}", "c") for s in range(4) for p in range(40)], "src string, rel string, dst string, chunk_id string")
+    assert graph.communities(e, 2).count() == 44
+    assert len(reached) < 40
+    assert graph.communities(e.where("src = dst").unionByName(spark.createDataFrame([("z", "r", "z", "c")], e.schema)), 2).collect()[0].community == 0
+
+
 def test_rounds_of_communities_leave_edges_in_their_buckets(spark):
     """A round joins labels where the edges lie, and only rows of the half whose turn it is move; no table stays in the catalog."""
     tables = []
